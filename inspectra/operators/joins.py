@@ -1,0 +1,41 @@
+"""Join helpers with an explicit size check before any broadcast."""
+
+from __future__ import annotations
+
+from pyspark import StorageLevel
+from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
+
+# rows of a dimension we accept to ship to every executor
+DEFAULT_BROADCAST_ROWS = 2_000_000
+
+_materialised: dict = {}
+
+
+def checked_broadcast(dim: DataFrame, max_rows: int = DEFAULT_BROADCAST_ROWS,
+                      memo_key=None) -> DataFrame:
+    """Broadcast ``dim`` only after proving it has at most ``max_rows`` rows.
+
+    The dimension (a daily or per-area aggregate whose size is bounded by its
+    domain, not by the fact table) is persisted once and counted; within the
+    bound it is returned with a broadcast hint, beyond it unchanged so the
+    planner uses a shuffle join.  Persisted blocks are recomputed from lineage
+    if an executor is lost.
+    """
+    key = None
+    if memo_key is not None:
+        key = (dim.sparkSession.sparkContext.applicationId, memo_key)
+        if key in _materialised:
+            return _materialised[key]
+    dim = dim.persist(StorageLevel.MEMORY_AND_DISK)
+    n = dim.count()
+    out = F.broadcast(dim) if n <= max_rows else dim
+    if key is not None:
+        _materialised[key] = out
+    return out
+
+
+def left_join_unique(left: DataFrame, right: DataFrame, on, broadcast_right: bool = False) -> DataFrame:
+    """Left join onto a right side that is unique on ``on`` (row count unchanged)."""
+    r = F.broadcast(right) if broadcast_right else right
+    return left.join(r, on, "left")
