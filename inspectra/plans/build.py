@@ -9,6 +9,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 
 from .. import schemas as S
+from ..session import stage_table
 from ..operators import cleaning as C
 from ..operators import features as FE
 from ..operators import panel as P
@@ -49,14 +50,22 @@ def census(spark: SparkSession, d: str) -> DataFrame:
     return P.census_clean(SI.census_raw(spark, d), key="area")
 
 
-def panel(spark: SparkSession, d: str) -> DataFrame:
+def panel_plan(spark: SparkSession, d: str) -> DataFrame:
+    """The lazily planned panel (for ``explain`` and one-shot runs)."""
     return P.build_panel(inspections(spark, d), master(spark, d), ratings(spark, d),
                          weather(spark, d), complaints(spark, d), census(spark, d),
                          census_key="area", memo=d)
 
 
+def panel(spark: SparkSession, d: str) -> DataFrame:
+    """Stage 1 output, written once per session (partitioned by year)."""
+    return stage_table(spark, "panel", d, lambda: panel_plan(spark, d), partition_by="inspection_year")
+
+
 def clean(spark: SparkSession, d: str) -> DataFrame:
-    return C.clean_panel(panel(spark, d), S.STANDIN_REGIONS)
+    """Stage 2 output, written once per session (partitioned by year)."""
+    return stage_table(spark, "clean", d, lambda: C.clean_panel(panel(spark, d), S.STANDIN_REGIONS),
+                       partition_by="inspection_year")
 
 
 def features(spark: SparkSession, d: str) -> DataFrame:

@@ -23,7 +23,7 @@ RAW_COLS = ("camis, dba, boro, zipcode, cuisine_description, inspection_date, ac
 @query("panel_build", rounded("SELECT * FROM panel", PANEL_DOUBLES))
 def panel_build(spark, d):
     """J12 (flagship): the 43-column inspection panel."""
-    return finish(B.panel(spark, d))
+    return finish(B.panel_plan(spark, d))
 
 
 @query("scan_inspections", rounded(f"SELECT {RAW_COLS} FROM raw", ["score"]))

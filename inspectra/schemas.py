@@ -113,8 +113,8 @@ MONTH_NAMES = ["Jan", "Feb", "Mar", "Apr", "May", "Jun",
                "Jul", "Aug", "Sep", "Oct", "Nov", "Dec"]
 WEEKDAY_NAMES = ["Mon", "Tue", "Wed", "Thu", "Fri", "Sat", "Sun"]
 # fixed bin edges (right-closed)
-VIOLATION_BINS = [(-1, 0, "0"), (0, 1, "1"), (1, 2, "2"), (2, 3, "3"), (3, 4, "4"), (4, None, "5+")]
-CRITICAL_BINS = [(-1, 0, "0"), (0, 1, "1"), (1, 2, "2"), (2, 3, "3"), (3, None, "4+")]
+VIOLATION_BINS = [(-0.1, 0, "0"), (0, 1, "1"), (1, 2, "2"), (2, 3, "3"), (3, 4, "4"), (4, None, "5+")]
+CRITICAL_BINS = [(-0.1, 0, "0"), (0, 1, "1"), (1, 2, "2"), (2, 3, "3"), (3, None, "4+")]
 TEMP_BINS = [(-20, 0, "(-20, 0]"), (0, 10, "(0, 10]"), (10, 20, "(10, 20]"),
              (20, 30, "(20, 30]"), (30, 45, "(30, 45]")]
 # decision threshold chosen by the final model, and sweep range
@@ -131,6 +131,9 @@ COLORS_BY_BORO = {"MANHATTAN": [69, 123, 157, 180], "BROOKLYN": [230, 57, 70, 18
                   "STATEN ISLAND": [109, 104, 117, 180]}
 COLOR_CONSTANT = [100, 100, 200, 180]
 COLOR_GREY = [150, 150, 150, 180]
+# quartile labels of the interaction heatmap
+INCOME_QUARTILES = ["Q1 low income", "Q2", "Q3", "Q4 high income"]
+COMPLAINT_QUARTILES = ["Q1 low complaints", "Q2", "Q3", "Q4 high complaints"]
 # time split cut-off of the published pipeline (the stand-in uses its own)
 CUTOFF_DATE = "2024-01-01"
 SEED = 42

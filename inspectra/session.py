@@ -66,3 +66,33 @@ def cut_lineage(df: DataFrame) -> DataFrame:
     """Reliable checkpoint into the shared checkpoint folder (never a local one)."""
     ensure_checkpoint_dir(df.sparkSession)
     return df.checkpoint(eager=True)
+
+
+_stage_tables: dict = {}
+
+
+def stage_table(spark: SparkSession, name: str, key: str, build, partition_by: str | None = None) -> DataFrame:
+    """Write a stage output as Parquet under the shared checkpoint folder and read it back.
+
+    The written table cuts the lineage (a lost executor re-reads files instead
+    of recomputing the stage), keeps Parquet statistics so later filters and
+    projections are pushed to the scan, and is reused by every later query of
+    the same session.  ``partition_by`` lays the table out for partition pruning.
+    ``build`` is a thunk so that a reused table costs no planning at all.
+    """
+    import hashlib
+    app = spark.sparkContext.applicationId
+    memo = (app, name, key)
+    if memo in _stage_tables:
+        return _stage_tables[memo]
+    df = build()
+    root = ensure_checkpoint_dir(spark).rstrip("/")
+    tag = hashlib.sha1(f"{app}|{name}|{key}".encode()).hexdigest()[:16]
+    path = f"{root}/inspectra-stage-{name}-{tag}"
+    w = df.write.mode("overwrite")
+    if partition_by:
+        w = w.partitionBy(partition_by)
+    w.parquet(path)
+    out = spark.read.parquet(path).select(*df.columns)
+    _stage_tables[memo] = out
+    return out
