@@ -126,25 +126,17 @@ def box_stats(df: DataFrame, value: str, group: str) -> DataFrame:
         F.count_if(~inside).cast("long").alias("n_outliers"))
 
 
-def global_rank(df: DataFrame, order_cols, out: str = "_rank", buckets: int | None = None,
-                sample_per_bucket: int = 50) -> DataFrame:
-    """Dense 1..n row number over a global order without a single-partition window.
-
-    The order (``order_cols``, a total order: value then keys) is cut into
-    ``buckets`` ranges at boundary rows taken from a seeded sample (a bounded
-    list, at most ``buckets - 1`` rows reach the driver).  Each row's bucket is
-    the number of boundaries below it; bucket sizes give offsets (one small
-    table, broadcast), and the row number inside a bucket is a window
-    partitioned by bucket.  A hot value is split across buckets by its keys,
-    so no task holds more than about n / buckets rows.
+def _range_buckets(df: DataFrame, order_cols, buckets: int | None, sample_per_bucket: int = 50):
+    """Bucket id (0..b-1) of each row along a total order, from sampled boundary rows.
+
+    At most ``buckets - 1`` boundary rows reach the driver; every bucket holds
+    about n / buckets rows, whatever the skew of the leading column, because
+    the order is total (value, then keys).
     """
-    order_cols = list(order_cols)
     spark = df.sparkSession
     nb = buckets or max(2, spark.sparkContext.defaultParallelism)
     n = df.count()
-    if n == 0:
-        return df.withColumn(out, F.lit(None).cast("long"))
-    frac = min(1.0, nb * sample_per_bucket / n)
+    frac = min(1.0, nb * sample_per_bucket / max(n, 1))
     sample = (df.select(*order_cols).sample(fraction=frac, seed=S.SEED)
                 .orderBy(*order_cols).collect())
     step = max(1, len(sample) // nb)
@@ -154,14 +146,30 @@ def global_rank(df: DataFrame, order_cols, out: str = "_rank", buckets: int | No
     for b in bounds:
         lit = F.struct(*[F.lit(v).cast(df.schema[c].dataType) for c, v in zip(order_cols, b)])
         bucket = bucket + F.when(key > lit, 1).otherwise(0)
-    tagged = df.withColumn("_bucket", bucket.cast("int"))
-    sizes = tagged.groupBy("_bucket").agg(F.count(F.lit(1)).alias("_cnt"))
+    return bucket.cast("int")
+
+
+def running_totals(df: DataFrame, order_cols, sums: dict, buckets: int | None = None) -> DataFrame:
+    """Inclusive running sums along a global total order, without a
+    single-partition window: per-bucket totals give each bucket's offset (one
+    small table, broadcast) and a window partitioned by bucket adds the running
+    part.  ``sums`` maps output column -> input column expression."""
+    order_cols = list(order_cols)
+    tagged = df.withColumn("_bucket", _range_buckets(df, order_cols, buckets))
+    tot = tagged.groupBy("_bucket").agg(*[F.sum(e).alias(f"_t_{o}") for o, e in sums.items()])
     before = Window.orderBy("_bucket").rowsBetween(Window.unboundedPreceding, -1)
-    offsets = sizes.select("_bucket", F.coalesce(F.sum("_cnt").over(before), F.lit(0)).alias("_off"))
-    inner = Window.partitionBy("_bucket").orderBy(*order_cols)
-    ranked = (tagged.join(F.broadcast(offsets), "_bucket")
-                    .withColumn(out, F.col("_off") + F.row_number().over(inner)))
-    return ranked.drop("_bucket", "_off")
+    offsets = tot.select("_bucket", *[F.coalesce(F.sum(f"_t_{o}").over(before), F.lit(0)).alias(f"_o_{o}")
+                                      for o in sums])
+    inner = Window.partitionBy("_bucket").orderBy(*order_cols).rowsBetween(Window.unboundedPreceding, 0)
+    j = tagged.join(F.broadcast(offsets), "_bucket")
+    j = j.withColumns({o: F.col(f"_o_{o}") + F.sum(e).over(inner) for o, e in sums.items()})
+    return j.drop("_bucket", *[f"_o_{o}" for o in sums])
+
+
+def global_rank(df: DataFrame, order_cols, out: str = "_rank", buckets: int | None = None) -> DataFrame:
+    """Dense 1..n row number along a global total order (``order_cols``: value
+    then keys), computed as a bucketed running count."""
+    return running_totals(df, order_cols, {out: F.lit(1).cast("long")}, buckets)
 
 
 def rank_quartiles(df: DataFrame, value: str, keys, out: str, labels) -> DataFrame:
