@@ -16,9 +16,6 @@ from pyspark.sql import functions as F
 from .. import schemas as S
 from .summary import global_rank
 
-CHUNK = 60   # aggregate expressions per pass (keeps generated code small)
-
-
 def safe_corr(a: str, b: str) -> F.Column:
     """Pairwise-complete Pearson correlation; a constant column gives NULL
     (``corr`` raises DIVIDE_BY_ZERO under ANSI)."""
@@ -28,28 +25,75 @@ def safe_corr(a: str, b: str) -> F.Column:
     return F.try_divide(F.covar_pop(F.col(a), F.col(b)), sa * sb)
 
 
-def _stack_pairs(df: DataFrame, pairs, exprs) -> DataFrame:
-    """One-row aggregates of ``exprs`` (chunked) turned into (a, b, value) rows."""
-    out = None
-    for i in range(0, len(pairs), CHUNK):
-        chunk = pairs[i:i + CHUNK]
-        row = df.agg(*[e.alias(f"c{j}") for j, e in enumerate(exprs[i:i + CHUNK])])
-        stack = ", ".join(f"'{a}', '{b}', c{j}" for j, (a, b) in enumerate(chunk))
-        part = row.selectExpr(f"stack({len(chunk)}, {stack}) AS (feature_a, feature_b, corr)")
-        out = part if out is None else out.unionByName(part)
-    return out
+def pairwise_moments(df: DataFrame, cols, pairs) -> DataFrame:
+    """Sufficient statistics of pairwise-complete correlation for ``pairs``.
+
+    Values are shifted by the column means (one aggregate row, broadcast) for
+    numerical stability; each task then forms the partial Gram products of
+    its rows with NumPy (mask^T mask, x^T mask, x^2^T mask, x^T x) and emits
+    one row per pair; a ``groupBy`` on the pair adds the partials.  Work is
+    O(rows * columns^2) spread over the tasks; only pairs x partitions rows
+    are shuffled.
+    """
+    cols = list(cols)
+    pos = {c: i for i, c in enumerate(cols)}
+    pi = np.array([pos[a] for a, _ in pairs])
+    pj = np.array([pos[b] for _, b in pairs])
+    names_a = [a for a, _ in pairs]
+    names_b = [b for _, b in pairs]
+    means = df.agg(*[F.avg(F.col(c).cast("double")).alias(c) for c in cols]).first()
+    shift = np.array([0.0 if means[c] is None else float(means[c]) for c in cols])
+    src = df.select(*[F.col(c).cast("double").alias(c) for c in cols])
+
+    def partials(batches):
+        p = len(cols)
+        N = np.zeros((p, p)); SA = np.zeros((p, p)); SAA = np.zeros((p, p)); SAB = np.zeros((p, p))
+        seen = False
+        for pdf in batches:
+            X = pdf[cols].to_numpy(dtype=float) - shift
+            M = (~np.isnan(X)).astype(float)
+            Z = np.where(M > 0, X, 0.0)
+            N += M.T @ M
+            SA += Z.T @ M
+            SAA += (Z * Z).T @ M
+            SAB += Z.T @ Z
+            seen = True
+        if seen:
+            yield pd.DataFrame({"feature_a": names_a, "feature_b": names_b, "n": N[pi, pj],
+                                "sa": SA[pi, pj], "sb": SA[pj, pi], "saa": SAA[pi, pj], "sbb": SAA[pj, pi],
+                                "sab": SAB[pi, pj]})
+
+    schema = "feature_a string, feature_b string, n double, sa double, sb double, saa double, sbb double, sab double"
+    return (src.mapInPandas(partials, schema).groupBy("feature_a", "feature_b")
+               .agg(*[F.sum(c).alias(c) for c in ["n", "sa", "sb", "saa", "sbb", "sab"]]))
+
+
+def corr_from_moments(m: DataFrame) -> DataFrame:
+    """Pearson r from pairwise moments; a (numerically) constant side gives NULL."""
+    n = F.col("n")
+    ma, mb = F.col("sa") / n, F.col("sb") / n
+    cov = F.col("sab") / n - ma * mb
+    va = F.col("saa") / n - ma * ma
+    vb = F.col("sbb") / n - mb * mb
+    tiny_a = va <= F.lit(1e-12) * (F.col("saa") / n + F.lit(1e-300))
+    tiny_b = vb <= F.lit(1e-12) * (F.col("sbb") / n + F.lit(1e-300))
+    r = F.when((n < 1) | tiny_a | tiny_b, F.lit(None).cast("double")).otherwise(cov / F.sqrt(va * vb))
+    return m.select("feature_a", "feature_b", r.alias("corr"))
+
+
+def correlation_pairs(df: DataFrame, pairs) -> DataFrame:
+    cols = sorted({c for pr in pairs for c in pr})
+    return corr_from_moments(pairwise_moments(df, cols, pairs))
 
 
 def correlation_matrix(df: DataFrame, cols) -> DataFrame:
-    """M1: all pairs i < j of the columns, one value each."""
-    pairs = list(combinations(cols, 2))
-    return _stack_pairs(df, pairs, [safe_corr(a, b) for a, b in pairs])
+    """M1: pairwise-complete Pearson correlation of all pairs i < j (one pass)."""
+    return correlation_pairs(df, list(combinations(cols, 2)))
 
 
 def target_correlation(df: DataFrame, cols, target: str = "failed", k: int = 20) -> DataFrame:
     """M2 + O4: correlation of each column with the target, top-k by |r|."""
-    pairs = [(c, target) for c in cols]
-    long = _stack_pairs(df, pairs, [safe_corr(a, b) for a, b in pairs])
+    long = correlation_pairs(df, [(c, target) for c in cols])
     return (long.select(F.col("feature_a").alias("feature"), F.col("corr").alias("corr_with_target"))
                 .filter(F.col("corr_with_target").isNotNull())
                 .orderBy(F.abs("corr_with_target").desc(), F.col("feature")).limit(k))

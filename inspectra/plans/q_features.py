@@ -121,8 +121,7 @@ def target_correlation(spark, d):
     + ") t WHERE corr_with_target < 0 ORDER BY corr_with_target ASC, feature LIMIT 15)", ["corr_with_target"]))
 def top_bottom(spark, d):
     """O5 + U2: top-15 positive and top-15 negative associations, stacked."""
-    long = ST._stack_pairs(B.clean(spark, d), [(c, "failed") for c in _CORR],
-                           [ST.safe_corr(c, "failed") for c in _CORR])
+    long = ST.correlation_pairs(B.clean(spark, d), [(c, "failed") for c in _CORR])
     t = long.select(F.col("feature_a").alias("feature"), F.col("corr").alias("corr_with_target"))
     pos = t.filter(F.col("corr_with_target") > 0).orderBy(F.col("corr_with_target").desc(), "feature").limit(15)
     neg = t.filter(F.col("corr_with_target") < 0).orderBy(F.col("corr_with_target").asc(), "feature").limit(15)
