@@ -67,10 +67,16 @@ def time_split(df: DataFrame, cutoff: str, target: str = "failed",
                                      .otherwise("test"))
 
 
-def train_test(df: DataFrame, cutoff: str, target: str = "failed"):
-    s = time_split(df, cutoff, target)
-    return (s.filter(F.col("split") == "train").drop("split"),
-            s.filter(F.col("split") == "test").drop("split"))
+def train_test(df: DataFrame, cutoff: str, target: str = "failed", date_col: str = "inspection_date"):
+    """P26 as two filters.  On a table partitioned by ``inspection_year`` a
+    redundant year bound is added so each side reads only its partitions."""
+    kept = df.dropna(subset=[target, date_col])
+    cut = F.lit(cutoff).cast("date")
+    train_pred, test_pred = F.col(date_col) < cut, F.col(date_col) >= cut
+    if "inspection_year" in df.columns:
+        train_pred = train_pred & (F.col("inspection_year") <= F.year(cut))
+        test_pred = test_pred & (F.col("inspection_year") >= F.year(cut))
+    return kept.filter(train_pred), kept.filter(test_pred)
 
 
 def leakage_audit(spark: SparkSession) -> DataFrame:

@@ -126,27 +126,41 @@ def box_stats(df: DataFrame, value: str, group: str) -> DataFrame:
         F.count_if(~inside).cast("long").alias("n_outliers"))
 
 
+ROWS_PER_BUCKET = 2_000_000
+MAX_BUCKETS = 4096
+
+
+def _bucket_tree(key, bounds, lo: int, hi: int):
+    """Bucket index of ``key`` among sorted ``bounds[lo:hi]`` as a balanced
+    comparison tree: O(log b) comparisons per row instead of b."""
+    if lo >= hi:
+        return F.lit(lo)
+    mid = (lo + hi) // 2
+    return F.when(key > bounds[mid], _bucket_tree(key, bounds, mid + 1, hi)) \
+            .otherwise(_bucket_tree(key, bounds, lo, mid))
+
+
 def _range_buckets(df: DataFrame, order_cols, buckets: int | None, sample_per_bucket: int = 50):
     """Bucket id (0..b-1) of each row along a total order, from sampled boundary rows.
 
-    At most ``buckets - 1`` boundary rows reach the driver; every bucket holds
-    about n / buckets rows, whatever the skew of the leading column, because
-    the order is total (value, then keys).
+    The bucket count grows with the data (about ``ROWS_PER_BUCKET`` rows per
+    bucket, at least the default parallelism, at most ``MAX_BUCKETS``); at most
+    ``buckets - 1`` boundary rows reach the driver.  Every bucket holds about
+    n / buckets rows whatever the skew of the leading column, because the
+    order is total (value, then keys).
     """
     spark = df.sparkSession
-    nb = buckets or max(2, spark.sparkContext.defaultParallelism)
     n = df.count()
+    nb = buckets or min(MAX_BUCKETS, max(2, spark.sparkContext.defaultParallelism,
+                                         -(-n // ROWS_PER_BUCKET)))
     frac = min(1.0, nb * sample_per_bucket / max(n, 1))
     sample = (df.select(*order_cols).sample(fraction=frac, seed=S.SEED)
                 .orderBy(*order_cols).collect())
     step = max(1, len(sample) // nb)
-    bounds = [sample[i] for i in range(step, len(sample), step)][: nb - 1]
+    picked = [sample[i] for i in range(step, len(sample), step)][: nb - 1]
     key = F.struct(*[F.col(c) for c in order_cols])
-    bucket = F.lit(0)
-    for b in bounds:
-        lit = F.struct(*[F.lit(v).cast(df.schema[c].dataType) for c, v in zip(order_cols, b)])
-        bucket = bucket + F.when(key > lit, 1).otherwise(0)
-    return bucket.cast("int")
+    bounds = [F.struct(*[F.lit(v).cast(df.schema[c].dataType) for c, v in zip(order_cols, b)]) for b in picked]
+    return _bucket_tree(key, bounds, 0, len(bounds)).cast("int")
 
 
 def running_totals(df: DataFrame, order_cols, sums: dict, buckets: int | None = None) -> DataFrame:
