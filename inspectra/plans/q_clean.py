@@ -14,9 +14,10 @@ from .registry import finish, query
 KEY = "camis, inspection_date"
 
 
-def _clean_cols(*cols):
+def _clean_cols(*cols, doc=""):
     def fn(spark, d):
         return finish(B.clean(spark, d).select("camis", "inspection_date", *cols))
+    fn.__doc__ = doc
     return fn
 
 
@@ -24,29 +25,35 @@ def _sql(cols, doubles=()):
     return rounded(f"SELECT {KEY}, {cols} FROM clean", list(doubles))
 
 
-query("clean_table", rounded("SELECT * FROM clean", CLEAN_DOUBLES))(
-    lambda spark, d: finish(B.clean(spark, d)))
+def clean_table(spark, d):
+    """The 52-column clean table (stage 2)."""
+    return finish(B.clean(spark, d))
 
-query("filter_valid_region", _sql("boro"))(_clean_cols("boro"))
+
+query("clean_table", rounded("SELECT * FROM clean", CLEAN_DOUBLES))(clean_table)
+
+query("filter_valid_region", _sql("boro"))(_clean_cols("boro", doc="P2: rows of the valid regions only."))
 
 query("filter_no_result", _sql("score, grade, violation_count", ["score"]))(
-    _clean_cols("score", "grade", "violation_count"))
+    _clean_cols("score", "grade", "violation_count", doc="P3: rows with some inspection result."))
 
 query("presence_flags", _sql("grade_available, has_location, has_yelp, is_first_inspection, has_history"))(
-    _clean_cols("grade_available", "has_location", "has_yelp", "is_first_inspection", "has_history"))
+    _clean_cols("grade_available", "has_location", "has_yelp", "is_first_inspection", "has_history",
+                doc="P8 P9: presence flags and the first-visit flag."))
 
-query("sentinel_nulls", _sql("yelp_price", ["yelp_price"]))(_clean_cols("yelp_price"))
+query("sentinel_nulls", _sql("yelp_price", ["yelp_price"]))(_clean_cols("yelp_price", doc="P10 P11: sentinel values -> NULL (price 0; census sentinel upstream)."))
 
 query("fill_defaults", _sql("prev_score, prev_failed, score_trend, food_complaints_total, "
                             "rodent_complaints, food_safety_complaints", ["prev_score", "score_trend"]))(
-    _clean_cols("prev_score", "prev_failed", "score_trend", *S.COMPLAINT_COLUMNS))
+    _clean_cols("prev_score", "prev_failed", "score_trend", *S.COMPLAINT_COLUMNS,
+                doc="P12: constant fills for history and complaint columns."))
 
-query("score_bucket", _sql("score, score_bucket", ["score"]))(_clean_cols("score", "score_bucket"))
+query("score_bucket", _sql("score, score_bucket", ["score"]))(_clean_cols("score", "score_bucket", doc="P13: score bucket NA / A / B / C."))
 
 query("group_median_fill", _sql(", ".join(S.CENSUS_COLUMNS), S.CENSUS_COLUMNS))(
-    _clean_cols(*S.CENSUS_COLUMNS))
+    _clean_cols(*S.CENSUS_COLUMNS, doc="A4: census NULLs filled with the exact per-region median."))
 
-query("zip_normalize", _sql("zipcode"))(_clean_cols("zipcode"))
+query("zip_normalize", _sql("zipcode"))(_clean_cols("zipcode", doc="F10: zip text normalised (trailing .0 removed, padded to 5)."))
 
 
 @query("ratio_features", rounded(

@@ -19,23 +19,26 @@ CUT = S.STANDIN_CUTOFF
 KEY = "camis, inspection_date"
 
 
-def _fe_cols(*cols):
+def _fe_cols(*cols, doc=""):
     def fn(spark, d):
         return finish(B.features(spark, d).select("camis", "inspection_date", *cols))
+    fn.__doc__ = doc
     return fn
 
 
-query("risk_flags", rounded(f"SELECT {KEY}, poor_history_flag FROM fe", []))(_fe_cols("poor_history_flag"))
+query("risk_flags", rounded(f"SELECT {KEY}, poor_history_flag FROM fe", []))(_fe_cols("poor_history_flag", doc="P15: poor-history flag."))
 
 query("complaint_features", rounded(
     f"SELECT {KEY}, complaint_intensity, complaint_density, high_complaint_flag FROM fe",
     ["complaint_intensity", "complaint_density"]))(
-    _fe_cols("complaint_intensity", "complaint_density", "high_complaint_flag"))
+    _fe_cols("complaint_intensity", "complaint_density", "high_complaint_flag",
+             doc="P16 P17 P18 J8 A8: complaint intensity, density and the global-p75 flag."))
 
 query("cyclic_features", rounded(
     f"SELECT {KEY}, month_sin, month_cos, dow_sin, dow_cos, summer_flag FROM fe",
     ["month_sin", "month_cos", "dow_sin", "dow_cos"]))(
-    _fe_cols("month_sin", "month_cos", "dow_sin", "dow_cos", "summer_flag"))
+    _fe_cols("month_sin", "month_cos", "dow_sin", "dow_cos", "summer_flag",
+             doc="F5 P19: cyclic month / weekday encodings and the summer flag."))
 
 
 @query("time_split", rounded(

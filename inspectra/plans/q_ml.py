@@ -72,7 +72,7 @@ def one_hot(spark, d):
 
 @query("coefficients")
 def coefficients(spark, d):
-    """M23 + F7: logistic coefficients with readable names, |coef| and odds ratios."""
+    """M23 + F7 + F8: logistic coefficients with readable names, |coef| (rounded) and odds ratios."""
     model = _fit(spark, d, "logistic")[0]
     _, _, nums, cats = _frame(spark, d)
     return MD.coefficients(spark, model, nums, cats)

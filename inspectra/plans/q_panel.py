@@ -88,7 +88,7 @@ def lag_features(spark, d):
 @query("weather_daily", rounded("SELECT inspection_date AS date, * EXCLUDE (inspection_date) FROM weather",
                                 WEATHER_D))
 def weather_daily(spark, d):
-    """A2: hourly -> daily weather (means, max, min, sums with all-missing = 0)."""
+    """Hourly -> daily weather (means, max, min, sums with all-missing = 0)."""
     return finish(B.weather(spark, d))
 
 
