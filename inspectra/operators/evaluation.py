@@ -30,11 +30,26 @@ def confusion_counts(scored: DataFrame, threshold: float, label: str = "label",
                       F.count_if(~pred & y).cast("long").alias("fn"))
 
 
+def confusion_counts_at(scored: DataFrame, thresholds, label: str = "label", prob: str = "prob") -> DataFrame:
+    """TP, FP, TN, FN at several thresholds in one pass: one row per threshold."""
+    y = F.col(label) == 1
+    cells = []
+    for t in thresholds:
+        pred = F.col(prob) >= F.lit(float(t))
+        cells.append(F.struct(F.lit(float(t)).alias("threshold"),
+                              F.count_if(pred & y).cast("long").alias("tp"),
+                              F.count_if(pred & ~y).cast("long").alias("fp"),
+                              F.count_if(~pred & ~y).cast("long").alias("tn"),
+                              F.count_if(~pred & y).cast("long").alias("fn")))
+    return scored.agg(F.array(*cells).alias("c")).select(F.inline("c"))
+
+
 def metrics_from_counts(c: DataFrame) -> DataFrame:
     """V1: accuracy, precision, recall, F1 (0 when undefined)."""
     tp, fp, tn, fn = (F.col(x).cast("double") for x in ("tp", "fp", "tn", "fn"))
     prec, rec = _ratio(tp, tp + fp), _ratio(tp, tp + fn)
-    return c.select(_ratio(tp + tn, tp + fp + tn + fn).alias("accuracy"), prec.alias("precision"),
+    keep = [F.col("threshold")] if "threshold" in c.columns else []
+    return c.select(*keep, _ratio(tp + tn, tp + fp + tn + fn).alias("accuracy"), prec.alias("precision"),
                     rec.alias("recall"), _ratio(2 * prec * rec, prec + rec).alias("f1"))
 
 

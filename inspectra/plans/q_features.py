@@ -362,13 +362,14 @@ def metric_table(spark, d):
     """V7 + U3: baseline and model rows stacked, one row per (model, threshold)."""
     sc = scored(spark, d)
     auc = EV.roc_auc(sc)
-    base = EV.classification_metrics(sc.withColumn("prob", F.lit(0.0)), 2.0).select(
-        F.lit("Majority-Class Baseline").alias("model"), F.lit(0.5).alias("threshold"), *METRICS,
-        F.lit(0.5).alias("roc_auc"))
-    rows = [base] + [EV.metric_row("History score", sc, t, auc) for t in (0.5, S.FINAL_THRESHOLD)]
-    out = rows[0]
-    for r in rows[1:]:
-        out = out.unionByName(r)
+    # one pass for every threshold; the majority baseline predicts no positive
+    # at all, which is the count at a threshold above every score (2.0)
+    m = EV.metrics_from_counts(EV.confusion_counts_at(sc, [2.0, 0.5, S.FINAL_THRESHOLD]))
+    m = m.crossJoin(F.broadcast(auc))
+    is_base = F.col("threshold") == 2.0
+    out = m.select(F.when(is_base, F.lit("Majority-Class Baseline")).otherwise(F.lit("History score")).alias("model"),
+                   F.when(is_base, F.lit(0.5)).otherwise(F.col("threshold")).alias("threshold"), *METRICS,
+                   F.when(is_base, F.lit(0.5)).otherwise(F.col("auc")).alias("roc_auc"))
     return finish(out)
 
 

@@ -144,10 +144,15 @@ iq2 AS (
 
 
 def _quartiles(spark, d):
+    """Both quartile columns, each ranked on its own narrow projection (value +
+    keys) so neither ranking is recomputed inside the other, then joined back."""
     c = B.clean(spark, d).dropna(subset=["median_household_income", "food_complaints_total", "failed"])
     keys = ["camis", "inspection_date"]
-    c = SM.rank_quartiles(c, "median_household_income", keys, "income_quartile", S.INCOME_QUARTILES)
-    return SM.rank_quartiles(c, "food_complaints_total", keys, "complaint_quartile", S.COMPLAINT_QUARTILES)
+    inc = SM.rank_quartiles(c.select(*keys, "median_household_income"), "median_household_income", keys,
+                            "income_quartile", S.INCOME_QUARTILES).select(*keys, "income_quartile")
+    cmp = SM.rank_quartiles(c.select(*keys, "food_complaints_total"), "food_complaints_total", keys,
+                            "complaint_quartile", S.COMPLAINT_QUARTILES).select(*keys, "complaint_quartile")
+    return c.join(inc, keys).join(cmp, keys)
 
 
 @query("rank_quartiles", rounded(

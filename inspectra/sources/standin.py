@@ -8,8 +8,9 @@ scans, so its work grows with the tables.
 
 Join strategy notes (scale):
 * ``nation`` (25 rows) and ``region`` (5 rows) are fixed-size dimensions of the
-  schema and are broadcast; every other join is left to the planner (sort-merge
-  by key, or AQE's size-checked runtime broadcast).
+  schema and are broadcast; the fact-to-fact join (orders x lines) is pinned to
+  a sort-merge join; every other join is left to the planner (sort-merge by
+  key, or AQE's size-checked runtime broadcast).
 """
 
 from __future__ import annotations
@@ -50,7 +51,9 @@ def raw_inspections(spark: SparkSession, sf_dir: str) -> DataFrame:
     geo = geography(spark, sf_dir)
     visits = (o.join(c, o.o_custkey == c.c_custkey)
                .join(F.broadcast(geo), c.c_nationkey == geo.n_nationkey))
-    rows = visits.join(li, visits.o_orderkey == li.l_orderkey, "left")
+    # fact-to-fact join: both sides grow with the data, so it is a sort-merge
+    # join on the order key, never a broadcast of the line table
+    rows = visits.join(li.hint("merge"), visits.o_orderkey == li.l_orderkey, "left")
     no_score = (F.col("o_orderpriority") == "4-NOT SPECIFIED") & (F.col("o_orderstatus") == "P")
     return rows.select(
         F.col("o_custkey").cast("string").alias("camis"),
