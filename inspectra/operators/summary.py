@@ -40,9 +40,17 @@ def region_summary(df: DataFrame, key: str = "boro") -> DataFrame:
                                F.percentile("median_household_income", 0.5).alias("median_income"))
 
 
-def global_quantiles(df: DataFrame, col: str, ps=(0.25, 0.5, 0.75)) -> DataFrame:
-    """Exact (linearly interpolated) quantiles in one aggregate row."""
-    return df.agg(*[F.percentile(col, p).alias(f"p{int(round(p * 100))}") for p in ps])
+def quantile(col, p, approx: bool = False, accuracy: int = 10000) -> F.Column:
+    """Exact, linearly interpolated quantile (pandas / ``quantile_cont``), or with
+    ``approx`` the bounded-memory sketch ``percentile_approx`` (a different
+    number: it returns an observed value) for groups with very many distinct
+    values."""
+    return F.percentile_approx(col, p, accuracy) if approx else F.percentile(col, p)
+
+
+def global_quantiles(df: DataFrame, col: str, ps=(0.25, 0.5, 0.75), approx: bool = False) -> DataFrame:
+    """Quantiles in one aggregate row (exact by default)."""
+    return df.agg(*[quantile(col, p, approx).alias(f"p{int(round(p * 100))}") for p in ps])
 
 
 def with_scalars(df: DataFrame, scalars: DataFrame) -> DataFrame:
@@ -106,13 +114,14 @@ def histogram_fixed(df: DataFrame, col: str, lo: float, width: float, n_bins: in
                             "bin_hi": F.lit(lo) + (F.col("bin") + 1) * F.lit(width)}))
 
 
-def box_stats(df: DataFrame, value: str, group: str) -> DataFrame:
+def box_stats(df: DataFrame, value: str, group: str, approx: bool = False) -> DataFrame:
     """Quartiles, whiskers at 1.5 IQR (furthest values inside the fences)
     and the outlier count, per group.  Quartiles are one exact aggregate per
     group joined back (one row per group)."""
     v = F.col(value)
     base = df.filter(v.isNotNull())
-    q = base.groupBy(group).agg(F.percentile(v, F.array(F.lit(0.25), F.lit(0.5), F.lit(0.75))).alias("_q"))
+    qs = F.array(F.lit(0.25), F.lit(0.5), F.lit(0.75))
+    q = base.groupBy(group).agg((F.percentile_approx(v, qs, 10000) if approx else F.percentile(v, qs)).alias("_q"))
     q = q.select(group, F.col("_q")[0].alias("q1"), F.col("_q")[1].alias("median"),
                  F.col("_q")[2].alias("q3"))
     q = q.withColumns({"lo_fence": F.col("q1") - 1.5 * (F.col("q3") - F.col("q1")),
