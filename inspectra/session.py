@@ -20,6 +20,19 @@ DEFAULT_CONF = {
 }
 
 
+# Settings recommended for a large cluster run (100 TB class): partitions sized
+# by bytes, AQE sizing shuffle partitions and splitting skewed ones, a shared
+# checkpoint folder.  Apply with ``get_spark(extra=CLUSTER_CONF | {...})``.
+CLUSTER_CONF = {
+    "spark.sql.files.maxPartitionBytes": "256m",
+    "spark.sql.adaptive.advisoryPartitionSizeInBytes": "256m",
+    "spark.sql.adaptive.coalescePartitions.initialPartitionNum": "20000",
+    "spark.sql.adaptive.skewJoin.skewedPartitionFactor": "4",
+    "spark.sql.autoBroadcastJoinThreshold": "64m",
+    "spark.sql.shuffle.partitions": "8000",
+}
+
+
 def get_spark(master: str | None = None, app: str = "inspectra",
               shuffle_partitions: int | None = None,
               extra: dict | None = None) -> SparkSession:
