@@ -75,12 +75,12 @@ def roc_auc(scored: DataFrame, label: str = "label", prob: str = "prob") -> Data
 def roc_points(scored: DataFrame, label: str = "label", prob: str = "prob") -> DataFrame:
     """(fpr, tpr) at every distinct score, descending, from cumulative counts."""
     h = score_histogram(scored, label, prob).withColumn("_ns", -F.col("s"))
+    tot = h.agg(F.struct(F.sum("neg").alias("N"), F.sum("pos").alias("P"))).scalar()
     h = running_totals(h, ["_ns"], {"_fp": F.col("neg"), "_tp": F.col("pos")})
-    tot = h.agg(F.sum("neg").alias("_N"), F.sum("pos").alias("_P"))
-    return h.crossJoin(F.broadcast(tot)).select(
+    return h.select(
         F.col("s").alias("threshold"),
-        _ratio(F.col("_fp").cast("double"), F.col("_N")).alias("fpr"),
-        _ratio(F.col("_tp").cast("double"), F.col("_P")).alias("tpr"))
+        _ratio(F.col("_fp").cast("double"), tot["N"]).alias("fpr"),
+        _ratio(F.col("_tp").cast("double"), tot["P"]).alias("tpr"))
 
 
 def threshold_sweep(scored: DataFrame, label: str = "label", prob: str = "prob",
@@ -96,12 +96,12 @@ def threshold_sweep(scored: DataFrame, label: str = "label", prob: str = "prob",
     b = scored.groupBy(k.alias("k")).agg(F.count_if(F.col(label) == 1).cast("long").alias("pos"),
                                          F.count(F.lit(1)).alias("cnt"))
     grid = spark.range(lo, hi + 1).select(F.col("id").cast("int").alias("k"))
-    tot = b.agg(F.sum("pos").alias("P"), F.sum("cnt").alias("N"))
+    tot = b.agg(F.struct(F.sum("pos").alias("P"), F.sum("cnt").alias("N"))).scalar()
     g = grid.join(b, "k", "left").fillna(0, subset=["pos", "cnt"])
     rev = Window.orderBy(F.col("k").desc()).rowsBetween(Window.unboundedPreceding, 0)
     g = g.withColumns({"tp": F.sum("pos").over(rev), "pp": F.sum("cnt").over(rev)})
-    g = g.crossJoin(F.broadcast(tot))
-    tp, pp, P, N = (F.col(x).cast("double") for x in ("tp", "pp", "P", "N"))
+    tp, pp = F.col("tp").cast("double"), F.col("pp").cast("double")
+    P, N = tot["P"].cast("double"), tot["N"].cast("double")
     prec, rec = _ratio(tp, pp), _ratio(tp, P)
     tn = (N - pp) - (P - tp)
     return g.select((F.col("k") / 100.0).alias("threshold"), prec.alias("precision"), rec.alias("recall"),
@@ -159,6 +159,6 @@ def metric_row(name: str, scored: DataFrame, threshold: float, auc: DataFrame |
                label: str = "label", prob: str = "prob") -> DataFrame:
     """One metric-table row (U3 input): model, threshold, V1 metrics and AUC."""
     m = classification_metrics(scored, threshold, label=label, prob=prob)
-    a = auc if auc is not None else roc_auc(scored, label, prob)
-    return m.crossJoin(a).select(F.lit(name).alias("model"), F.lit(float(threshold)).alias("threshold"),
-                                 "accuracy", "precision", "recall", "f1", F.col("auc").alias("roc_auc"))
+    a = (auc if auc is not None else roc_auc(scored, label, prob)).select("auc").scalar()
+    return m.select(F.lit(name).alias("model"), F.lit(float(threshold)).alias("threshold"),
+                    "accuracy", "precision", "recall", "f1", a.alias("roc_auc"))

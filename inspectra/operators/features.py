@@ -20,22 +20,21 @@ def complaint_features(df: DataFrame, quantile_source: DataFrame | None = None)
     """P16-P18 + J8: intensity, density per 10,000 people and the flag for a
     day above the global 75th percentile of complaints.
 
-    The percentile is one exact aggregate row, cross-joined as a broadcast
+    The percentile is one exact aggregate value, used as a scalar subquery
     (one row by construction).  ``quantile_source`` lets the caller fit it on
     the training rows only (H4); by default all rows, as published.
     """
     src = quantile_source if quantile_source is not None else df
-    q = src.agg(F.percentile("food_complaints_total", 0.75).alias("_q75"))
+    q75 = src.agg(F.percentile("food_complaints_total", 0.75)).scalar()
     total = F.coalesce(F.col("food_complaints_total").cast("double"), F.lit(0.0))
-    out = df.crossJoin(F.broadcast(q)).withColumns({
+    return df.withColumns({
         "complaint_intensity": total
             + F.coalesce(F.col("rodent_complaints").cast("double"), F.lit(0.0))
             + F.coalesce(F.col("food_safety_complaints").cast("double"), F.lit(0.0)),
         "complaint_density": E.safe_div(total, F.nullif(F.col("total_population"), F.lit(0.0)))
             * F.lit(10000.0),
-        "high_complaint_flag": E.flag(F.col("food_complaints_total") > F.col("_q75")),
+        "high_complaint_flag": E.flag(F.col("food_complaints_total") > q75),
     })
-    return out.drop("_q75")
 
 
 def calendar_encodings(df: DataFrame) -> DataFrame:

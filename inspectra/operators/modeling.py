@@ -198,8 +198,8 @@ def pca_variance(spark: SparkSession, model: PipelineModel) -> DataFrame:
     from pyspark.sql import Window
     w = Window.orderBy("k").rowsBetween(Window.unboundedPreceding, 0)
     df = df.withColumn("cumulative", F.sum("explained_variance_ratio").over(w))
-    n80 = df.filter(F.col("cumulative") >= 0.8).agg(F.min("k").alias("n_components_80"))
-    return df.crossJoin(n80)
+    n80 = df.filter(F.col("cumulative") >= 0.8).agg(F.min("k")).scalar()
+    return df.withColumn("n_components_80", n80)
 
 
 def pca_loadings(spark: SparkSession, model: PipelineModel, cols) -> DataFrame:

@@ -49,17 +49,19 @@ def map_points(df: DataFrame, colour_by: str = "failed") -> DataFrame:
 def whatif_features(scenarios: DataFrame, reference: DataFrame) -> DataFrame:
     """Scenario inputs -> the 34 model inputs.
 
-    Dataset means (complaints, wind, cloud) are one aggregate row; region means
-    (population, income, white share) are one row per region — both broadcast.
+    Dataset means (complaints, wind, cloud) are one aggregate (a scalar
+    subquery); region means (population, income, white share) are one row per
+    region, broadcast.
     Constants follow the published form (weekday encodings fixed, flags 0).
     """
-    g = reference.agg(F.avg("food_complaints_total").alias("_m_food"), F.avg("rodent_complaints").alias("_m_rod"),
-                      F.avg("food_safety_complaints").alias("_m_safe"), F.avg("wind_speed_mean").alias("_m_wind"),
-                      F.avg("cloud_cover_mean").alias("_m_cloud"))
+    g = reference.agg(F.struct(F.avg("food_complaints_total").alias("food"), F.avg("rodent_complaints").alias("rod"),
+                               F.avg("food_safety_complaints").alias("safe"), F.avg("wind_speed_mean").alias("wind"),
+                               F.avg("cloud_cover_mean").alias("cloud"))).scalar()
     r = reference.groupBy("boro").agg(F.avg("total_population").alias("_b_pop"),
                                       F.avg("median_household_income").alias("_b_inc"),
                                       F.avg("white_pct").alias("_b_white"))
-    j = scenarios.crossJoin(F.broadcast(g)).join(F.broadcast(r), "boro", "left")
+    j = scenarios.withColumns({"_m_food": g["food"], "_m_rod": g["rod"], "_m_safe": g["safe"],
+                               "_m_wind": g["wind"], "_m_cloud": g["cloud"]}).join(F.broadcast(r), "boro", "left")
     ms, mc = E.cyclic("inspection_month", 12)
     return j.select(
         *[c for c in ("camis", "inspection_date") if c in scenarios.columns],

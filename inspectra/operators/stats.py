@@ -114,21 +114,20 @@ def medians(df: DataFrame, cols) -> DataFrame:
 
 def median_impute(df: DataFrame, cols, fit: DataFrame | None = None) -> DataFrame:
     """M3: fill NULLs with medians fitted on ``fit`` (default: ``df``)."""
-    m = medians(fit if fit is not None else df, cols).select(*[F.col(c).alias(f"_m_{c}") for c in cols])
-    j = df.crossJoin(F.broadcast(m))
-    return j.select(*[F.coalesce(F.col(c), F.col(f"_m_{c}")).alias(c) if c in cols else F.col(c)
-                      for c in df.columns])
+    m = medians(fit if fit is not None else df, cols).select(F.struct(*cols)).scalar()
+    return df.select(*[F.coalesce(F.col(c), m[c]).alias(c) if c in cols else F.col(c) for c in df.columns])
 
 
 def zscore(df: DataFrame, cols, fit: DataFrame | None = None) -> DataFrame:
     """M4: (x - mean) / population std; a zero-variance column becomes 0."""
     src = fit if fit is not None else df
-    m = src.agg(*[F.avg(c).alias(f"_mu_{c}") for c in cols], *[F.stddev_pop(c).alias(f"_sd_{c}") for c in cols])
-    j = df.crossJoin(F.broadcast(m))
+    m = src.agg(F.struct(*[F.avg(c).alias(f"mu_{c}") for c in cols],
+                         *[F.stddev_pop(c).alias(f"sd_{c}") for c in cols])).scalar()
+
     def z(c):
-        sd = F.col(f"_sd_{c}")
-        return F.when(sd == 0, F.lit(0.0)).otherwise((F.col(c) - F.col(f"_mu_{c}")) / sd)
-    return j.select(*[z(c).alias(c) if c in cols else F.col(c) for c in df.columns])
+        sd = m[f"sd_{c}"]
+        return F.when(sd == 0, F.lit(0.0)).otherwise((F.col(c) - m[f"mu_{c}"]) / sd)
+    return df.select(*[z(c).alias(c) if c in cols else F.col(c) for c in df.columns])
 
 
 def mode_values(df: DataFrame, cols) -> DataFrame:

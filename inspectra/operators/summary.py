@@ -54,8 +54,9 @@ def global_quantiles(df: DataFrame, col: str, ps=(0.25, 0.5, 0.75), approx: bool
 
 
 def with_scalars(df: DataFrame, scalars: DataFrame) -> DataFrame:
-    """Attach a one-row aggregate to every row (broadcast by construction)."""
-    return df.crossJoin(F.broadcast(scalars))
+    """Attach the columns of a one-row aggregate to every row, each as an
+    uncorrelated scalar subquery (evaluated once, then a literal)."""
+    return df.withColumns({c: scalars.select(c).scalar() for c in scalars.columns})
 
 
 def pivot_mean(df: DataFrame, row: str, col: str, values, target: str = "failed") -> DataFrame:
@@ -83,24 +84,23 @@ def histogram_equal_width(df: DataFrame, col: str, bins: int, group: str | None
                           density: bool = False) -> DataFrame:
     """Equal-width histogram over [min, max]; the maximum falls in the last bin.
 
-    min / max are one aggregate row (broadcast); the bin index is a column
-    expression, so the counting is one partial-aggregating pass.
+    min / max are one aggregate (a scalar subquery, evaluated once); the bin
+    index is a column expression, so the counting is one partial-aggregating pass.
     """
     x = F.col(col)
     base = df.filter(x.isNotNull())
-    mm = base.agg(F.min(x).alias("_lo"), F.max(x).alias("_hi"))
-    w = (F.col("_hi") - F.col("_lo")) / F.lit(float(bins))
+    mm = base.agg(F.struct(F.min(x).alias("lo"), F.max(x).alias("hi"))).scalar()
+    lo = mm["lo"]
+    w = (mm["hi"] - lo) / F.lit(float(bins))
     idx = F.when(w == 0, F.lit(0)).otherwise(
-        F.least(F.floor((x - F.col("_lo")) / w), F.lit(bins - 1))).cast("int")
+        F.least(F.floor((x - lo) / w), F.lit(bins - 1))).cast("int")
     keys = ([group] if group else [])
-    h = (base.crossJoin(F.broadcast(mm)).withColumn("bin", idx)
-             .groupBy(*keys, "bin", "_lo", "_hi").agg(F.count(F.lit(1)).alias("n")))
-    h = h.withColumns({"bin_lo": F.col("_lo") + F.col("bin") * w,
-                       "bin_hi": F.col("_lo") + (F.col("bin") + 1) * w})
+    h = base.withColumn("bin", idx).groupBy(*keys, "bin").agg(F.count(F.lit(1)).alias("n"))
+    h = h.withColumns({"bin_lo": lo + F.col("bin") * w, "bin_hi": lo + (F.col("bin") + 1) * w})
     if density:
         tot = Window.partitionBy(*keys) if keys else Window.partitionBy()
         h = h.withColumn("density", F.col("n") / (F.sum("n").over(tot) * w))
-    return h.drop("_lo", "_hi")
+    return h
 
 
 def histogram_fixed(df: DataFrame, col: str, lo: float, width: float, n_bins: int) -> DataFrame:
@@ -200,11 +200,11 @@ def rank_quartiles(df: DataFrame, value: str, keys, out: str, labels) -> DataFra
     key order, quartile = max(1, ceil(4 (r-1) / (n-1)))."""
     base = df.filter(F.col(value).isNotNull())
     r = global_rank(base, [value, *keys], "_rank")
-    r = r.crossJoin(F.broadcast(base.agg(F.count(F.lit(1)).alias("_n"))))
-    q = F.when(F.col("_n") <= 1, F.lit(1)).otherwise(
-        F.greatest(F.lit(1), F.ceil(F.lit(4.0) * (F.col("_rank") - 1) / (F.col("_n") - 1)))).cast("int")
+    n = base.agg(F.count(F.lit(1))).scalar()
+    q = F.when(n <= 1, F.lit(1)).otherwise(
+        F.greatest(F.lit(1), F.ceil(F.lit(4.0) * (F.col("_rank") - 1) / (n - 1)))).cast("int")
     lab = F.element_at(F.array(*[F.lit(x) for x in labels]), q)
-    return r.withColumn(out, lab).drop("_rank", "_n")
+    return r.withColumn(out, lab).drop("_rank")
 
 
 def seeded_sample(df: DataFrame, keys, n: int, seed: int = S.SEED) -> DataFrame:

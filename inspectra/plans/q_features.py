@@ -365,7 +365,7 @@ def metric_table(spark, d):
     # one pass for every threshold; the majority baseline predicts no positive
     # at all, which is the count at a threshold above every score (2.0)
     m = EV.metrics_from_counts(EV.confusion_counts_at(sc, [2.0, 0.5, S.FINAL_THRESHOLD]))
-    m = m.crossJoin(F.broadcast(auc))
+    m = m.withColumn("auc", auc.select("auc").scalar())
     is_base = F.col("threshold") == 2.0
     out = m.select(F.when(is_base, F.lit("Majority-Class Baseline")).otherwise(F.lit("History score")).alias("model"),
                    F.when(is_base, F.lit(0.5)).otherwise(F.col("threshold")).alias("threshold"), *METRICS,
