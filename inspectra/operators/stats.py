@@ -224,20 +224,29 @@ def silhouette_euclidean(points: DataFrame, features, cluster: str = "cluster",
     def per_point(batches):
         Xr, lr = bx.value
         ks = np.unique(lr)
+        onehot = (lr[:, None] == ks[None, :]).astype(float)          # sample x clusters
+        cnts = onehot.sum(0)
+        sq = (Xr * Xr).sum(1)
         for pdf in batches:
-            P = pdf[feats].to_numpy(dtype=float)
-            own = pdf[cluster].to_numpy()
-            D = np.sqrt(((P[:, None, :] - Xr[None, :, :]) ** 2).sum(-1))
-            sums = np.stack([D[:, lr == k].sum(1) for k in ks], 1)
-            cnts = np.array([(lr == k).sum() for k in ks], dtype=float)
-            idx = np.searchsorted(ks, own)
-            same_n = cnts[idx] - 1
-            a = np.where(same_n > 0, sums[np.arange(len(P)), idx] / np.maximum(same_n, 1), 0.0)
-            means = sums / cnts
-            means[np.arange(len(P)), idx] = np.inf
-            b = means.min(1)
-            s = np.where(same_n > 0, (b - a) / np.maximum(a, b), 0.0)
-            yield pd.DataFrame({"s": s})
+            P_all = pdf[feats].to_numpy(dtype=float)
+            own_all = pdf[cluster].to_numpy()
+            out = []
+            for i in range(0, len(P_all), 256):                      # bounded memory: 256 x sample
+                P, own = P_all[i:i + 256], own_all[i:i + 256]
+                norms = (P * P).sum(1)[:, None] + sq[None, :]
+                d2 = norms - 2.0 * (P @ Xr.T)
+                d2[d2 <= 1e-12 * norms] = 0.0                         # self / duplicates: exactly 0
+                D = np.sqrt(d2)
+                sums = D @ onehot                                      # distance sums per cluster
+                idx = np.searchsorted(ks, own)
+                rows = np.arange(len(P))
+                same_n = cnts[idx] - 1
+                a = np.where(same_n > 0, sums[rows, idx] / np.maximum(same_n, 1), 0.0)
+                means = sums / cnts
+                means[rows, idx] = np.inf
+                b = means.min(1)
+                out.append(np.where(same_n > 0, (b - a) / np.maximum(a, b), 0.0))
+            yield pd.DataFrame({"s": np.concatenate(out) if out else np.array([], dtype=float)})
 
     s = points.select(cluster, *feats).mapInPandas(per_point, "s double")
     return s.agg(F.count(F.lit(1)).alias("n"), F.avg("s").alias("silhouette"))
