@@ -154,12 +154,15 @@ def _range_buckets(df: DataFrame, order_cols, buckets: int | None, sample_per_bu
 
     The bucket count grows with the data (about ``ROWS_PER_BUCKET`` rows per
     bucket, at least the default parallelism, at most ``MAX_BUCKETS``); at most
-    ``buckets - 1`` boundary rows reach the driver.  Every bucket holds about
+    ``buckets - 1`` boundary rows reach the driver.  An input counted at no
+    more than ``ROWS_PER_BUCKET`` rows is one bucket (no sampling job).  Every bucket holds about
     n / buckets rows whatever the skew of the leading column, because the
     order is total (value, then keys).
     """
     spark = df.sparkSession
     n = df.count()
+    if buckets is None and n <= ROWS_PER_BUCKET:
+        return F.lit(0)           # proven small: one bucket, no sampling job
     nb = buckets or min(MAX_BUCKETS, max(2, spark.sparkContext.defaultParallelism,
                                          -(-n // ROWS_PER_BUCKET)))
     frac = min(1.0, nb * sample_per_bucket / max(n, 1))
