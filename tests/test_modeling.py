@@ -25,3 +25,18 @@ def test_logistic_pipeline_and_roundtrip(spark, tmpdir_path):
     a = sorted(r.prob for r in scored.select("prob").collect())
     b = sorted(r.prob for r in again.select("prob").collect())
     assert np.allclose(a, b)
+
+
+def test_logistic_deterministic_across_partitionings(spark):
+    rng = np.random.default_rng(3)
+    n = 300
+    x = rng.normal(0, 1, n)
+    pdf = pd.DataFrame({"camis": [f"k{i}" for i in range(n)], "inspection_date": ["2020-01-01"] * n,
+                        "label": (x + rng.normal(0, 1, n) > 0).astype(int), "x": x,
+                        "cat": np.where(rng.random(n) < 0.3, "a", "b"), "weight": 1.0})
+    base = spark.createDataFrame(pdf)
+    coefs = []
+    for parts in (2, 5):
+        model, _, _ = MD.fit_family(base.repartition(parts), ["x"], ["cat"], "logistic", "small")
+        coefs.append(model.stages[-1].coefficients.toArray())
+    assert np.allclose(coefs[0], coefs[1], atol=1e-6)
