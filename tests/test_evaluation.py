@@ -51,3 +51,18 @@ def test_best_threshold_first_on_ties(spark):
     sw = spark.createDataFrame([(0.1, 0.5, 0.5, 0.4, 0.5), (0.2, 0.5, 0.5, 0.4, 0.5), (0.3, 0.1, 0.1, 0.1, 0.1)],
                                "threshold double, precision double, recall double, f1 double, accuracy double")
     assert EV.best_threshold(sw).first().threshold == 0.1
+
+
+def test_metric_identities_of_published_row(spark):
+    # published test period: n = 23,591, positives 4,355; logistic at 0.50 has
+    # recall .5378, precision .2533 and accuracy .6221 -> TP 2,342, predicted positive 9,245
+    n, pos, tp, pp = 23591, 4355, 2342, 9245
+    fp, fn = pp - tp, pos - tp
+    tn = n - tp - fp - fn
+    c = spark.createDataFrame([(tp, fp, tn, fn)], "tp long, fp long, tn long, fn long")
+    r = EV.metrics_from_counts(c).first()
+    assert round(r.recall, 4) == 0.5378 and round(r.precision, 4) == 0.2533
+    assert round(r.f1, 4) == 0.3444 and round(r.accuracy, 4) == 0.6221
+    # majority baseline on the same rows: accuracy .8154, everything else 0
+    b = EV.metrics_from_counts(spark.createDataFrame([(0, 0, n - pos, pos)], "tp long, fp long, tn long, fn long")).first()
+    assert round(b.accuracy, 4) == 0.8154 and (b.precision, b.recall, b.f1) == (0.0, 0.0, 0.0)
