@@ -96,10 +96,10 @@ def feature_importance(spark, d):
 
 
 def _test_metrics(spark, d, family, rare_min=None, threshold=0.5):
-    model = _fit(spark, d, family, rare_min=rare_min)[0]
+    model, _, best = _fit(spark, d, family, rare_min=rare_min)
     _, test, _, _ = _frame(spark, d, rare_min)
     sc = MD.score(model, test).select("label", "prob")
-    return EV.metric_row(family, sc, threshold)
+    return EV.metric_row(family, sc, threshold).withColumn("best_params", F.lit(best))
 
 
 @query("model_comparison")
