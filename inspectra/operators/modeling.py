@@ -243,7 +243,7 @@ def kmeans_best_of(X: DataFrame, k: int, seeds) -> "object":
     return best[1]
 
 
-def kmeans_sweep(X: DataFrame, ks=range(2, 9), seeds=(1, 2, 3), silhouette_n: int = 2000):
+def kmeans_sweep(X: DataFrame, ks=range(2, 9), seeds=(1, 2, 3), silhouette_n: int = 10000):
     """M9 + M10: inertia and Euclidean silhouette (on a seeded sample) per k."""
     from .summary import seeded_sample
     spark = X.sparkSession

@@ -175,6 +175,21 @@ def _cluster_X(spark, d):
     return _fits[key]
 
 
+@query("histogram_pc1")
+def histogram_pc1(spark, d):
+    """50-bin density histogram of PC1 per outcome."""
+    return SM.histogram_equal_width(MD.pca_scores(_pca(spark, d), B.clean(spark, d), S.PCA_FEATURES),
+                                    "pc1", 50, group="failed", density=True)
+
+
+@query("box_pc1")
+def box_pc1(spark, d):
+    """Box statistics of PC1 by region."""
+    scores = MD.pca_scores(_pca(spark, d), B.clean(spark, d), S.PCA_FEATURES)
+    regions = B.clean(spark, d).select("camis", "inspection_date", "boro")
+    return SM.box_stats(scores.join(regions, ["camis", "inspection_date"]), "pc1", "boro")
+
+
 @query("kmeans_sweep")
 def kmeans_sweep(spark, d):
     """M9 + M10: inertia and Euclidean silhouette for k = 2..8 (3 seeded restarts)."""
@@ -183,14 +198,14 @@ def kmeans_sweep(spark, d):
 
 @query("silhouette_euclidean")
 def silhouette_euclidean(spark, d):
-    """Euclidean silhouette of the fixed profile assignment on a 2,000-row seeded sample."""
+    """Euclidean silhouette of the fixed profile assignment on a 10,000-row seeded sample."""
     X = _cluster_X(spark, d)
     c = B.clean(spark, d).select("camis", "inspection_date",
                                  (F.when(F.col("has_yelp") == 1, 2).when(F.col("has_history") == 1, 0)
                                   .otherwise(1)).alias("cluster"))
     from pyspark.ml.functions import vector_to_array
     j = X.join(c, ["camis", "inspection_date"])
-    s = SM.seeded_sample(j, ["camis", "inspection_date"], 2000)
+    s = SM.seeded_sample(j, ["camis", "inspection_date"], 10000)
     dim = len(S.CLUSTER_FEATURES)
     flat = s.select("cluster", *[vector_to_array("features")[i].alias(f"x{i}") for i in range(dim)])
     return ST.silhouette_euclidean(flat, [f"x{i}" for i in range(dim)])

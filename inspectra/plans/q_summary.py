@@ -325,17 +325,26 @@ def histogram_density(spark, d):
     return finish(SM.histogram_equal_width(B.clean(spark, d), "score", 50, group="failed", density=True))
 
 
-@query("box_stats", rounded(
-    "SELECT c.failed, q[1] AS q1, q[2] AS median, q[3] AS q3, CAST(count(*) AS BIGINT) AS n, "
-    "min(score) FILTER (WHERE score >= q[1] - 1.5 * (q[3] - q[1]) AND score <= q[3] + 1.5 * (q[3] - q[1])) AS whisker_lo, "
-    "max(score) FILTER (WHERE score >= q[1] - 1.5 * (q[3] - q[1]) AND score <= q[3] + 1.5 * (q[3] - q[1])) AS whisker_hi, "
-    "CAST(count(*) FILTER (WHERE NOT (score >= q[1] - 1.5 * (q[3] - q[1]) AND score <= q[3] + 1.5 * (q[3] - q[1]))) "
-    "AS BIGINT) AS n_outliers FROM clean c JOIN bq ON c.failed = bq.failed WHERE score IS NOT NULL "
-    "GROUP BY c.failed, q", ["q1", "median", "q3", "whisker_lo", "whisker_hi"],
-    "bq AS (SELECT failed, quantile_cont(score, [0.25, 0.5, 0.75]) AS q FROM clean WHERE score IS NOT NULL GROUP BY 1)"))
+_BOX_VARS = ["score", "score_trend", "yelp_rating"]
+
+
+def _box_sql(v):
+    inside = f"{v} >= q[1] - 1.5 * (q[3] - q[1]) AND {v} <= q[3] + 1.5 * (q[3] - q[1])"
+    return (f"SELECT '{v}' AS variable, c.failed, q[1] AS q1, q[2] AS median, q[3] AS q3, "
+            f"CAST(count(*) AS BIGINT) AS n, min({v}) FILTER (WHERE {inside}) AS whisker_lo, "
+            f"max({v}) FILTER (WHERE {inside}) AS whisker_hi, "
+            f"CAST(count(*) FILTER (WHERE NOT ({inside})) AS BIGINT) AS n_outliers "
+            f"FROM clean c JOIN (SELECT failed, quantile_cont({v}, [0.25, 0.5, 0.75]) AS q FROM clean "
+            f"WHERE {v} IS NOT NULL GROUP BY 1) bq ON c.failed = bq.failed WHERE {v} IS NOT NULL GROUP BY c.failed, q")
+
+
+@query("box_stats", rounded(" UNION ALL ".join(_box_sql(v) for v in _BOX_VARS),
+                            ["q1", "median", "q3", "whisker_lo", "whisker_hi"]))
 def box_stats(spark, d):
-    """Score box statistics by outcome."""
-    return finish(SM.box_stats(B.clean(spark, d), "score", "failed"))
+    """Box statistics of score, score trend and rating by outcome."""
+    c = B.clean(spark, d)
+    parts = [SM.box_stats(c, v, "failed").select(F.lit(v).alias("variable"), "*") for v in _BOX_VARS]
+    return finish(C.union_all(parts))
 
 
 @query("complete_categories", rounded(
@@ -362,9 +371,9 @@ def display_labels(spark, d):
 
 @query("seeded_sample", rounded(
     "SELECT camis, inspection_date, prev_score, score, failed FROM clean "
-    "ORDER BY md5(camis || '|' || CAST(inspection_date AS VARCHAR) || '|42'), camis, inspection_date LIMIT 2000",
+    "ORDER BY md5(camis || '|' || CAST(inspection_date AS VARCHAR) || '|42'), camis, inspection_date LIMIT 10000",
     ["prev_score", "score"]))
 def seeded_sample(spark, d):
-    """Exact-n repeatable sample for scatter data (the size is the feature)."""
+    """Exact-n repeatable sample (10,000 rows, capped at the table size) for scatter data."""
     c = B.clean(spark, d).select("camis", "inspection_date", "prev_score", "score", "failed")
-    return finish(SM.seeded_sample(c, ["camis", "inspection_date"], 2000))
+    return finish(SM.seeded_sample(c, ["camis", "inspection_date"], 10000))

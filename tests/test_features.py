@@ -36,3 +36,7 @@ def test_time_split_boundary(spark):
     train, test = FE.train_test(df, "2024-01-01")
     assert [r.camis for r in train.collect()] == ["a"] and [r.camis for r in test.collect()] == ["b"]
     assert not math.isnan(0.0)
+
+
+def test_no_excluded_column_is_a_model_input(spark):  # P29 check
+    assert FE.leakage_violations(spark).count() == 0
