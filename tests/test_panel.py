@@ -66,3 +66,16 @@ def test_clean_removes_invalid_and_no_result(spark):
     c = B.clean(spark, SF_SMALL)
     assert c.filter(~F.col("boro").isin("AFRICA", "AMERICA", "ASIA", "EUROPE", "MIDDLE EAST")).count() == 0
     assert len(c.columns) == 52
+
+
+def test_collapse_with_hot_key(spark):
+    # one (entity, day) holds a third of the rows; partial aggregation combines it map-side
+    hot = [("H", "n", "BRONX", None, "x", D1, "a", f"c{i}", "Critical" if i % 3 == 0 else "Not Critical",
+            None if i < 5 else 20.0, None, i) for i in range(300)]
+    cold = [(f"k{i}", "n", "BRONX", None, "x", D2, "a", "c", "Not Critical", 10.0, "A", 1000 + i) for i in range(600)]
+    df = spark.createDataFrame(hot + cold, RAW).repartition(8)
+    out = P.collapse_inspections(df)
+    h = out.filter(F.col("camis") == "H").first()
+    assert (h.violation_count, h.critical_count, h.score) == (300, 100, 20.0)
+    assert out.count() == 601
+    assert "partial_" in out._jdf.queryExecution().executedPlan().toString()
