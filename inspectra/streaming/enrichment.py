@@ -5,7 +5,9 @@ them (S5), keeps only entities not yet in the cache (J6, left anti join on the
 string key), recomputes the label on the merged rows (U1 + P7) and appends
 them to the cache table.  The checkpoint location (under the shared
 ``spark.checkpoint.dir``) makes the job restartable after a failure: files
-already committed are not read again, and a batch is appended once.
+already committed are not read again.  A batch that is replayed after its
+write committed finds its keys in the cache already (the anti join), so the
+append is idempotent and no entity is written twice.
 """
 
 from __future__ import annotations
