@@ -228,8 +228,10 @@ def with_base(select_sql: str) -> str:
 
 
 def rounded(select_sql: str, doubles, extra_ctes: str = "") -> str:
-    """Wrap a query so the named double columns are rounded to 6 places."""
-    rep = ", ".join(f"round({c}, 6) AS {c}" for c in doubles)
+    """Wrap a query so the named double columns are rounded to 6 places
+    (the same IEEE formula as ``registry.round6``)."""
+    rep = ", ".join(f"CAST(floor({c} * 1000000.0::DOUBLE + 0.5::DOUBLE) / 1000000.0::DOUBLE AS DOUBLE) AS {c}"
+                    for c in doubles)
     body = f"SELECT * REPLACE ({rep}) FROM ({select_sql}) q_" if rep else select_sql
     ctes = BASE_CTES.strip() + ((",\n" + extra_ctes.strip()) if extra_ctes else "")
     return f"WITH {ctes}\n{body}"

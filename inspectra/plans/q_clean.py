@@ -79,8 +79,8 @@ def primary_tag(spark, d):
 
 
 @query("topk_group_other", rounded(
-    "SELECT cuisine_grouped, CAST(count(*) AS BIGINT) AS n, round(avg(failed), 6) AS failure_rate "
-    "FROM clean GROUP BY 1", []))
+    "SELECT cuisine_grouped, CAST(count(*) AS BIGINT) AS n, avg(failed) AS failure_rate "
+    "FROM clean GROUP BY 1", ["failure_rate"]))
 def topk_group_other(spark, d):
     """F16 + J7: top-20 categories kept, the rest pooled as 'Other'."""
     return finish(B.clean(spark, d).groupBy("cuisine_grouped").agg(

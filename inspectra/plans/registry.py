@@ -22,8 +22,15 @@ def query(name: str, sql: str | None = None):
     return deco
 
 
+def round6(c) -> F.Column:
+    """6-place rounding written as plain IEEE arithmetic, floor(x * 1e6 + 0.5) / 1e6,
+    so Spark and the SQL twin round a tie the same way (the built-in ``round``
+    functions of the two engines disagree on exact halves)."""
+    return (F.floor(c * F.lit(1e6) + F.lit(0.5)) / F.lit(1e6)).cast("double")
+
+
 def finish(df: DataFrame) -> DataFrame:
     """Presentation step shared with the SQL twins: doubles rounded to 6 places."""
-    return df.select(*[F.round(F.col(f.name), 6).alias(f.name)
+    return df.select(*[round6(F.col(f.name)).alias(f.name)
                        if isinstance(f.dataType, (T.DoubleType, T.FloatType)) else F.col(f.name)
                        for f in df.schema.fields])
