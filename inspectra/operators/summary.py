@@ -154,11 +154,12 @@ def _range_buckets(df: DataFrame, order_cols, buckets: int | None, sample_per_bu
     """Bucket id (0..b-1) of each row along a total order, from sampled boundary rows.
 
     The bucket count grows with the data (about ``ROWS_PER_BUCKET`` rows per
-    bucket, at least the default parallelism, at most ``MAX_BUCKETS``); at most
-    ``buckets - 1`` boundary rows reach the driver.  An input counted at no
-    more than ``ROWS_PER_BUCKET`` rows is one bucket (no sampling job).  Every bucket holds about
-    n / buckets rows whatever the skew of the leading column, because the
-    order is total (value, then keys).
+    bucket, at least the default parallelism, at most ``MAX_BUCKETS``; past
+    MAX_BUCKETS * ROWS_PER_BUCKET rows the buckets grow and their sorts
+    spill); at most ``buckets - 1`` boundary rows reach the driver.  An input
+    counted at no more than ``ROWS_PER_BUCKET`` rows is one bucket (no
+    sampling job).  Every bucket holds about n / buckets rows whatever the
+    skew of the leading column, because the order is total (value, then keys).
     """
     spark = df.sparkSession
     n = df.count()
