@@ -136,6 +136,36 @@ def box_stats(df: DataFrame, value: str, group: str, approx: bool = False) -> Da
         F.count_if(~inside).cast("long").alias("n_outliers"))
 
 
+def box_stats_many(df: DataFrame, values, group: str, approx: bool = False) -> DataFrame:
+    """A21 for several value columns in one pass each way: one quartile aggregate
+    per group for all columns, one join back, one aggregate for whiskers and
+    outliers; the result is unpivoted to one row per (variable, group)."""
+    qs = F.array(F.lit(0.25), F.lit(0.5), F.lit(0.75))
+
+    def pct(x):
+        return F.percentile_approx(x, qs, 10000) if approx else F.percentile(x, qs)
+    q = df.groupBy(group).agg(*[pct(F.col(v)).alias(f"_q_{v}") for v in values])
+    j = df.join(q, group)
+    aggs = []
+    for v in values:
+        x, qa = F.col(v), F.col(f"_q_{v}")
+        lo = qa[0] - 1.5 * (qa[2] - qa[0])
+        hi = qa[2] + 1.5 * (qa[2] - qa[0])
+        inside = (x >= lo) & (x <= hi)
+        aggs += [F.count(x).alias(f"_n_{v}"), F.min(F.when(inside, x)).alias(f"_lo_{v}"),
+                 F.max(F.when(inside, x)).alias(f"_hi_{v}"),
+                 F.count_if(x.isNotNull() & ~inside).cast("long").alias(f"_out_{v}")]
+    a = j.groupBy(group, *[f"_q_{v}" for v in values]).agg(*aggs)
+    rows = F.array(*[F.struct(F.lit(v).alias("variable"), F.col(f"_q_{v}")[0].alias("q1"),
+                              F.col(f"_q_{v}")[1].alias("median"), F.col(f"_q_{v}")[2].alias("q3"),
+                              F.col(f"_n_{v}").alias("n"), F.col(f"_lo_{v}").alias("whisker_lo"),
+                              F.col(f"_hi_{v}").alias("whisker_hi"), F.col(f"_out_{v}").alias("n_outliers"))
+                     for v in values])
+    long = a.select(group, F.inline(rows))
+    return long.filter(F.col("n") > 0).select("variable", group, "q1", "median", "q3", "n", "whisker_lo",
+                                              "whisker_hi", "n_outliers")
+
+
 ROWS_PER_BUCKET = 2_000_000
 MAX_BUCKETS = 4096
 

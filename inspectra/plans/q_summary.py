@@ -342,9 +342,7 @@ def _box_sql(v):
                             ["q1", "median", "q3", "whisker_lo", "whisker_hi"]))
 def box_stats(spark, d):
     """Box statistics of score, score trend and rating by outcome."""
-    c = B.clean(spark, d)
-    parts = [SM.box_stats(c, v, "failed").select(F.lit(v).alias("variable"), "*") for v in _BOX_VARS]
-    return finish(C.union_all(parts))
+    return finish(SM.box_stats_many(B.clean(spark, d), _BOX_VARS, "failed"))
 
 
 @query("complete_categories", rounded(

@@ -60,3 +60,12 @@ def test_crosstab_rows_sum_to_one(spark):
     rows = SM.crosstab_share(df, "c", "b", ["A", "B"]).collect()
     for r in rows:
         assert abs(r["A"] + r["B"] - 1.0) < 1e-12
+
+
+def test_box_stats_many_equals_single(spark):
+    df = spark.createDataFrame([("g", float(x), float(x) * 2 if x != 3 else None) for x in [1, 2, 3, 4, 100]],
+                               "k string, v double, w double")
+    many = {(r.variable, r.k): tuple(r)[2:] for r in SM.box_stats_many(df, ["v", "w"], "k").collect()}
+    for col in ["v", "w"]:
+        one = SM.box_stats(df, col, "k").first()
+        assert many[(col, "g")] == (one.q1, one.median, one.q3, one.n, one.whisker_lo, one.whisker_hi, one.n_outliers)
