@@ -180,7 +180,8 @@ def _bucket_tree(key, bounds, lo: int, hi: int):
             .otherwise(_bucket_tree(key, bounds, lo, mid))
 
 
-def _range_buckets(df: DataFrame, order_cols, buckets: int | None, sample_per_bucket: int = 50):
+def _range_buckets(df: DataFrame, order_cols, buckets: int | None, sample_per_bucket: int = 50,
+                   n: int | None = None):
     """Bucket id (0..b-1) of each row along a total order, from sampled boundary rows.
 
     The bucket count grows with the data (about ``ROWS_PER_BUCKET`` rows per
@@ -192,7 +193,7 @@ def _range_buckets(df: DataFrame, order_cols, buckets: int | None, sample_per_bu
     skew of the leading column, because the order is total (value, then keys).
     """
     spark = df.sparkSession
-    n = df.count()
+    n = df.count() if n is None else n
     if buckets is None and n <= ROWS_PER_BUCKET:
         return F.lit(0)           # proven small: one bucket, no sampling job
     nb = buckets or min(MAX_BUCKETS, max(2, spark.sparkContext.defaultParallelism,
@@ -207,13 +208,14 @@ def _range_buckets(df: DataFrame, order_cols, buckets: int | None, sample_per_bu
     return _bucket_tree(key, bounds, 0, len(bounds)).cast("int")
 
 
-def running_totals(df: DataFrame, order_cols, sums: dict, buckets: int | None = None) -> DataFrame:
+def running_totals(df: DataFrame, order_cols, sums: dict, buckets: int | None = None,
+                   n: int | None = None) -> DataFrame:
     """Inclusive running sums along a global total order, without a
     single-partition window: per-bucket totals give each bucket's offset (one
     small table, broadcast) and a window partitioned by bucket adds the running
     part.  ``sums`` maps output column -> input column expression."""
     order_cols = list(order_cols)
-    tagged = df.withColumn("_bucket", _range_buckets(df, order_cols, buckets))
+    tagged = df.withColumn("_bucket", _range_buckets(df, order_cols, buckets, n=n))
     tot = tagged.groupBy("_bucket").agg(*[F.sum(e).alias(f"_t_{o}") for o, e in sums.items()])
     before = Window.orderBy("_bucket").rowsBetween(Window.unboundedPreceding, -1)
     offsets = tot.select("_bucket", *[F.coalesce(F.sum(f"_t_{o}").over(before), F.lit(0)).alias(f"_o_{o}")
@@ -224,18 +226,21 @@ def running_totals(df: DataFrame, order_cols, sums: dict, buckets: int | None =
     return j.drop("_bucket", *[f"_o_{o}" for o in sums])
 
 
-def global_rank(df: DataFrame, order_cols, out: str = "_rank", buckets: int | None = None) -> DataFrame:
+def global_rank(df: DataFrame, order_cols, out: str = "_rank", buckets: int | None = None,
+                n: int | None = None) -> DataFrame:
     """Dense 1..n row number along a global total order (``order_cols``: value
-    then keys), computed as a bucketed running count."""
-    return running_totals(df, order_cols, {out: F.lit(1).cast("long")}, buckets)
+    then keys), computed as a bucketed running count.  ``n`` is the row count
+    when the caller already has it."""
+    return running_totals(df, order_cols, {out: F.lit(1).cast("long")}, buckets, n=n)
 
 
-def rank_quartiles(df: DataFrame, value: str, keys, out: str, labels) -> DataFrame:
+def rank_quartiles(df: DataFrame, value: str, keys, out: str, labels, n: int | None = None) -> DataFrame:
     """``qcut(rank(method='first'), 4)`` — rank with ties broken by the
     key order, quartile = max(1, ceil(4 (r-1) / (n-1)))."""
     base = df.filter(F.col(value).isNotNull())
-    r = global_rank(base, [value, *keys], "_rank")
-    n = base.agg(F.count(F.lit(1))).scalar()
+    n = base.count() if n is None else n           # one count, shared with the bucketing
+    r = global_rank(base, [value, *keys], "_rank", n=n)
+    n = F.lit(n)
     q = F.when(n <= 1, F.lit(1)).otherwise(
         F.greatest(F.lit(1), F.ceil(F.lit(4.0) * (F.col("_rank") - 1) / (n - 1)))).cast("int")
     lab = F.element_at(F.array(*[F.lit(x) for x in labels]), q)

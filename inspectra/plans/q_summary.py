@@ -148,10 +148,11 @@ def _quartiles(spark, d):
     keys) so neither ranking is recomputed inside the other, then joined back."""
     c = B.clean(spark, d).dropna(subset=["median_household_income", "food_complaints_total", "failed"])
     keys = ["camis", "inspection_date"]
+    n = c.count()                                   # both ranks share the row count
     inc = SM.rank_quartiles(c.select(*keys, "median_household_income"), "median_household_income", keys,
-                            "income_quartile", S.INCOME_QUARTILES).select(*keys, "income_quartile")
+                            "income_quartile", S.INCOME_QUARTILES, n=n).select(*keys, "income_quartile")
     cmp = SM.rank_quartiles(c.select(*keys, "food_complaints_total"), "food_complaints_total", keys,
-                            "complaint_quartile", S.COMPLAINT_QUARTILES).select(*keys, "complaint_quartile")
+                            "complaint_quartile", S.COMPLAINT_QUARTILES, n=n).select(*keys, "complaint_quartile")
     return c.join(inc, keys).join(cmp, keys)
 
 
