@@ -248,10 +248,28 @@ def rank_quartiles(df: DataFrame, value: str, keys, out: str, labels, n: int | N
 
 
 def seeded_sample(df: DataFrame, keys, n: int, seed: int = S.SEED) -> DataFrame:
-    """Exact-n repeatable sample: order by md5(key || seed), key; ``limit``
-    plans as TakeOrderedAndProject (n rows per partition move, never all)."""
+    """Exact-n repeatable sample: the n rows with the smallest md5(key | seed),
+    ties by key (n capped at the table size).
+
+    A plain ``orderBy.limit`` would merge every partition's local top-n in one
+    task (partitions x n rows).  Instead the rows whose hash prefix falls below
+    a threshold chosen for about 2n candidates are kept first (a filter, no
+    shuffle); the hash prefix is monotone in the md5 text, so the candidates
+    are an initial segment of the order and, when at least n pass, contain the
+    exact top n.  Otherwise the threshold is widened until they do.
+    """
     h = F.md5(F.concat_ws("|", *[F.col(k).cast("string") for k in keys], F.lit(str(seed))))
-    return df.withColumn("_h", h).orderBy("_h", *keys).limit(n).drop("_h")
+    t = df.withColumn("_h", h)
+    total = t.count()
+    frac = min(1.0, 2.0 * n / max(total, 1))
+    prefix = F.conv(F.substring("_h", 1, 13), 16, 10).cast("long").cast("double") / float(16 ** 13)
+    while frac < 1.0:
+        cand = t.filter(prefix < F.lit(frac))
+        if cand.count() >= n:
+            t = cand
+            break
+        frac = min(1.0, frac * 2)
+    return t.orderBy("_h", *keys).limit(n).drop("_h")
 
 
 def display_labels(df: DataFrame) -> DataFrame:

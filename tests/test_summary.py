@@ -69,3 +69,12 @@ def test_box_stats_many_equals_single(spark):
     for col in ["v", "w"]:
         one = SM.box_stats(df, col, "k").first()
         assert many[(col, "g")] == (one.q1, one.median, one.q3, one.n, one.whisker_lo, one.whisker_hi, one.n_outliers)
+
+
+def test_seeded_sample_equals_full_order(spark):
+    df = spark.createDataFrame([(f"k{i}", i) for i in range(2000)], "camis string, v int")
+    got = [r.camis for r in SM.seeded_sample(df, ["camis"], 50).collect()]
+    full = (df.withColumn("_h", F.md5(F.concat_ws("|", "camis", F.lit("42"))))
+              .orderBy("_h", "camis").limit(50))
+    assert got == [r.camis for r in full.collect()]
+    assert SM.seeded_sample(df, ["camis"], 5000).count() == 2000
