@@ -123,6 +123,19 @@ def final_metrics(spark, d):
         "reason", F.lit("highest test AUC; threshold tuned for F1"))
 
 
+@query("final_metrics_train_tuned")
+def final_metrics_train_tuned(spark, d):
+    """V8 + O7 (H6 option): threshold tuned on the latest 20% of the training period,
+    then applied unchanged to the test rows."""
+    model = _fit(spark, d, "logistic")[0]
+    train, test, _, _ = _frame(spark, d)
+    cut = train.agg(F.percentile(F.unix_date("inspection_date"), 0.8)).scalar()
+    tail = MD.score(model, train.filter(F.unix_date("inspection_date") >= cut)).select("label", "prob")
+    t = EV.best_threshold(EV.threshold_sweep(tail)).first()["threshold"]
+    sc = MD.score(model, test).select("label", "prob")
+    return EV.metric_row("logistic", sc, t).withColumn("tuned_on", F.lit("train tail (latest 20%)"))
+
+
 @query("score_batch")
 def score_batch(spark, d):
     """Score any number of rows: probability and prediction at the tuned threshold."""
