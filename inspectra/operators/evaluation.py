@@ -1,8 +1,8 @@
 """Model evaluation on a (label, probability) table: V1-V10, W8, O7.
 
 Every metric is one aggregate pass over the scored rows; curves aggregate by
-distinct score (or by threshold bucket) first, so the only windows run over
-those small aggregated tables.
+distinct score (or by threshold bucket) first and take running sums over that
+aggregated table with the bucketed ``summary.running_totals``.
 """
 
 from __future__ import annotations

@@ -1,9 +1,10 @@
 """Summaries behind the published figures and dashboard: A5-A23, O1-O8, W5, P21, P22, J11.
 
 Every summary is a partial-aggregating ``groupBy`` (a hot group is combined
-map-side) or a one-row aggregate joined back as a broadcast; the only
-global orderings (W5, O8) are range-partitioned, never a single-partition
-window.
+map-side), a one-row aggregate attached as a scalar subquery, or a small
+per-group table joined back.  The global orderings (W5 rank, running sums)
+are bucketed along sampled boundaries, and the exact-n sample (O8) filters
+by hash prefix before its top-n, so no data table is sorted in one task.
 """
 
 from __future__ import annotations
