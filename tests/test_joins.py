@@ -1,0 +1,13 @@
+"""Size-checked broadcast: hint within the bound, plain frame beyond it."""
+
+from inspectra.operators.joins import checked_broadcast
+
+
+def _hinted(df):
+    return "broadcast" in df._jdf.queryExecution().analyzed().toString().lower()
+
+
+def test_checked_broadcast_within_and_beyond_bound(spark):
+    dim = spark.range(10).withColumnRenamed("id", "k")
+    assert _hinted(checked_broadcast(dim, max_rows=10))
+    assert not _hinted(checked_broadcast(spark.range(11).withColumnRenamed("id", "k"), max_rows=10))
