@@ -30,3 +30,10 @@ def test_time_split_prunes_partitions(spark):
 def test_scan_is_pruned(spark):
     plan = _plan(B.clean(spark, SF_SMALL).groupBy("boro").agg(F.avg("failed")))
     assert "ReadSchema: struct<boro:string,failed:int>" in plan
+
+
+def test_stage_tables_live_under_the_configured_checkpoint_dir(spark):
+    configured = spark.conf.get("spark.checkpoint.dir")
+    panel = B.panel(spark, SF_SMALL)
+    files = panel.inputFiles()
+    assert files and all(configured.rstrip("/") in f for f in files)
