@@ -9,7 +9,8 @@ scans, so its work grows with the tables.
 Join strategy notes (scale):
 * ``nation`` (25 rows) and ``region`` (5 rows) are fixed-size dimensions of the
   schema and are broadcast; the fact-to-fact join (orders x lines) is pinned to
-  a sort-merge join; every other join is left to the planner (sort-merge by
+  sort-merge and written as inner join + unmatched rows, so AQE can split a
+  skewed key on either side; every other join is left to the planner (sort-merge by
   key, or AQE's size-checked runtime broadcast).
 """
 
@@ -49,11 +50,21 @@ def raw_inspections(spark: SparkSession, sf_dir: str) -> DataFrame:
     c = read(spark, sf_dir, "customer", "c_custkey", "c_name", "c_nationkey")
     li = read(spark, sf_dir, "lineitem", "l_orderkey", "l_partkey", "l_returnflag")
     geo = geography(spark, sf_dir)
-    visits = (o.join(c, o.o_custkey == c.c_custkey)
+    visits = (o.filter(F.col("o_orderkey").isNotNull())        # same child for both branches below,
+               .join(c, o.o_custkey == c.c_custkey)            # so its shuffle is reused
                .join(F.broadcast(geo), c.c_nationkey == geo.n_nationkey))
-    # fact-to-fact join: both sides grow with the data, so it is a sort-merge
-    # join on the order key, never a broadcast of the line table
-    rows = visits.join(li.hint("merge"), visits.o_orderkey == li.l_orderkey, "left")
+    # Fact-to-fact left join, written as inner join + unmatched orders.  Both
+    # sides grow with the data, so it is a sort-merge join on the order key
+    # (never a broadcast of the line table).  As an inner join AQE can split a
+    # skewed key on either side (a left outer join only on its left side); the
+    # orders without lines come from an anti join against the distinct line
+    # keys, which are partially aggregated before their shuffle.
+    matched = visits.join(li.hint("merge"), visits.o_orderkey == li.l_orderkey, "inner")
+    line_keys = li.select(F.col("l_orderkey").alias("_lk")).distinct()
+    unmatched = (visits.join(line_keys.hint("merge"), visits.o_orderkey == F.col("_lk"), "left_anti")
+                       .select(*visits.columns, *[F.lit(None).cast(li.schema[c].dataType).alias(c)
+                                                   for c in li.columns]))
+    rows = matched.unionByName(unmatched)
     no_score = (F.col("o_orderpriority") == "4-NOT SPECIFIED") & (F.col("o_orderstatus") == "P")
     return rows.select(
         F.col("o_custkey").cast("string").alias("camis"),
