@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import packing, token_counts
+from . import packing, simhash, token_counts
 from .common import Scratch, read_table
 
 QUERIES: dict = {}
@@ -30,3 +30,9 @@ def op2_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op3_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every piece of every document with its bucket, batch and slot."""
     return packing.pack(read_table(spark, sf_dir, "documents", "doc_id", "text"), Scratch(spark, "packing"))
+
+
+@query("op10_simhash_near_dedup")
+def op10_simhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Fingerprint and component of every document."""
+    return simhash.near_duplicates(read_table(spark, sf_dir, "documents", "doc_id", "text"), Scratch(spark, "simhash"))
