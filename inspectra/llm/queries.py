@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import packing, simhash, token_counts
+from . import packing, quality, simhash, token_counts
 from .common import Scratch, read_table
 
 QUERIES: dict = {}
@@ -23,7 +23,8 @@ def query(name: str, sql: str | None = None):
 @query("op2_token_counts")
 def op2_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Suffix sums of the exact length histogram of all documents."""
-    return token_counts.suffix_sums(token_counts.length_histogram(read_table(spark, sf_dir, "documents", "text")))
+    hist = token_counts.length_histogram(read_table(spark, sf_dir, "documents", "text"))
+    return token_counts.suffix_sums(Scratch(spark, "token-counts").table(hist, "histogram"))
 
 
 @query("op3_packing")
@@ -36,3 +37,10 @@ def op3_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op10_simhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Fingerprint and component of every document."""
     return simhash.near_duplicates(read_table(spark, sf_dir, "documents", "doc_id", "text"), Scratch(spark, "simhash"))
+
+
+@query("op4_quality_rules")
+def op4_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Base statistics and verdict of every document."""
+    return quality.quality_verdicts(read_table(spark, sf_dir, "documents", "doc_id", "text"),
+                                    read_table(spark, sf_dir, "labels"), Scratch(spark, "quality"))
