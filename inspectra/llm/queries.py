@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import packing, quality, simhash, token_counts
+from . import langid, packing, quality, simhash, token_counts
 from .common import Scratch, read_table
 
 QUERIES: dict = {}
@@ -44,3 +44,11 @@ def op4_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Base statistics and verdict of every document."""
     return quality.quality_verdicts(read_table(spark, sf_dir, "documents", "doc_id", "text"),
                                     read_table(spark, sf_dir, "labels"), Scratch(spark, "quality"))
+
+
+@query("op5_language_id")
+def op5_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Predicted language of every document, learnt from those that are not held out."""
+    docs = read_table(spark, sf_dir, "documents", "doc_id", "text", "lang")
+    model = langid.fit(langid.learnable(docs))
+    return langid.predict(docs.select("doc_id", langid.held_out().alias("held_out"), "text"), model).drop("text")
