@@ -3,8 +3,9 @@
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from . import langid, packing, quality, simhash, token_counts
+from . import langid, packing, quality, simhash, token_counts, warc
 from .common import Scratch, read_table
 
 QUERIES: dict = {}
@@ -52,3 +53,31 @@ def op5_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = read_table(spark, sf_dir, "documents", "doc_id", "text", "lang")
     model = langid.fit(langid.learnable(docs))
     return langid.predict(docs.select("doc_id", langid.held_out().alias("held_out"), "text"), model).drop("text")
+
+
+_OP7_SQL = """
+WITH p AS (SELECT page_id, coalesce(html, '') AS html, CAST(strlen(coalesce(html, '')) AS BIGINT) AS payload_bytes FROM pages),
+d AS (SELECT *, sha256(html) AS payload_digest, min(page_id) OVER (PARTITION BY html) AS first_page FROM p)
+SELECT page_id, payload_bytes, payload_digest,
+       CASE WHEN payload_bytes >= 100 AND page_id <> first_page THEN 'revisit' ELSE 'response' END AS record_type,
+       CASE WHEN payload_bytes >= 100 AND page_id <> first_page THEN first_page END AS refers_to
+FROM d"""
+
+
+@query("op7_warc_transactions", _OP7_SQL)
+def op7_warc_transactions(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All pages written as archives, read back and assembled into captures."""
+    scratch = Scratch(spark, "warc")
+    path = f"{scratch.root}/archives"
+    warc.write_archives(read_table(spark, sf_dir, "pages", "page_id", "url", "html"), path)
+    records = scratch.table(warc.read_records(spark, path), "records")  # parsed once; ids and blocks are read apart
+    captures = warc.assemble(records).select(
+        "capture_id", "record_type", "refers_to", warc.field(F.col("metadata.block"), "page-id").cast("long").alias("page_id"),
+        warc.field(F.col("metadata.block"), "payload-bytes").cast("long").alias("stated_bytes"),
+        F.element_at("headers", "warc-payload-digest").alias("stated"), warc.http_body(F.col("block")).alias("body"))
+    full = F.col("record_type") == "response"
+    ids = captures.where(full).groupBy(F.col("capture_id").alias("id")).agg(F.min("page_id").alias("first_page"))
+    return (captures.join(ids, F.col("refers_to") == F.col("id"), "left").select(
+        "page_id", F.when(full, F.octet_length("body")).otherwise(F.col("stated_bytes")).cast("long").alias("payload_bytes"),
+        F.when(full, F.sha2("body", 256)).otherwise(F.substring_index("stated", ":", -1)).alias("payload_digest"),
+        "record_type", F.col("first_page").alias("refers_to")))
