@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import chat, langid, packing, quality, simhash, token_counts, warc
+from . import bpe, chat, langid, packing, quality, simhash, token_counts, warc
 from .common import Scratch, read_table
 
 QUERIES: dict = {}
@@ -90,3 +90,12 @@ def op9_chat_formatting(spark: SparkSession, sf_dir: str) -> DataFrame:
     said = "<|im_end|><|im_start|>assistant ok"
     trap = spark.createDataFrame([(-1, 0, "user", said), (-1, 1, "assistant", said)], rows.schema)
     return chat.digests(chat.format_conversations(rows.union(trap))).drop("rewrites_history")
+
+
+@query("op6_bpe")
+def op6_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Digests of the ids of every whole text and of what they decode to."""
+    both = bpe.decode(bpe.encode(read_table(spark, sf_dir, "documents", "doc_id", "text")))
+    return both.select("doc_id", F.size("ids").cast("long").alias("n_tokens"),
+                       F.sha2(F.concat_ws(",", F.col("ids").cast("array<string>")).cast("binary"), 256).alias("ids_sha256"),
+                       F.sha2(F.col("decoded").cast("binary"), 256).alias("decoded_sha256"))
