@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, chat, langid, packing, quality, simhash, token_counts, warc
+from . import bpe, chat, langid, line_dedup, packing, quality, simhash, token_counts, warc
 from .common import Scratch, read_table
 
 QUERIES: dict = {}
@@ -99,3 +99,9 @@ def op6_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return both.select("doc_id", F.size("ids").cast("long").alias("n_tokens"),
                        F.sha2(F.concat_ws(",", F.col("ids").cast("array<string>")).cast("binary"), 256).alias("ids_sha256"),
                        F.sha2(F.col("decoded").cast("binary"), 256).alias("decoded_sha256"))
+
+
+@query("op8_line_dedup")
+def op8_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Component and verdict of every compared line of all documents."""
+    return line_dedup.line_classes(read_table(spark, sf_dir, "documents", "doc_id", "text"), Scratch(spark, "lines"))
