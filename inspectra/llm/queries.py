@@ -69,18 +69,20 @@ def op7_warc_transactions(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All pages written as archives, read back and assembled into captures."""
     scratch = Scratch(spark, "warc")
     path = f"{scratch.root}/archives"
-    warc.write_archives(read_table(spark, sf_dir, "pages", "page_id", "url", "html"), path)
+    warc.write_archives(read_table(spark, sf_dir, "pages", "page_id", "url", "html"), path, scratch)
     records = scratch.table(warc.read_records(spark, path), "records")  # parsed once; ids and blocks are read apart
+    body, full = warc.http_body(F.col("block")), F.col("record_type") == "response"
+    stated = F.substring_index(F.element_at("headers", "warc-payload-digest"), ":", -1)
     captures = warc.assemble(records).select(
-        "capture_id", "record_type", "refers_to", warc.field(F.col("metadata.block"), "page-id").cast("long").alias("page_id"),
-        warc.field(F.col("metadata.block"), "payload-bytes").cast("long").alias("stated_bytes"),
-        F.element_at("headers", "warc-payload-digest").alias("stated"), warc.http_body(F.col("block")).alias("body"))
-    full = F.col("record_type") == "response"
-    ids = captures.where(full).groupBy(F.col("capture_id").alias("id")).agg(F.min("page_id").alias("first_page"))
-    return (captures.join(ids, F.col("refers_to") == F.col("id"), "left").select(
-        "page_id", F.when(full, F.octet_length("body")).otherwise(F.col("stated_bytes")).cast("long").alias("payload_bytes"),
-        F.when(full, F.sha2("body", 256)).otherwise(F.substring_index("stated", ":", -1)).alias("payload_digest"),
-        "record_type", F.col("first_page").alias("refers_to")))
+        "capture_id", "record_type", F.col("refers_to").alias("first"),
+        warc.field(F.col("metadata.block"), "page-id").cast("long").alias("page_id"),
+        F.when(full, F.octet_length(body)).otherwise(warc.field(F.col("metadata.block"), "payload-bytes")).cast("long").alias("payload_bytes"),
+        F.when(full, F.sha2(body, 256)).otherwise(stated).alias("payload_digest"))
+    captures = scratch.table(captures, "captures")
+    ids = captures.where(full).groupBy(F.col("capture_id").alias("id")).agg(F.min("page_id").alias("refers_to"))
+    revisits = captures.where(~full).join(ids, F.col("first") == F.col("id"), "left")
+    columns = ["page_id", "payload_bytes", "payload_digest", "record_type", "refers_to"]
+    return captures.where(full).withColumn("refers_to", F.lit(None).cast("long")).select(*columns).union(revisits.select(*columns))
 
 
 @query("op9_chat_formatting")

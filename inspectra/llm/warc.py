@@ -20,6 +20,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from .common import Scratch
+
 #: Payloads below this many bytes are always written in full.
 MIN_REVISIT_BYTES = 100
 #: Bytes of payload an archive file is to hold on average: a file is read by one task.
@@ -29,7 +31,7 @@ RECORD = ("record_id string, record_type string, concurrent_to array<string>, re
           "target_uri string, content_type string, block binary, headers map<string,string>")
 
 
-def with_roles(pages: DataFrame) -> DataFrame:
+def with_roles(pages: DataFrame, scratch: Scratch) -> DataFrame:
     """Adds payload, payload_digest, payload_bytes, record_type and refers_to (a page_id).
 
     Of rows with equal payloads of at least ``MIN_REVISIT_BYTES`` the one with
@@ -41,10 +43,11 @@ def with_roles(pages: DataFrame) -> DataFrame:
                    F.col("url").isNull().alias("b"), F.col("url").alias("url"))
     p = (pages.select("page_id", "url", F.coalesce("html", F.lit("")).cast("binary").alias("payload"))
          .withColumns({"payload_digest": F.sha2("payload", 256), "payload_bytes": F.octet_length("payload").cast("long"), "own": own}))
-    # one row per payload that is to be revisited; counted before the shuffle, so a hot payload is a few rows
-    first = (p.where(F.col("payload_bytes") >= MIN_REVISIT_BYTES).groupBy("payload_digest")
+    # one row per payload that is to be revisited; counted before the shuffle, so a hot payload is a few rows, and
+    # written, so that the planner knows its size: if small, the pages are not shuffled to join it
+    first = scratch.table(p.where(F.col("payload_bytes") >= MIN_REVISIT_BYTES).groupBy("payload_digest")
              .agg(F.min("own").alias("first"), F.count("*").alias("n")).where("n > 1")
-             .select(F.col("payload_digest").alias("d"), "first"))
+             .select(F.col("payload_digest").alias("d"), "first"), "first")
     return (p.join(first, F.col("payload_digest") == F.col("d"), "left")
             .withColumn("revisit", F.col("first").isNotNull() & (F.col("own") != F.col("first")))
             .select("page_id", "url", "payload", "payload_digest", "payload_bytes", "own", "first",
@@ -71,14 +74,14 @@ def _record(kind, rid, headers: list, block):
     return F.concat(F.concat_ws(_CRLF, *lines), F.lit(_CRLF * 2), block, F.lit("\r\n\r"))
 
 
-def write_archives(pages: DataFrame, path: str, captured: str = "2020-01-01T00:00:00Z", compression: str = "gzip") -> None:
+def write_archives(pages: DataFrame, path: str, scratch: Scratch, captured: str = "2020-01-01T00:00:00Z", compression: str = "gzip") -> None:
     """Write the captures of ``pages`` (page_id, url, html) as WARC files under ``path``.
 
     The response block is an HTTP message whose body is the payload; a revisit
     has the head only and names the response in WARC-Refers-To.  Null urls are
     empty; other columns are ignored.
     """
-    p = with_roles(pages)
+    p = with_roles(pages, scratch)
     key = lambda at: (F.col(f"{at}.page_id"), F.col(f"{at}.url"))
     uri, digest = F.concat(F.lit("WARC-Target-URI: "), _one_line(F.col("url"))), F.concat(F.lit("WARC-Payload-Digest: sha256:"), F.col("payload_digest"))
     date = F.lit(f"WARC-Date: {captured}")

@@ -53,9 +53,9 @@ def test_empty_table_null_ids_clashing_columns(spark, tmp_path):
 
 
 @pytest.mark.parametrize("compression", ["none", "gzip"])
-def test_archives_are_warc(spark, tmp_path, compression):
+def test_archives_are_warc(spark, scratch, tmp_path, compression):
     df = spark.createDataFrame(pages(), "page_id long, url string, html string").coalesce(1)
-    warc.write_archives(df, str(tmp_path / "w"), compression=compression)
+    warc.write_archives(df, str(tmp_path / "w"), scratch, compression=compression)
     data = b"".join((gzip.decompress if compression == "gzip" else bytes)(p.read_bytes()) for p in (tmp_path / "w").glob("part-*"))
     kinds = [dict(h)["warc-type"] for h, _ in warc.parse_records(data)]
     assert len(kinds) == 3 * len(pages()) and kinds.count("metadata") == kinds.count("request") == len(pages())
