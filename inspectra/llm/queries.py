@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, chat, langid, line_dedup, packing, quality, simhash, token_counts, warc
+from . import bpe, chat, langid, line_dedup, nn_descent, packing, quality, simhash, token_counts, warc
 from .common import Scratch, read_table
 
 QUERIES: dict = {}
@@ -107,3 +107,10 @@ def op6_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op8_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Component and verdict of every compared line of all documents."""
     return line_dedup.line_classes(read_table(spark, sf_dir, "documents", "doc_id", "text"), Scratch(spark, "lines"))
+
+
+@query("op1_embedding_near_dedup")
+def op1_embedding_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Links and component of every embedding."""
+    vectors = read_table(spark, sf_dir, "embeddings", "vec_id", "embedding")
+    return nn_descent.near_duplicates(vectors, Scratch(spark, "nn-descent"))[0]
