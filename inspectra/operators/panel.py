@@ -1,15 +1,17 @@
 """Panel construction: A1-A3, J1-J5, J12, W1-W4, W7, calendar.
 
 Physical plan at scale:
-* A1 is one hash aggregate with map-side partial aggregation on
-  (camis, inspection_date): a hot key is combined before the shuffle.
+* A1 aggregates on (camis, inspection_date) with map-side partial aggregation:
+  a hot key is combined before the shuffle.  The first-value columns are text,
+  so this is a sort aggregate; the panel therefore collapses order rows that
+  already carry their line counts (``preaggregated``), not line rows.
 * J1/J2 and the W1-W4 window all key on ``camis``; the entity-level joins come
   first so one hash partitioning on ``camis`` serves joins and window.  After
   A1 an entity has at most one row per day, so a window partition is bounded by
   the date domain, never by the fact volume.
 * J3-J5 join daily / per-area dimensions whose size is bounded by the date and
-  geography domains; they are broadcast after a row-count check
-  (``joins.checked_broadcast``), otherwise shuffled.
+  geography domains; whether they are broadcast is left to the planner and AQE,
+  which go by their measured bytes.
 """
 
 from __future__ import annotations
@@ -19,7 +21,6 @@ from pyspark.sql import functions as F
 
 from .. import schemas as S
 from ..functions import expr as E
-from .joins import checked_broadcast
 
 FIRST_COLUMNS = [("dba", "dba"), ("boro", "boro"), ("zipcode", "zipcode"),
                  ("cuisine_description", "cuisine"), ("score", "score"),
@@ -31,18 +32,24 @@ def first_non_null(c: str, order_col: str):
     return F.min_by(F.col(c), F.when(F.col(c).isNotNull(), F.col(order_col)))
 
 
-def collapse_inspections(raw: DataFrame, order_col: str = "ord", carry=()) -> DataFrame:
+def collapse_inspections(raw: DataFrame, order_col: str = "ord", carry=(), preaggregated: bool = False) -> DataFrame:
     """A1 + P6: violation rows -> one row per (camis, inspection_date).
 
+    ``preaggregated``: the rows already carry violation_count and critical_count
+    (lines counted per order), which are added up.
+
     NULL keys are dropped first (pandas ``groupby`` drops them).  ``carry``
     names extra columns taken with the same first-non-NULL rule.
     """
     firsts = list(FIRST_COLUMNS) + [(c, c) for c in carry]
+    if preaggregated:
+        counts = [F.sum(c).alias(c) for c in ("violation_count", "critical_count")]
+    else:
+        counts = [F.count("violation_code").alias("violation_count"),
+                  F.count_if(F.col("critical_flag") == "Critical").cast("long").alias("critical_count")]
     agg = (raw.dropna(subset=["camis", "inspection_date"])
               .groupBy("camis", "inspection_date")
-              .agg(*[first_non_null(src, order_col).alias(dst) for src, dst in firsts],
-                   F.count("violation_code").alias("violation_count"),
-                   F.count_if(F.col("critical_flag") == "Critical").cast("long").alias("critical_count")))
+              .agg(*[first_non_null(src, order_col).alias(dst) for src, dst in firsts], *counts))
     return agg.withColumn("failed", E.failed_label())
 
 
@@ -114,8 +121,7 @@ def dedupe_first(df: DataFrame, keys, order_col: str) -> DataFrame:
 
 
 def build_panel(insp: DataFrame, master: DataFrame, ratings: DataFrame, weather: DataFrame,
-                complaints: DataFrame, census: DataFrame, census_key: str = "boro",
-                memo: str | None = None) -> DataFrame:
+                complaints: DataFrame, census: DataFrame, census_key: str = "boro") -> DataFrame:
     """Visits + coordinates + ratings + weather + complaints + census,
     calendar and lag features, complaint zero fill (P12)."""
     p = insp
@@ -123,16 +129,10 @@ def build_panel(insp: DataFrame, master: DataFrame, ratings: DataFrame, weather:
     p = p.join(ratings.select("camis", "yelp_rating", "yelp_reviews", "yelp_price",
                               "yelp_category", "high_rating"), "camis", "left")               # J2
     p = lag_features(p)                                                                        # W1-W4
-    w = checked_broadcast(weather.withColumnRenamed("date", "inspection_date"),
-                          memo_key=memo and (memo, "weather"))
-    p = p.join(w, "inspection_date", "left")                                                   # J3
-    c = checked_broadcast(complaints.withColumnRenamed("date", "inspection_date")
-                                    .withColumnRenamed("borough", "boro"),
-                          memo_key=memo and (memo, "complaints"))
+    p = p.join(weather.withColumnRenamed("date", "inspection_date"), "inspection_date", "left")  # J3
+    c = complaints.withColumnRenamed("date", "inspection_date").withColumnRenamed("borough", "boro")
     p = p.join(c, ["inspection_date", "boro"], "left")                                         # J4
-    ce = checked_broadcast(census.select(census_key, *S.CENSUS_COLUMNS),
-                           memo_key=memo and (memo, "census", census_key))
-    p = p.join(ce, census_key, "left")                                                         # J5
+    p = p.join(census.select(census_key, *S.CENSUS_COLUMNS), census_key, "left")               # J5
     p = calendar_features(p)
     p = p.fillna(0, subset=S.COMPLAINT_COLUMNS)                                                # P12
     return p.select(*S.PANEL_COLUMNS)

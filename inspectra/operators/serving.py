@@ -7,8 +7,6 @@ scenario rows joined with one-row (global) and per-region statistics.
 
 from __future__ import annotations
 
-from functools import reduce
-
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -113,17 +111,13 @@ def enrichment_pending(entities: DataFrame, cache: DataFrame) -> DataFrame:
     H3), with the search term (name cut to 64) and the location text."""
     todo = entities.withColumn("camis", F.col("camis").cast("string")) \
                    .join(cache.select(F.col("camis").cast("string").alias("camis")), "camis", "left_anti")
-    loc = F.trim(F.concat_ws(" ", F.coalesce(F.col("building"), F.lit("")), F.coalesce(F.col("street"), F.lit("")),
+    loc = F.trim(F.concat_ws(" ",  # inner spaces stay, as published F.coalesce(F.col("building"), F.lit("")), F.coalesce(F.col("street"), F.lit("")),
                              F.coalesce(F.col("zipcode"), F.lit("")), F.lit("New York")))
     return todo.select("camis", F.substring("dba", 1, 64).alias("term"),
-                       F.regexp_replace(loc, r"\s+", " ").alias("location"))
+                       loc.alias("location"))
 
 
 def enrichment_merge(cache: DataFrame, new_rows: DataFrame) -> DataFrame:
     """U1 + P7: cached rows plus new rows (which lack ``high_rating``), label recomputed."""
     merged = cache.unionByName(new_rows, allowMissingColumns=True)
     return merged.withColumn("high_rating", E.high_rating_label("yelp_rating"))
-
-
-def union_all(frames) -> DataFrame:
-    return reduce(lambda a, b: a.unionByName(b), frames)

@@ -14,6 +14,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from .. import schemas as S
+from ..session import written
 from .summary import global_rank
 
 def safe_corr(a: str, b: str) -> F.Column:
@@ -93,9 +94,10 @@ def correlation_matrix(df: DataFrame, cols) -> DataFrame:
 
 def target_correlation(df: DataFrame, cols, target: str = "failed", k: int = 20) -> DataFrame:
     """M2 + O4: correlation of each column with the target, top-k by |r|."""
-    long = correlation_pairs(df, [(c, target) for c in cols])
-    return (long.select(F.col("feature_a").alias("feature"), F.col("corr").alias("corr_with_target"))
-                .filter(F.col("corr_with_target").isNotNull())
+    # one aggregate of null-safe correlations in generated code, no row leaves the JVM
+    row = df.agg(*[safe_corr(c, target).alias(c) for c in cols])
+    long = row.unpivot([], list(cols), "feature", "corr_with_target")
+    return (long.filter(F.col("corr_with_target").isNotNull())
                 .orderBy(F.abs("corr_with_target").desc(), F.col("feature")).limit(k))
 
 
@@ -206,20 +208,23 @@ def profile_zscores(profile: DataFrame, cols) -> DataFrame:
     return out
 
 
-def silhouette_euclidean(points: DataFrame, features, cluster: str = "cluster",
-                         sample_ref: DataFrame | None = None) -> DataFrame:
+def silhouette_euclidean(points: DataFrame, features, cluster: str = "cluster") -> DataFrame:
     """Mean silhouette with Euclidean distance over a bounded sample.
 
     ``points`` is the sampled set (its size is bounded by the caller's sample
-    size, e.g. 10,000).  It is broadcast once as arrays; each task computes the
-    distances of its own points to the sample with NumPy, so no pair is ever a
-    row and no cross join is planned.  Returns one row: n, silhouette.
+    size, e.g. 10,000).  It is written once, broadcast as arrays, and dealt over
+    the tasks; each computes the distances of its own points to the sample with
+    NumPy, so no pair is ever a row and no cross join is planned.  A point whose
+    distances are all 0 counts 0.  Returns one row: n, silhouette.
     """
     feats = list(features)
-    ref = (sample_ref or points).select(cluster, *feats).toPandas()
+    spark = points.sparkSession
+    # a bounded sample usually arrives as one partition (it ends in a limit): computed once, dealt to all cores
+    points = written(points.select(cluster, *feats), "silhouette").repartition(max(2, spark.sparkContext.defaultParallelism))
+    ref = points.toPandas()
     X = ref[feats].to_numpy(dtype=float)
     lab = ref[cluster].to_numpy()
-    bx = points.sparkSession.sparkContext.broadcast((X, lab))
+    bx = spark.sparkContext.broadcast((X, lab))
 
     def per_point(batches):
         Xr, lr = bx.value
@@ -245,7 +250,8 @@ def silhouette_euclidean(points: DataFrame, features, cluster: str = "cluster",
                 means = sums / cnts
                 means[rows, idx] = np.inf
                 b = means.min(1)
-                out.append(np.where(same_n > 0, (b - a) / np.maximum(a, b), 0.0))
+                far = np.maximum(a, b)
+                out.append(np.where((same_n > 0) & (far > 0), (b - a) / np.where(far > 0, far, 1.0), 0.0))
             yield pd.DataFrame({"s": np.concatenate(out) if out else np.array([], dtype=float)})
 
     s = points.select(cluster, *feats).mapInPandas(per_point, "s double")

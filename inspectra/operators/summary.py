@@ -14,6 +14,7 @@ from pyspark.sql import functions as F
 
 from .. import schemas as S
 from ..functions import expr as E
+from ..session import written
 
 
 def value_counts(df: DataFrame, col: str) -> DataFrame:
@@ -167,56 +168,18 @@ def box_stats_many(df: DataFrame, values, group: str, approx: bool = False) -> D
                                               "whisker_hi", "n_outliers")
 
 
-ROWS_PER_BUCKET = 2_000_000
-MAX_BUCKETS = 4096
-
-
-def _bucket_tree(key, bounds, lo: int, hi: int):
-    """Bucket index of ``key`` among sorted ``bounds[lo:hi]`` as a balanced
-    comparison tree: O(log b) comparisons per row instead of b."""
-    if lo >= hi:
-        return F.lit(lo)
-    mid = (lo + hi) // 2
-    return F.when(key > bounds[mid], _bucket_tree(key, bounds, mid + 1, hi)) \
-            .otherwise(_bucket_tree(key, bounds, lo, mid))
-
-
-def _range_buckets(df: DataFrame, order_cols, buckets: int | None, sample_per_bucket: int = 50,
-                   n: int | None = None):
-    """Bucket id (0..b-1) of each row along a total order, from sampled boundary rows.
-
-    The bucket count grows with the data (about ``ROWS_PER_BUCKET`` rows per
-    bucket, at least the default parallelism, at most ``MAX_BUCKETS``; past
-    MAX_BUCKETS * ROWS_PER_BUCKET rows the buckets grow and their sorts
-    spill); at most ``buckets - 1`` boundary rows reach the driver.  An input
-    counted at no more than ``ROWS_PER_BUCKET`` rows is one bucket (no
-    sampling job).  Every bucket holds about n / buckets rows whatever the
-    skew of the leading column, because the order is total (value, then keys).
-    """
-    spark = df.sparkSession
-    n = df.count() if n is None else n
-    if buckets is None and n <= ROWS_PER_BUCKET:
-        return F.lit(0)           # proven small: one bucket, no sampling job
-    nb = buckets or min(MAX_BUCKETS, max(2, spark.sparkContext.defaultParallelism,
-                                         -(-n // ROWS_PER_BUCKET)))
-    frac = min(1.0, nb * sample_per_bucket / max(n, 1))
-    sample = (df.select(*order_cols).sample(fraction=frac, seed=S.SEED)
-                .orderBy(*order_cols).collect())
-    step = max(1, len(sample) // nb)
-    picked = [sample[i] for i in range(step, len(sample), step)][: nb - 1]
-    key = F.struct(*[F.col(c) for c in order_cols])
-    bounds = [F.struct(*[F.lit(v).cast(df.schema[c].dataType) for c, v in zip(order_cols, b)]) for b in picked]
-    return _bucket_tree(key, bounds, 0, len(bounds)).cast("int")
-
-
-def running_totals(df: DataFrame, order_cols, sums: dict, buckets: int | None = None,
-                   n: int | None = None) -> DataFrame:
+def running_totals(df: DataFrame, order_cols, sums: dict) -> DataFrame:
     """Inclusive running sums along a global total order, without a
-    single-partition window: per-bucket totals give each bucket's offset (one
-    small table, broadcast) and a window partitioned by bucket adds the running
-    part.  ``sums`` maps output column -> input column expression."""
+    single-partition window.
+
+    The rows are range-partitioned on the whole order (value, then keys, so a
+    hot value is split by its keys), written once, and numbered by the partition
+    they fell into; per-partition totals give each partition's offset (one row a
+    partition, broadcast) and a window inside the partition adds the running
+    part.  The same path at every size; nothing is collected.  ``sums`` maps
+    output column -> input column expression."""
     order_cols = list(order_cols)
-    tagged = df.withColumn("_bucket", _range_buckets(df, order_cols, buckets, n=n))
+    tagged = written(df.repartitionByRange(*order_cols).withColumn("_bucket", F.spark_partition_id()), "ranges")
     tot = tagged.groupBy("_bucket").agg(*[F.sum(e).alias(f"_t_{o}") for o, e in sums.items()])
     before = Window.orderBy("_bucket").rowsBetween(Window.unboundedPreceding, -1)
     offsets = tot.select("_bucket", *[F.coalesce(F.sum(f"_t_{o}").over(before), F.lit(0)).alias(f"_o_{o}")
@@ -227,25 +190,30 @@ def running_totals(df: DataFrame, order_cols, sums: dict, buckets: int | None =
     return j.drop("_bucket", *[f"_o_{o}" for o in sums])
 
 
-def global_rank(df: DataFrame, order_cols, out: str = "_rank", buckets: int | None = None,
-                n: int | None = None) -> DataFrame:
+def global_rank(df: DataFrame, order_cols, out: str = "_rank") -> DataFrame:
     """Dense 1..n row number along a global total order (``order_cols``: value
-    then keys), computed as a bucketed running count.  ``n`` is the row count
-    when the caller already has it."""
-    return running_totals(df, order_cols, {out: F.lit(1).cast("long")}, buckets, n=n)
+    then keys), computed as a running count over range partitions."""
+    return running_totals(df, order_cols, {out: F.lit(1).cast("long")})
 
 
-def rank_quartiles(df: DataFrame, value: str, keys, out: str, labels, n: int | None = None) -> DataFrame:
+def rank_quartiles(df: DataFrame, value: str, keys, out: str, labels) -> DataFrame:
     """``qcut(rank(method='first'), 4)`` — rank with ties broken by the
-    key order, quartile = max(1, ceil(4 (r-1) / (n-1)))."""
+    key order, quartile = max(1, ceil(4 (r-1) / (n-1))).
+
+    Only (value, keys) are ranked; the last key tuple of each of the first three
+    quartiles is one row, and every row is labelled by comparing its own tuple
+    with them, so nothing is joined back."""
     base = df.filter(F.col(value).isNotNull())
-    n = base.count() if n is None else n           # one count, shared with the bucketing
-    r = global_rank(base, [value, *keys], "_rank", n=n)
-    n = F.lit(n)
+    key = F.struct(value, *keys)
+    r = global_rank(base.select(value, *keys), [value, *keys], "_rank")
+    n = r.agg(F.count(F.lit(1))).scalar()
     q = F.when(n <= 1, F.lit(1)).otherwise(
-        F.greatest(F.lit(1), F.ceil(F.lit(4.0) * (F.col("_rank") - 1) / (n - 1)))).cast("int")
-    lab = F.element_at(F.array(*[F.lit(x) for x in labels]), q)
-    return r.withColumn(out, lab).drop("_rank")
+        F.greatest(F.lit(1), F.ceil(F.lit(4.0) * (F.col("_rank") - 1) / F.greatest(n - 1, F.lit(1))))).cast("int")
+    last = r.agg(F.struct(*[F.max(F.when(q <= k, key)).alias(f"q{k}") for k in (1, 2, 3)])).scalar()
+    lab = F.lit(labels[3])
+    for k in (3, 2, 1):
+        lab = F.when(key <= last[f"q{k}"], F.lit(labels[k - 1])).otherwise(lab)
+    return base.withColumn(out, lab)
 
 
 def seeded_sample(df: DataFrame, keys, n: int, seed: int = S.SEED) -> DataFrame:
@@ -253,24 +221,31 @@ def seeded_sample(df: DataFrame, keys, n: int, seed: int = S.SEED) -> DataFrame:
     ties by key (n capped at the table size).
 
     A plain ``orderBy.limit`` would merge every partition's local top-n in one
-    task (partitions x n rows).  Instead the rows whose hash prefix falls below
-    a threshold chosen for about 2n candidates are kept first (a filter, no
-    shuffle); the hash prefix is monotone in the md5 text, so the candidates
-    are an initial segment of the order and, when at least n pass, contain the
-    exact top n.  Otherwise the threshold is widened until they do.
+    task (partitions x n rows).  Instead a histogram of the hash's first four
+    digits (65,536 rows at most) gives the prefix below which at least n rows
+    lie, as a scalar subquery; the rows up to it are an initial segment of the
+    order and hold the exact top n.
     """
     h = F.md5(F.concat_ws("|", *[F.col(k).cast("string") for k in keys], F.lit(str(seed))))
     t = df.withColumn("_h", h)
-    total = t.count()
-    frac = min(1.0, 2.0 * n / max(total, 1))
-    prefix = F.conv(F.substring("_h", 1, 13), 16, 10).cast("long").cast("double") / float(16 ** 13)
-    while frac < 1.0:
-        cand = t.filter(prefix < F.lit(frac))
-        if cand.count() >= n:
-            t = cand
-            break
-        frac = min(1.0, frac * 2)
-    return t.orderBy("_h", *keys).limit(n).drop("_h")
+    prefix = F.substring("_h", 1, 4)
+    counts = t.groupBy(prefix.alias("p")).agg(F.count(F.lit(1)).alias("c"))
+    upto = F.sum("c").over(Window.orderBy("p").rowsBetween(Window.unboundedPreceding, 0))
+    enough = counts.select("p", upto.alias("u")).filter(F.col("u") >= n).agg(F.min("p")).scalar()
+    return t.filter(prefix <= F.coalesce(enough, F.lit("ffff"))).orderBy("_h", *keys).limit(n).drop("_h")
+
+
+def tiles(df: DataFrame) -> DataFrame:
+    """A14 + A22: entities, inspections, failure rate, mean score and rated share in one aggregate."""
+    return df.agg(F.countDistinct("camis").alias("n_entities"), F.count(F.lit(1)).alias("n_inspections"),
+                  F.avg("failed").alias("failure_rate"), F.avg("score").alias("mean_score"),
+                  F.avg("has_yelp").alias("rated_share"))
+
+
+def monthly_trend(df: DataFrame) -> DataFrame:
+    """A15 + F4: inspections per year-month and region."""
+    return (df.groupBy(F.date_format("inspection_date", "yyyy-MM").alias("year_month"), "boro")
+              .agg(F.count("failed").alias("n")))
 
 
 def display_labels(df: DataFrame) -> DataFrame:

@@ -1,7 +1,7 @@
 """Stage composition on the stand-in sources: raw -> panel -> clean -> features.
 
-Each function returns a lazy DataFrame; nothing runs until an action, except
-the row-count checks of the small broadcast dimensions (memoised per session).
+Each function returns a lazy DataFrame; nothing runs until an action.  The study
+window is an argument; ``STUDY_WINDOW`` covers the stand-in's order dates.
 """
 
 from __future__ import annotations
@@ -17,15 +17,17 @@ from ..sources import landing as L
 from ..sources import standin as SI
 
 # the stand-in's study window covers its whole order-date range
-STANDIN_START, STANDIN_END = "1992-01-01", "2001-12-31"
+STUDY_WINDOW = ("1992-01-01", "2001-12-31")
 
 
-def raw(spark: SparkSession, d: str) -> DataFrame:
-    return L.scan_inspections(SI.raw_inspections(spark, d), STANDIN_START, STANDIN_END)
+def raw(spark: SparkSession, d: str, window=STUDY_WINDOW) -> DataFrame:
+    return L.scan_inspections(SI.raw_inspections(spark, d), *window)
 
 
-def inspections(spark: SparkSession, d: str) -> DataFrame:
-    return P.collapse_inspections(raw(spark, d), carry=("area",))
+def inspections(spark: SparkSession, d: str, window=STUDY_WINDOW) -> DataFrame:
+    """A1 over rows whose lines have been counted per order (the row-level form is ``raw``)."""
+    return P.collapse_inspections(L.scan_inspections(SI.order_inspections(spark, d), *window), carry=("area",),
+                                  preaggregated=True)
 
 
 def master(spark: SparkSession, d: str) -> DataFrame:
@@ -40,9 +42,8 @@ def weather(spark: SparkSession, d: str) -> DataFrame:
     return P.weather_daily(SI.weather_hourly(spark, d))
 
 
-def complaints(spark: SparkSession, d: str) -> DataFrame:
-    scanned = L.complaints_scan(SI.complaints_raw(spark, d), S.STANDIN_REGIONS,
-                                STANDIN_START, STANDIN_END)
+def complaints(spark: SparkSession, d: str, window=STUDY_WINDOW) -> DataFrame:
+    scanned = L.complaints_scan(SI.complaints_raw(spark, d), S.STANDIN_REGIONS, *window)
     return P.complaints_daily(scanned)
 
 
@@ -50,11 +51,11 @@ def census(spark: SparkSession, d: str) -> DataFrame:
     return P.census_clean(SI.census_raw(spark, d), key="area")
 
 
-def panel_plan(spark: SparkSession, d: str) -> DataFrame:
+def panel_plan(spark: SparkSession, d: str, window=STUDY_WINDOW) -> DataFrame:
     """The lazily planned panel (for ``explain`` and one-shot runs)."""
-    return P.build_panel(inspections(spark, d), master(spark, d), ratings(spark, d),
-                         weather(spark, d), complaints(spark, d), census(spark, d),
-                         census_key="area", memo=d)
+    return P.build_panel(inspections(spark, d, window), master(spark, d), ratings(spark, d),
+                         weather(spark, d), complaints(spark, d, window), census(spark, d),
+                         census_key="area")
 
 
 def panel(spark: SparkSession, d: str) -> DataFrame:

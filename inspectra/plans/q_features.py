@@ -208,15 +208,13 @@ def class_weights(spark, d):
 
 
 @query("stratified_folds", rounded(
-    "SELECT failed, fold, CAST(count(*) AS BIGINT) AS n FROM ("
-    "SELECT failed, CAST((row_number() OVER (PARTITION BY failed ORDER BY md5(camis || '|' || "
+    "SELECT camis, inspection_date, failed, CAST((row_number() OVER (PARTITION BY failed ORDER BY md5(camis || '|' || "
     "CAST(inspection_date AS VARCHAR) || '|42'), camis, inspection_date) - 1) % 5 AS INTEGER) AS fold "
-    f"FROM {_TRAIN} t) x GROUP BY 1, 2", []))
+    f"FROM {_TRAIN} t", []))
 def stratified_folds(spark, d):
-    """Seeded stratified 5-fold assignment on train; counts per (label, fold)."""
+    """Seeded stratified 5-fold assignment of every training row."""
     train, _ = FE.train_test(B.features(spark, d), CUT)
-    f = ST.stratified_folds(train.select("camis", "inspection_date", "failed"), ["camis", "inspection_date"], 5)
-    return f.groupBy("failed", "fold").agg(F.count(F.lit(1)).alias("n"))
+    return ST.stratified_folds(train.select("camis", "inspection_date", "failed"), ["camis", "inspection_date"], 5)
 
 
 @query("cluster_names", rounded(
@@ -236,18 +234,22 @@ def cluster_names(spark, d):
     return finish(ST.cluster_names(prof))
 
 
+_PROFILE_Z = ["failure_rate", "history_rate", "first_inspection_rate", "avg_food_complaints", "median_income",
+              "yelp_coverage"]
+
+
 @query("profile_zscores", rounded(
     "SELECT cluster, " + ", ".join(
         f"CASE WHEN stddev_pop({c}) OVER () = 0 THEN 0.0 ELSE ({c} - avg({c}) OVER ()) / stddev_pop({c}) OVER () "
-        f"END AS {c}" for c in ["failure_rate", "avg_prev_score", "history_rate", "yelp_coverage"])
-    + f" FROM (SELECT {FIXED_CLUSTER_SQL} AS cluster, avg(failed) AS failure_rate, avg(prev_score) AS avg_prev_score, "
-    "avg(has_history) AS history_rate, avg(has_yelp) AS yelp_coverage FROM clean GROUP BY 1) p",
-    ["failure_rate", "avg_prev_score", "history_rate", "yelp_coverage"]))
+        f"END AS {c}" for c in _PROFILE_Z)
+    + f" FROM (SELECT {FIXED_CLUSTER_SQL} AS cluster, avg(failed) AS failure_rate, avg(has_history) AS history_rate, "
+    "avg(is_first_inspection) AS first_inspection_rate, avg(food_complaints_total) AS avg_food_complaints, "
+    "quantile_cont(median_household_income, 0.5) AS median_income, avg(has_yelp) AS yelp_coverage "
+    "FROM clean GROUP BY 1) p", _PROFILE_Z))
 def profile_zscores(spark, d):
-    """Standardised cluster profile columns."""
+    """The six published cluster profile columns, standardised over the clusters."""
     prof = cluster_profile_of(B.clean(spark, d).withColumn("cluster", fixed_cluster()))
-    cols = ["failure_rate", "avg_prev_score", "history_rate", "yelp_coverage"]
-    return finish(ST.profile_zscores(prof.select("cluster", *cols), cols))
+    return finish(ST.profile_zscores(prof.select("cluster", *_PROFILE_Z), _PROFILE_Z))
 
 
 # -- evaluation on a SQL-made score (the oracle applies; MLlib scores are rows-only) --

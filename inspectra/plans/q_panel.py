@@ -7,7 +7,6 @@ from pyspark.sql import functions as F
 from .. import schemas as S
 from ..functions import expr as E
 from ..operators import panel as P
-from ..operators.joins import checked_broadcast
 from ..sources import landing as L
 from ..sources import standin as SI
 from ..sources.tables import read
@@ -115,7 +114,7 @@ def complaints_daily(spark, d):
     "'EUROPE', 'MIDDLE EAST')", []))
 def complaints_scan(spark, d):
     """Food-related complaint types, window and valid boroughs, pushed to the scan."""
-    s = L.complaints_scan(SI.complaints_raw(spark, d), S.STANDIN_REGIONS, B.STANDIN_START, B.STANDIN_END)
+    s = L.complaints_scan(SI.complaints_raw(spark, d), S.STANDIN_REGIONS, *B.STUDY_WINDOW)
     return s.select("unique_key", "created_date", "complaint_type", "borough")
 
 
@@ -177,10 +176,9 @@ def join_ratings(spark, d):
 
 @query("join_weather", rounded(_JOIN_SQL.format(cols=", ".join(WEATHER_D)), WEATHER_D))
 def join_weather(spark, d):
-    """Visits left join daily weather on the visit date (size-checked broadcast)."""
+    """Visits left join daily weather on the visit date."""
     ins = B.inspections(spark, d).select("camis", "inspection_date")
-    w = checked_broadcast(B.weather(spark, d).withColumnRenamed("date", "inspection_date"),
-                          memo_key=(d, "weather"))
+    w = B.weather(spark, d).withColumnRenamed("date", "inspection_date")
     return finish(ins.join(w, "inspection_date", "left"))
 
 
@@ -188,8 +186,7 @@ def join_weather(spark, d):
 def join_complaints(spark, d):
     """J4 + P12: composite (date, borough) left join, missing counts -> 0."""
     ins = B.inspections(spark, d).select("camis", "inspection_date", "boro")
-    c = checked_broadcast(B.complaints(spark, d).withColumnRenamed("date", "inspection_date")
-                          .withColumnRenamed("borough", "boro"), memo_key=(d, "complaints"))
+    c = B.complaints(spark, d).withColumnRenamed("date", "inspection_date").withColumnRenamed("borough", "boro")
     return ins.join(c, ["inspection_date", "boro"], "left").fillna(0, subset=S.COMPLAINT_COLUMNS) \
               .select("camis", "inspection_date", *S.COMPLAINT_COLUMNS)
 
@@ -198,8 +195,7 @@ def join_complaints(spark, d):
 def join_census(spark, d):
     """Visits left join the census on its geography key."""
     ins = B.inspections(spark, d).select("camis", "inspection_date", "area")
-    ce = checked_broadcast(B.census(spark, d), memo_key=(d, "census", "area"))
-    return finish(ins.join(ce, "area", "left").drop("area"))
+    return finish(ins.join(B.census(spark, d), "area", "left").drop("area"))
 
 
 @query("calendar_features", rounded(

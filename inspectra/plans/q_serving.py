@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from .. import schemas as S
+from ..operators import cleaning as C
 from ..operators import serving as SV
 from ..operators import summary as SM
 from . import build as B
@@ -14,23 +15,47 @@ from .registry import finish, query
 KEY = "camis, inspection_date"
 
 
-def _default_selection(c):
-    """The dashboard's default selection: every region and year present (found by
-    two tiny distinct aggregates), no category restriction."""
-    regions = [r[0] for r in c.select("boro").distinct().collect()]          # bounded: region list
-    years = [r[0] for r in c.select("inspection_year").distinct().collect()]  # bounded: year list
-    return regions, years
+# one real selection of the dashboard: regions, years and categories
+REGIONS, YEARS, CUISINES = ["ASIA", "EUROPE"], [1994, 1995, 1996], ["China", "France", "Germany", "India"]
+_SELECTED = ("(SELECT * FROM clean WHERE boro IN ('ASIA', 'EUROPE') AND inspection_year IN (1994, 1995, 1996) "
+             "AND cuisine_grouped IN ('China', 'France', 'Germany', 'India')) s")
+
+
+def _selected(spark, d):
+    return SV.dashboard_filter(B.clean(spark, d), REGIONS, YEARS, CUISINES)
 
 
 @query("dashboard_filter", rounded(
-    "SELECT cuisine_grouped, CAST(count(*) AS BIGINT) AS n, avg(failed) AS failure_rate FROM clean "
-    "GROUP BY 1 HAVING count(*) >= 50", ["failure_rate"]))
+    "SELECT cuisine_grouped, CAST(count(*) AS BIGINT) AS n, avg(failed) AS failure_rate "
+    f"FROM {_SELECTED} GROUP BY 1 HAVING count(*) >= 50", ["failure_rate"]))
 def dashboard_filter(spark, d):
-    """P24 + X1 + A9: default selection, then the overview's category rates (n >= 50)."""
-    c = B.clean(spark, d)
-    regions, years = _default_selection(c)
-    f = SV.dashboard_filter(c, regions, years, [])
-    return finish(SM.rate_by(f, "cuisine_grouped", min_n=50))
+    """P24 + X1 + A9: the overview's category rates (n >= 50) under a selection."""
+    return finish(SM.rate_by(_selected(spark, d), "cuisine_grouped", min_n=50))
+
+
+@query("overview_tiles", rounded(
+    "SELECT CAST(count(DISTINCT camis) AS BIGINT) AS n_entities, CAST(count(*) AS BIGINT) AS n_inspections, "
+    f"avg(failed) AS failure_rate, avg(score) AS mean_score, avg(has_yelp) AS rated_share FROM {_SELECTED}",
+    ["failure_rate", "mean_score", "rated_share"]))
+def overview_tiles(spark, d):
+    """X1 + A14: the tiles under a selection."""
+    return finish(SM.tiles(_selected(spark, d)))
+
+
+@query("overview_regions", rounded(
+    f"SELECT boro, CAST(count(*) AS BIGINT) AS n, avg(failed) AS failure_rate FROM {_SELECTED} GROUP BY 1",
+    ["failure_rate"]))
+def overview_regions(spark, d):
+    """X1 + A6: region rates under a selection."""
+    return finish(SM.rate_by(_selected(spark, d), "boro"))
+
+
+@query("overview_trend", rounded(
+    "SELECT strftime(inspection_date, '%Y-%m') AS year_month, boro, CAST(count(failed) AS BIGINT) AS n "
+    f"FROM {_SELECTED} GROUP BY 1, 2", []))
+def overview_trend(spark, d):
+    """X1 + A15: the monthly trend under a selection."""
+    return SM.monthly_trend(_selected(spark, d))
 
 
 _MAP_SQL = ("SELECT camis, inspection_date, latitude, longitude, dba, boro, cuisine, score, failed, score_bucket "
@@ -48,6 +73,51 @@ def map_points(spark, d):
     return finish(SV.map_points(B.clean(spark, d), "failed"))
 
 
+def _map_sql(colours: str, source: str) -> str:
+    """Points (first visit with coordinates) of a source with a colour per value; grey when unmapped."""
+    return f"SELECT *, {colours}, CAST(180 AS INTEGER) AS color_a FROM ({_MAP_SQL.replace('FROM clean', f'FROM {source}')}) m"
+
+
+def _colour_sql(column: str, mapping: dict) -> str:
+    parts = []
+    for k, name in enumerate(("color_r", "color_g", "color_b")):
+        whens = " ".join(f"WHEN '{v}' THEN {rgba[k]}" for v, rgba in mapping.items())
+        parts.append(f"CAST(CASE CAST({column} AS VARCHAR) {whens} ELSE {S.COLOR_GREY[k]} END AS INTEGER) AS {name}")
+    return ", ".join(parts)
+
+
+@query("map_points_bucket", rounded(_map_sql(_colour_sql("score_bucket", S.COLORS_BY_BUCKET), _SELECTED),
+                                    ["latitude", "longitude", "score"]))
+def map_points_bucket(spark, d):
+    """X2 + F17: points under a selection, coloured by score bucket."""
+    return finish(SV.map_points(_selected(spark, d), "score_bucket"))
+
+
+@query("map_points_region", rounded(_map_sql(_colour_sql("boro", S.COLORS_BY_BORO), _SELECTED),
+                                    ["latitude", "longitude", "score"]))
+def map_points_region(spark, d):
+    """X2 + F17: points under a selection, coloured by region (grey outside the published regions)."""
+    return finish(SV.map_points(_selected(spark, d), "boro"))
+
+
+@query("map_summary", rounded(
+    "SELECT CAST(count(*) AS BIGINT) AS n_points, avg(failed) AS failure_rate FROM ("
+    + _MAP_SQL.replace("FROM clean", f"FROM {_SELECTED}") + ") m", ["failure_rate"]))
+def map_summary(spark, d):
+    """Points on the map and their failure rate under a selection."""
+    return finish(SV.map_points(_selected(spark, d)).agg(F.count(F.lit(1)).alias("n_points"),
+                                                         F.avg("failed").alias("failure_rate")))
+
+
+@query("rated_subset_region", rounded(
+    "SELECT camis, inspection_date, boro, yelp_rating, score, failed FROM clean WHERE has_yelp = 1 "
+    "AND boro IN ('ASIA', 'EUROPE')", ["yelp_rating", "score"]))
+def rated_subset_region(spark, d):
+    """The rated subset of the selected regions."""
+    return finish(C.rated_subset(B.clean(spark, d)).filter(F.col("boro").isin(REGIONS))
+                  .select("camis", "inspection_date", "boro", "yelp_rating", "score", "failed"))
+
+
 def _scenarios(c):
     return c.select("camis", "inspection_date", "boro", "cuisine_grouped", "inspection_count", "prev_score",
                     "prev_failed", "violation_count", "critical_count", "temp_mean", "precipitation_sum",
@@ -112,7 +182,7 @@ def risk_band(spark, d):
 
 
 _PENDING_SQL = ("SELECT CAST(c.c_custkey AS VARCHAR) AS camis, substr(c.c_name, 1, 64) AS term, "
-                "trim(CASE WHEN c.c_custkey % 50 = 0 THEN '' ELSE CAST(c.c_custkey * 37 AS VARCHAR) || '.0' END "
+                "trim('  ' || CASE WHEN c.c_custkey % 50 = 0 THEN '' ELSE CAST(c.c_custkey * 37 AS VARCHAR) || '.0' END "
                 "|| ' New York') AS location FROM customer c WHERE c.c_custkey % 5 = 0 AND "
                 "CAST(c.c_custkey AS VARCHAR) NOT IN (SELECT CAST(doc_id AS VARCHAR) FROM documents)")
 

@@ -144,16 +144,11 @@ iq2 AS (
 
 
 def _quartiles(spark, d):
-    """Both quartile columns, each ranked on its own narrow projection (value +
-    keys) so neither ranking is recomputed inside the other, then joined back."""
+    """Both quartile columns; each labels rows by comparing their keys with three boundary rows."""
     c = B.clean(spark, d).dropna(subset=["median_household_income", "food_complaints_total", "failed"])
     keys = ["camis", "inspection_date"]
-    n = c.count()                                   # both ranks share the row count
-    inc = SM.rank_quartiles(c.select(*keys, "median_household_income"), "median_household_income", keys,
-                            "income_quartile", S.INCOME_QUARTILES, n=n).select(*keys, "income_quartile")
-    cmp = SM.rank_quartiles(c.select(*keys, "food_complaints_total"), "food_complaints_total", keys,
-                            "complaint_quartile", S.COMPLAINT_QUARTILES, n=n).select(*keys, "complaint_quartile")
-    return c.join(inc, keys).join(cmp, keys)
+    inc = SM.rank_quartiles(c, "median_household_income", keys, "income_quartile", S.INCOME_QUARTILES)
+    return SM.rank_quartiles(inc, "food_complaints_total", keys, "complaint_quartile", S.COMPLAINT_QUARTILES)
 
 
 @query("rank_quartiles", rounded(
@@ -185,17 +180,16 @@ def pivot_region_month(spark, d):
 
 
 @query("pivot_region_category", rounded(
-    "SELECT * FROM (PIVOT (SELECT boro, cuisine_grouped, failed FROM clean WHERE cuisine_grouped IN "
-    "(SELECT cuisine_grouped FROM clean GROUP BY 1 ORDER BY count(*) DESC, cuisine_grouped LIMIT 12)) "
-    "ON cuisine_grouped USING avg(failed) GROUP BY boro)", []))
+    "SELECT boro, cuisine_grouped, avg(failed) AS failure_rate FROM clean WHERE cuisine_grouped IN "
+    "(SELECT cuisine_grouped FROM clean GROUP BY 1 ORDER BY count(*) DESC, cuisine_grouped LIMIT 12) "
+    "GROUP BY 1, 2", ["failure_rate"]))
 def pivot_region_category(spark, d):
-    """A10 + J7: mean failure by region x top-12 category (values found by one
-    bounded top-k query, never by collecting the column)."""
+    """A10 + J7: mean failure by region x top-12 category, one row per cell (the
+    columns of the wide form would depend on the data)."""
     c = B.clean(spark, d)
-    top = [r[0] for r in C.top_k_values(c, "cuisine_grouped", 12).collect()]
-    kept = c.join(F.broadcast(C.top_k_values(c, "cuisine_grouped", 12).select("cuisine_grouped")),
-                  "cuisine_grouped", "left_semi")
-    return finish(SM.pivot_mean(kept, "boro", "cuisine_grouped", sorted(top)))
+    top = C.top_k_values(c, "cuisine_grouped", 12).select("cuisine_grouped")   # 12 rows
+    return finish(c.join(F.broadcast(top), "cuisine_grouped", "left_semi")
+                   .groupBy("boro", "cuisine_grouped").agg(F.avg("failed").alias("failure_rate")))
 
 
 @query("kpi_tiles", rounded(
@@ -204,10 +198,7 @@ def pivot_region_category(spark, d):
     ["failure_rate", "mean_score", "rated_share"]))
 def kpi_tiles(spark, d):
     """A14 + A22: dashboard tiles in one aggregate."""
-    c = B.clean(spark, d)
-    return finish(c.agg(F.countDistinct("camis").alias("n_entities"), F.count(F.lit(1)).alias("n_inspections"),
-                        F.avg("failed").alias("failure_rate"), F.avg("score").alias("mean_score"),
-                        F.avg("has_yelp").alias("rated_share")))
+    return finish(SM.tiles(B.clean(spark, d)))
 
 
 @query("monthly_trend", rounded(
@@ -215,9 +206,7 @@ def kpi_tiles(spark, d):
     "FROM clean GROUP BY 1, 2", []))
 def monthly_trend(spark, d):
     """A15 + F4: inspections per year-month and region."""
-    c = B.clean(spark, d)
-    return c.groupBy(F.date_format("inspection_date", "yyyy-MM").alias("year_month"), "boro") \
-            .agg(F.count("failed").alias("n"))
+    return SM.monthly_trend(B.clean(spark, d))
 
 
 @query("region_context", rounded(
@@ -270,6 +259,16 @@ def crosstab_share(spark, d):
     return finish(SM.crosstab_share(c, "cluster", "boro", S.STANDIN_REGIONS))
 
 
+@query("crosstab_outcome", rounded(
+    "SELECT cluster, coalesce(count(*) FILTER (WHERE failed = 0) / count(*), 0.0) AS \"Passed\", "
+    "coalesce(count(*) FILTER (WHERE failed = 1) / count(*), 0.0) AS \"Failed\" "
+    f"FROM (SELECT {FIXED_CLUSTER_SQL} AS cluster, failed FROM clean) t GROUP BY cluster", ['"Passed"', '"Failed"']))
+def crosstab_outcome(spark, d):
+    """Cluster x outcome shares, each row sums to 1."""
+    c = SM.display_labels(B.clean(spark, d)).withColumn("cluster", fixed_cluster())
+    return finish(SM.crosstab_share(c, "cluster", "failed_label", ["Passed", "Failed"]))
+
+
 @query("outcome_share", rounded(
     "SELECT failed, CAST(count(*) AS BIGINT) AS n, count(*) / sum(count(*)) OVER () AS share "
     "FROM clean GROUP BY failed", ["share"]))
@@ -311,6 +310,16 @@ def histogram_rating(spark, d):
     return finish(SM.histogram_fixed(B.clean(spark, d), "yelp_rating", 1.0, 0.25, 16))
 
 
+@query("histogram_rating_half", rounded(
+    "SELECT CAST(least(floor((yelp_rating - 1.0) / 0.5), 7) AS INTEGER) AS bin, CAST(count(*) AS BIGINT) AS n, "
+    "1.0 + least(floor((yelp_rating - 1.0) / 0.5), 7) * 0.5 AS bin_lo, "
+    "1.0 + (least(floor((yelp_rating - 1.0) / 0.5), 7) + 1) * 0.5 AS bin_hi "
+    "FROM clean WHERE yelp_rating >= 1.0 AND yelp_rating <= 5.0 GROUP BY 1, 3, 4", ["bin_lo", "bin_hi"]))
+def histogram_rating_half(spark, d):
+    """Ratings in 0.5-wide bins over [1, 5]."""
+    return finish(SM.histogram_fixed(B.clean(spark, d), "yelp_rating", 1.0, 0.5, 8))
+
+
 _DENS_SQL = """
 SELECT failed, bin, CAST(count(*) AS BIGINT) AS n, min(lo) + bin * min(w) AS bin_lo, min(lo) + (bin + 1) * min(w) AS bin_hi,
        count(*) / (sum(count(*)) OVER (PARTITION BY failed) * min(w)) AS density

@@ -40,19 +40,45 @@ def _boro_text(custkey, r_name) -> F.Column:
     return F.when(custkey % 97 == 0, F.lit("0")).otherwise(r_name)
 
 
+def _visits(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Orders with their customer and its geography."""
+    o = read(spark, sf_dir, "orders", "o_orderkey", "o_custkey", "o_orderstatus",
+             "o_totalprice", "o_orderdate", "o_orderpriority")
+    c = read(spark, sf_dir, "customer", "c_custkey", "c_name", "c_nationkey")
+    geo = geography(spark, sf_dir)
+    return (o.filter(F.col("o_orderkey").isNotNull())        # same child for both branches of raw_inspections,
+             .join(c, o.o_custkey == c.c_custkey)            # so its shuffle is reused
+             .join(F.broadcast(geo), c.c_nationkey == geo.n_nationkey))
+
+
+def _visit_columns() -> list:
+    """The inspection columns that come from the order."""
+    no_score = (F.col("o_orderpriority") == "4-NOT SPECIFIED") & (F.col("o_orderstatus") == "P")
+    return [
+        F.col("o_custkey").cast("string").alias("camis"),
+        F.col("c_name").alias("dba"),
+        F.upper(_boro_text(F.col("c_custkey"), F.col("r_name"))).alias("boro"),   # P1
+        _zip_text(F.col("c_custkey")).alias("zipcode"),
+        F.concat(F.lit("  "), F.lower("n_name")).alias("cuisine_description"),
+        F.col("o_orderdate").cast("date").alias("inspection_date"),
+        F.col("o_orderstatus").alias("action"),
+        F.when(no_score, F.lit(None).cast("double"))
+         .otherwise(F.floor(F.col("o_totalprice") / 12500).cast("double")).alias("score"),
+        F.when(F.col("o_orderpriority") == "1-URGENT", "A")
+         .when(F.col("o_orderpriority") == "2-HIGH", "B")
+         .when(F.col("o_orderpriority") == "3-MEDIUM", "C").alias("grade"),
+        F.col("o_orderkey").alias("ord"),
+        F.col("n_name").alias("area"),
+    ]
+
+
 def raw_inspections(spark: SparkSession, sf_dir: str) -> DataFrame:
     """S3 stand-in: one row per violation (order line), 13 columns + ``area``.
 
     ``area`` (the customer's nation) is the census geography key of the stand-in.
     """
-    o = read(spark, sf_dir, "orders", "o_orderkey", "o_custkey", "o_orderstatus",
-             "o_totalprice", "o_orderdate", "o_orderpriority")
-    c = read(spark, sf_dir, "customer", "c_custkey", "c_name", "c_nationkey")
+    visits = _visits(spark, sf_dir)
     li = read(spark, sf_dir, "lineitem", "l_orderkey", "l_partkey", "l_returnflag")
-    geo = geography(spark, sf_dir)
-    visits = (o.filter(F.col("o_orderkey").isNotNull())        # same child for both branches below,
-               .join(c, o.o_custkey == c.c_custkey)            # so its shuffle is reused
-               .join(F.broadcast(geo), c.c_nationkey == geo.n_nationkey))
     # Fact-to-fact left join, written as inner join + unmatched orders.  Both
     # sides grow with the data, so it is a sort-merge join on the order key
     # (never a broadcast of the line table).  As an inner join AQE can split a
@@ -65,28 +91,28 @@ def raw_inspections(spark: SparkSession, sf_dir: str) -> DataFrame:
                        .select(*visits.columns, *[F.lit(None).cast(li.schema[c].dataType).alias(c)
                                                    for c in li.columns]))
     rows = matched.unionByName(unmatched)
-    no_score = (F.col("o_orderpriority") == "4-NOT SPECIFIED") & (F.col("o_orderstatus") == "P")
     return rows.select(
-        F.col("o_custkey").cast("string").alias("camis"),
-        F.col("c_name").alias("dba"),
-        F.upper(_boro_text(F.col("c_custkey"), F.col("r_name"))).alias("boro"),   # P1
-        _zip_text(F.col("c_custkey")).alias("zipcode"),
-        F.concat(F.lit("  "), F.lower("n_name")).alias("cuisine_description"),
-        F.col("o_orderdate").cast("date").alias("inspection_date"),
-        F.col("o_orderstatus").alias("action"),
+        *_visit_columns(),
         F.col("l_partkey").cast("string").alias("violation_code"),
         F.lit(None).cast("string").alias("violation_description"),
         F.when(F.col("l_orderkey").isNull(), F.lit(None).cast("string"))
          .when(F.col("l_returnflag") == "R", "Critical").otherwise("Not Critical")
-         .alias("critical_flag"),
-        F.when(no_score, F.lit(None).cast("double"))
-         .otherwise(F.floor(F.col("o_totalprice") / 12500).cast("double")).alias("score"),
-        F.when(F.col("o_orderpriority") == "1-URGENT", "A")
-         .when(F.col("o_orderpriority") == "2-HIGH", "B")
-         .when(F.col("o_orderpriority") == "3-MEDIUM", "C").alias("grade"),
-        F.col("o_orderkey").alias("ord"),
-        F.col("n_name").alias("area"),
-    )
+         .alias("critical_flag"))
+
+
+def order_inspections(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The rows of ``raw_inspections`` added up per order: violation_count and critical_count.
+
+    Lines are counted per order first (a hash aggregate of two numbers, partial
+    before its shuffle), so the join and the collapse after it see one row per
+    order, and a hot order key is one row.
+    """
+    lines = (read(spark, sf_dir, "lineitem", "l_orderkey", "l_partkey", "l_returnflag").groupBy("l_orderkey")
+             .agg(F.count("l_partkey").alias("_n"), F.count_if(F.col("l_returnflag") == "R").cast("long").alias("_c")))
+    visits = _visits(spark, sf_dir)
+    j = visits.join(lines, visits.o_orderkey == lines.l_orderkey, "left")
+    return j.select(*_visit_columns(), F.coalesce("_n", F.lit(0)).alias("violation_count"),
+                    F.coalesce("_c", F.lit(0)).alias("critical_count"))
 
 
 def restaurants_master(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -151,17 +177,17 @@ def weather_hourly(spark: SparkSession, sf_dir: str) -> DataFrame:
 def weather_landing(spark: SparkSession, sf_dir: str) -> DataFrame:
     """S6 landing stand-in: columnar JSON ``{"hourly": {"time": [..], m: [..]}}``.
 
-    One document per order (at most seven lines), so no document grows with
-    the data.
+    One document per order and block of eight line numbers, so no document
+    grows with the data, however many lines an order has.
     """
     li = read(spark, sf_dir, "lineitem", "l_orderkey", "l_linenumber", "l_shipdate", "l_quantity",
               "l_tax", "l_linestatus", "l_discount", "l_extendedprice")
     h = weather_hourly_from(li)
-    docs = h.groupBy("l_orderkey").agg(F.sort_array(F.collect_list(F.struct(
+    docs = h.groupBy("l_orderkey", F.expr("l_linenumber DIV 8").alias("block")).agg(F.sort_array(F.collect_list(F.struct(
         "l_linenumber", "time", *S.WEATHER_MEASURES))).alias("r"))
     hourly = F.struct(F.col("r.time").alias("time"),
                       *[F.col(f"r.{m}").alias(m) for m in S.WEATHER_MEASURES])
-    return docs.select(F.col("l_orderkey").alias("doc_id"),
+    return docs.select(F.concat_ws("-", "l_orderkey", "block").alias("doc_id"),
                        F.to_json(F.struct(hourly.alias("hourly"))).alias("json"))
 
 
@@ -252,8 +278,3 @@ def census_area_map(spark: SparkSession, sf_dir: str) -> DataFrame:
     geo = geography(spark, sf_dir)
     return geo.select(F.lpad(F.col("n_nationkey").cast("string"), 3, "0").alias("county"),
                       F.col("r_name").alias("boro"), F.col("n_name").alias("area"))
-
-
-def event_readings(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Event-time stand-in for hourly readings and complaints with real times of day."""
-    return read(spark, sf_dir, "events", "event_id", "ts", "user_id", "event_type", "value")

@@ -16,6 +16,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from ..operators.panel import dedupe_first
 from ..session import ensure_checkpoint_dir
 from ..sources.landing import flatten_business_json
 
@@ -23,14 +24,21 @@ LANDING_SCHEMA = T.StructType([T.StructField("camis", T.StringType()), T.StructF
 CACHE_COLUMNS = ["camis", "yelp_id", "yelp_rating", "yelp_reviews", "yelp_price", "yelp_category", "high_rating"]
 
 
+def _exists(spark: SparkSession, path: str) -> bool:
+    p = spark._jvm.org.apache.hadoop.fs.Path(path)
+    return p.getFileSystem(spark._jsc.hadoopConfiguration()).exists(p)
+
+
 def _append_new(batch: DataFrame, cache_path: str) -> None:
+    """Append the entities of a batch that the cache lacks; of several responses
+    of one entity the smallest (rating id, then all other fields) is taken."""
     spark = batch.sparkSession
-    parsed = flatten_business_json(batch).dropDuplicates(["camis"])
-    try:
-        cached = spark.read.parquet(cache_path).select("camis")
-        fresh = parsed.join(cached, "camis", "left_anti")
-    except Exception:  # noqa: BLE001 - first batch: no cache yet
-        fresh = parsed
+    parsed = flatten_business_json(batch)
+    order = F.struct(*[F.col(c) for c in CACHE_COLUMNS[1:]])
+    fresh = dedupe_first(parsed.select(*CACHE_COLUMNS).withColumn("_order", order), ["camis"], "_order").drop("_order")
+    if _exists(spark, cache_path):  # a read that fails for another reason is an error
+        cached = spark.read.schema(fresh.schema).parquet(cache_path).select("camis")
+        fresh = fresh.join(cached, "camis", "left_anti")
     fresh.select(*CACHE_COLUMNS).write.mode("append").parquet(cache_path)
 
 
