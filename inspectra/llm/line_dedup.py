@@ -262,8 +262,10 @@ def line_classes(docs: DataFrame, scratch: Scratch, k: int = SHINGLE_CHARS, thre
     # buckets of three and more (of two, the pair has been compared) that are not yet one component
     classes = (hits.where("n > 2").join(found, F.col("id") == F.col("node"), "left")
                .select("band", "id", "n", F.coalesce("component", "id").alias("class")))
-    mixed = scratch.table(classes.groupBy("band").agg(F.min("class").alias("lo"), F.max("class").alias("hi"))
-                          .where("lo <> hi").select(F.col("band").alias("open")), "mixed")
+    # lines that share one band mostly share several: of buckets with the same members one is compared
+    same = [F.bit_xor(F.xxhash64("id")).alias("x"), F.bit_xor(F.xxhash64("id", F.lit(1))).alias("y"), F.count("*").alias("members")]
+    mixed = scratch.table(classes.groupBy("band").agg(F.min("class").alias("lo"), F.max("class").alias("hi"), *same)
+                          .where("lo <> hi").groupBy("x", "y", "members").agg(F.min("band").alias("open")).select("open"), "mixed")
     members = (classes.join(mixed, F.col("band") == F.col("open"))
                .withColumn("blocks", F.expr(f"CAST(ceil(n / {BLOCK}) AS LONG)"))
                .withColumn("block", F.expr("pmod(xxhash64(id), blocks)"))
