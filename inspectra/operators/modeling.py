@@ -1,138 +1,172 @@
 """MLlib modelling: M6-M9, M11, M14, M16, M18-M24, X5.
 
-The preprocessing is one ``Pipeline`` (median impute -> assemble -> z-score
-for numbers; string index -> one-hot for categories) placed inside the
-estimator given to ``CrossValidator``, so every fold refits it on its own
-training part.  Folds come from ``stats.stratified_folds`` through ``foldCol``.
+The preprocessing (mode fill and rare pooling, median impute -> assemble ->
+z-score for numbers; string index -> one-hot for categories) is fitted once per
+fold on the fold's own training part; folds come from ``stats.stratified_folds``.
 """
 
 from __future__ import annotations
 
+from multiprocessing.pool import ThreadPool
+
 from pyspark.ml import Pipeline, PipelineModel
 from pyspark.ml.classification import GBTClassifier, LogisticRegression, RandomForestClassifier
 from pyspark.ml.clustering import KMeans
 from pyspark.ml.evaluation import BinaryClassificationEvaluator
-from pyspark.ml.feature import Imputer, OneHotEncoder, PCA, StandardScaler, StringIndexer, VectorAssembler
+from pyspark.ml.feature import Imputer, OneHotEncoder, PCA, SQLTransformer, StandardScaler, StringIndexer, VectorAssembler
 from pyspark.ml.functions import vector_to_array
-from pyspark.ml.tuning import CrossValidator
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .. import schemas as S
+from ..session import written
 from . import stats as ST
 
+# the published searches: parameter lists and stratified folds
 GRIDS = {
-    # the published grids
-    "full": {
-        "logistic": {"C": [0.01, 0.1, 1.0, 10.0], "penalty": ["l1", "l2"], "folds": 5},
-        "forest": {"numTrees": [100, 200], "maxDepth": [8, 12], "minInstancesPerNode": [5, 10], "folds": 3},
-        "boosted": {"maxIter": [100, 200], "stepSize": [0.05, 0.1], "maxDepth": [2, 3], "folds": 3},
-    },
-    # a small grid for quick runs and tests
-    "small": {
-        "logistic": {"C": [0.1, 1.0], "penalty": ["l2"], "folds": 3},
-        "forest": {"numTrees": [20], "maxDepth": [5], "minInstancesPerNode": [10], "folds": 3},
-        "boosted": {"maxIter": [20], "stepSize": [0.1], "maxDepth": [2], "folds": 3},
-    },
+    "logistic": {"C": [0.01, 0.1, 1.0, 10.0], "penalty": ["l1", "l2"], "folds": 5},      # stage 4, categories as they are
+    "logistic_pooled": {"C": [0.1, 1.0], "penalty": ["l1", "l2"], "folds": 3},           # stage 5, rare ones pooled
+    "forest": {"numTrees": [100, 200], "maxDepth": [8, 12], "minInstancesPerNode": [5, 10], "folds": 3},
+    "boosted": {"maxIter": [100, 200], "stepSize": [0.05, 0.1], "maxDepth": [2, 3], "folds": 3},
 }
+#: Stage 5 families, in the published order, with the rows a category needs to keep a slot of its own.
+COMPARED = {"logistic_pooled": 20, "forest": 20, "boosted": 20}
+INFREQUENT = "__infrequent__"
 
 
-def fill_modes(df: DataFrame, fit: DataFrame, cols) -> DataFrame:
-    """M13 applied: NULL categories -> the training mode (one small table, broadcast)."""
-    modes = ST.mode_values(fit, cols).select("feature", "mode").collect()   # one row per column
-    return df.fillna({r["feature"]: r["mode"] for r in modes if r["mode"] is not None})
+def model_frame(features: DataFrame, cutoff: str, target: str = "failed"):
+    """Time split with the label and the model inputs; nothing is fitted here."""
+    from .features import train_test
+    nums = S.resolve_features(features, S.NUMERIC_FEATURES)
+    cats = S.resolve_features(features, S.CATEGORICAL_FEATURES)
+    base = features.select("camis", "inspection_date", F.col(target).cast("int").alias("label"),
+                           *[F.col(c).cast("double").alias(c) for c in nums], *cats)
+    base = base.withColumn("failed", F.col("label"))
+    train, test = train_test(base, cutoff, target="failed")
+    return train, test, nums, cats
 
 
-def preprocessor(numeric, categorical, scale: bool = True) -> list:
-    """M3 + M4 + M14 + M16 stages (fitted on whatever data the pipeline is fitted on)."""
+def _quoted(x: str) -> str:
+    return "'" + x.replace("\\", "\\\\").replace("'", "\\'") + "'"
+
+
+def category_rules(fit: DataFrame, cats, rare_min: int | None) -> SQLTransformer:
+    """M13 + M15 fitted on ``fit``: NULL -> the most frequent value, then a value
+    seen fewer than ``rare_min`` times -> one pooled value.
+
+    A stage of the pipeline (it is saved with the model).  The values it names
+    are labels of a category, as the indexer behind it holds them too.
+    """
+    modes = {r["feature"]: r["mode"] for r in ST.mode_values(fit, cats).select("feature", "mode").collect()}
+    out = []
+    for c in cats:
+        value = f"coalesce(`{c}`, {_quoted(modes[c])})" if modes.get(c) is not None else f"`{c}`"
+        if rare_min:
+            counts = (fit.select(F.coalesce(F.col(c), F.lit(modes.get(c))).alias("v")).groupBy("v")
+                      .agg(F.count(F.lit(1)).alias("n")).filter((F.col("n") < rare_min) & F.col("v").isNotNull()))
+            rare = sorted(r["v"] for r in counts.select("v").collect())
+            if rare:
+                value = f"CASE WHEN {value} IN ({', '.join(map(_quoted, rare))}) THEN '{INFREQUENT}' ELSE {value} END"
+        out.append(f"{value} AS `_cat_{c}`")
+    return SQLTransformer(statement=f"SELECT *, {', '.join(out)} FROM __THIS__")
+
+
+def preprocessor(numeric, categorical, fit: DataFrame, rare_min: int | None = None, scale: bool = True) -> PipelineModel:
+    """M3 + M4 + M13-M16 fitted on ``fit`` alone: category rules, median impute,
+    z-score, string index, one-hot, one feature vector."""
     imp_out = [f"_imp_{c}" for c in numeric]
-    stages = [Imputer(inputCols=list(numeric), outputCols=imp_out, strategy="median"),
-              VectorAssembler(inputCols=imp_out, outputCol="_num", handleInvalid="keep")]
+    stages = [category_rules(fit, categorical, rare_min)] if categorical else []
+    stages += [Imputer(inputCols=list(numeric), outputCols=imp_out, strategy="median"),
+               VectorAssembler(inputCols=imp_out, outputCol="_num", handleInvalid="keep")]
     num_vec = "_num"
     if scale:
         stages.append(StandardScaler(inputCol="_num", outputCol="_num_z", withMean=True, withStd=True))
         num_vec = "_num_z"
     idx = [f"_idx_{c}" for c in categorical]
     ohe = [f"_ohe_{c}" for c in categorical]
-    stages += [StringIndexer(inputCols=list(categorical), outputCols=idx, handleInvalid="keep",
-                             stringOrderType="alphabetAsc"),
-               OneHotEncoder(inputCols=idx, outputCols=ohe, dropLast=True, handleInvalid="keep"),
-               VectorAssembler(inputCols=[num_vec] + ohe, outputCol="features")]
-    return stages
-
-
-def model_frame(features: DataFrame, cutoff: str, rare_min: int | None = None, target: str = "failed"):
-    """Split, cast numeric inputs, pool rare categories (M15), fill modes (M13),
-    add class weights (M17) and stratified folds (M21) to the training rows."""
-    from .features import train_test
-    nums = S.resolve_features(features, S.NUMERIC_FEATURES)
-    cats = S.resolve_features(features, S.CATEGORICAL_FEATURES)
-    base = features.select("camis", "inspection_date", F.col(target).cast("int").alias("label"),
-                           *[F.col(c).cast("double").alias(c) for c in nums], *cats)
-    base = base.withColumn("failed", F.col("label"))
-    train, test = train_test(base, cutoff, target="failed")
-    if rare_min:
-        for c in cats:
-            test = ST.rare_category_pool(test, train, c, rare_min)
-            train = ST.rare_category_pool(train, train, c, rare_min)
-    train, test = fill_modes(train, train, cats), fill_modes(test, train, cats)
-    train = ST.with_class_weight(train, "label", "weight")
-    return train, test, nums, cats
+    if categorical:
+        stages += [StringIndexer(inputCols=[f"_cat_{c}" for c in categorical], outputCols=idx, handleInvalid="keep",
+                                 stringOrderType="alphabetAsc"),
+                   OneHotEncoder(inputCols=idx, outputCols=ohe, dropLast=True)]   # drops the indexer's unseen slot
+    stages.append(VectorAssembler(inputCols=[num_vec] + ohe, outputCol="features"))
+    return Pipeline(stages=stages).fit(fit)
 
 
 def _estimators(family: str, grid: dict, n_train: int):
-    if family == "logistic":
-        lr = LogisticRegression(labelCol="label", featuresCol="features", weightCol="weight",
-                                standardization=False, maxIter=100)
-        pairs = [(c, p) for c in grid["C"] for p in grid["penalty"]]
-        maps = []
-        for c, p in pairs:
-            maps.append({lr.regParam: 1.0 / (c * n_train), lr.elasticNetParam: 1.0 if p == "l1" else 0.0})
-        return lr, maps, [f"C={c}, penalty={p}" for c, p in pairs]
-    if family == "forest":
-        rf = RandomForestClassifier(labelCol="label", featuresCol="features", weightCol="weight",
-                                    featureSubsetStrategy="sqrt", seed=S.SEED)
-        maps, names = [], []
+    """(estimator, parameter text) for every point of a grid."""
+    out = []
+    if family.startswith("logistic"):
+        for c in grid["C"]:
+            for p in grid["penalty"]:
+                out.append((LogisticRegression(labelCol="label", featuresCol="features", weightCol="weight",
+                                               standardization=False, maxIter=100, regParam=1.0 / (c * n_train),
+                                               elasticNetParam=1.0 if p == "l1" else 0.0), f"C={c}, penalty={p}"))
+    elif family == "forest":
         for t in grid["numTrees"]:
             for d in grid["maxDepth"]:
                 for m in grid["minInstancesPerNode"]:
-                    maps.append({rf.numTrees: t, rf.maxDepth: d, rf.minInstancesPerNode: m})
-                    names.append(f"trees={t}, depth={d}, leaf={m}")
-        return rf, maps, names
-    gbt = GBTClassifier(labelCol="label", featuresCol="features", seed=S.SEED)
-    maps, names = [], []
-    for it in grid["maxIter"]:
-        for lr_ in grid["stepSize"]:
-            for d in grid["maxDepth"]:
-                maps.append({gbt.maxIter: it, gbt.stepSize: lr_, gbt.maxDepth: d})
-                names.append(f"trees={it}, rate={lr_}, depth={d}")
-    return gbt, maps, names
+                    out.append((RandomForestClassifier(labelCol="label", featuresCol="features", weightCol="weight",
+                                                       featureSubsetStrategy="sqrt", seed=S.SEED, numTrees=t, maxDepth=d,
+                                                       minInstancesPerNode=m), f"trees={t}, depth={d}, leaf={m}"))
+    else:
+        for it in grid["maxIter"]:
+            for rate in grid["stepSize"]:
+                for d in grid["maxDepth"]:
+                    out.append((GBTClassifier(labelCol="label", featuresCol="features", seed=S.SEED, maxIter=it,
+                                              stepSize=rate, maxDepth=d), f"trees={it}, rate={rate}, depth={d}"))
+    return out
 
 
-def fit_family(train: DataFrame, nums, cats, family: str, grid: str = "small", parallelism: int = 2):
+def _vectors(prep: PipelineModel, fit: DataFrame, df: DataFrame) -> DataFrame:
+    """Feature vectors of ``df`` with the class weights (M17) of ``fit``, kept for all models of a fold."""
+    weight = F.lit(None).cast("double")
+    for r in ST.class_weights(fit, "label").collect():          # one row per class
+        weight = F.when(F.col("label") == r["label"], F.lit(float(r["weight"]))).otherwise(weight)
+    return prep.transform(df).select("label", weight.alias("weight"), "features").cache()
+
+
+def fit_family(train: DataFrame, nums, cats, family: str, grid: dict | None = None, rare_min: int | None = None,
+               parallelism: int = 4):
     """M16 + M18/M19/M20 + M21: grid search by stratified k-fold AUC, refit on all train.
 
-    Returns (best PipelineModel, table of (params, cv_auc) rows, best params text).
+    Preprocessing is fitted once per fold, on the fold's own training part only
+    (medians, modes, rare categories, scaling, class weights, and C's row count),
+    and its vectors are cached for all models of that fold.
+
+    Returns (best PipelineModel, table of (model, params, cv_auc) rows, best params text).
     """
-    g = GRIDS[grid][family]
-    train = train.cache()
-    n = train.count()
-    # the fold table feeds every fit of the grid: computed once and kept
-    folded = ST.stratified_folds(train, ["camis", "inspection_date"], g["folds"], label="label").cache()
-    est, maps, names = _estimators(family, g, n)
-    pipe = Pipeline(stages=preprocessor(nums, cats, scale=(family == "logistic")) + [est])
+    grid = grid or GRIDS[family]
+    scale = family.startswith("logistic")
     ev = BinaryClassificationEvaluator(labelCol="label", rawPredictionCol="rawPrediction",
                                        metricName="areaUnderROC", numBins=0)
-    cv = CrossValidator(estimator=pipe, estimatorParamMaps=maps, evaluator=ev, foldCol="fold",
-                        parallelism=parallelism, seed=S.SEED)
-    cvm = cv.fit(folded)
-    spark = train.sparkSession
-    table = spark.createDataFrame([(family, nm, float(m)) for nm, m in zip(names, cvm.avgMetrics)],
-                                  "model string, params string, cv_auc double")
-    best_i = max(range(len(names)), key=lambda i: cvm.avgMetrics[i])
-    train.unpersist()
+    folded = ST.stratified_folds(train, ["camis", "inspection_date"], grid["folds"], label="label").cache()
+    scores: list[list[float]] = []
+    for f in range(grid["folds"]):
+        own = folded.filter(F.col("fold") != f)
+        prep = preprocessor(nums, cats, own, rare_min, scale)
+        fit_rows, valid = _vectors(prep, own, own), _vectors(prep, own, folded.filter(F.col("fold") == f))
+        points = _estimators(family, grid, fit_rows.count())
+        with ThreadPool(parallelism) as pool:
+            scores.append(pool.map(lambda e: ev.evaluate(e[0].fit(fit_rows).transform(valid)), points))
+        fit_rows.unpersist()
+        valid.unpersist()
     folded.unpersist()
-    return cvm.bestModel, table, names[best_i]
+    mean = [sum(x) / len(x) for x in zip(*scores)]
+    best = max(range(len(mean)), key=lambda i: mean[i])        # the first one on ties
+    prep = preprocessor(nums, cats, train, rare_min, scale)
+    rows = _vectors(prep, train, train)
+    points = _estimators(family, grid, rows.count())
+    model = PipelineModel(stages=[*prep.stages, points[best][0].fit(rows)])
+    rows.unpersist()
+    table = train.sparkSession.createDataFrame([(family, name, float(m)) for (_, name), m in zip(points, mean)],
+                                               "model string, params string, cv_auc double")
+    return model, table, points[best][1]
+
+
+def best_family(comparison: DataFrame) -> tuple[str, float]:
+    """Name and AUC of the best row of a model comparison (a row per family; ties by name)."""
+    r = comparison.orderBy(F.col("roc_auc").desc(), "model").first()
+    return r["model"], r["roc_auc"]
 
 
 def score(model: PipelineModel, df: DataFrame, threshold: float = S.FINAL_THRESHOLD) -> DataFrame:
@@ -175,8 +209,8 @@ def feature_importance(spark: SparkSession, model: PipelineModel, nums, cats, k:
             else last.featureImportances.toArray())
     names = slot_names(model, nums, cats)
     df = spark.createDataFrame([(n, float(v)) for n, v in zip(names, vals)], "feature string, importance double")
-    top = df.withColumn("abs_importance", F.abs("importance")).orderBy(F.col("abs_importance").desc()).limit(k)
-    return top.orderBy("abs_importance").withColumn("feature_clean", readable(F.col("feature")))
+    top = df.withColumn("abs_importance", F.abs("importance")).orderBy(F.col("abs_importance").desc(), "feature").limit(k)
+    return top.orderBy("abs_importance", F.col("feature").desc()).withColumn("feature_clean", readable(F.col("feature")))
 
 
 def pca_fit(df: DataFrame, cols, k: int | None = None):
@@ -213,13 +247,17 @@ def pca_loadings(spark: SparkSession, model: PipelineModel, cols) -> DataFrame:
     return spark.createDataFrame(rows, "feature string, component string, loading double")
 
 
-def pca_scores(model: PipelineModel, df: DataFrame, cols, keys=("camis", "inspection_date")) -> DataFrame:
-    """M8: PC1 / PC2 scores per row (sign convention of ``pca_loadings``)."""
+def pca_scores(model: PipelineModel, df: DataFrame, cols, keys=("camis", "inspection_date"), carry=("failed",)) -> DataFrame:
+    """M8: PC1 / PC2 scores per row (sign convention of ``pca_loadings``), with the ``carry`` columns."""
     pc = model.stages[-1].pc.toArray()
     signs = [1.0 if pc[abs(pc[:, j]).argmax(), j] >= 0 else -1.0 for j in range(2)]
-    t = model.transform(df.select(*keys, "failed", *[F.col(c).cast("double").alias(c) for c in cols]))
+    t = model.transform(df.select(*keys, *carry, *[F.col(c).cast("double").alias(c) for c in cols]))
     arr = vector_to_array("pcs")
-    return t.select(*keys, "failed", (arr[0] * signs[0]).alias("pc1"), (arr[1] * signs[1]).alias("pc2"))
+    return t.select(*keys, *carry, (arr[0] * signs[0]).alias("pc1"), (arr[1] * signs[1]).alias("pc2"))
+
+
+#: Published restarts of the sweep and of the final fit.
+SWEEP_RESTARTS, FINAL_RESTARTS = 25, 50
 
 
 def cluster_matrix(df: DataFrame, cols):
@@ -234,20 +272,19 @@ def cluster_matrix(df: DataFrame, cols):
 
 def kmeans_best_of(X: DataFrame, k: int, seeds) -> "object":
     """Several seeded restarts, keep the lowest training cost."""
-    best = None
-    for s in seeds:
-        m = KMeans(k=k, seed=s, featuresCol="features", predictionCol="cluster", maxIter=50).fit(X)
-        cost = m.summary.trainingCost
-        if best is None or cost < best[0]:
-            best = (cost, m)
-    return best[1]
+    def fit(seed):
+        m = KMeans(k=k, seed=seed, featuresCol="features", predictionCol="cluster", maxIter=50).fit(X)
+        return m.summary.trainingCost, seed, m
+
+    with ThreadPool(4) as pool:
+        return min(pool.imap(fit, seeds), key=lambda r: r[:2])[2]
 
 
-def kmeans_sweep(X: DataFrame, ks=range(2, 9), seeds=(1, 2, 3), silhouette_n: int = 10000):
+def kmeans_sweep(X: DataFrame, ks=range(2, 9), seeds=range(SWEEP_RESTARTS), silhouette_n: int = 10000):
     """M9 + M10: inertia and Euclidean silhouette (on a seeded sample) per k."""
     from .summary import seeded_sample
     spark = X.sparkSession
-    sample = seeded_sample(X, ["camis", "inspection_date"], silhouette_n).cache()
+    sample = written(seeded_sample(X, ["camis", "inspection_date"], silhouette_n), "sample")
     rows = []
     for k in ks:
         m = kmeans_best_of(X, k, seeds)
@@ -256,5 +293,4 @@ def kmeans_sweep(X: DataFrame, ks=range(2, 9), seeds=(1, 2, 3), silhouette_n: in
         flat = sp.select("cluster", *[F.col("f")[i].alias(f"x{i}") for i in range(dim)])
         sil = ST.silhouette_euclidean(flat, [f"x{i}" for i in range(dim)]).first()["silhouette"]
         rows.append((int(k), float(m.summary.trainingCost), float(sil)))
-    sample.unpersist()
     return spark.createDataFrame(rows, "k int, inertia double, silhouette double")

@@ -196,6 +196,33 @@ def global_rank(df: DataFrame, order_cols, out: str = "_rank") -> DataFrame:
     return running_totals(df, order_cols, {out: F.lit(1).cast("long")})
 
 
+def box_stats_ranked(df: DataFrame, value: str, group: str, keys) -> DataFrame:
+    """A21 for a value with very many distinct values: the same columns as
+    ``box_stats`` with quartiles read off the global rank, so no task keeps a map
+    of a group's values.
+
+    Rank (group, value, keys), then a quartile at position p = share * (n - 1)
+    is the linear interpolation of the rows at floor(p) and ceil(p) of the group.
+    """
+    v = F.col(value)
+    base = df.filter(v.isNotNull() & F.col(group).isNotNull()).select(group, v.alias("_v"), *keys)
+    r = global_rank(base, [group, "_v", *keys], "_rank")
+    sizes = base.groupBy(group).agg(F.count(F.lit(1)).alias("_n"))                     # a row per group
+    first = F.coalesce(F.sum("_n").over(Window.orderBy(group).rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    j = r.join(sizes.withColumn("_first", first), group).withColumn("_at", F.col("_rank") - F.col("_first") - 1)
+    aggs = []
+    for name, share in (("q1", 0.25), ("median", 0.5), ("q3", 0.75)):
+        p = (F.col("_n") - 1) * F.lit(share)
+        low, high = (F.max(F.when(F.col("_at") == f(p), F.col("_v"))) for f in (F.floor, F.ceil))
+        aggs.append((low + (high - low) * F.max(p - F.floor(p))).alias(name))
+    q = j.groupBy(group).agg(*aggs)
+    lo, hi = (F.col("q1") - 1.5 * (F.col("q3") - F.col("q1")), F.col("q3") + 1.5 * (F.col("q3") - F.col("q1")))
+    inside = (F.col("_v") >= lo) & (F.col("_v") <= hi)
+    return base.join(q, group).groupBy(group, "q1", "median", "q3").agg(
+        F.count(F.lit(1)).alias("n"), F.min(F.when(inside, F.col("_v"))).alias("whisker_lo"),
+        F.max(F.when(inside, F.col("_v"))).alias("whisker_hi"), F.count_if(~inside).cast("long").alias("n_outliers"))
+
+
 def rank_quartiles(df: DataFrame, value: str, keys, out: str, labels) -> DataFrame:
     """``qcut(rank(method='first'), 4)`` — rank with ties broken by the
     key order, quartile = max(1, ceil(4 (r-1) / (n-1))).

@@ -19,46 +19,64 @@ CUT = S.STANDIN_CUTOFF
 _fits: dict = {}
 
 
-def _frame(spark, d, rare_min=None):
-    key = (spark.sparkContext.applicationId, d, "frame", rare_min)
+def _frame(spark, d):
+    key = (spark.sparkContext.applicationId, d, "frame")
     if key not in _fits:
-        train, test, nums, cats = MD.model_frame(B.features(spark, d), CUT, rare_min=rare_min)
+        train, test, nums, cats = MD.model_frame(B.features(spark, d), CUT)
         _fits[key] = (train.cache(), test.cache(), nums, cats)
     return _fits[key]
 
 
-def _fit(spark, d, family, grid="small", rare_min=None):
-    key = (spark.sparkContext.applicationId, d, family, grid, rare_min)
+def _fit(spark, d, family):
+    """A family's published search, done once per session and input."""
+    key = (spark.sparkContext.applicationId, d, family)
     if key not in _fits:
-        train, test, nums, cats = _frame(spark, d, rare_min)
-        _fits[key] = MD.fit_family(train, nums, cats, family, grid)
+        train, _, nums, cats = _frame(spark, d)
+        _fits[key] = MD.fit_family(train, nums, cats, family, rare_min=MD.COMPARED.get(family))
+    return _fits[key]
+
+
+def _scored(spark, d, family):
+    return MD.score(_fit(spark, d, family)[0], _frame(spark, d)[1]).select("label", "prob")
+
+
+def _best(spark, d):
+    """(family, test AUC) of the best compared model."""
+    key = (spark.sparkContext.applicationId, d, "best")
+    if key not in _fits:
+        _fits[key] = MD.best_family(model_comparison(spark, d))
     return _fits[key]
 
 
 @query("fit_logistic")
 def fit_logistic(spark, d):
-    """M18 + M21: logistic grid (regParam = 1/(C n), L1/L2) by stratified-fold AUC."""
+    """M18 + M21: the stage-4 logistic search (4 C x L1/L2, regParam = 1/(C n)) by 5-fold AUC."""
     return _fit(spark, d, "logistic")[1]
 
 
+@query("fit_logistic_pooled")
+def fit_logistic_pooled(spark, d):
+    """M18 + M15: the stage-5 logistic search with rare categories pooled, 3 folds."""
+    return _fit(spark, d, "logistic_pooled")[1]
+
+
 @query("fit_forest")
 def fit_forest(spark, d):
-    """Random-forest grid (sqrt features, balanced weights)."""
-    return _fit(spark, d, "forest", rare_min=20)[1]
+    """Random-forest search (8 points, sqrt features, balanced weights, 3 folds)."""
+    return _fit(spark, d, "forest")[1]
 
 
 @query("fit_boosted")
 def fit_boosted(spark, d):
-    """Gradient-boosted trees grid (unweighted)."""
-    return _fit(spark, d, "boosted", rare_min=20)[1]
+    """Gradient-boosted trees search (8 points, unweighted, 3 folds)."""
+    return _fit(spark, d, "boosted")[1]
 
 
 @query("pipeline_fit")
 def pipeline_fit(spark, d):
     """M16 + M22: fit-on-train pipeline, class-1 probability on the test rows."""
     model = _fit(spark, d, "logistic")[0]
-    _, test, _, _ = _frame(spark, d)
-    return MD.score(model, test).select("camis", "inspection_date", "label", "prob")
+    return MD.score(model, _frame(spark, d)[1]).select("camis", "inspection_date", "label", "prob")
 
 
 @query("one_hot")
@@ -70,6 +88,34 @@ def one_hot(spark, d):
     return spark.createDataFrame(list(enumerate(names)), "slot int, feature string")
 
 
+_CATS_SQL = " UNION ALL ".join(
+    f"SELECT camis, inspection_date, '{c}' AS feature, CASE WHEN {c} IN (SELECT {c} FROM fe WHERE failed IS NOT NULL AND "
+    f"inspection_date < DATE '{CUT}') THEN {c} END AS slot FROM test" for c in S.CATEGORICAL_FEATURES)
+
+
+@query("one_hot_rows", rounded(
+    f"SELECT * FROM ({_CATS_SQL}) r WHERE slot IS NOT NULL", [],
+    f"test AS (SELECT * FROM fe WHERE failed IS NOT NULL AND inspection_date >= DATE '{CUT}')"))
+def one_hot_rows(spark, d):
+    """The slot that each test row sets per category; a value unseen in training sets none
+    (a missing value would take the training mode; the inputs have none)."""
+    train, test, nums, cats = _frame(spark, d)
+    key = (spark.sparkContext.applicationId, d, "encoder")
+    if key not in _fits:
+        _fits[key] = MD.preprocessor(nums, cats, train)
+    prep = _fits[key]
+    labels = [st for st in prep.stages if st.__class__.__name__ == "StringIndexerModel"][0].labelsArray
+    rows = prep.transform(test)
+    from pyspark.ml.functions import vector_to_array
+    parts = [rows.select("camis", "inspection_date", F.lit(c).alias("feature"), F.get(
+        F.array(*[F.lit(x) for x in names]), (F.array_position(vector_to_array(f"_ohe_{c}"), F.lit(1.0)) - 1).cast("int")).alias("slot"))
+        for c, names in zip(cats, labels)]
+    out = parts[0]
+    for p in parts[1:]:
+        out = out.unionByName(p)
+    return out.filter(F.col("slot").isNotNull())
+
+
 @query("coefficients")
 def coefficients(spark, d):
     """M23 + F7 + F8: logistic coefficients with readable names, |coef| (rounded) and odds ratios."""
@@ -80,74 +126,65 @@ def coefficients(spark, d):
 
 @query("odds_ratios")
 def odds_ratios(spark, d):
-    """F7 + O5 + U2: top-15 positive and top-15 negative coefficients with odds ratios."""
+    """F7 + O5 + U2: top-15 positive and top-15 negative coefficients with odds ratios (ties by name)."""
     c = coefficients(spark, d)
-    pos = c.filter(F.col("coefficient") > 0).orderBy(F.col("coefficient").desc()).limit(15)
-    neg = c.filter(F.col("coefficient") < 0).orderBy(F.col("coefficient").asc()).limit(15)
+    pos = c.filter(F.col("coefficient") > 0).orderBy(F.col("coefficient").desc(), "feature").limit(15)
+    neg = c.filter(F.col("coefficient") < 0).orderBy(F.col("coefficient").asc(), "feature").limit(15)
     return pos.unionByName(neg)
 
 
 @query("feature_importance")
 def feature_importance(spark, d):
-    """Top-15 importances of the forest (|value| order, then ascending)."""
-    model = _fit(spark, d, "forest", rare_min=20)[0]
-    _, _, nums, cats = _frame(spark, d, rare_min=20)
+    """Top-15 importances of the best model (|value| order, then ascending)."""
+    model = _fit(spark, d, _best(spark, d)[0])[0]
+    _, _, nums, cats = _frame(spark, d)
     return MD.feature_importance(spark, model, nums, cats)
 
 
-def _test_metrics(spark, d, family, rare_min=None, threshold=0.5):
-    model, _, best = _fit(spark, d, family, rare_min=rare_min)
-    _, test, _, _ = _frame(spark, d, rare_min)
-    sc = MD.score(model, test).select("label", "prob")
-    return EV.metric_row(family, sc, threshold).withColumn("best_params", F.lit(best))
-
-
 @query("model_comparison")
 def model_comparison(spark, d):
-    """V7: test metrics of the three families at 0.50, ordered by AUC."""
-    rows = [_test_metrics(spark, d, "logistic"), _test_metrics(spark, d, "forest", 20),
-            _test_metrics(spark, d, "boosted", 20)]
-    out = rows[0].unionByName(rows[1]).unionByName(rows[2])
-    return out.orderBy(F.col("roc_auc").desc())
+    """V7: test metrics of the three stage-5 models at 0.50, ordered by AUC."""
+    rows = None
+    for family in MD.COMPARED:
+        row = EV.metric_row(family, _scored(spark, d, family), 0.5).withColumn("best_params", F.lit(_fit(spark, d, family)[2]))
+        rows = row if rows is None else rows.unionByName(row)
+    return rows.orderBy(F.col("roc_auc").desc(), "model")
 
 
 @query("final_metrics")
 def final_metrics(spark, d):
-    """V8 + O7: the logistic model at its best-F1 threshold, with the reason text."""
-    model = _fit(spark, d, "logistic")[0]
-    _, test, _, _ = _frame(spark, d)
-    sc = MD.score(model, test).select("label", "prob").cache()
-    best = EV.best_threshold(EV.threshold_sweep(sc))
-    t = best.first()["threshold"]
-    return EV.metric_row("logistic", sc, t).withColumn(
-        "reason", F.lit("highest test AUC; threshold tuned for F1"))
+    """V8 + O7: the best model by test AUC at its best-F1 threshold, with the reason."""
+    family, auc = _best(spark, d)
+    sc = _scored(spark, d, family)
+    t = EV.best_threshold(EV.threshold_sweep(sc)).first()["threshold"]
+    return EV.metric_row(family, sc, t).withColumn("reason", F.lit(
+        f"highest test AUC of {len(MD.COMPARED)} models ({auc:.4f}); threshold with the best F1"))
 
 
 @query("final_metrics_train_tuned")
 def final_metrics_train_tuned(spark, d):
     """V8 + O7 (H6 option): threshold tuned on the latest 20% of the training period,
     then applied unchanged to the test rows."""
-    model = _fit(spark, d, "logistic")[0]
-    train, test, _, _ = _frame(spark, d)
+    family, _ = _best(spark, d)
+    model = _fit(spark, d, family)[0]
+    train = _frame(spark, d)[0]
     cut = train.agg(F.percentile(F.unix_date("inspection_date"), 0.8)).scalar()
     tail = MD.score(model, train.filter(F.unix_date("inspection_date") >= cut)).select("label", "prob")
     t = EV.best_threshold(EV.threshold_sweep(tail)).first()["threshold"]
-    sc = MD.score(model, test).select("label", "prob")
-    return EV.metric_row("logistic", sc, t).withColumn("tuned_on", F.lit("train tail (latest 20%)"))
+    return EV.metric_row(family, _scored(spark, d, family), t).withColumn("tuned_on", F.lit("train tail (latest 20%)"))
 
 
 @query("score_batch")
 def score_batch(spark, d):
-    """Score any number of rows: probability and prediction at the tuned threshold."""
-    model = _fit(spark, d, "logistic")[0]
-    _, test, _, _ = _frame(spark, d)
-    return MD.score(model, test, S.FINAL_THRESHOLD).select("camis", "inspection_date", "label", "prob", "predicted")
+    """Score any number of rows with the best model: probability and prediction at the tuned threshold."""
+    model = _fit(spark, d, _best(spark, d)[0])[0]
+    return MD.score(model, _frame(spark, d)[1], S.FINAL_THRESHOLD).select("camis", "inspection_date", "label", "prob", "predicted")
 
 
 @query("scored_sample")
 def scored_sample(spark, d):
-    """The first 50 scored rows in key order, with their inputs."""
-    model = _fit(spark, d, "logistic")[0]
+    """The first 50 rows scored by the best model in key order, with their inputs."""
+    model = _fit(spark, d, _best(spark, d)[0])[0]
     _, test, nums, cats = _frame(spark, d)
     p = MD.score(model, test, S.FINAL_THRESHOLD)
     return (p.select(F.col("label").alias("Actual_Label"), F.col("predicted").alias("Predicted_Label"),
@@ -198,14 +235,13 @@ def histogram_pc1(spark, d):
 @query("box_pc1")
 def box_pc1(spark, d):
     """Box statistics of PC1 by region."""
-    scores = MD.pca_scores(_pca(spark, d), B.clean(spark, d), S.PCA_FEATURES)
-    regions = B.clean(spark, d).select("camis", "inspection_date", "boro")
-    return SM.box_stats(scores.join(regions, ["camis", "inspection_date"]), "pc1", "boro")
+    scores = MD.pca_scores(_pca(spark, d), B.clean(spark, d), S.PCA_FEATURES, carry=("boro",))
+    return SM.box_stats_ranked(scores, "pc1", "boro", ["camis", "inspection_date"])
 
 
 @query("kmeans_sweep")
 def kmeans_sweep(spark, d):
-    """M9 + M10: inertia and Euclidean silhouette for k = 2..8 (3 seeded restarts)."""
+    """M9 + M10: inertia and Euclidean silhouette for k = 2..8 (25 seeded restarts)."""
     return MD.kmeans_sweep(_cluster_X(spark, d))
 
 
@@ -230,7 +266,7 @@ def kmeans_final(spark, d):
     X = _cluster_X(spark, d)
     sweep = MD.kmeans_sweep(X, ks=(3, 4))
     k = sweep.orderBy(F.col("silhouette").desc(), "k").first()["k"]
-    m = MD.kmeans_best_of(X, k, seeds=(1, 2, 3, 4, 5))
+    m = MD.kmeans_best_of(X, k, seeds=range(MD.FINAL_RESTARTS))
     assigned = m.transform(X).select("camis", "inspection_date", F.col("cluster").cast("int"))
     c = B.clean(spark, d).join(assigned, ["camis", "inspection_date"])
     return finish(ST.cluster_names(cluster_profile_of(c)))

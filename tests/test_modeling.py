@@ -6,6 +6,8 @@ import pandas as pd
 from inspectra.operators import modeling as MD
 from inspectra.sources import sinks
 
+SMALL = {"C": [0.1, 1.0], "penalty": ["l2"], "folds": 3}
+
 
 def test_logistic_pipeline_and_roundtrip(spark, tmpdir_path):
     rng = np.random.default_rng(0)
@@ -15,7 +17,7 @@ def test_logistic_pipeline_and_roundtrip(spark, tmpdir_path):
     pdf = pd.DataFrame({"camis": [f"k{i}" for i in range(n)], "inspection_date": ["2020-01-01"] * n,
                         "label": y, "x": x, "cat": np.where(rng.random(n) < 0.5, "a", "b"), "weight": 1.0})
     train = spark.createDataFrame(pdf)
-    model, table, best = MD.fit_family(train, ["x"], ["cat"], "logistic", "small")
+    model, table, best = MD.fit_family(train, ["x"], ["cat"], "logistic", SMALL)
     assert table.count() == 2
     scored = MD.score(model, train)
     from inspectra.operators.evaluation import roc_auc
@@ -37,6 +39,48 @@ def test_logistic_deterministic_across_partitionings(spark):
     base = spark.createDataFrame(pdf)
     coefs = []
     for parts in (2, 5):
-        model, _, _ = MD.fit_family(base.repartition(parts), ["x"], ["cat"], "logistic", "small")
+        model, _, _ = MD.fit_family(base.repartition(parts), ["x"], ["cat"], "logistic", SMALL)
         coefs.append(model.stages[-1].coefficients.toArray())
     assert np.allclose(coefs[0], coefs[1], atol=1e-6)
+
+
+def _train(spark, n=240):
+    rng = np.random.default_rng(5)
+    x = rng.normal(0, 1, n)
+    return spark.createDataFrame(pd.DataFrame({
+        "camis": [f"k{i}" for i in range(n)], "inspection_date": ["2020-01-01"] * n, "label": (x > 0).astype(int), "x": x,
+        "cat": [None if i % 9 == 0 else "rare" if i % 40 == 1 else "it's" if i % 2 else "b" for i in range(n)]}))
+
+
+def test_five_folds_and_l1(spark):
+    grid = {"C": [1.0], "penalty": ["l1", "l2"], "folds": 5}
+    _, table, best = MD.fit_family(_train(spark), ["x"], ["cat"], "logistic", grid, rare_min=20)
+    assert [r.params for r in table.collect()] == ["C=1.0, penalty=l1", "C=1.0, penalty=l2"] and best.startswith("C=1.0")
+
+
+def test_tree_families_run(spark):
+    train = _train(spark, 120)
+    for family, grid in (("forest", {"numTrees": [3], "maxDepth": [3], "minInstancesPerNode": [1], "folds": 2}),
+                         ("boosted", {"maxIter": [3], "stepSize": [0.1], "maxDepth": [2], "folds": 2})):
+        model, table, _ = MD.fit_family(train, ["x"], ["cat"], family, grid, rare_min=20)
+        assert table.count() == 1 and MD.score(model, train).count() == 120
+        assert MD.feature_importance(spark, model, ["x"], ["cat"]).count() >= 2
+
+
+def test_preprocessing_sees_its_own_rows_only(spark):
+    train = _train(spark)
+    prep = MD.preprocessor(["x"], ["cat"], train.filter("cat IS NULL OR cat <> 'b'"), rare_min=20)
+    labels = [s for s in prep.stages if s.__class__.__name__ == "StringIndexerModel"][0].labelsArray[0]
+    assert list(labels) == ["__infrequent__", "it's"]
+    got = {r.cat: r._cat_cat for r in prep.transform(train).collect()}
+    assert got == {None: "it's", "rare": "__infrequent__", "it's": "it's", "b": "b"}  # b is unseen: no slot
+    row = prep.transform(train.filter("cat = 'b'")).first()
+    assert row["_ohe_cat"].toArray().sum() == 0
+
+
+def test_each_family_can_be_the_best(spark):
+    names = list(MD.COMPARED)
+    for k, name in enumerate(names):
+        rows = [(n, 0.6 if i == k else 0.5) for i, n in enumerate(names)]
+        assert MD.best_family(spark.createDataFrame(rows, "model string, roc_auc double")) == (name, 0.6)
+    assert MD.best_family(spark.createDataFrame([("b", 0.5), ("a", 0.5)], "model string, roc_auc double"))[0] == "a"

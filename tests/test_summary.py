@@ -78,3 +78,14 @@ def test_seeded_sample_equals_full_order(spark):
               .orderBy("_h", "camis").limit(50))
     assert got == [r.camis for r in full.collect()]
     assert SM.seeded_sample(df, ["camis"], 5000).count() == 2000
+
+
+def test_box_stats_ranked_equals_box_stats(spark):
+    import random
+    rng = random.Random(4)
+    rows = [(i, "ab"[i % 3 == 0], None if i % 17 == 0 else round(rng.gauss(0, 3), 2)) for i in range(200)] + [(999, "c", 1.5)]
+    df = spark.createDataFrame(rows, "k int, g string, v double")
+    want = {r.g: r for r in SM.box_stats(df, "v", "g").collect()}
+    for r in SM.box_stats_ranked(df, "v", "g", ["k"]).collect():
+        w = want[r.g]
+        assert all(abs(r[c] - w[c]) < 1e-9 for c in ("q1", "median", "q3", "whisker_lo", "whisker_hi")) and (r.n, r.n_outliers) == (w.n, w.n_outliers)
