@@ -70,14 +70,18 @@ def op7_warc_transactions(spark: SparkSession, sf_dir: str) -> DataFrame:
     scratch = Scratch(spark, "warc")
     path = f"{scratch.root}/archives"
     warc.write_archives(read_table(spark, sf_dir, "pages", "page_id", "url", "html"), path, scratch)
-    records = scratch.table(warc.read_records(spark, path), "records")  # parsed once; ids and blocks are read apart
+    # read once; of a body only its size and digest go on into the joins
     body, full = warc.http_body(F.col("block")), F.col("record_type") == "response"
     stated = F.substring_index(F.element_at("headers", "warc-payload-digest"), ":", -1)
+    records = scratch.table(warc.read_records(spark, path).select(
+        "record_id", "record_type", "concurrent_to", F.col("refers_to").alias("first"),
+        F.when(full, F.octet_length(body)).cast("long").alias("size"), F.when(full, F.sha2(body, 256)).otherwise(stated).alias("payload_digest"),
+        F.when(F.col("record_type").isin("request", "metadata"), F.col("block")).alias("block")), "records")
+    field = lambda name: warc.field(F.col("metadata.block"), name).cast("long")
     captures = warc.assemble(records).select(
-        "capture_id", "record_type", F.col("refers_to").alias("first"),
-        warc.field(F.col("metadata.block"), "page-id").cast("long").alias("page_id"),
-        F.when(full, F.octet_length(body)).otherwise(warc.field(F.col("metadata.block"), "payload-bytes")).cast("long").alias("payload_bytes"),
-        F.when(full, F.sha2(body, 256)).otherwise(stated).alias("payload_digest"))
+        "capture_id", "record_type", "first", field("page-id").alias("page_id"),
+        F.coalesce("size", field("payload-bytes")).alias("payload_bytes"), "payload_digest")
+    full = F.col("record_type") == "response"
     captures = scratch.table(captures, "captures")
     ids = captures.where(full).groupBy(F.col("capture_id").alias("id")).agg(F.min("page_id").alias("refers_to"))
     revisits = captures.where(~full).join(ids, F.col("first") == F.col("id"), "left")

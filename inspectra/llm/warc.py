@@ -191,8 +191,10 @@ def read_records(spark: SparkSession, path: str) -> DataFrame:
 
 
 def assemble(records: DataFrame) -> DataFrame:
-    """One row per response or revisit record: capture_id, record_type, refers_to, target_uri, headers, block, request, metadata.
+    """One row per response or revisit record: its columns (record_id as capture_id), request and metadata (record_id, block).
 
+    ``records`` needs record_id, record_type, concurrent_to and block; who needs
+    no bodies derives what is wanted of them first and doesn't shuffle them.
     A request or metadata record belongs to the capture it is concurrent to,
     stated by either side or through the other one (metadata -> request ->
     response).  Of several requests (or metadata records) of a capture the one
@@ -214,7 +216,7 @@ def assemble(records: DataFrame) -> DataFrame:
                 .join(owner, F.col("record_id") == F.col("id"))
                 .groupBy("capture_id").agg(*(F.min(F.when(F.col("record_type") == t, F.struct("record_id", "block"))).alias(t)
                                              for t in ("request", "metadata"))))
-    captures = records.where(main).select(F.col("record_id").alias("capture_id"), "record_type", "refers_to", "target_uri", "headers", "block")
+    captures = records.where(main).withColumnRenamed("record_id", "capture_id").drop("concurrent_to")
     return captures.join(partners, "capture_id", "left")
 
 
