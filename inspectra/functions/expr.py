@@ -40,12 +40,6 @@ def nan_to_null(c) -> Column:
     return F.when(F.isnan(c), F.lit(None).cast("double")).otherwise(c)
 
 
-def to_double(c) -> Column:
-    """``to_numeric(errors='coerce')`` under ANSI mode."""
-    return nan_to_null(F.expr(f"try_cast({c} AS DOUBLE)") if isinstance(c, str)
-                       else c.try_cast("double"))
-
-
 def safe_div(a, b) -> Column:
     """Division where x/0 gives NULL (pandas gives inf, later swept to NaN)."""
     return F.try_divide(col(a), col(b))

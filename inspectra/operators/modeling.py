@@ -32,6 +32,9 @@ GRIDS = {
 #: Stage 5 families, in the published order, with the rows a category needs to keep a slot of its own.
 COMPARED = {"logistic_pooled": 20, "forest": 20, "boosted": 20}
 INFREQUENT = "__infrequent__"
+#: Rows a task of a fit holds: a fit is many short jobs, so small data goes in few partitions and the models of a
+#: fold are fitted side by side.
+ROWS_PER_TASK = 20_000
 
 
 def model_frame(features: DataFrame, cutoff: str, target: str = "failed"):
@@ -122,11 +125,12 @@ def _vectors(prep: PipelineModel, fit: DataFrame, df: DataFrame) -> DataFrame:
     weight = F.lit(None).cast("double")
     for r in ST.class_weights(fit, "label").collect():          # one row per class
         weight = F.when(F.col("label") == r["label"], F.lit(float(r["weight"]))).otherwise(weight)
-    return prep.transform(df).select("label", weight.alias("weight"), "features").cache()
+    out = prep.transform(df).select("label", weight.alias("weight"), "features")
+    return out.coalesce(max(1, -(-df.count() // ROWS_PER_TASK))).cache()
 
 
 def fit_family(train: DataFrame, nums, cats, family: str, grid: dict | None = None, rare_min: int | None = None,
-               parallelism: int = 4):
+               parallelism: int | None = None):
     """M16 + M18/M19/M20 + M21: grid search by stratified k-fold AUC, refit on all train.
 
     Preprocessing is fitted once per fold, on the fold's own training part only
@@ -136,6 +140,7 @@ def fit_family(train: DataFrame, nums, cats, family: str, grid: dict | None = No
     Returns (best PipelineModel, table of (model, params, cv_auc) rows, best params text).
     """
     grid = grid or GRIDS[family]
+    parallelism = parallelism or train.sparkSession.sparkContext.defaultParallelism
     scale = family.startswith("logistic")
     ev = BinaryClassificationEvaluator(labelCol="label", rawPredictionCol="rawPrediction",
                                        metricName="areaUnderROC", numBins=0)
@@ -261,13 +266,13 @@ SWEEP_RESTARTS, FINAL_RESTARTS = 25, 50
 
 
 def cluster_matrix(df: DataFrame, cols):
-    """Median impute + z-score the clustering inputs once, cached for the sweep (M9)."""
+    """Median impute + z-score the clustering inputs once, for the caller to cache (M9)."""
     stages = [Imputer(inputCols=list(cols), outputCols=[f"_i_{c}" for c in cols], strategy="median"),
               VectorAssembler(inputCols=[f"_i_{c}" for c in cols], outputCol="_v"),
               StandardScaler(inputCol="_v", outputCol="features", withMean=True, withStd=True)]
     src = df.select("camis", "inspection_date", *[F.col(c).cast("double").alias(c) for c in cols])
     m = Pipeline(stages=stages).fit(src)
-    return m.transform(src).select("camis", "inspection_date", "features")
+    return m.transform(src).select("camis", "inspection_date", "features").coalesce(max(1, -(-src.count() // ROWS_PER_TASK)))
 
 
 def kmeans_best_of(X: DataFrame, k: int, seeds) -> "object":
@@ -276,7 +281,7 @@ def kmeans_best_of(X: DataFrame, k: int, seeds) -> "object":
         m = KMeans(k=k, seed=seed, featuresCol="features", predictionCol="cluster", maxIter=50).fit(X)
         return m.summary.trainingCost, seed, m
 
-    with ThreadPool(4) as pool:
+    with ThreadPool(X.sparkSession.sparkContext.defaultParallelism) as pool:
         return min(pool.imap(fit, seeds), key=lambda r: r[:2])[2]
 
 

@@ -55,12 +55,6 @@ def global_quantiles(df: DataFrame, col: str, ps=(0.25, 0.5, 0.75), approx: bool
     return df.agg(*[quantile(col, p, approx).alias(f"p{int(round(p * 100))}") for p in ps])
 
 
-def with_scalars(df: DataFrame, scalars: DataFrame) -> DataFrame:
-    """Attach the columns of a one-row aggregate to every row, each as an
-    uncorrelated scalar subquery (evaluated once, then a literal)."""
-    return df.withColumns({c: scalars.select(c).scalar() for c in scalars.columns})
-
-
 def pivot_mean(df: DataFrame, row: str, col: str, values, target: str = "failed") -> DataFrame:
     """A10: mean of ``target`` by row x column with the column values stated
     (no extra job to discover them)."""

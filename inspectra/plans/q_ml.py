@@ -10,6 +10,8 @@ from ..operators import evaluation as EV
 from ..operators import modeling as MD
 from ..operators import stats as ST
 from ..operators import summary as SM
+from ..session import fresh_path
+from ..sources import sinks
 from . import build as B
 from .oracle_base import rounded
 from .q_summary import cluster_profile_of
@@ -124,6 +126,21 @@ def coefficients(spark, d):
     return MD.coefficients(spark, model, nums, cats)
 
 
+@query("model_round_trip")
+def model_round_trip(spark, d):
+    """Every compared model saved and loaded; test rows whose probability changed (none) and rows scored."""
+    test, out = _frame(spark, d)[1], None
+    for family in MD.COMPARED:
+        model, path = _fit(spark, d, family)[0], fresh_path(spark, f"model-{family}")
+        sinks.save_model(model, path)
+        keys = ["camis", "inspection_date"]
+        a, b = (MD.score(m, test).select(*keys, F.col("prob").alias(p)) for m, p in ((model, "p"), (sinks.load_model(path), "q")))
+        row = a.join(b, keys).agg(F.lit(family).alias("model"), F.count(F.lit(1)).alias("n_rows"),
+                                  F.count_if(F.abs(F.col("p") - F.col("q")) > 1e-12).alias("n_changed"))
+        out = row if out is None else out.unionByName(row)
+    return out
+
+
 @query("odds_ratios")
 def odds_ratios(spark, d):
     """F7 + O5 + U2: top-15 positive and top-15 negative coefficients with odds ratios (ties by name)."""

@@ -7,7 +7,9 @@ from pyspark.sql import functions as F
 from .. import schemas as S
 from ..functions import expr as E
 from ..operators import panel as P
+from ..session import fresh_path
 from ..sources import landing as L
+from ..sources import sinks
 from ..sources import standin as SI
 from ..sources.tables import read
 from . import build as B
@@ -218,6 +220,45 @@ def scan_typed(spark, d):
     return finish(L.coerce_types(L.as_text(panel), panel.schema))
 
 
+@query("scan_csv", rounded("SELECT * FROM panel", PANEL_DOUBLES))
+def scan_csv(spark, d):
+    """S1 + S10: the panel written as header CSV and scanned with declared types."""
+    panel, path = B.panel(spark, d), fresh_path(spark, "csv")
+    (L.as_text(panel).write.option("header", True).option("ignoreLeadingWhiteSpace", False)
+     .option("ignoreTrailingWhiteSpace", False).csv(path))
+    return finish(L.read_typed_csv(spark, path, panel.schema))
+
+
+_JSON_COLS = [c for c in RAW_COLS.split(", ") if c in S.INSPECTIONS_RAW.names]
+
+
+@query("scan_inspections_json", rounded(f"SELECT {', '.join(_JSON_COLS)} FROM raw", ["score"]))
+def scan_inspections_json(spark, d):
+    """S3: the violation rows landed as JSON records and scanned with the declared schema."""
+    path = fresh_path(spark, "json")
+    rows = SI.raw_inspections(spark, d)
+    rows.select(*[c for c in S.INSPECTIONS_RAW.names if c in rows.columns]).write.json(path)
+    return finish(L.read_inspections_json(spark, path, *B.STUDY_WINDOW).select(*_JSON_COLS))
+
+
+@query("table_round_trip", rounded("SELECT * FROM panel", PANEL_DOUBLES))
+def table_round_trip(spark, d):
+    """The panel saved as a table by year and read back."""
+    panel, path = B.panel(spark, d), fresh_path(spark, "table")
+    sinks.write_table(panel, path, "inspection_year")
+    return finish(spark.read.parquet(path).select(*panel.columns))
+
+
+@query("metrics_round_trip", rounded(
+    "SELECT boro, CAST(count(*) AS BIGINT) AS n, avg(failed) AS failure_rate FROM clean GROUP BY 1", ["failure_rate"]))
+def metrics_round_trip(spark, d):
+    """A metric table saved as CSV and read back with declared types."""
+    from ..operators import summary as SM
+    metrics, path = SM.rate_by(B.clean(spark, d), "boro"), fresh_path(spark, "metrics")
+    sinks.write_metrics(metrics, path)
+    return finish(L.read_typed_csv(spark, path, metrics.schema))
+
+
 @query("dedupe_first", """
 SELECT camis, min_by(dba, ord) AS dba, CAST(count(*) AS BIGINT) AS n_rows FROM (
   SELECT CAST(o.o_custkey AS VARCHAR) AS camis, c.c_name AS dba, o.o_orderkey AS ord

@@ -76,9 +76,14 @@ def ensure_checkpoint_dir(spark: SparkSession) -> str:
     return path
 
 
+def fresh_path(spark: SparkSession, name: str) -> str:
+    """A path of its own in the shared checkpoint folder."""
+    return f"{ensure_checkpoint_dir(spark).rstrip('/')}/inspectra-{name}-{uuid.uuid4().hex[:12]}"
+
+
 def written(df: DataFrame, name: str) -> DataFrame:
     """``df`` as a Parquet table of its own in the shared checkpoint folder, read back (cuts the lineage)."""
-    path = f"{ensure_checkpoint_dir(df.sparkSession).rstrip('/')}/inspectra-{name}-{uuid.uuid4().hex[:12]}"
+    path = fresh_path(df.sparkSession, name)
     df.write.parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
 

@@ -23,9 +23,3 @@ def read(spark: SparkSession, sf_dir: str, name: str, *columns: str) -> DataFram
     if df is None:
         df = _scans[key] = spark.read.parquet(path)
     return df.select(*columns) if columns else df
-
-
-def register_views(spark: SparkSession, sf_dir: str) -> None:
-    """Register every table as a temp view (for SQL users and tests)."""
-    for t in TABLES:
-        read(spark, sf_dir, t).createOrReplaceTempView(t)

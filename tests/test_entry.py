@@ -7,8 +7,7 @@ import __spark_entry__ as entry
 from inspectra.sources.tables import TABLES
 from conftest import SF_SMALL
 
-SAMPLE = ["panel_build", "clean_table", "rate_by_region", "rank_quartiles", "roc_auc", "threshold_sweep",
-          "whatif_features", "stratified_folds", "correlation_matrix", "null_profile"]
+TWINS = sorted(set(entry.oracle_sql()) - set(entry.LLM_ORACLE))
 
 
 def test_entry_runs(spark):
@@ -21,7 +20,7 @@ def test_oracle_keys_subset_of_queries():
     assert len(entry.queries()) >= 100
 
 
-@pytest.mark.parametrize("name", SAMPLE)
+@pytest.mark.parametrize("name", TWINS)
 def test_matches_duckdb(spark, name):
     from tools.oracle_check import rows_of
     con = duckdb.connect()
