@@ -23,7 +23,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import SLICE_CHARS, slices
+from .common import SLICE_CHARS, Scratch, slices
 
 DIMS = 1 << 13
 CENTROIDS = 4
@@ -140,8 +140,9 @@ def fit(docs: DataFrame, n_centroids: int = CENTROIDS, sample_docs: int = SAMPLE
     order = Window.partitionBy("lang").orderBy(F.xxhash64("doc_id"), "doc_id")
     few = (src.where(F.col("text").rlike(r"\p{L}")).select("doc_id", "lang")
            .withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= sample_docs))
-    # ids of the sample: at most SAMPLE_DOCS for each of at most MAX_LANGUAGES languages
-    sample = src.join(few.select("doc_id", "lang", "rank"), ["doc_id", "lang"])
+    # SAMPLE_DOCS ids a language, written so that the planner knows how small they are and needn't shuffle the texts
+    few = Scratch(docs.sparkSession, "langid").table(few.select("doc_id", "lang", "rank"), "sample")
+    sample = src.join(few, ["doc_id", "lang"])
 
     def centroids(group: pd.DataFrame) -> pd.DataFrame:
         group = group.sort_values("rank").drop_duplicates("rank")
