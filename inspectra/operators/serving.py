@@ -111,7 +111,8 @@ def enrichment_pending(entities: DataFrame, cache: DataFrame) -> DataFrame:
     H3), with the search term (name cut to 64) and the location text."""
     todo = entities.withColumn("camis", F.col("camis").cast("string")) \
                    .join(cache.select(F.col("camis").cast("string").alias("camis")), "camis", "left_anti")
-    loc = F.trim(F.concat_ws(" ",  # inner spaces stay, as published F.coalesce(F.col("building"), F.lit("")), F.coalesce(F.col("street"), F.lit("")),
+    # only the ends are stripped, as published: inner spaces stay
+    loc = F.trim(F.concat_ws(" ", F.coalesce(F.col("building"), F.lit("")), F.coalesce(F.col("street"), F.lit("")),
                              F.coalesce(F.col("zipcode"), F.lit("")), F.lit("New York")))
     return todo.select("camis", F.substring("dba", 1, 64).alias("term"),
                        loc.alias("location"))

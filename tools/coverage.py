@@ -17,9 +17,7 @@ ELSEWHERE = {
     "P5": "rename / drop inside every stage (`withColumnRenamed`, `drop`)",
     "P28": "`schemas.NUMERIC_FEATURES` / `CATEGORICAL_FEATURES` + `schemas.resolve_features`",
     "S9": "`sources.landing.violation_lookup` (fixed literal, written and never joined; not registered)",
-    "S10": "`session.stage_table` (panel / clean written as Parquet by year), `sources.sinks.write_table`",
-    "S11": "`sources.sinks.write_metrics`",
-    "S12": "`sources.sinks.save_model` / `load_model` (tested round trip)",
+    "S10": "`session.stage_table` (panel / clean written as Parquet by year)",
     "O1": "inside the W1-W4 window (`partitionBy(camis).orderBy(inspection_date)`)",
     "F18": "`isNull` / `isNotNull` predicates throughout (`functions.expr.present`)",
 }
