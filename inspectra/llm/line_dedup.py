@@ -36,6 +36,10 @@ BANDS, ROWS = 12, 4
 MIN_CHARS = 20
 #: Members that one task compares in a bucket; larger buckets go block by block.
 BLOCK = 1024
+#: Size of the bitmap (8 MB) that keeps lines which share no band out of the shuffle of texts.
+FILTER_BITS = 1 << 26
+#: Dissimilar pairs that a task remembers while it goes through the buckets of one smallest id.
+REMEMBERED = 200_000
 _BLANK = " \t\x0b\x0c\r"
 _SEED = 42
 
@@ -129,12 +133,28 @@ def signed_lines(docs: DataFrame, k: int, bands: int, rows: int, min_chars: int)
     return src.mapInArrow(run, f"doc_id {src.schema['doc_id'].dataType.simpleString()}, line int, id long, bands array<long>")
 
 
-def line_texts(docs: DataFrame, min_chars: int) -> DataFrame:
-    """(id, text) of every line, once per task and id."""
+def id_bitmap(ids: DataFrame, column: str) -> np.ndarray:
+    """Bitmap of FILTER_BITS bits with the bit of every id set: built by a native aggregate, FILTER_BITS / 64 rows at most."""
+    bit = F.col(column).bitwiseAND(FILTER_BITS - 1)
+    words = (ids.select(F.shiftright(bit, 6).alias("word"), F.expr(f"shiftleft(1L, CAST({column} & 63 AS INT))").alias("bit"))
+             .groupBy("word").agg(F.bit_or("bit").alias("bits")).toArrow())
+    out = np.zeros(FILTER_BITS // 64, np.int64)
+    out[words.column("word").to_numpy()] = words.column("bits").to_numpy()
+    return out.view(np.uint64)
+
+
+def line_texts(docs: DataFrame, min_chars: int, wanted: np.ndarray) -> DataFrame:
+    """(id, text) of the lines whose bit is set in ``wanted``, once per task and id.
+
+    The bitmap has a fixed size; the more ids there are the more other lines
+    pass it, so an exact semi-join follows.
+    """
+    held = docs.sparkSession.sparkContext.broadcast(wanted)
     src = docs.select("doc_id", "text").where("doc_id IS NOT NULL AND text IS NOT NULL").select("text")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         seen: set[int] = set()
+        bits = memoryview(held.value)
         for batch in batches:
             texts = batch.column(0).to_pylist()
             for i, j in slices([len(t) for t in texts]):
@@ -142,7 +162,8 @@ def line_texts(docs: DataFrame, min_chars: int) -> DataFrame:
                 for t in texts[i:j]:
                     for _, line in lines_of(t, min_chars):
                         x = _line_id(line)
-                        if x not in seen:
+                        at = x & (FILTER_BITS - 1)
+                        if bits[at >> 6] >> (at & 63) & 1 and x not in seen:
                             seen.add(x)
                             keys.append(x)
                             lines.append(line)
@@ -197,38 +218,53 @@ def _verified(pairs: DataFrame, k: int, threshold: float) -> DataFrame:
 
 
 def _across(cells: DataFrame, k: int, threshold: float) -> DataFrame:
-    """Links between components inside cells: (cell, block, class, id, text) sorted by cell.
+    """Links between components inside cells: (home, cell, block, class, id, text) sorted by home and cell.
 
     Members of one block are compared with the other block of the cell, or with
-    each other where the cell has one block; a pair already united is skipped.
+    each other where the cell has one block.  Pairs that are already united are
+    skipped; within one home so are pairs found dissimilar in an earlier cell.
     """
 
-    def links(members):
-        two = len({m[1] for m in members}) > 1
-        parent = {m[2]: m[2] for m in members}
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        home, parent, sets, unlike = None, {}, {}, set()
 
         def find(x):
             while parent[x] != x:
                 parent[x] = x = parent[parent[x]]
             return x
 
-        sets = [shingles(m[4], k) for m in members]
-        for (i, m), (j, n) in itertools.combinations(enumerate(members), 2):
-            a, b = find(m[2]), find(n[2])
-            if a != b and not (two and m[1] == n[1]) and similar(sets[i], sets[j], threshold):
-                parent[a] = b
-                yield m[3], n[3]
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held: list = []
+        def links(members):
+            nonlocal home, parent, sets, unlike
+            if members[0][0] != home:
+                home, parent, sets, unlike = members[0][0], {}, {}, set()
+            if len(sets) > 4 * BLOCK:
+                sets = {}
+            if len(unlike) > REMEMBERED:
+                unlike = set()
+            for m in members:
+                parent.setdefault(m[3], m[3])
+                if m[4] not in sets:
+                    sets[m[4]] = shingles(m[5], k)
+            two = len({m[2] for m in members}) > 1
+            for m, n in itertools.combinations(members, 2):
+                a, b = find(m[3]), find(n[3])
+                pair = (m[4], n[4]) if m[4] < n[4] else (n[4], m[4])
+                if a == b or (two and m[2] == n[2]) or pair in unlike:
+                    continue
+                if similar(sets[m[4]], sets[n[4]], threshold):
+                    parent[a] = b
+                    yield pair
+                else:
+                    unlike.add(pair)
 
         def found(members):
             pairs = list(links(members))
             return pa.RecordBatch.from_arrays([pa.array([p[c] for p in pairs], pa.int64()) for c in (0, 1)], names=["a", "b"])
 
+        held: list = []
         for batch in batches:
             for row in zip(*(c.to_pylist() for c in batch.columns)):
-                if held and held[0][0] != row[0]:
+                if held and held[0][1] != row[1]:
                     yield found(held)
                     held = []
                 held.append(row)
@@ -252,7 +288,7 @@ def line_classes(docs: DataFrame, scratch: Scratch, k: int = SHINGLE_CHARS, thre
     hits = scratch.table(buckets(signed), "hits")
     star = scratch.table(hits.where("id <> rep").select("rep", "id").distinct(), "star")
     wanted = scratch.table(star.select("rep").union(star.select("id")).distinct().withColumnRenamed("rep", "want"), "wanted")
-    texts = scratch.table(line_texts(docs, min_chars).join(wanted, F.col("id") == F.col("want"), "left_semi").dropDuplicates(["id"]), "texts")
+    texts = scratch.table(line_texts(docs, min_chars, id_bitmap(wanted, "want")).join(wanted, F.col("id") == F.col("want"), "left_semi").dropDuplicates(["id"]), "texts")
     of = lambda key, name: texts.select(F.col("id").alias(key), F.col("text").alias(name))
     pairs = (star.select(F.col("rep").alias("a"), F.col("id").alias("b"))
              .join(of("bk", "b_text"), F.col("b") == F.col("bk")).join(of("ak", "a_text"), F.col("a") == F.col("ak")))
@@ -261,7 +297,7 @@ def line_classes(docs: DataFrame, scratch: Scratch, k: int = SHINGLE_CHARS, thre
 
     # buckets of three and more (of two, the pair has been compared) that are not yet one component
     classes = (hits.where("n > 2").join(found, F.col("id") == F.col("node"), "left")
-               .select("band", "id", "n", F.coalesce("component", "id").alias("class")))
+               .select("band", "id", "rep", "n", F.coalesce("component", "id").alias("class")))
     # lines that share one band mostly share several: of buckets with the same members one is compared
     same = [F.bit_xor(F.xxhash64("id")).alias("x"), F.bit_xor(F.xxhash64("id", F.lit(1))).alias("y"), F.count("*").alias("members")]
     mixed = scratch.table(classes.groupBy("band").agg(F.min("class").alias("lo"), F.max("class").alias("hi"), *same)
@@ -270,9 +306,11 @@ def line_classes(docs: DataFrame, scratch: Scratch, k: int = SHINGLE_CHARS, thre
                .withColumn("blocks", F.expr(f"CAST(ceil(n / {BLOCK}) AS LONG)"))
                .withColumn("block", F.expr("pmod(xxhash64(id), blocks)"))
                .withColumn("other", F.explode(F.expr("sequence(0L, blocks - 1)")))
-               .select(F.xxhash64("band", F.least("block", "other"), F.greatest("block", "other")).alias("cell"), "block", "class", "id"))
-    cells = (members.join(of("key", "text"), F.col("id") == F.col("key")).select("cell", "block", "class", "id", "text")
-             .repartition("cell").sortWithinPartitions("cell", "class", "id"))
+               .withColumn("cell", F.xxhash64("band", F.least("block", "other"), F.greatest("block", "other")))
+               # buckets of one smallest id are compared in one place, one after the other; blocks of a large one anywhere
+               .select(F.when(F.col("blocks") == 1, F.col("rep")).otherwise(F.col("cell")).alias("home"), "cell", "block", "class", "id"))
+    cells = (members.join(of("key", "text"), F.col("id") == F.col("key")).select("home", "cell", "block", "class", "id", "text")
+             .repartition("home").sortWithinPartitions("home", "cell", "class", "id"))
     more = scratch.table(_across(cells, k, threshold), "more")
     if not more.isEmpty():
         found = scratch.table(components(edges.union(more), scratch), "components")
