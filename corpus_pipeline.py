@@ -25,8 +25,10 @@ def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     The centroids are learnt from the documents that have a lang and aren't held out.
     """
     model = langid.fit(langid.learnable(docs))
-    near = langid.predict(docs.select(F.struct(*docs.columns).alias("row"), "text"), model)
-    return near.where("NOT rejected").select("row.*")
+    clash = {"lang_pred", "score", "rejected"} & set(docs.columns)
+    plain = docs.withColumnsRenamed({c: f"_own_{c}" for c in clash})
+    near = langid.predict(plain, model).where("NOT rejected").drop("lang_pred", "score", "rejected")
+    return near.withColumnsRenamed({f"_own_{c}": c for c in clash})
 
 
 def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

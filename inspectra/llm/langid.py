@@ -23,7 +23,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import SLICE_CHARS, Scratch, slices
+from .common import Scratch, slices
 
 DIMS = 1 << 13
 CENTROIDS = 4
@@ -34,8 +34,8 @@ REJECT_SHARE = 0.3
 MAX_LANGUAGES = 1000
 UNDETERMINED = "und"
 _ROUNDS = 12
-#: Texts counted at once (a dense block of so many vectors is held).
-_TEXTS = 256
+#: Characters and texts counted at once (a dense block of so many vectors is held): a few tens of MB a task.
+_CHARS, _TEXTS = 1 << 18, 64
 
 
 @functools.lru_cache(maxsize=1)
@@ -67,7 +67,7 @@ def ngram_counts(texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
 
 def _blocks(texts: list[str | None]) -> Iterator[tuple[np.ndarray, np.ndarray]]:
     texts = [t or "" for t in texts]
-    for i, j in slices([max(len(t), SLICE_CHARS // _TEXTS) for t in texts]):
+    for i, j in slices([max(len(t), _CHARS // _TEXTS) for t in texts], _CHARS):
         yield ngram_counts(texts[i:j])
 
 
