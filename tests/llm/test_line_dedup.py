@@ -110,3 +110,11 @@ def test_lines_are_dropped_from_the_documents(spark, scratch):
     out = ld.drop_repeated_lines(docs, scratch)
     assert out.columns == docs.columns
     assert {r.doc_id: r.text for r in out.collect()} == {1: f"{a}\nshort\n{b}", 2: f"\n{c}\nshort", 4: None, 5: "", None: a}
+
+
+def test_bitmap_lets_every_wanted_id_pass(spark, monkeypatch):
+    monkeypatch.setattr(ld, "FILTER_BITS", 1 << 10)
+    ids = [0, 1, 63, 64, -1, -2**63, 2**63 - 1, 12345678901]
+    bits = ld.id_bitmap(spark.createDataFrame([(i,) for i in ids], "want long"), "want")
+    assert len(bits) == 16 and all(int(bits[(i & 1023) >> 6]) >> (i & 63) & 1 for i in ids)
+    assert sum(int(b).bit_count() for b in bits) == len({i & 1023 for i in ids})
