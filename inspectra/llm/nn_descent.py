@@ -4,7 +4,9 @@ A neighbour graph (each vector's best candidates so far) starts from leaves of
 random-projection orders and is refined round by round: at every vector its
 neighbours, in both directions, meet, and whoever improves another's list
 enters it.  Lists whose last entry is still above the threshold are saturated
-and double.  Every pair at or above the threshold that is met is kept.
+and double.  A leaf or meeting also emits, whatever the lists have room for,
+pairs that connect all its vectors which its pairs at or above the threshold
+connect, so no link between components that is met gets lost.
 
 The kept edges give components (distributed union-find).  Links only run inside
 a component, so link counts are then completed exactly there: vectors within
@@ -39,7 +41,7 @@ ORDERS, LEAF, BITS = 6, 256, 32
 GROUP = 256
 HUB = 4096
 MAX_ROUNDS = 8
-#: A round that finds new links for less than this share of the vectors is the last one.
+#: A round that joins no components and finds new links for less than this share of the vectors is the last one.
 DELTA = 0.001
 #: Vectors compared with all others to measure recall, and the recall to reach.
 AUDIT, TARGET, ATTEMPTS = 1024, 0.98, 3
@@ -61,8 +63,30 @@ def _matrix(column: pa.Array) -> np.ndarray:
     return x / np.sqrt(np.einsum("ij,ij->i", x, x))[:, None]
 
 
-def _best(ids: np.ndarray, x: np.ndarray, k: np.ndarray, worst: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """(a, b, sim): for each of the rows its best partners among them, at most k and only above worst."""
+def _forest(near: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(i, j): pairs of ``near`` that connect all that its pairs connect, one fewer than the rows of each group."""
+    left = near.any(axis=1)
+    i, j = [np.empty(0, np.int64)], [np.empty(0, np.int64)]
+    while left.any():
+        todo = [int(np.argmax(left))]
+        left[todo[0]] = False
+        while todo and left.any():
+            at = todo.pop()
+            hit = np.flatnonzero(near[at] & left)
+            left[hit] = False
+            todo.extend(hit.tolist())
+            i.append(np.full(len(hit), at))
+            j.append(hit)
+    return np.concatenate(i), np.concatenate(j)
+
+
+def _best(ids: np.ndarray, x: np.ndarray, k: np.ndarray, worst: np.ndarray,
+          threshold: float | None = None) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(a, b, sim): for each of the rows its best partners among them, at most k and only above worst.
+
+    With a threshold, if any pair that reaches it is not among these, also a
+    spanning forest of all pairs that do.
+    """
     n = len(ids)
     if n < 2:
         return ids[:0], ids[:0], np.empty(0)
@@ -75,7 +99,15 @@ def _best(ids: np.ndarray, x: np.ndarray, k: np.ndarray, worst: np.ndarray) -> t
     at, sim = np.take_along_axis(at, order, axis=1), np.take_along_axis(sim, order, axis=1)
     good = (sim > worst[:, None]) & (np.arange(m)[None, :] < k[:, None])
     row, col = np.nonzero(good)
-    return ids[row], ids[at[row, col]], sim[row, col]
+    a, b, sim = row, at[row, col], sim[row, col]
+    if threshold is not None:
+        near = s >= threshold
+        left = near.copy()
+        left[a, b] = left[b, a] = False
+        if left.any():
+            i, j = _forest(near)
+            a, b, sim = np.r_[a, i], np.r_[b, j], np.r_[sim, s[i, j]]
+    return ids[a], ids[b], sim
 
 
 def _edges(parts) -> pa.RecordBatch:
@@ -87,7 +119,7 @@ def _edges(parts) -> pa.RecordBatch:
 EDGE = "a long, b long, sim double"
 
 
-def projected_neighbours(nodes: DataFrame, orders: range, k: int) -> DataFrame:
+def projected_neighbours(nodes: DataFrame, orders: range, k: int, threshold: float = THRESHOLD) -> DataFrame:
     """Edges between vectors that stand close in one of the random-projection orders.
 
     Vectors of one code are in a seeded random order, so a hot code is split
@@ -112,7 +144,7 @@ def projected_neighbours(nodes: DataFrame, orders: range, k: int) -> DataFrame:
         def close(rows: pa.Table):
             ids = rows.column("node").to_numpy()
             x = _matrix(rows.column("v").combine_chunks())
-            return _best(ids, x, np.full(len(ids), k), np.full(len(ids), -1.5))
+            return _best(ids, x, np.full(len(ids), k), np.full(len(ids), -1.5), threshold)
 
         rest = None
         for batch in batches:
@@ -149,8 +181,8 @@ def _lists(edges: DataFrame, sizes: DataFrame | None) -> DataFrame:
     return best.withColumn("rank", rank).where("rank <= k").drop("rank")
 
 
-def refine(nodes: DataFrame, lists: DataFrame, sizes: DataFrame, scratch: Scratch) -> DataFrame:
-    """Edges that improve some list, found where neighbours of one vector meet."""
+def refine(nodes: DataFrame, lists: DataFrame, sizes: DataFrame, scratch: Scratch, threshold: float = THRESHOLD) -> DataFrame:
+    """Edges that improve some list or connect vectors, found where neighbours of one vector meet."""
     around = lists.select(F.col("a").alias("centre"), F.col("b").alias("member"))
     around = around.union(around.select("member", "centre")).union(sizes.select("node", "node")).distinct()
     hubs = scratch.table(around.groupBy("centre").agg(F.count("*").alias("n")).where(F.col("n") > HUB)
@@ -176,7 +208,7 @@ def refine(nodes: DataFrame, lists: DataFrame, sizes: DataFrame, scratch: Scratc
     def groups(table, lo, hi):
         ids, k, worst = (table.column(c).slice(lo, hi - lo).to_numpy() for c in ("node", "k", "worst"))
         x = _matrix(table.column("v").slice(lo, hi - lo).combine_chunks())
-        return [_best(ids[i:i + GROUP], x[i:i + GROUP], k[i:i + GROUP], worst[i:i + GROUP]) for i in range(0, hi - lo, GROUP)]
+        return [_best(ids[i:i + GROUP], x[i:i + GROUP], k[i:i + GROUP], worst[i:i + GROUP], threshold) for i in range(0, hi - lo, GROUP)]
 
     dealt = meeting.repartition("centre", "block").sortWithinPartitions("centre", "block", F.xxhash64("node"))
     return dealt.mapInArrow(meet, EDGE)
@@ -196,23 +228,44 @@ def _sizes(nodes: DataFrame, lists: DataFrame, threshold: float) -> DataFrame:
                     saturated.alias("saturated")))
 
 
+def _across(fresh: DataFrame, joined: DataFrame) -> DataFrame:
+    """(ca, cb): the components, a vector without links being its own, that the links ``fresh`` join."""
+    of = lambda end: joined.select(F.col("node").alias(f"n{end}"), F.col("component").alias(f"c{end}"))
+    ends = (fresh.join(of("a"), F.col("a") == F.col("na"), "left").join(of("b"), F.col("b") == F.col("nb"), "left")
+            .select(F.coalesce("ca", "a").alias("ca"), F.coalesce("cb", "b").alias("cb")))
+    return ends.where("ca <> cb").distinct()
+
+
+def _merged(joined: DataFrame, across: DataFrame, scratch: Scratch) -> DataFrame:
+    """``joined`` (node, component) after its components were joined by ``across``; only these are gone through."""
+    up = components(across, scratch).select(F.col("node").alias("old"), F.col("component").alias("new"))
+    moved = joined.join(up, F.col("component") == F.col("old"), "left").select("node", F.coalesce("new", "component").alias("component"))
+    single = up.join(joined, F.col("old") == F.col("node"), "left_anti").select("old", "new")
+    return scratch.table(moved.union(single), "joined")
+
+
 def _descend(nodes: DataFrame, edges: DataFrame, scratch: Scratch, threshold: float, max_rounds: int, n: int) -> DataFrame:
-    """Links (a < b) met while the graph that starts from ``edges`` is refined until nothing new turns up."""
+    """(node, component) by the links met while the graph that starts from ``edges`` is refined until nothing new turns up."""
     pair = lambda e: e.where(F.col("sim") >= threshold).select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
     links = scratch.table(pair(edges), "links")
+    joined = components(links, scratch)
     lists = scratch.table(_lists(edges, None), "lists")
     for _ in range(max_rounds):
         sizes = scratch.table(_sizes(nodes, lists, threshold), "sizes")
-        found = scratch.table(refine(nodes, lists, sizes, scratch), "found")
+        found = scratch.table(refine(nodes, lists, sizes, scratch, threshold), "found")
         fresh = scratch.table(pair(found).join(links, ["a", "b"], "left_anti"), "links")
-        # links of saturated lists are completed inside their component: they don't keep the rounds going
+        # links of saturated lists inside their component are completed there: only those that join two keep the rounds going
+        across = scratch.table(_across(fresh, joined), "across")
+        joins = across.count()
         open_ = sizes.where("NOT saturated").select(F.col("node").alias("a"))
         news = fresh.join(open_, "a", "left_semi").count()
         lists = scratch.table(_lists(lists.select("a", "b", "sim").union(found), sizes), "lists")
         links = links.union(fresh)
-        if news <= DELTA * n:
+        if joins:
+            joined = _merged(joined, across, scratch)
+        elif news <= DELTA * n:
             break
-    return links
+    return joined
 
 
 def link_counts(nodes: DataFrame, found: DataFrame, scratch: Scratch, threshold: float) -> DataFrame:
@@ -317,12 +370,12 @@ def near_duplicates(vectors: DataFrame, scratch: Scratch, threshold: float = THR
     copies = scratch.table(nodes.where("w > 1").select(F.col("v").alias("cv"), F.col("node").alias("first"),
                                                        F.col("w").alias("copies")), "copies")
     audits: list[tuple[int, int]] = []
-    links = None
+    found = None
     for attempt in range(ATTEMPTS):
-        edges = scratch.table(projected_neighbours(nodes, range(attempt * ORDERS, (attempt + 1) * ORDERS), K), "projected")
+        edges = scratch.table(projected_neighbours(nodes, range(attempt * ORDERS, (attempt + 1) * ORDERS), K, threshold), "projected")
         met = _descend(nodes, edges, scratch, threshold, MAX_ROUNDS, n)
-        links = met if links is None else links.union(met)
-        counts = link_counts(nodes, components(links, scratch), scratch, threshold)
+        found = met if found is None else components(found.union(met), scratch)
+        counts = link_counts(nodes, found, scratch, threshold)
         audits.append(audit(nodes, counts, threshold))
         if audits[-1][0] >= TARGET * audits[-1][1]:
             break

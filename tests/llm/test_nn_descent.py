@@ -99,3 +99,27 @@ def test_best_is_top_k(seed):
     sims = x @ x.T - 3 * np.eye(40)
     want = {(i, j) for i in range(40) for j in np.argsort(-sims[i])[:5] if sims[i, j] > 0.2}
     assert set(zip(a.tolist(), b.tolist())) == want and np.allclose(s, sims[a, b])
+
+
+def tight_pair(rng, size, cosine=0.96, dim=16):
+    """Two groups of near-equal vectors whose centres have the given cosine."""
+    a, b = np.linalg.qr(rng.standard_normal((dim, 2)))[0].T
+    b = cosine * a + math.sqrt(1 - cosine ** 2) * b
+    return [(g * size + i, (c + 0.0005 * rng.standard_normal(dim)).astype(np.float32).tolist()) for g, c in enumerate((a, b)) for i in range(size)]
+
+
+def test_links_between_tight_groups_are_kept(spark, scratch):
+    rows = tight_pair(np.random.default_rng(5), 40)
+    want = brute(rows)
+    assert all(r[1:3] == (79, 0) for r in want)
+    assert got(spark, scratch, rows)[0] == want
+
+
+def test_a_leaf_connects_what_its_pairs_connect():
+    x = np.array([v for _, v in tight_pair(np.random.default_rng(6), 30)], float)
+    x /= np.linalg.norm(x, axis=1)[:, None]
+    ids = np.arange(60)
+    a, b, s = nd._best(ids, x, np.full(60, 8), np.full(60, -1.5), 0.95)
+    assert np.allclose(s, (x @ x.T)[a, b])
+    links = [(int(i), int(j)) for i, j, c in zip(a, b, s) if c >= 0.95]
+    assert set(union_find(links, list(range(60))).values()) == {0}
