@@ -15,8 +15,10 @@ triangle inequality on angles), the others are compared with the whole component
 in blocks.  A dense group costs its size, not its square, and no pairs of a group
 are written out.
 
-Recall is audited: a bounded set of vectors is compared with all of them.  Below
-the target another set of projections is added and refined.
+Recall is audited: a bounded set of vectors is compared with all of them, and
+their recalls are averaged per vector and per group.  While either is below the
+target another set of projections is added and refined; if none is left to try,
+that is an error.
 """
 
 from __future__ import annotations
@@ -35,7 +37,7 @@ from .components import components
 THRESHOLD = 0.95
 #: Neighbours in a list at first.
 K = 8
-#: Random-projection orders at first, the vectors compared in a leaf of one, and the projections in its code.
+#: Random-projection orders at least (``orders_for`` adds some for more rows), the vectors compared in a leaf of one, and the projections in its code.
 ORDERS, LEAF, BITS = 6, 256, 32
 #: Vectors that meet at a vector at once; a hub's neighbours meet in groups of so many.
 GROUP = 256
@@ -44,12 +46,22 @@ MAX_ROUNDS = 8
 #: A round that joins no components and finds new links for less than this share of the vectors is the last one.
 DELTA = 0.001
 #: Vectors compared with all others to measure recall, and the recall to reach.
-AUDIT, TARGET, ATTEMPTS = 1024, 0.98, 3
+AUDIT, TARGET, ATTEMPTS = 1024, 0.98, 8
 BLOCK = 2048
 _EPS = 1e-6
 _SEED = 42
 
 
+def orders_for(n: int, threshold: float) -> int:
+    """Orders that let an isolated pair at the threshold share a leaf of ``n`` vectors with probability TARGET.
+
+    A pair shares a leaf if the bits that tell leaves apart agree, as each does
+    with probability 1 - angle / pi.
+    """
+    share = (1 - math.acos(threshold) / math.pi) ** math.log2(max(n / LEAF, 1))
+    return max(ORDERS, math.ceil(math.log(1 - TARGET) / math.log(1 - share)) if share < 1 else 1)
+
+
 def valid(v: str) -> str:
     """SQL condition: a vector that can link (not null, empty or zero, no null or non-finite component)."""
     return (f"{v} IS NOT NULL AND NOT exists({v}, x -> x IS NULL OR isnan(x) OR abs(x) = double('Infinity')) "
@@ -328,8 +340,14 @@ def link_counts(nodes: DataFrame, found: DataFrame, scratch: Scratch, threshold:
                          .select("node", "component", total.cast("long").alias("n_links")), "counts")
 
 
-def audit(nodes: DataFrame, counts: DataFrame, threshold: float, size: int = AUDIT) -> tuple[int, int]:
-    """(links found, links there) of a set of at most ``size`` vectors, compared with all vectors in blocks."""
+def audit(nodes: DataFrame, counts: DataFrame, threshold: float, size: int = AUDIT) -> tuple[float, float]:
+    """(found, there) of a set of at most ``size`` vectors, compared with all vectors in blocks.
+
+    Their ratio is the recall: each vector's share of its links found, averaged
+    over the vectors with links or, if that is lower, with each weighted by one
+    over its group's size, so that neither small groups nor a hot one are
+    outweighed.  Links between copies of a vector aren't counted.
+    """
     few = nodes.orderBy(F.xxhash64("node", F.lit("audit"))).limit(size).select("node", "v", "w").toArrow()
     sizes = np.diff(few.column("v").combine_chunks().offsets.to_numpy()) if few.num_rows else np.empty(0, int)
     asked = {int(d): (few.column("node").to_numpy()[sizes == d], _matrix(few.column("v").combine_chunks().filter(pa.array(sizes == d))))
@@ -350,18 +368,24 @@ def audit(nodes: DataFrame, counts: DataFrame, threshold: float, size: int = AUD
 
     there = nodes.select("node", "v", "w").mapInArrow(compare, "id long, there long").groupBy("id").agg(F.sum("there").alias("there"))
     got = there.join(counts.join(nodes.select(F.col("node").alias("n2"), "w"), F.col("node") == F.col("n2")), F.col("id") == F.col("node"), "left")
-    row = got.agg(F.sum(F.least(F.coalesce(F.col("n_links") - F.col("w") + 1, F.lit(0)), F.col("there"))), F.sum("there")).first()
-    return row[0] or 0, row[1] or 0
+    links = F.least(F.greatest(F.coalesce(F.col("n_links") - F.col("w") + 1, F.lit(0)), F.lit(0)), F.col("there"))
+    rows = got.select(links.alias("links"), "there").collect()  # ``size`` at most
+    if not rows:
+        return 0, 0
+    recall, there = np.array([r.links / r.there for r in rows]), np.array([r.there for r in rows], float)
+    both = [(float((weight * recall).sum()), float(weight.sum())) for weight in (np.ones(len(rows)), 1 / (there + 1))]
+    return min(both, key=lambda x: x[0] / x[1])
 
 
-def near_duplicates(vectors: DataFrame, scratch: Scratch, threshold: float = THRESHOLD) -> tuple[DataFrame, list[tuple[int, int]]]:
-    """((vec_id, n_links, component_id, kept) per row of ``vectors``, the audits: links found and links there).
+def near_duplicates(vectors: DataFrame, scratch: Scratch, threshold: float = THRESHOLD) -> tuple[DataFrame, list[tuple[float, float]]]:
+    """((vec_id, n_links, component_id, kept) per row of ``vectors``, the audits: see ``audit``).
 
     Columns vec_id and embedding are read.  component_id is the smallest vec_id
     reachable over pairs of cosine ``threshold`` or more.  Null, empty and zero
     vectors, those with a null or non-finite component, and rows without vec_id
     link with nothing, nor do vectors of different lengths.  Equal vectors are
     one node (they link with each other).  An empty table gives no rows.
+    Recall that stays below the target after ATTEMPTS sets of orders is an error.
     """
     src = vectors.select("vec_id", F.expr(f"CASE WHEN vec_id IS NOT NULL AND {valid('embedding')} THEN embedding END").alias("v"))
     nodes = scratch.table(src.where("v IS NOT NULL").groupBy("v").agg(F.min("vec_id").alias("node"), F.count("*").alias("w"))
@@ -369,16 +393,18 @@ def near_duplicates(vectors: DataFrame, scratch: Scratch, threshold: float = THR
     n = nodes.count()
     copies = scratch.table(nodes.where("w > 1").select(F.col("v").alias("cv"), F.col("node").alias("first"),
                                                        F.col("w").alias("copies")), "copies")
-    audits: list[tuple[int, int]] = []
-    found = None
+    audits: list[tuple[float, float]] = []
+    found, orders = None, orders_for(n, threshold)
     for attempt in range(ATTEMPTS):
-        edges = scratch.table(projected_neighbours(nodes, range(attempt * ORDERS, (attempt + 1) * ORDERS), K, threshold), "projected")
+        edges = scratch.table(projected_neighbours(nodes, range(attempt * orders, (attempt + 1) * orders), K, threshold), "projected")
         met = _descend(nodes, edges, scratch, threshold, MAX_ROUNDS, n)
         found = met if found is None else components(found.union(met), scratch)
         counts = link_counts(nodes, found, scratch, threshold)
         audits.append(audit(nodes, counts, threshold))
         if audits[-1][0] >= TARGET * audits[-1][1]:
             break
+    else:
+        raise RuntimeError(f"recall below {TARGET} after {ATTEMPTS} sets of {orders} orders; audits (found, there): {audits}")
     rows = src.join(copies, F.col("v") == F.col("cv"), "left").select(
         "vec_id", F.when(F.col("v").isNotNull(), F.coalesce("first", "vec_id")).alias("of"), "first",
         F.coalesce(F.col("copies") - 1, F.lit(0)).alias("same"))

@@ -123,3 +123,32 @@ def test_a_leaf_connects_what_its_pairs_connect():
     assert np.allclose(s, (x @ x.T)[a, b])
     links = [(int(i), int(j)) for i, j, c in zip(a, b, s) if c >= 0.95]
     assert set(union_find(links, list(range(60))).values()) == {0}
+
+
+def test_audit_sees_small_groups_beside_a_hot_one(spark):
+    rng = np.random.default_rng(7)
+    small = [v for _, v in groups(rng, [2] * 50, 32, 0.01)]
+    hot = [v for _, v in groups(rng, [300], 32, 0.01)]
+    nodes = spark.createDataFrame([(i, v, 1) for i, v in enumerate(hot + small)], "node long, v array<float>, w long").coalesce(1)
+
+    def recall(counts):
+        found, there = nd.audit(nodes, spark.createDataFrame(counts, "node long, component long, n_links long").coalesce(1), 0.95)
+        return found / there
+
+    pairs = [(300 + i, 300 + i // 2 * 2, 1) for i in range(100)]
+    assert recall([(i, 0, 299) for i in range(300)] + pairs) == 1
+    assert recall([(i, 0, 299) for i in range(300)]) < 0.1  # every pair is lost: 100 of 89,800 links
+    assert recall([(i, i % 2, 149) for i in range(300)] + pairs) < 0.7  # the hot group is in two
+
+
+def test_missed_target_is_an_error(spark, scratch, monkeypatch):
+    monkeypatch.setattr(nd, "ATTEMPTS", 1)
+    monkeypatch.setattr(nd, "_descend", lambda *_: spark.createDataFrame([], "node long, component long"))
+    with pytest.raises(RuntimeError, match="recall below"):
+        got(spark, scratch, groups(np.random.default_rng(8), [2] * 5, 32, 0.01))
+
+
+def test_orders_grow_with_the_rows():
+    assert nd.orders_for(0, 0.95) == nd.orders_for(256, 0.95) == nd.ORDERS
+    some = [nd.orders_for(10 ** e, 0.95) for e in (5, 6, 7, 8)]
+    assert some == sorted(set(some)) and some[0] > nd.ORDERS
