@@ -39,7 +39,7 @@ THRESHOLD = 0.95
 K = 8
 #: Random-projection orders at least (``orders_for`` adds some for more rows), the vectors compared in a leaf of one, and the projections in its code.
 ORDERS, LEAF, BITS = 6, 256, 32
-#: Vectors that meet at a vector at once; a hub's neighbours meet in groups of so many.
+#: Vectors that meet at a vector at once; a hub's neighbours meet in groups of so many, dealt anew at each vector and round.
 GROUP = 256
 HUB = 4096
 MAX_ROUNDS = 8
@@ -193,14 +193,15 @@ def _lists(edges: DataFrame, sizes: DataFrame | None) -> DataFrame:
     return best.withColumn("rank", rank).where("rank <= k").drop("rank")
 
 
-def refine(nodes: DataFrame, lists: DataFrame, sizes: DataFrame, scratch: Scratch, threshold: float = THRESHOLD) -> DataFrame:
+def refine(nodes: DataFrame, lists: DataFrame, sizes: DataFrame, scratch: Scratch, threshold: float = THRESHOLD,
+           turn: int = 0) -> DataFrame:
     """Edges that improve some list or connect vectors, found where neighbours of one vector meet."""
     around = lists.select(F.col("a").alias("centre"), F.col("b").alias("member"))
     around = around.union(around.select("member", "centre")).union(sizes.select("node", "node")).distinct()
     hubs = scratch.table(around.groupBy("centre").agg(F.count("*").alias("n")).where(F.col("n") > HUB)
                          .select(F.col("centre").alias("hub"), F.ceil(F.col("n") / HUB).alias("blocks")), "hubs")
     around = around.join(hubs, F.col("centre") == F.col("hub"), "left").withColumn(
-        "block", F.coalesce(F.pmod(F.xxhash64("member"), F.col("blocks")), F.lit(0)))
+        "block", F.coalesce(F.pmod(F.xxhash64("member", "centre", F.lit(turn)), F.col("blocks")), F.lit(0)))
     vectors = nodes.select("node", "v").join(sizes.select(F.col("node").alias("n2"), "k", "worst"), F.col("node") == F.col("n2"))
     vectors = scratch.table(vectors.select("node", "v", "k", "worst"), "vectors")
     meeting = around.join(vectors, F.col("member") == F.col("node")).select("centre", "block", "node", "v", "k", "worst")
@@ -222,7 +223,7 @@ def refine(nodes: DataFrame, lists: DataFrame, sizes: DataFrame, scratch: Scratc
         x = _matrix(table.column("v").slice(lo, hi - lo).combine_chunks())
         return [_best(ids[i:i + GROUP], x[i:i + GROUP], k[i:i + GROUP], worst[i:i + GROUP], threshold) for i in range(0, hi - lo, GROUP)]
 
-    dealt = meeting.repartition("centre", "block").sortWithinPartitions("centre", "block", F.xxhash64("node"))
+    dealt = meeting.repartition("centre", "block").sortWithinPartitions("centre", "block", F.xxhash64("node", "centre", F.lit(-1 - turn)))
     return dealt.mapInArrow(meet, EDGE)
 
 
@@ -262,9 +263,9 @@ def _descend(nodes: DataFrame, edges: DataFrame, scratch: Scratch, threshold: fl
     links = scratch.table(pair(edges), "links")
     joined = components(links, scratch)
     lists = scratch.table(_lists(edges, None), "lists")
-    for _ in range(max_rounds):
+    for turn in range(max_rounds):
         sizes = scratch.table(_sizes(nodes, lists, threshold), "sizes")
-        found = scratch.table(refine(nodes, lists, sizes, scratch, threshold), "found")
+        found = scratch.table(refine(nodes, lists, sizes, scratch, threshold, turn), "found")
         fresh = scratch.table(pair(found).join(links, ["a", "b"], "left_anti"), "links")
         # links of saturated lists inside their component are completed there: only those that join two keep the rounds going
         across = scratch.table(_across(fresh, joined), "across")

@@ -152,3 +152,14 @@ def test_orders_grow_with_the_rows():
     assert nd.orders_for(0, 0.95) == nd.orders_for(256, 0.95) == nd.ORDERS
     some = [nd.orders_for(10 ** e, 0.95) for e in (5, 6, 7, 8)]
     assert some == sorted(set(some)) and some[0] > nd.ORDERS
+
+
+@pytest.mark.parametrize("hub", [4096, 4])
+def test_neighbours_of_a_hub_meet_others_in_other_rounds(spark, scratch, monkeypatch, hub):
+    monkeypatch.setattr(nd, "GROUP", 3)
+    monkeypatch.setattr(nd, "HUB", hub)
+    nodes = spark.createDataFrame([(i, [1.0, i / 100]) for i in range(9)], "node long, v array<float>")
+    lists = spark.createDataFrame([(i, 0, 0.99, 8) for i in range(1, 9)], "a long, b long, sim double, k int")
+    sizes = scratch.table(nd._sizes(nodes, lists, 0.95), "s")
+    met = [{(r.a, r.b) for r in nd.refine(nodes, lists, sizes, scratch, turn=turn).collect() if 0 < r.a < r.b} for turn in range(3)]
+    assert met[0] != met[1] and len(set.union(*met)) > len(met[0])
