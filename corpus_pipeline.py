@@ -44,7 +44,7 @@ def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
 
 def line_dedup_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Leaves one line of each group of similar lines; drops documents that have no line left."""
-    return line_dedup.drop_repeated_lines(docs, Scratch(spark, "pipeline-lines"))
+    return line_dedup.drop_repeated_lines(docs, Scratch(spark, "pipeline-lines"), min_chars=line_dedup.MIN_CHARS)
 
 
 def simhash_near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

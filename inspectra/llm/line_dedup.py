@@ -1,7 +1,7 @@
 """Fuzzy line deduplication: MinHash over character shingles, exact Jaccard, distributed union-find.
 
-1. Every line of at least ``min_chars`` characters (outer white space aside) gets
-   an id, the hash of its text, and, once per task and text, a MinHash
+1. Every line of at least ``min_chars`` characters (outer white space aside; by
+   default every line that isn't blank) gets an id, the hash of its text, and, once per task and text, a MinHash
    signature over its character shingles, cut into bands.  Copies of a line are
    one id from here on, so a line a third of the corpus repeats costs one row a
    task.
@@ -33,7 +33,8 @@ SHINGLE_CHARS = 8
 THRESHOLD = 0.8
 #: 12 bands of 4 rows: a pair of similarity 0.8 shares a band with probability 0.998, one of 0.9 with 0.99999.
 BANDS, ROWS = 12, 4
-MIN_CHARS = 20
+#: Every line that is not blank.
+MIN_CHARS = 1
 #: Members that one task compares in a bucket; larger buckets go block by block.
 BLOCK = 1024
 #: Size of the bitmap (8 MB) that keeps lines which share no band out of the shuffle of texts.
@@ -279,8 +280,8 @@ def line_classes(docs: DataFrame, scratch: Scratch, k: int = SHINGLE_CHARS, thre
     """One row per compared line: doc_id, line (from 0), id, first_doc, first_line, kept.
 
     (first_doc, first_line) is the smallest place among all lines of the
-    component: the one that is kept.  Shorter lines are left alone and have no
-    row; so have rows whose doc_id or text is null.  Repeated rows of a document
+    component: the one that is kept.  Blank lines, and those shorter than
+    ``min_chars``, are left alone and have no row; so have rows whose doc_id or text is null.  Repeated rows of a document
     share their places and are kept or not together.  Other columns are ignored;
     an empty table gives no rows.
     """
@@ -325,14 +326,15 @@ def line_classes(docs: DataFrame, scratch: Scratch, k: int = SHINGLE_CHARS, thre
                       (F.col("first") == place).alias("kept"))
 
 
-def drop_repeated_lines(docs: DataFrame, scratch: Scratch, **options) -> DataFrame:
+def drop_repeated_lines(docs: DataFrame, scratch: Scratch, min_chars: int = 20, **options) -> DataFrame:
     """``docs`` with one line left of each component.
 
+    Lines below ``min_chars`` characters stay; the pipeline passes MIN_CHARS.
     Texts keep their other lines in order; a text that loses nothing stays as it
     is.  A document of which no line with a character other than white space is
     left, and that had one before, is dropped.
     """
-    gone = (line_classes(docs, scratch, **options).where("NOT kept").groupBy("doc_id")
+    gone = (line_classes(docs, scratch, min_chars=min_chars, **options).where("NOT kept").groupBy("doc_id")
             .agg(F.collect_set("line").alias("_gone")).withColumnRenamed("doc_id", "_doc"))  # lines of one document
     kind = docs.schema["text"].dataType.simpleString()
 

@@ -118,3 +118,14 @@ def test_bitmap_lets_every_wanted_id_pass(spark, monkeypatch):
     bits = ld.id_bitmap(spark.createDataFrame([(i,) for i in ids], "want long"), "want")
     assert len(bits) == 16 and all(int(bits[(i & 1023) >> 6]) >> (i & 63) & 1 for i in ids)
     assert sum(int(b).bit_count() for b in bits) == len({i & 1023 for i in ids})
+
+
+def test_short_lines_have_rows_and_repeats_go(spark, scratch, tmp_path):
+    import corpus_pipeline as cp
+    from inspectra.llm import queries
+    rows = [(1, "Les.\nune ligne\n \nx"), (2, "日本語の文です。\n Les. "), (3, "x\n日本語の文です。\nown"), (4, "x")]
+    spark.createDataFrame(rows, SCHEMA).write.parquet(f"{tmp_path}/documents.parquet")
+    out = queries.QUERIES["op8_line_dedup"](spark, str(tmp_path)).select("doc_id", "line", "first_doc", "first_line", "kept").collect()
+    assert sorted(map(tuple, out)) == brute(rows, 1) and len(out) == 9
+    left = cp.line_dedup_stage(spark, spark.createDataFrame(rows, SCHEMA), "")
+    assert {r.doc_id: r.text for r in left.collect()} == {1: rows[0][1], 2: "日本語の文です。", 3: "own"}
