@@ -29,10 +29,10 @@ from pyspark.sql import functions as F
 from .common import Scratch, slices
 from .components import components
 
-SHINGLE_CHARS = 8
+SHINGLE_CHARS = 5
 THRESHOLD = 0.8
-#: 12 bands of 4 rows: a pair of similarity 0.8 shares a band with probability 0.998, one of 0.9 with 0.99999.
-BANDS, ROWS = 12, 4
+#: 21 bands of 6 rows: a pair of similarity 0.8 shares a band with probability 0.998, one of 0.9 with 0.9999999.
+BANDS, ROWS = 21, 6
 #: Every line that is not blank.
 MIN_CHARS = 1
 #: Members that one task compares in a bucket; larger buckets go block by block.

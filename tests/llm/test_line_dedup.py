@@ -129,3 +129,16 @@ def test_short_lines_have_rows_and_repeats_go(spark, scratch, tmp_path):
     assert sorted(map(tuple, out)) == brute(rows, 1) and len(out) == 9
     left = cp.line_dedup_stage(spark, spark.createDataFrame(rows, SCHEMA), "")
     assert {r.doc_id: r.text for r in left.collect()} == {1: rows[0][1], 2: "日本語の文です。", 3: "own"}
+
+
+def test_one_edit_in_a_medium_line_is_found(spark, scratch):
+    """One inner character from 49 characters on, one two-letter word from 58 (8-character shingles: 79 and 88)."""
+    rng = random.Random(11)
+    rows = []
+    for n in range(49, 81):
+        line = "".join(rng.choice("abcdefghijklmnopqrstuvwxyz") for _ in range(n))
+        rows += [(len(rows), line), (len(rows) + 1, line[:n // 2] + "Z" + line[n // 2 + 1:])]
+    for n in range(61, 81):
+        line = "".join(rng.choice("abcdefghijklmnopqrstuvwxyz") for _ in range(n))
+        rows += [(len(rows), f"{line[:n // 2 - 1]} of {line[n // 2 + 3:]}"), (len(rows) + 1, f"{line[:n // 2 - 1]} by {line[n // 2 + 3:]}")]
+    assert run(spark, scratch, rows) == [(i, 0, i // 2 * 2, 0, i % 2 == 0) for i in range(len(rows))]
