@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, chat, langid, line_dedup, nn_descent, packing, quality, simhash, token_counts, warc
+from . import bpe, chat, langid, line_dedup, merkle, nn_descent, packing, quality, simhash, token_counts, warc
 from .common import Scratch, read_table
 
 QUERIES: dict = {}
@@ -143,3 +143,70 @@ def op1_embedding_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Links and component of every embedding."""
     vectors = read_table(spark, sf_dir, "embeddings", "vec_id", "embedding")
     return nn_descent.near_duplicates(vectors, Scratch(spark, "nn-descent"))[0]
+
+
+_UPPER, _LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
+
+_OP13_SQL = f"""
+WITH RECURSIVE fields AS (
+  SELECT doc_id, lang, translate(text, '{_UPPER}', '{_LOWER}') AS low, text,
+         coalesce(strlen(CAST(doc_id AS VARCHAR)) || ':' || doc_id, '-') || coalesce(strlen(source) || ':' || source, '-') ||
+         coalesce(strlen(lang) || ':' || lang, '-') || coalesce(strlen(CAST(n_chars AS VARCHAR)) || ':' || n_chars, '-') AS head,
+         list_reduce(list_prepend(CAST(4294967295 AS BIGINT), list_transform(string_split(CAST(doc_id AS VARCHAR), ''), lambda c: CAST(ascii(c) AS BIGINT))),
+           lambda crc, c: list_reduce(list_prepend(xor(crc, c), list_transform(range(8), lambda i: CAST(0 AS BIGINT))),
+             lambda x, i: CASE WHEN x & 1 = 1 THEN xor(x >> 1, 3988292384) ELSE x >> 1 END)) AS crc
+  FROM documents),
+leaves AS (
+  SELECT doc_id, lang, sha256(head || coalesce(strlen(text) || ':' || text, '-')) AS leaf,
+         CASE WHEN xor(crc, 4294967295) % 3 = 0 THEN sha256(head || coalesce(strlen(low) || ':' || low, '-')) END AS tampered FROM fields),
+placed AS (
+  SELECT *, row_number() OVER (PARTITION BY lang ORDER BY doc_id NULLS FIRST, leaf) - 1 AS pos, count(*) OVER (PARTITION BY lang) AS n FROM leaves),
+tree AS (
+  SELECT 0 AS lvl, lang, pos, leaf AS node, n FROM placed
+  UNION ALL
+  SELECT lvl + 1, lang, pos // 8, sha256(string_agg(node, '' ORDER BY pos)), (n + 7) // 8 FROM tree WHERE n > 1 GROUP BY lvl, lang, pos // 8, n),
+subroots AS (SELECT lang, node, row_number() OVER (ORDER BY lang NULLS FIRST) - 1 AS pos, count(*) OVER () AS n FROM tree WHERE n = 1),
+top AS (
+  SELECT 0 AS lvl, pos, node, n FROM subroots
+  UNION ALL
+  SELECT lvl + 1, pos // 8, sha256(string_agg(node, '' ORDER BY pos)), (n + 7) // 8 FROM top WHERE n > 1 GROUP BY lvl, pos // 8, n),
+nodes AS (  -- both trees as one: levels of the root tree follow those of a group
+  SELECT lvl, coalesce('=' || lang, '-') AS g, pos, node, n FROM tree WHERE n > 1
+  UNION ALL SELECT 100 + lvl, '', pos, node, n FROM top WHERE n > 1),
+runs AS (SELECT lvl, g, pos // 8 AS run, list(struct_pack(pos, node) ORDER BY pos) AS members FROM nodes GROUP BY ALL),
+heights AS (SELECT coalesce('=' || t.lang, '-') AS g, max(t.lvl) AS h, any_value(s.pos) AS at, any_value(s.node) AS subroot
+            FROM tree t JOIN subroots s ON s.lang IS NOT DISTINCT FROM t.lang GROUP BY 1),
+folding AS (
+  SELECT row_number() OVER () AS r, doc_id, leaf, h.subroot, h.h, h.at, coalesce('=' || lang, '-') AS own, CASE WHEN h.h > 0 THEN 0 ELSE 100 END AS lvl,
+         CASE WHEN h.h > 0 THEN coalesce('=' || lang, '-') ELSE '' END AS g, CASE WHEN h.h > 0 THEN p.pos ELSE h.at END AS pos,
+         coalesce(tampered, leaf) AS node, '' AS proof, false AS done
+  FROM placed p JOIN heights h ON h.g = coalesce('=' || p.lang, '-')
+  UNION ALL
+  SELECT f.r, f.doc_id, f.leaf, f.subroot, f.h, f.at, f.own,
+         CASE WHEN f.lvl + 1 = f.h THEN 100 ELSE f.lvl + 1 END, CASE WHEN f.lvl + 1 = f.h THEN '' ELSE f.g END,
+         CASE WHEN f.lvl + 1 = f.h THEN f.at ELSE f.pos // 8 END,
+         CASE WHEN runs.members IS NULL THEN f.node ELSE
+           sha256(array_to_string(list_transform(runs.members, lambda m: CASE WHEN m.pos = f.pos THEN f.node ELSE m.node END), '')) END,
+         CASE WHEN runs.members IS NULL THEN f.proof ELSE
+           f.proof || array_to_string(list_transform(list_filter(runs.members, lambda m: m.pos <> f.pos), lambda m: m.node), '') END,
+         runs.members IS NULL
+  FROM folding f LEFT JOIN runs ON runs.lvl = f.lvl AND runs.g = f.g AND runs.run = f.pos // 8 WHERE NOT f.done),
+root AS (SELECT node AS root FROM top WHERE n = 1)
+SELECT doc_id, leaf, subroot, root, sha256(proof) AS proof_sha256, node AS folded_root, node = root AS verified
+FROM folding, root WHERE done"""
+
+
+@query("op13_merkle_manifest", _OP13_SQL)
+def op13_merkle_manifest(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Leaf, proof and folded root of every document; every third document, by crc32, is tampered with."""
+    docs = read_table(spark, sf_dir, "documents", "doc_id", "source", "lang", "n_chars", "text")
+    fields = ["doc_id", "source", "lang", "n_chars"]
+    tampered = F.crc32(F.col("doc_id").cast("string").cast("binary")) % 3 == 0
+    scratch = Scratch(spark, "merkle")
+    leaves = scratch.table(docs.select(
+        F.col("lang").alias("grp"), F.col("doc_id").alias("key"), merkle.digest(*fields, "text").alias("leaf"),
+        F.when(tampered, merkle.digest(*fields, F.translate("text", _UPPER, _LOWER))).alias("test")), "leaves")
+    found = merkle.manifest(leaves.withColumn("test", F.coalesce("test", "leaf")), scratch)
+    return found.select(F.col("key").alias("doc_id"), "leaf", "subroot", "root",
+                        F.sha2(F.array_join(F.flatten("proof"), "").cast("binary"), 256).alias("proof_sha256"),
+                        "folded_root", "verified")
