@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, chat, langid, line_dedup, merkle, nn_descent, packing, quality, simhash, token_counts, warc
+from . import bpe, chat, hard_negatives, langid, line_dedup, merkle, nn_descent, packing, quality, simhash, token_counts, warc
 from .common import Scratch, read_table
 
 QUERIES: dict = {}
@@ -210,3 +210,30 @@ def op13_merkle_manifest(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select(F.col("key").alias("doc_id"), "leaf", "subroot", "root",
                         F.sha2(F.array_join(F.flatten("proof"), "").cast("binary"), 256).alias("proof_sha256"),
                         "folded_root", "verified")
+
+
+_OP11_SQL = """
+WITH v AS (
+  SELECT vec_id AS id, CASE WHEN vec_id % 7 = 0 THEN (label + 1) % 10 ELSE label END AS label,
+         list_transform(embedding, lambda x: CAST(floor(256 * CAST(x AS DOUBLE)) AS BIGINT)) AS q
+  FROM embeddings WHERE vec_id IS NOT NULL AND label IS NOT NULL AND embedding IS NOT NULL
+    AND len(list_filter(embedding, lambda x: x IS NULL OR isnan(x) OR isinf(x))) = 0),
+s AS (SELECT a.id AS a, b.id AS b, a.label = b.label AS alike,
+             CAST(list_sum(list_transform(range(1, len(a.q) + 1), lambda i: a.q[i] * b.q[i])) AS BIGINT) AS score
+      FROM v a JOIN v b ON a.id <> b.id WHERE a.id % 50 = 0),
+p AS (SELECT a, b, score FROM s WHERE alike QUALIFY row_number() OVER (PARTITION BY a ORDER BY score DESC, b) <= 5)
+SELECT p.a AS anchor_id, p.b AS positive_id,
+       CAST(row_number() OVER (PARTITION BY p.a, p.b ORDER BY s.score DESC, s.b) AS INTEGER) AS rank,
+       s.b AS negative_id, p.score AS positive_score, s.score AS negative_score
+FROM p JOIN s ON s.a = p.a AND NOT s.alike AND 50 * p.score <= 100 * s.score AND 100 * s.score <= 95 * p.score
+QUALIFY row_number() OVER (PARTITION BY p.a, p.b ORDER BY s.score DESC, s.b) <= 3"""
+
+
+@query("op11_hard_negatives", _OP11_SQL)
+def op11_hard_negatives(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Hard negatives of every fiftieth embedding, searched among all rows."""
+    label = F.col("label").cast("long")
+    vectors = read_table(spark, sf_dir, "embeddings", "vec_id", "label", "embedding").select(
+        F.col("vec_id").alias("id"), F.when(F.col("vec_id") % 7 == 0, (label + 1) % 10).otherwise(label).alias("label"),
+        hard_negatives.scaled("embedding").alias("vec"))
+    return hard_negatives.mine(vectors, Scratch(spark, "hard-negatives"), F.col("id") % 50 == 0)
