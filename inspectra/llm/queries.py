@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, chat, hard_negatives, langid, line_dedup, merkle, nn_descent, packing, quality, simhash, token_counts, warc
+from . import bpe, chat, hard_negatives, hmm, langid, line_dedup, merkle, nn_descent, packing, quality, simhash, token_counts, warc
 from .common import Scratch, read_table
 
 QUERIES: dict = {}
@@ -237,3 +237,11 @@ def op11_hard_negatives(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.col("vec_id").alias("id"), F.when(F.col("vec_id") % 7 == 0, (label + 1) % 10).otherwise(label).alias("label"),
         hard_negatives.scaled("embedding").alias("vec"))
     return hard_negatives.mine(vectors, Scratch(spark, "hard-negatives"), F.col("id") % 50 == 0)
+
+
+@query("op12_hmm_scores")
+def op12_hmm_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Base and model score of every document, learnt from those that are not held out."""
+    held_out = F.crc32(F.coalesce(F.col("doc_id").cast("string"), F.lit("")).cast("binary")) % 5 == 1
+    docs = read_table(spark, sf_dir, "documents", "doc_id", "text").select("doc_id", held_out.alias("held_out"), "text")
+    return hmm.score(docs, Scratch(spark, "hmm"), ~F.col("held_out"))
