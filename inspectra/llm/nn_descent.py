@@ -287,15 +287,17 @@ def link_counts(nodes: DataFrame, found: DataFrame, scratch: Scratch, threshold:
     Exact within each component.
     """
     own = found.join(nodes, found["node"] == nodes["node"]).select("component", nodes["node"], "w", "v")
-    norm = F.sqrt(F.aggregate("v", F.lit(0.0), lambda s, x: s + x.cast("double") * x))
-    own = scratch.table(own.withColumn("norm", norm), "own")
-    spread = own.select("component", F.posexplode(F.expr("transform(v, x -> x / norm)")).alias("pos", "x"))
+    # by the largest component first: lengths of tiny and huge vectors would leave the range of a double
+    own = own.withColumn("u", F.expr("transform(v, x -> cast(x AS double) / cast(array_max(transform(v, y -> abs(y))) AS double))"))
+    norm = F.sqrt(F.aggregate("u", F.lit(0.0), lambda s, x: s + x * x))
+    own = scratch.table(own.withColumn("norm", norm).withColumn("u", F.expr("transform(u, x -> x / norm)")), "own")
+    spread = own.select("component", F.posexplode("u").alias("pos", "x"))
     centre = (spread.groupBy("component", "pos").agg(F.sum("x").alias("x")).groupBy("component")
               .agg(F.array_sort(F.collect_list(F.struct("pos", "x"))).alias("c"))
               .select(F.col("component").alias("of"), F.transform("c", lambda e: e["x"]).alias("c")))
     centre = scratch.table(centre.withColumn("c_norm", F.sqrt(F.aggregate("c", F.lit(0.0), lambda s, x: s + x * x))), "centre")
-    dot = F.aggregate(F.zip_with("v", "c", lambda x, y: x * y), F.lit(0.0), lambda s, x: s + x)
-    angle = F.acos(F.greatest(F.lit(-1.0), F.least(F.lit(1.0), dot / F.col("norm") / F.col("c_norm"))))
+    dot = F.aggregate(F.zip_with("u", "c", lambda x, y: x * y), F.lit(0.0), lambda s, x: s + x)
+    angle = F.acos(F.greatest(F.lit(-1.0), F.least(F.lit(1.0), F.try_divide(dot, "c_norm"))))
     inner = F.coalesce(angle <= math.acos(threshold) / 2 - _EPS, F.lit(False))  # false also for a centre at the origin
     placed = scratch.table(own.join(centre, F.col("component") == F.col("of")).select("component", "node", "w", "v", inner.alias("inner")), "placed")
     sums = scratch.table(placed.groupBy("component").agg(

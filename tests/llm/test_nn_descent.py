@@ -163,3 +163,21 @@ def test_neighbours_of_a_hub_meet_others_in_other_rounds(spark, scratch, monkeyp
     sizes = scratch.table(nd._sizes(nodes, lists, 0.95), "s")
     met = [{(r.a, r.b) for r in nd.refine(nodes, lists, sizes, scratch, turn=turn).collect() if 0 < r.a < r.b} for turn in range(3)]
     assert met[0] != met[1] and len(set.union(*met)) > len(met[0])
+
+
+def test_tiny_huge_and_ring_vectors_link(spark, scratch):
+    """Double vectors whose length leaves the range of a double, and a ring whose centre is the origin."""
+    rng = np.random.default_rng(6)
+    rows = [(2 * i + b, (np.array([1.0, 2.0, 3.0]) * s).tolist()) for i, s in enumerate((1e-200, 1e200, 5e-324, 1e307, 1.0)) for b in (0, 1)]
+    ring = [(100 + i, [math.cos(2 * math.pi * i / 40), math.sin(2 * math.pi * i / 40), 0.0]) for i in range(40)]
+    rows += ring + [(200 + i, rng.standard_normal(3).tolist()) for i in range(30)]
+    out, _ = nd.near_duplicates(spark.createDataFrame(rows, "vec_id long, embedding array<double>"), scratch)
+    found = {r.vec_id: (r.n_links, r.component_id) for r in out.collect()}
+    units = {}
+    for i, v in rows:
+        x = np.array(v) / np.abs(v).max()
+        units[i] = x / np.linalg.norm(x)
+    near = {i: [j for j in units if j != i and units[i] @ units[j] >= 0.95] for i in units}
+    group = union_find([(i, j) for i, js in near.items() for j in js], set(units))
+    assert found == {i: (len(near[i]), group[i]) for i in units}
+    assert found[100][0] >= 4  # two neighbours a side within 18.2 degrees
