@@ -21,15 +21,13 @@ import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 
-from .common import slices, vocabulary_path
+from .common import SPACE, slices, vocabulary_path
 
-#: Encoded pieces that a Python worker remembers; it forgets all of them when there are more.
-REMEMBERED = 300_000
+#: Encoded pieces that a Python worker remembers, and their characters; it forgets all of them when there are more.
+REMEMBERED, REMEMBERED_CHARS = 300_000, 8 << 20
 #: Characters of text encoded at once, and positions from which on a pair's merges are done as arrays.
 SLICE_CHARS = 4 << 20
 _MANY = 48
-#: White space of the splitting rule, by the Unicode property.
-_SPACE = "\\t\\n\\x0b\\x0c\\r \\x85\\xa0\\u1680\\u2000-\\u200a\\u2028\\u2029\\u202f\\u205f\\u3000"
 
 
 def byte_symbols() -> list[str]:
@@ -85,14 +83,14 @@ class Tokenizer:
                for i in range(max(tokens) + 1)]
         self.token_bytes = np.frombuffer(b"".join(raw), np.uint8)
         self.token_starts = np.cumsum([0, *map(len, raw)])
-        pattern = public_tokenizers.PATTERN.replace("[^\\s", f"[^{_SPACE}").replace("\\s", f"[{_SPACE}]").replace("\\S", f"[^{_SPACE}]")
+        pattern = public_tokenizers.PATTERN.replace("[^\\s", f"[^{SPACE}").replace("\\s", f"[{SPACE}]").replace("\\S", f"[^{SPACE}]")
         self.pieces_of = regex.compile(pattern).findall
         longest_first = sorted(self.special, key=len, reverse=True)
         self.split_special = regex.compile("(" + "|".join(map(regex.escape, longest_first)) + ")").split if self.special else lambda t: [t]
         self._forget()
 
     def _forget(self) -> None:
-        self.known = _Pieces()
+        self.known, self.characters = _Pieces(), 0
         self.known.update((t, k) for k, t in enumerate(self.special))
         self.flat = np.array(list(self.special.values()), np.int32)  # ids of the known pieces, one after the other
         self.offsets = np.arange(len(self.special) + 1)
@@ -191,11 +189,12 @@ class Tokenizer:
 
     def encode(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
         """(ids of all texts one after the other, ids of each whole text)."""
-        if len(self.known) > REMEMBERED:
+        if len(self.known) > REMEMBERED or self.characters > REMEMBERED_CHARS:
             self._forget()
         split = list(map(self.pieces, texts))
         numbers = np.fromiter(map(self.known.__getitem__, itertools.chain.from_iterable(split)), np.int64)
         new, self.known.new = self.known.new, []
+        self.characters += sum(map(len, new))
         for i, j in slices([len(p) for p in new]):
             ids, sizes = self.merge(new[i:j])
             self.flat = np.concatenate([self.flat, ids])
@@ -220,7 +219,10 @@ def load(path: str) -> Tokenizer:
 
 
 def encode(docs: DataFrame, path: str | None = None) -> DataFrame:
-    """(doc_id, ids): ids of the whole text of every row, null or empty: none.  Other columns are not read."""
+    """(doc_id, ids): ids of the whole text of every row, null or empty: none.
+
+    Repeated rows are encoded as often as they occur.  Other columns are not read.
+    """
     path = path or vocabulary_path("byte_bpe_50k.json")
     src = docs.select("doc_id", "text")
 

@@ -72,7 +72,7 @@ def pack(docs: DataFrame, scratch: Scratch, max_len: int = MAX_LEN, n_buckets: i
     the last batch of a bucket may be partly filled.  The order inside a bucket
     is a seeded hash, so neighbours in a batch are unrelated documents.
 
-    A document without tokens (null or empty text) is one row with n_tokens 0
+    Texts may be of any length.  A document without tokens (null or empty text) is one row with n_tokens 0
     and no bucket, batch or slot.  Repeated rows are packed as often as they
     occur.  Only doc_id and text are read; an empty table gives no rows.
     """

@@ -21,8 +21,8 @@ BLOCK = 1024
 def length_histogram(docs: DataFrame, text: str = "text", vocabulary: str | None = None) -> DataFrame:
     """(n_tokens, n_docs): documents by encoded length.
 
-    Whole texts are encoded; a null or empty text has length 0.  Other columns
-    are not read, whatever their names.  An empty table gives an empty histogram.
+    Whole texts are encoded, however long; a null or empty text has length 0.
+    Repeated rows count as often as they occur.  Other columns are not read, whatever their names.  An empty table gives an empty histogram.
     """
     lengths = docs.select(token_counter(vocabulary)(F.col(text)).alias("n_tokens"))
     return lengths.groupBy("n_tokens").agg(F.count("*").alias("n_docs"))

@@ -95,3 +95,16 @@ def test_every_token_is_packed_once(spark, scratch, monkeypatch, shard):
         per = max(1, 300 // b)
         assert sorted(own) == [(i // per, i % per) for i in range(len(own))]  # full batches, the last one partly
     assert all(r["n_tokens"] <= r["bucket_len"] and not any(r["n_tokens"] <= b < r["bucket_len"] for b in bounds) for r in full)
+
+
+def test_very_long_texts_and_runs_of_white_space(spark, scratch):
+    """Runs that the encoder's splitting can't take; the operator's own encoder tells the right counts."""
+    from inspectra.llm import bpe
+    texts = [" " * 1_000_000 + "x", "word  and\n\n more " * 60_000, "\n" * 700_000, "a" + "\u00a0" * 300_000 + " b", " \t" * 400_000 + "end " + " " * 20_000 + "\nz",
+             "x" * 1_000_000, "\x1c" * 20_000 + "a" * 100_000]
+    own = bpe.load(vocabulary_path("byte_bpe_50k.json")).encode(texts)[1].tolist()
+    df = frame(spark, list(enumerate(texts)))
+    hist = token_counts.length_histogram(df)
+    assert sorted(r.n_tokens for r in hist.collect() for _ in range(r.n_docs)) == sorted(own)
+    packed = packing.pack(df, scratch).groupBy("doc_id").sum("n_tokens").collect()
+    assert {r[0]: r[1] for r in packed} == dict(enumerate(own))
