@@ -11,9 +11,10 @@ rewrites history; its conversations are flagged and get no spans.
 Conversations are dealt over the executors and sorted by turn; a task streams
 through them and holds one window of turns at a time.  A window starts with the
 last turn of the one before it, so a conversation of any length costs memory
-and time in proportion to its size.  Windows assume that what a turn adds
-depends on that turn and the one before it, once there is one (``window=None``
-renders all prefixes of a conversation whole).
+and time in proportion to its size.  That holds only for a template that
+declares itself ``local``: what a turn adds depends on that turn and the one
+before it, once there is one.  Of any other template all prefixes of a
+conversation are rendered whole.
 """
 
 from __future__ import annotations
@@ -47,6 +48,9 @@ def chat_markup(messages: list[Message]) -> str:
     return "".join(f"{_START}{_role(r)}\n{escape(t)}{_END}\n" for r, t in messages)
 
 
+chat_markup.local = True
+
+
 def _role(role: str) -> str:
     return escape(role).replace("\n", "\\n")
 
@@ -96,10 +100,13 @@ OUT = ("conv_id {0}, part long, first_turn long, formatted string, rewrites_hist
        "turns array<struct<role:string,start:long,end:long,text_start:long,text_end:long,loss:boolean>>")
 
 
-def format_conversations(rows: DataFrame, template: Template = chat_markup, window: int | None = WINDOW,
+def format_conversations(rows: DataFrame, template: Template = chat_markup, window: int | None = None,
                          loss_roles: tuple[str, ...] = ("assistant",)) -> DataFrame:
     """Formatted conversations, one row per window: conv_id, part, first_turn, formatted, rewrites_history, turns.
 
+    A conversation is one window, unless the template has a true attribute
+    ``local`` (then a window has WINDOW turns) or ``window`` is given.
+
     ``rows`` has conv_id, turn, role, text; other columns are ignored.  Turns go
     by turn (nulls first), ties by role and text; repeated rows are repeated
     turns; null roles and texts are empty; rows without conv_id are one
@@ -107,6 +114,7 @@ def format_conversations(rows: DataFrame, template: Template = chat_markup, wind
     formatted text; ``turns`` counts code points from the start of its part, and
     ``loss`` marks turns whose text (text_start to text_end) is trained on.
     """
+    window = window or (WINDOW if getattr(template, "local", False) else None)
     src = rows.select("conv_id", "turn", F.coalesce("role", F.lit("")).alias("role"), F.coalesce("text", F.lit("")).alias("text"))
     kind = src.schema["conv_id"].dataType.simpleString()
     spans_type = pa.list_(pa.struct([("role", pa.string()), *((k, pa.int64()) for k in ("start", "end", "text_start", "text_end")),

@@ -82,3 +82,15 @@ def test_templates_that_rewrite_history_are_found(spark, template):
     df = spark.createDataFrame([(1, 0, "u", "one"), (1, 1, "a", "two"), (2, 0, "u", "alone")], "conv_id int, turn int, role string, text string")
     got = {r.conv_id: (r.rewrites_history, r.turns is None) for r in chat.format_conversations(df, template).collect()}
     assert got == {1: (True, True), 2: (False, False)}
+
+
+def test_a_template_that_numbers_its_turns_is_rendered_whole(spark):
+    numbered = lambda ms: "".join(f"{k}. {r}: {t}\n" for k, (r, t) in enumerate(ms))
+    rows = [(1, i, "assistant" if i % 2 else "user", f"said {i}") for i in range(220)]
+    df = spark.createDataFrame(rows, "conv_id int, turn int, role string, text string")
+    got = chat.format_conversations(df, numbered).collect()
+    assert len(got) == 1 and got[0].formatted == numbered([r[2:] for r in rows]) and not got[0].rewrites_history
+    assert [got[0].formatted[t.text_start:t.text_end] for t in got[0].turns] == [r[3] for r in rows]
+    late = lambda ms: ("few" if len(ms) < 150 else "many") + "".join(t for _, t in ms)  # rewrites beyond a window
+    assert [r.rewrites_history for r in chat.format_conversations(df, late).collect()] == [True]
+    assert chat.format_conversations(df).count() == 4  # the default template declares itself local
