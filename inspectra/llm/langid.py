@@ -14,6 +14,7 @@ smallest hash of doc_id), one task a language.
 from __future__ import annotations
 
 import functools
+import uuid
 from collections.abc import Iterator
 from dataclasses import dataclass
 
@@ -34,6 +35,8 @@ REJECT_SHARE = 0.3
 MAX_LANGUAGES = 1000
 UNDETERMINED = "und"
 _ROUNDS = 12
+#: Bins of the histogram of hashes, per language: 2 ** 16.
+_HASH_BITS = 16
 #: Characters and texts counted at once (a dense block of so many vectors is held): a few tens of MB a task.
 _CHARS, _TEXTS = 1 << 18, 64
 
@@ -137,11 +140,19 @@ def fit(docs: DataFrame, n_centroids: int = CENTROIDS, sample_docs: int = SAMPLE
     n[df["bin"].to_numpy()] = df["n"].to_numpy()
     idf = (np.log((1 + n[DIMS]) / (1 + n[:DIMS])) + 1).astype(np.float32)
 
-    order = Window.partitionBy("lang").orderBy(F.xxhash64("doc_id"), "doc_id")
-    few = (src.where(F.col("text").rlike(r"\p{L}")).select("doc_id", "lang")
-           .withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= sample_docs))
+    # a histogram of the hashes' first bits tells how far the sample of a language reaches; only ids up to there are ranked
+    scratch = Scratch(docs.sparkSession, "langid")
+    ids = (src.where(F.col("text").rlike(r"\p{L}")).select("doc_id", "lang", F.xxhash64("doc_id").alias("h"))
+           .withColumn("bin", F.shiftright("h", 64 - _HASH_BITS)))
+    bins = ids.groupBy("lang", "bin").agg(F.count("*").alias("n"))
+    before = Window.partitionBy("lang").orderBy("bin").rowsBetween(Window.unboundedPreceding, -1)
+    reach = (bins.withColumn("before", F.coalesce(F.sum("n").over(before), F.lit(0))).where(F.col("before") < sample_docs)
+             .groupBy(F.col("lang").alias("of")).agg(F.max("bin").alias("reach")))
+    near = ids.join(scratch.table(reach, "reach"), (F.col("lang") == F.col("of")) & (F.col("bin") <= F.col("reach")))
+    order = Window.partitionBy("lang").orderBy("h", "doc_id")
+    few = near.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= sample_docs)
     # SAMPLE_DOCS ids a language, written so that the planner knows how small they are and needn't shuffle the texts
-    few = Scratch(docs.sparkSession, "langid").table(few.select("doc_id", "lang", "rank"), "sample")
+    few = scratch.table(few.select("doc_id", "lang", "rank"), "sample")
     sample = src.join(few, ["doc_id", "lang"])
 
     def centroids(group: pd.DataFrame) -> pd.DataFrame:
@@ -163,7 +174,7 @@ def fit(docs: DataFrame, n_centroids: int = CENTROIDS, sample_docs: int = SAMPLE
 
 
 def predict(docs: DataFrame, model: Model) -> DataFrame:
-    """The columns of ``docs`` with text, plus lang_pred, score (cosine, 0 to 1), rejected.
+    """The columns of ``docs`` with text, plus lang_pred, score (cosine, 0 to 1), rejected (columns of these names are replaced).
 
     Only text is looked at.  A null text, or one without letters, is ``und``
     with score 0 and rejected.  Equal cosines go to the first language in
@@ -188,5 +199,6 @@ def predict(docs: DataFrame, model: Model) -> DataFrame:
             yield pd.DataFrame({"lang_pred": langs[at], "score": got,
                                 "rejected": (at == len(m.langs)) | (got < np.append(m.floor, 2)[at])})
 
-    return docs.withColumn("_near", nearest("text")).select(
-        *docs.columns, *(F.col(f"_near.{c}") for c in ("lang_pred", "score", "rejected")))
+    made, near = ("lang_pred", "score", "rejected"), f"_{uuid.uuid4().hex}"
+    return docs.withColumn(near, nearest("text")).select(
+        *(F.col(f"`{c}`") for c in docs.columns if c not in made), *(F.col(f"{near}.{c}") for c in made))

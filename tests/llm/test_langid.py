@@ -64,3 +64,33 @@ def test_clusters_are_unit_and_deterministic():
     x /= np.linalg.norm(x, axis=1, keepdims=True)
     a, b = langid.cluster(x, 4), langid.cluster(x, 4)
     assert (a == b).all() and np.allclose(np.linalg.norm(a, axis=1), 1, atol=1e-5) and len(langid.cluster(x[:2], 4)) == 2
+
+
+def test_the_fit_equals_a_plain_version(spark, monkeypatch):
+    """Document frequencies over all texts, the smallest hashes of each language as its sample, then the same clustering."""
+    monkeypatch.setattr(langid, "_HASH_BITS", 4)  # several ids a bin: the ranking inside the last one matters
+    words = {"xx": "alpha beta gamma delta", "yy": "eins zwei drei vier", "zz": "un deux trois quatre"}
+    rng = np.random.default_rng(3)
+    rows = [(i, " ".join(rng.choice(words[lang].split(), 8)) if i % 11 else "12 3", lang) for i in range(150) for lang in [sorted(words)[i % 3]]]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string").repartition(4)
+    model = langid.fit(docs, n_centroids=2, sample_docs=20)
+    counts = np.concatenate([langid.ngram_counts([t])[0] for _, t, _ in rows])
+    letters = [any(c.isalpha() for c in t) for _, t, _ in rows]
+    idf = np.log((1 + sum(letters)) / (1 + (counts > 0).sum(axis=0))) + 1
+    assert np.allclose(model.idf, idf, atol=1e-6)
+    h = {r.doc_id: r.h for r in docs.select("doc_id", F.xxhash64("doc_id").alias("h")).collect()}
+    want = []
+    for lang in sorted(words):
+        own = sorted((h[i], i) for i, _, x in rows if x == lang and letters[i])[:20]
+        x = np.log1p(counts[[i for _, i in own]]) * idf
+        x = (x / np.linalg.norm(x, axis=1, keepdims=True)).astype(np.float32)
+        c = langid.cluster(x, 2)
+        want += [(lang, v, (x @ c.T).max(axis=1).min() * langid.REJECT_SHARE) for v in c]
+    assert model.langs == [w[0] for w in want]
+    assert np.allclose(model.centroids, [w[1] for w in want], atol=1e-5) and np.allclose(model.floor, [w[2] for w in want], atol=1e-5)
+
+
+def test_result_columns_replace_those_of_the_same_name(spark):
+    docs = spark.createDataFrame([(1, "der die das", "a", 2.0, "b", True)], "_near long, text string, lang_pred string, score double, lang string, rejected boolean")
+    out = langid.predict(docs, langid.fit(docs.select(F.col("_near").alias("doc_id"), "text", "lang")))
+    assert out.columns == ["_near", "text", "lang", "lang_pred", "score", "rejected"] and out.first()["_near"] == 1 and out.first()["lang_pred"] == "b"
