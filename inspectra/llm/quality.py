@@ -78,8 +78,7 @@ def ngram_weights(docs: DataFrame, verdicts: DataFrame) -> DataFrame:
     Without trusted documents all weights are those of an empty trusted count
     (smoothing only); without any n-grams they are zero.
     """
-    trusted = verdicts.where("trusted").select("doc_id", "trusted").hint("shuffle_hash")
-    words = (docs.select("doc_id", "text").join(trusted, "doc_id", "left")
+    words = (docs.select("doc_id", "text").join(verdicts.where("trusted").select("doc_id", "trusted"), "doc_id", "left")
              .select(F.expr(f"CASE WHEN trusted THEN {_FOLD} END").alias("fold"), F.expr(_WORDS).alias("w")))
     pairs = words.select("fold", F.explode(F.expr("arrays_zip(w, slice(w, 2, size(w)))")).alias("z")).select(
         "fold", F.col("z.w").alias("a"), F.col("z.`1`").alias("b"))
@@ -119,17 +118,19 @@ def cut(scored: DataFrame, verdicts: DataFrame) -> DataFrame:
                        .otherwise(F.col("x.step") / 1000).alias("cut"))
 
 
-def quality_verdicts(docs: DataFrame, labels: DataFrame, scratch: Scratch) -> DataFrame:
-    """Per row of ``docs``: doc_id, the base statistics, base_failed, llr, kept.
+def judged(docs: DataFrame, labels: DataFrame, scratch: Scratch, carry: list[str]) -> DataFrame:
+    """Per row of ``docs``: a struct ``row`` of the ``carry`` columns, the base statistics, base_failed, llr, kept.
 
     Null and empty texts have no words and fail the base rules (llr 0).  A
     document is kept if it passes the base rules and its llr reaches the cut;
     with no labelled good or no labelled bad document there is no cut and the
-    base rules alone decide.  Repeated rows each get the same verdict.  Columns
-    other than doc_id and text (labels: doc_id, quality, toxic) are not read.
+    base rules alone decide.  Repeated rows each get the same verdict; a row with
+    a null doc_id is judged like any other.  Other columns (labels: than doc_id,
+    quality, toxic) are only carried; a table of verdicts is never joined back to the texts.
     """
-    verdicts = verdicts_of(labels)
-    src = docs.select("doc_id", "text")
+    # written, so that the planner goes by its size
+    verdicts = scratch.table(verdicts_of(labels), "verdicts")
+    src = docs.select(F.struct(*(F.col(f"`{c}`") for c in carry)).alias("row"), "doc_id", "text")
     weights = scratch.table(ngram_weights(src, verdicts), "weights").scalar()
     d = base_rules(src.withColumn("_fold", F.expr(_FOLD))).withColumn("_weights", weights)
     parts = F.expr(f"""zip_with(_w, slice(_w, 2, size(_w)), (a, b) ->
@@ -137,7 +138,13 @@ def quality_verdicts(docs: DataFrame, labels: DataFrame, scratch: Scratch) -> Da
         CASE WHEN b IS NULL THEN 0D ELSE get(_weights, cast(_fold * {BINS} + {_BIGRAM.format('a', 'b')} AS int)) END)""")
     total = F.aggregate(parts, F.lit(0.0), lambda acc, x: acc + x)
     llr = F.when(F.size("_w") > 0, total / (2 * F.size("_w") - 1)).otherwise(0.0)
-    scored = scratch.table(d.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words",
+    scored = scratch.table(d.select("row", "doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words",
                                     "base_failed", llr.alias("llr")), "scored")
     limit = scratch.table(cut(scored, verdicts), "cut").scalar()
-    return scored.withColumn("kept", ~F.col("base_failed") & F.coalesce(F.col("llr") >= limit, F.lit(True)))
+    return scored.drop("doc_id").withColumn("kept", ~F.col("base_failed") & F.coalesce(F.col("llr") >= limit, F.lit(True)))
+
+
+def quality_verdicts(docs: DataFrame, labels: DataFrame, scratch: Scratch) -> DataFrame:
+    """``judged`` with doc_id alone: doc_id, the base statistics, base_failed, llr, kept per row of ``docs``."""
+    found = judged(docs, labels, scratch, ["doc_id"])
+    return found.select("row.*", *found.columns[1:])

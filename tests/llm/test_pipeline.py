@@ -64,7 +64,7 @@ def test_quality_stage(spark, states):
     gain = [quality.GOOD_WEIGHT * sum(steps[s][1] for s in order[n:]) / total[1] - sum(steps[s][0] for s in order[n:]) / total[0] for n in range(len(order))]
     at = int(np.argmax(gain))
     cut = (order[at] + order[at - 1] + 1) / 2000 if at else order[0] / 1000
-    assert texts(states[2]) == [(i, t) for i, t in data if i is None or (ok[i] and llr[i] >= cut)]
+    assert texts(states[2]) == [(i, t) for i, t in data if ok[i] and llr[i] >= cut]
 
 
 def test_line_stage(states):
@@ -98,3 +98,15 @@ def test_run_and_empty_documents(spark, tmp_path):
     read_table(spark, SF_SMALL, "documents").limit(0).write.parquet(f"{tmp_path}/documents.parquet")
     read_table(spark, SF_SMALL, "labels").write.parquet(f"{tmp_path}/labels.parquet")
     assert cp.run(spark, str(tmp_path)).count() == 0
+
+
+def test_columns_that_clash_and_long_white_space(spark):
+    """Every stage passes columns on that are called like its own."""
+    names = ["_gone", "_doc", "_rejected", "_near", "score", "lang_pred", "rejected", "kept", "row", "llr", "n_words", "fp", "class", "first", "id", "line"]
+    docs = read_table(spark, SF_SMALL, "documents")
+    long = spark.createDataFrame([(900_001, " " * 1_000_000 + "x and more words", "en", "odd", 1_000_016)], docs.schema)
+    docs = docs.unionByName(long).select("*", *(docs.text.substr(1, 3).alias(n) for n in names))
+    for name, stage in cp.STAGES[:4]:
+        out = stage(spark, docs, SF_SMALL)
+        assert out.columns == docs.columns and out.where("_gone = substring(text, 1, 3)").count() > 20, name
+    assert cp.packing_stage(spark, docs, SF_SMALL).where("doc_id = 900001").first()["n_tokens"] > 0
