@@ -12,6 +12,8 @@ columns (which it passes on); what becomes of them is said at each stage.
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -25,26 +27,22 @@ def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     The centroids are learnt from the documents that have a lang and aren't held out.
     """
     model = langid.fit(langid.learnable(docs))
-    clash = {"lang_pred", "score", "rejected"} & set(docs.columns)
-    plain = docs.withColumnsRenamed({c: f"_own_{c}" for c in clash})
-    near = langid.predict(plain, model).where("NOT rejected").drop("lang_pred", "score", "rejected")
-    return near.withColumnsRenamed({f"_own_{c}": c for c in clash})
+    whole = docs.select(F.struct(*(F.col(f"`{c}`") for c in docs.columns)).alias("row"), "text")
+    return langid.predict(whole, model).where("NOT rejected").select("row.*")
 
 
 def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Drops documents that fail the base rules or whose likelihood ratio is below the cut.
 
-    Verdicts follow doc_id, and equal rows get equal verdicts; a document with a
-    null doc_id can't be told from others and stays.
+    Every row has its own verdict, also rows that share a doc_id or have none.
     """
-    verdicts = quality.quality_verdicts(docs, read_table(spark, sf_dir, "labels"), Scratch(spark, "pipeline-quality"))
-    rejected = verdicts.where("NOT kept AND doc_id IS NOT NULL").select(F.col("doc_id").alias("_rejected")).distinct()
-    return docs.join(rejected, F.col("doc_id") == F.col("_rejected"), "left_anti")
+    found = quality.judged(docs, read_table(spark, sf_dir, "labels"), Scratch(spark, "pipeline-quality"), docs.columns)
+    return found.where("kept").select("row.*")
 
 
 def line_dedup_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Leaves one line of each group of similar lines; drops documents that have no line left."""
-    return line_dedup.drop_repeated_lines(docs, Scratch(spark, "pipeline-lines"), min_chars=line_dedup.MIN_CHARS)
+    return line_dedup.drop_repeated_lines(docs, Scratch(spark, "pipeline-lines"))
 
 
 def simhash_near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -52,9 +50,12 @@ def simhash_near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Dat
 
     Rows with a null doc_id can't be named as the one that stays and are left alone.
     """
-    found = simhash.near_duplicates(docs, Scratch(spark, "pipeline-simhash"))
-    gone = found.where("doc_id <> component_id").select(F.col("doc_id").alias("_gone")).distinct()
-    left = docs.join(gone, F.col("doc_id") == F.col("_gone"), "left_anti")
+    scratch = Scratch(spark, "pipeline-simhash")
+    found = scratch.table(simhash.near_duplicates(docs, scratch).select("doc_id", "component_id"), "found")
+    mine = f"_{uuid.uuid4().hex}"  # no column of docs is called like this
+    # written, so that the planner goes by its size
+    gone = scratch.table(found.where("doc_id <> component_id").select(F.col("doc_id").alias(mine)).distinct(), "gone")
+    left = docs.join(gone, F.col("doc_id") == F.col(mine), "left_anti")
     unique = found.where("doc_id IS NOT NULL").groupBy("doc_id").count().where("count > 1").isEmpty()
     return left if unique else left.where("doc_id IS NOT NULL").dropDuplicates().unionByName(left.where("doc_id IS NULL"))
 
