@@ -72,6 +72,17 @@ def roc_auc(scored: DataFrame, label: str = "label", prob: str = "prob") -> Data
                         F.sum("pos").cast("double") * F.sum("neg")).alias("auc"))
 
 
+def grouped_auc(scored: DataFrame, keys: list[str], label: str = "label", prob: str = "prob") -> DataFrame:
+    """V2 for every group of ``keys`` at once: (keys, auc), from one global running sum over (keys, score)."""
+    h = scored.groupBy(*keys, F.col(prob).alias("s")).agg(
+        F.count_if(F.col(label) == 1).cast("long").alias("pos"), F.count_if(F.col(label) != 1).cast("long").alias("neg"))
+    h = running_totals(h, [*keys, "s"], {"_cum_neg": F.col("neg")})
+    # a group's first row tells what came before the group
+    before = F.min(F.col("_cum_neg") - F.col("neg"))
+    area = F.sum(F.col("pos") * (F.col("_cum_neg") - F.col("neg") / 2.0)) - F.sum("pos") * before
+    return h.groupBy(*keys).agg(_ratio(area, F.sum("pos").cast("double") * F.sum("neg")).alias("auc"))
+
+
 def roc_points(scored: DataFrame, label: str = "label", prob: str = "prob") -> DataFrame:
     """(fpr, tpr) at every distinct score, descending, from cumulative counts."""
     h = score_histogram(scored, label, prob).withColumn("_ns", -F.col("s"))

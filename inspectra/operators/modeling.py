@@ -1,18 +1,23 @@
-"""MLlib modelling: M6-M9, M11, M14, M16, M18-M24, X5.
+"""Modelling: M6-M9, M11, M14, M16, M18-M24, X5.
 
-The preprocessing (mode fill and rare pooling, median impute -> assemble ->
-z-score for numbers; string index -> one-hot for categories) is fitted once per
-fold on the fold's own training part; folds come from ``stats.stratified_folds``.
+The searches fit all folds and grid points side by side: preprocessing by
+leave-one-out sums (``prepare``), logistic regressions by batched Newton passes
+(``linear``), forests and boosted trees by histograms and staged evaluation
+(``trees``).  Folds come from ``stats.stratified_folds``.  PCA and k-means use MLlib.
 """
 
 from __future__ import annotations
 
+import json
+from collections.abc import Iterator
+from dataclasses import asdict, dataclass, replace
 from multiprocessing.pool import ThreadPool
 
+import numpy as np
+import pandas as pd
+import pyarrow as pa
 from pyspark.ml import Pipeline, PipelineModel
-from pyspark.ml.classification import GBTClassifier, LogisticRegression, RandomForestClassifier
 from pyspark.ml.clustering import KMeans
-from pyspark.ml.evaluation import BinaryClassificationEvaluator
 from pyspark.ml.feature import Imputer, OneHotEncoder, PCA, SQLTransformer, StandardScaler, StringIndexer, VectorAssembler
 from pyspark.ml.functions import vector_to_array
 from pyspark.sql import DataFrame, SparkSession
@@ -20,7 +25,11 @@ from pyspark.sql import functions as F
 
 from .. import schemas as S
 from ..session import written
+from . import linear as LN
 from . import stats as ST
+from . import trees as TR
+from .evaluation import grouped_auc
+from .prepare import INFREQUENT, Preparation, View, fit_views, prepare
 
 # the published searches: parameter lists and stratified folds
 GRIDS = {
@@ -31,10 +40,9 @@ GRIDS = {
 }
 #: Stage 5 families, in the published order, with the rows a category needs to keep a slot of its own.
 COMPARED = {"logistic_pooled": 20, "forest": 20, "boosted": 20}
-INFREQUENT = "__infrequent__"
-#: Rows a task of a fit holds: a fit is many short jobs, so small data goes in few partitions and the models of a
-#: fold are fitted side by side.
-ROWS_PER_TASK = 20_000
+#: Rows a task of a fit holds: a fit is many short jobs, so small data goes in few partitions, one per
+#: MIN_ROWS_PER_TASK rows as far as there are cores.
+MIN_ROWS_PER_TASK, ROWS_PER_TASK = 2_000, 20_000
 
 
 def model_frame(features: DataFrame, cutoff: str, target: str = "failed"):
@@ -95,77 +103,168 @@ def preprocessor(numeric, categorical, fit: DataFrame, rare_min: int | None = No
     return Pipeline(stages=stages).fit(fit)
 
 
-def _estimators(family: str, grid: dict, n_train: int):
-    """(estimator, parameter text) for every point of a grid."""
-    out = []
+@dataclass
+class Model:
+    """A fitted classifier with its preprocessing: ``kind`` linear (coefficients, the intercept first), forest or boosted (trees)."""
+
+    family: str
+    params: str
+    prep: Preparation
+    view: int
+    kind: str
+    coefficients: np.ndarray | None = None
+    trees: list | None = None
+    cuts: list | None = None
+    depth: int = 0
+    rate: float = 0.0
+    prior: float = 0.0
+
+    def probabilities(self, nums: np.ndarray, cats: np.ndarray) -> np.ndarray:
+        """Probability of class 1."""
+        if self.kind == "linear":
+            eta = self.prep.matrix(nums, cats, self.view, True) @ self.coefficients[1:] + self.coefficients[0]
+            return 1 / (1 + np.exp(-np.clip(eta, -700, 700)))
+        codes, n = TR.binned(self.prep, self.cuts, nums, cats, self.view), len(self.trees)
+        if self.kind == "forest":
+            return TR.forest_probabilities(self.trees, codes, [n], [self.depth])[n, self.depth]
+        return 1 / (1 + np.exp(-TR.boosted_margins(self.trees, codes, [n], self.rate, self.prior)[n]))
+
+    def slot_values(self) -> np.ndarray:
+        """Per slot: coefficient, or the trees' mean share of the gain."""
+        if self.kind == "linear":
+            return self.coefficients[1:]
+        total = np.zeros(self.prep.width)
+        for t in self.trees:
+            level = np.zeros(len(t["left"]), int)
+            for node in np.flatnonzero(t["left"] >= 0):
+                level[t["left"][node]:t["left"][node] + 2] = level[node] + 1
+            used = (t["left"] >= 0) & (level < self.depth)
+            own = np.bincount(t["slot"][used], weights=t["gain"][used], minlength=len(total))
+            total += own / own.sum() if own.sum() else own
+        return total / total.sum() if total.sum() else total
+
+    def save(self, spark: SparkSession, path: str) -> None:
+        """The description as JSON, the nodes of trees as a Parquet table."""
+        spec = asdict(replace(self, trees=None))
+        text = json.dumps(spec, default=lambda x: x.tolist())
+        spark.createDataFrame([(text,)], "spec string").coalesce(1).write.mode("overwrite").parquet(f"{path}/spec")
+        if self.trees is not None:
+            nodes = pd.concat([pd.DataFrame({"tree": k, "node": np.arange(len(t["left"])), **t}) for k, t in enumerate(self.trees)])
+            spark.createDataFrame(nodes.astype({"bin": "int32"})).write.mode("overwrite").parquet(f"{path}/nodes")
+
+    @classmethod
+    def load(cls, spark: SparkSession, path: str) -> "Model":
+        spec = json.loads(spark.read.parquet(f"{path}/spec").first()["spec"])
+        views = [View(*(np.array(v[k], float) for k in ("medians", "means", "deviations")), v["modes"],
+                      [np.array(s, int) for s in v["slots"]], tuple(v["weights"]), v["rows"]) for v in spec["prep"]["views"]]
+        prep = Preparation(**{**spec["prep"], "views": views})
+        out = cls(**{**spec, "prep": prep})
+        if out.kind == "linear":
+            out.coefficients = np.array(out.coefficients)
+        else:
+            out.cuts = [np.array(c) for c in out.cuts]
+            nodes = spark.read.parquet(f"{path}/nodes").toPandas().sort_values(["tree", "node"])
+            kinds = {"slot": np.int32, "bin": np.uint8, "left": np.int32, "value": float, "gain": float}
+            out.trees = [{c: g[c].to_numpy().astype(k) for c, k in kinds.items()} for _, g in nodes.groupby("tree")]
+        return out
+
+
+def _points(family: str, grid: dict) -> list[tuple[dict, str]]:
+    """(parameters, parameter text) of every point of a grid, in the published order."""
     if family.startswith("logistic"):
-        for c in grid["C"]:
-            for p in grid["penalty"]:
-                out.append((LogisticRegression(labelCol="label", featuresCol="features", weightCol="weight",
-                                               standardization=False, maxIter=100, regParam=1.0 / (c * n_train),
-                                               elasticNetParam=1.0 if p == "l1" else 0.0), f"C={c}, penalty={p}"))
-    elif family == "forest":
-        for t in grid["numTrees"]:
-            for d in grid["maxDepth"]:
-                for m in grid["minInstancesPerNode"]:
-                    out.append((RandomForestClassifier(labelCol="label", featuresCol="features", weightCol="weight",
-                                                       featureSubsetStrategy="sqrt", seed=S.SEED, numTrees=t, maxDepth=d,
-                                                       minInstancesPerNode=m), f"trees={t}, depth={d}, leaf={m}"))
-    else:
-        for it in grid["maxIter"]:
-            for rate in grid["stepSize"]:
-                for d in grid["maxDepth"]:
-                    out.append((GBTClassifier(labelCol="label", featuresCol="features", seed=S.SEED, maxIter=it,
-                                              stepSize=rate, maxDepth=d), f"trees={it}, rate={rate}, depth={d}"))
-    return out
+        return [({"C": c, "penalty": p}, f"C={c}, penalty={p}") for c in grid["C"] for p in grid["penalty"]]
+    if family == "forest":
+        return [({"trees": t, "depth": d, "leaf": m}, f"trees={t}, depth={d}, leaf={m}")
+                for t in grid["numTrees"] for d in grid["maxDepth"] for m in grid["minInstancesPerNode"]]
+    return [({"trees": t, "rate": r, "depth": d}, f"trees={t}, rate={r}, depth={d}")
+            for t in grid["maxIter"] for r in grid["stepSize"] for d in grid["maxDepth"]]
 
 
-def _vectors(prep: PipelineModel, fit: DataFrame, df: DataFrame) -> DataFrame:
-    """Feature vectors of ``df`` with the class weights (M17) of ``fit``, kept for all models of a fold."""
-    weight = F.lit(None).cast("double")
-    for r in ST.class_weights(fit, "label").collect():          # one row per class
-        weight = F.when(F.col("label") == r["label"], F.lit(float(r["weight"]))).otherwise(weight)
-    out = prep.transform(df).select("label", weight.alias("weight"), "features")
-    return out.coalesce(max(1, -(-df.count() // ROWS_PER_TASK))).cache()
+def _forest(prep: Preparation, view: int, leaf: int, trees: int, depth: int) -> list:
+    return [TR.Forest(view, leaf, k, depth, prep.width, prep.views[view].weights, S.SEED) for k in range(trees)]
 
 
-def fit_family(train: DataFrame, nums, cats, family: str, grid: dict | None = None, rare_min: int | None = None,
-               parallelism: int | None = None):
+def _boosted(prep: Preparation, view: int, rate: float, depth: int, trees: int) -> TR.Boosted:
+    w0, w1 = prep.views[view].weights  # n / (2 n_c): their ratio is the odds
+    return TR.Boosted(view, rate, depth, trees, prep.width, float(np.log(w0 / w1)) if w0 and w1 else 0.0)
+
+
+def training_rows(train: DataFrame, keys, nums, cats, folds: int, rare_min: int | None):
+    """(rows, preparation, number of rows): fold, label, uid and the coded inputs, written once for all passes."""
+    prep = prepare(train, nums, cats, rare_min)
+    folded = ST.stratified_folds(train, keys, folds, label="label")
+    rows = written(folded.select("fold", F.col("label").cast("int").alias("label"), F.xxhash64(*keys).alias("uid"), *prep.inputs()), "rows")
+    n = rows.count()
+    cores = rows.sparkSession.sparkContext.defaultParallelism
+    tasks = max(1, min(cores, n // MIN_ROWS_PER_TASK), n // ROWS_PER_TASK)
+    if rows.rdd.getNumPartitions() != tasks:
+        rows = written(rows.repartition(tasks), "rows")
+    return rows, fit_views(prep, rows, folds), n
+
+
+def fit_family(train: DataFrame, nums, cats, family: str, grid: dict | None = None, rare_min: int | None = None):
     """M16 + M18/M19/M20 + M21: grid search by stratified k-fold AUC, refit on all train.
 
-    Preprocessing is fitted once per fold, on the fold's own training part only
-    (medians, modes, rare categories, scaling, class weights, and C's row count),
-    and its vectors are cached for all models of that fold.
+    Preprocessing is fitted per fold on the fold's own training part only, for
+    all folds in one go; all points of the grid and all folds are fitted side by side.
 
-    Returns (best PipelineModel, table of (model, params, cv_auc) rows, best params text).
+    Returns (best Model, table of (model, params, cv_auc) rows, best params text).
     """
     grid = grid or GRIDS[family]
-    parallelism = parallelism or train.sparkSession.sparkContext.defaultParallelism
-    scale = family.startswith("logistic")
-    ev = BinaryClassificationEvaluator(labelCol="label", rawPredictionCol="rawPrediction",
-                                       metricName="areaUnderROC", numBins=0)
-    folded = ST.stratified_folds(train, ["camis", "inspection_date"], grid["folds"], label="label").cache()
-    scores: list[list[float]] = []
-    for f in range(grid["folds"]):
-        own = folded.filter(F.col("fold") != f)
-        prep = preprocessor(nums, cats, own, rare_min, scale)
-        fit_rows, valid = _vectors(prep, own, own), _vectors(prep, own, folded.filter(F.col("fold") == f))
-        points = _estimators(family, grid, fit_rows.count())
-        with ThreadPool(parallelism) as pool:
-            scores.append(pool.map(lambda e: ev.evaluate(e[0].fit(fit_rows).transform(valid)), points))
-        fit_rows.unpersist()
-        valid.unpersist()
-    folded.unpersist()
-    mean = [sum(x) / len(x) for x in zip(*scores)]
+    folds, points, spark = grid["folds"], _points(family, grid), train.sparkSession
+    rows, prep, n = training_rows(train, ["camis", "inspection_date"], nums, cats, folds, rare_min)
+    every = list(range(folds))
+    if family.startswith("logistic"):
+        found = LN.fit(rows, prep, [(p["C"], p["penalty"]) for p, _ in points], every + [folds])
+        held = spark.sparkContext.broadcast((prep, found))
+
+        def score_own(batches):
+            prep, found = held.value
+            for batch in batches:
+                x, codes = LN.rows_of(batch) if batch.num_rows else (None, None)
+                fold, label = (batch.column(c).to_numpy() for c in ("fold", "label"))
+                for v in np.unique(fold).tolist():
+                    own = fold == v
+                    m = prep.matrix(x[own], codes[own], v, True)
+                    for j in range(len(points)):
+                        eta = m @ found[v, j][1:] + found[v, j][0]
+                        yield pa.RecordBatch.from_arrays([pa.array(np.full(own.sum(), j, np.int32)), pa.array(fold[own].astype(np.int32)),
+                                                          pa.array(label[own].astype(np.int32)), pa.array(1 / (1 + np.exp(-np.clip(eta, -700, 700))))],
+                                                         names=["point", "fold", "label", "prob"])
+
+        own = written(rows.select("fold", "label", "nums", "cats").mapInArrow(score_own, "point int, fold int, label int, prob double"), "predictions")
+    else:
+        share = min(1.0, TR.EDGE_ROWS / max(n, 1))
+        sample = rows.where(F.pmod("uid", F.lit(1 << 20)) < int(share * (1 << 20)))
+        cuts = TR.edges(prep, sample, folds)
+        searches = []
+        for v in every:
+            if family == "forest":
+                trees, depth = max(grid["numTrees"]), max(grid["maxDepth"])
+                for m in grid["minInstancesPerNode"]:
+                    numbers = {(p["trees"], p["depth"]): j for j, (p, _) in enumerate(points) if p["leaf"] == m}
+                    searches.append(TR.Search(v, _forest(prep, v, m, trees, depth), numbers))
+            else:
+                for r in grid["stepSize"]:
+                    for d in grid["maxDepth"]:
+                        numbers = {(p["trees"], d): j for j, (p, _) in enumerate(points) if (p["rate"], p["depth"]) == (r, d)}
+                        searches.append(TR.Search(v, [_boosted(prep, v, r, d, max(grid["maxIter"]))], numbers))
+        own = TR.validate(rows, prep, cuts, searches, n)
+    auc = {(r["point"], r["fold"]): r["auc"] for r in grouped_auc(own, ["point", "fold"]).collect()}  # a row per point and fold
+    mean = [sum(auc.get((j, f), 0.0) for f in every) / folds for j in range(len(points))]
     best = max(range(len(mean)), key=lambda i: mean[i])        # the first one on ties
-    prep = preprocessor(nums, cats, train, rare_min, scale)
-    rows = _vectors(prep, train, train)
-    points = _estimators(family, grid, rows.count())
-    model = PipelineModel(stages=[*prep.stages, points[best][0].fit(rows)])
-    rows.unpersist()
-    table = train.sparkSession.createDataFrame([(family, name, float(m)) for (_, name), m in zip(points, mean)],
-                                               "model string, params string, cv_auc double")
-    return model, table, points[best][1]
+    p, text = points[best]
+    # the last view's own figures suffice from here on
+    if family.startswith("logistic"):
+        model = Model(family, text, prep, folds, "linear", coefficients=found[folds, best])
+    elif family == "forest":
+        grown = TR.grow(rows, prep, cuts, _forest(prep, folds, p["leaf"], p["trees"], p["depth"]), n)
+        model = Model(family, text, prep, folds, "forest", trees=[g.tree.arrays() for g in grown], cuts=cuts[folds], depth=p["depth"])
+    else:
+        g = TR.grow(rows, prep, cuts, [_boosted(prep, folds, p["rate"], p["depth"], p["trees"])], n)[0]
+        model = Model(family, text, prep, folds, "boosted", trees=g.done, cuts=cuts[folds], depth=p["depth"], rate=g.rate, prior=g.prior)
+    table = spark.createDataFrame([(family, name, float(m)) for (_, name), m in zip(points, mean)], "model string, params string, cv_auc double")
+    return model, table, text
 
 
 def best_family(comparison: DataFrame) -> tuple[str, float]:
@@ -174,19 +273,32 @@ def best_family(comparison: DataFrame) -> tuple[str, float]:
     return r["model"], r["roc_auc"]
 
 
-def score(model: PipelineModel, df: DataFrame, threshold: float = S.FINAL_THRESHOLD) -> DataFrame:
-    """M22 + X5: class-1 probability and the thresholded prediction."""
-    p = model.transform(df).withColumn("prob", vector_to_array("probability")[1])
+def score(model: Model, df: DataFrame, threshold: float = S.FINAL_THRESHOLD) -> DataFrame:
+    """M22 + X5: class-1 probability and the thresholded prediction, beside the columns of ``df``."""
+    held = df.sparkSession.sparkContext.broadcast(model)
+
+    @F.pandas_udf("double")
+    def prob(batches: Iterator[tuple[pd.Series, pd.Series]]) -> Iterator[pd.Series]:
+        m = held.value
+        for nums, cats in batches:
+            if not len(nums):
+                yield pd.Series([], dtype=float)
+                continue
+            x = np.array(nums.tolist(), float).reshape(len(nums), -1)
+            yield pd.Series(m.probabilities(x, np.array(cats.tolist(), np.int64).reshape(len(cats), -1)))
+
+    p = df.withColumn("prob", prob(*model.prep.inputs()))
     return p.withColumn("predicted", (F.col("prob") >= threshold).cast("int"))
 
 
-def slot_names(model: PipelineModel, nums, cats) -> list[str]:
-    """Names of the feature-vector slots: num__x, cat__col_value (dropLast removes the invalid slot)."""
-    names = [f"num__{c}" for c in nums]
-    idx_model = [s for s in model.stages if s.__class__.__name__ == "StringIndexerModel"][0]
-    for c, labels in zip(cats, idx_model.labelsArray):
-        names += [f"cat__{c}_{v}" for v in labels]
-    return names
+def slot_names(model: Model) -> list[str]:
+    """Names of the model's inputs: num__x, then cat__col_value of the values that have a slot."""
+    return [name for name, _ in model.prep.names(model.view)]
+
+
+def _slot_frame(spark: SparkSession, model: Model, column: str) -> DataFrame:
+    values = model.slot_values()
+    return spark.createDataFrame([(name, float(values[at])) for name, at in model.prep.names(model.view)], f"feature string, {column} double")
 
 
 def readable(name_col) -> F.Column:
@@ -197,23 +309,15 @@ def readable(name_col) -> F.Column:
     return out
 
 
-def coefficients(spark: SparkSession, model: PipelineModel, nums, cats) -> DataFrame:
+def coefficients(spark: SparkSession, model: Model) -> DataFrame:
     """M23 + F7 + F8: coefficient table with readable names, |coef| and odds ratio."""
-    lr = model.stages[-1]
-    names = slot_names(model, nums, cats)
-    rows = [(n, float(v)) for n, v in zip(names, lr.coefficients.toArray())]
-    df = spark.createDataFrame(rows, "feature string, coefficient double")
-    return df.withColumns({"abs_coefficient": F.round(F.abs("coefficient"), 3),
-                           "odds_ratio": F.exp("coefficient"), "feature_clean": readable(F.col("feature"))})
+    return _slot_frame(spark, model, "coefficient").withColumns({
+        "abs_coefficient": F.round(F.abs("coefficient"), 3), "odds_ratio": F.exp("coefficient"), "feature_clean": readable(F.col("feature"))})
 
 
-def feature_importance(spark: SparkSession, model: PipelineModel, nums, cats, k: int = 15) -> DataFrame:
+def feature_importance(spark: SparkSession, model: Model, k: int = 15) -> DataFrame:
     """Coefficients or tree importances, top-k by |value| then ascending."""
-    last = model.stages[-1]
-    vals = (last.coefficients.toArray() if hasattr(last, "coefficients")
-            else last.featureImportances.toArray())
-    names = slot_names(model, nums, cats)
-    df = spark.createDataFrame([(n, float(v)) for n, v in zip(names, vals)], "feature string, importance double")
+    df = _slot_frame(spark, model, "importance")
     top = df.withColumn("abs_importance", F.abs("importance")).orderBy(F.col("abs_importance").desc(), "feature").limit(k)
     return top.orderBy("abs_importance", F.col("feature").desc()).withColumn("feature_clean", readable(F.col("feature")))
 

@@ -1,4 +1,4 @@
-"""Registered queries: MLlib models, PCA and clustering (rows-only checks, except
+"""Registered queries: models, PCA and clustering (rows-only checks, except
 ``feature_labels`` which is SQL-expressible)."""
 
 from __future__ import annotations
@@ -52,7 +52,7 @@ def _best(spark, d):
 
 @query("fit_logistic")
 def fit_logistic(spark, d):
-    """M18 + M21: the stage-4 logistic search (4 C x L1/L2, regParam = 1/(C n)) by 5-fold AUC."""
+    """M18 + M21: the stage-4 logistic search (4 C x L1/L2) by 5-fold AUC."""
     return _fit(spark, d, "logistic")[1]
 
 
@@ -84,9 +84,7 @@ def pipeline_fit(spark, d):
 @query("one_hot")
 def one_hot(spark, d):
     """Feature-vector slots (numbers, then one slot per seen category; unseen -> zeros)."""
-    model = _fit(spark, d, "logistic")[0]
-    _, _, nums, cats = _frame(spark, d)
-    names = MD.slot_names(model, nums, cats)
+    names = MD.slot_names(_fit(spark, d, "logistic")[0])
     return spark.createDataFrame(list(enumerate(names)), "slot int, feature string")
 
 
@@ -121,9 +119,7 @@ def one_hot_rows(spark, d):
 @query("coefficients")
 def coefficients(spark, d):
     """M23 + F7 + F8: logistic coefficients with readable names, |coef| (rounded) and odds ratios."""
-    model = _fit(spark, d, "logistic")[0]
-    _, _, nums, cats = _frame(spark, d)
-    return MD.coefficients(spark, model, nums, cats)
+    return MD.coefficients(spark, _fit(spark, d, "logistic")[0])
 
 
 @query("model_round_trip")
@@ -154,8 +150,7 @@ def odds_ratios(spark, d):
 def feature_importance(spark, d):
     """Top-15 importances of the best model (|value| order, then ascending)."""
     model = _fit(spark, d, _best(spark, d)[0])[0]
-    _, _, nums, cats = _frame(spark, d)
-    return MD.feature_importance(spark, model, nums, cats)
+    return MD.feature_importance(spark, model)
 
 
 @query("model_comparison")

@@ -2,8 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.ml import PipelineModel
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 
 
 def write_table(df: DataFrame, path: str, partition_by: str | None = None) -> None:
@@ -19,10 +18,11 @@ def write_metrics(df: DataFrame, path: str, fmt: str = "csv") -> None:
     df.coalesce(1).write.mode("overwrite").option("header", True).format(fmt).save(path)
 
 
-def save_model(model: PipelineModel, path: str) -> None:
-    """Persist a fitted pipeline (replaces pickled models)."""
-    model.write().overwrite().save(path)
+def save_model(model, path: str) -> None:
+    """Persist a fitted model (replaces pickled models): JSON and a Parquet table of tree nodes."""
+    model.save(SparkSession.active(), path)
 
 
-def load_model(path: str) -> PipelineModel:
-    return PipelineModel.load(path)
+def load_model(path: str):
+    from ..operators.modeling import Model
+    return Model.load(SparkSession.active(), path)

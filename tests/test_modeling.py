@@ -1,4 +1,4 @@
-"""MLlib pipeline: fit-on-train, AUC above chance, save/load round trip."""
+"""Model search: views against plain fits, optimality, staged and distributed trees, save/load round trip."""
 
 import numpy as np
 import pandas as pd
@@ -40,7 +40,7 @@ def test_logistic_deterministic_across_partitionings(spark):
     coefs = []
     for parts in (2, 5):
         model, _, _ = MD.fit_family(base.repartition(parts), ["x"], ["cat"], "logistic", SMALL)
-        coefs.append(model.stages[-1].coefficients.toArray())
+        coefs.append(model.coefficients)
     assert np.allclose(coefs[0], coefs[1], atol=1e-6)
 
 
@@ -64,7 +64,7 @@ def test_tree_families_run(spark):
                          ("boosted", {"maxIter": [3], "stepSize": [0.1], "maxDepth": [2], "folds": 2})):
         model, table, _ = MD.fit_family(train, ["x"], ["cat"], family, grid, rare_min=20)
         assert table.count() == 1 and MD.score(model, train).count() == 120
-        assert MD.feature_importance(spark, model, ["x"], ["cat"]).count() >= 2
+        assert MD.feature_importance(spark, model).count() >= 2
 
 
 def test_preprocessing_sees_its_own_rows_only(spark):
@@ -84,3 +84,148 @@ def test_each_family_can_be_the_best(spark):
         rows = [(n, 0.6 if i == k else 0.5) for i, n in enumerate(names)]
         assert MD.best_family(spark.createDataFrame(rows, "model string, roc_auc double")) == (name, 0.6)
     assert MD.best_family(spark.createDataFrame([("b", 0.5), ("a", 0.5)], "model string, roc_auc double"))[0] == "a"
+
+
+def _frame(spark, n=260, seed=8):
+    rng = np.random.default_rng(seed)
+    x, z = rng.normal(0, 1, n), rng.integers(0, 4, n).astype(float)
+    y = (x + 0.5 * (z == 2) + rng.normal(0, 0.8, n) > 0.3).astype(int)
+    cat = rng.choice(["a", "b", "it's", "rare"], n, p=[0.5, 0.3, 0.15, 0.05])
+    rows = [(f"k{i}", "2020-01-01", int(y[i]), None if i % 17 == 0 else float(x[i]), 1e9 + float(z[i]), None if i % 13 == 0 else str(cat[i])) for i in range(n)]
+    return spark.createDataFrame(rows, "camis string, inspection_date string, label int, x double, z double, cat string").repartition(3)
+
+
+def _data(spark, folds=3, rare_min=20):
+    rows, prep, n = MD.training_rows(_frame(spark), ["camis", "inspection_date"], ["x", "z"], ["cat"], folds, rare_min)
+    return rows, prep, n, rows.toPandas()
+
+
+def test_views_equal_separate_fits(spark):
+    _, prep, n, pdf = _data(spark)
+    nums = np.array([[np.nan if v is None else v for v in r] for r in pdf["nums"]], float)
+    cats = np.array(pdf["cats"].tolist())[:, 0]
+    for v in range(4):
+        own = (pdf["fold"] != v).to_numpy()
+        view, a = prep.views[v], nums[own]
+        med = np.nanmedian(a, axis=0)
+        filled = np.where(np.isnan(a), med, a)
+        assert view.rows == own.sum() and np.allclose(view.medians, med)
+        assert np.allclose(view.means, filled.mean(axis=0), rtol=1e-12) and np.allclose(view.deviations, filled.std(axis=0), rtol=1e-9)
+        code = cats[own]
+        count = {c: int((code == c).sum()) for c in range(1, 5)}
+        mode = max(count, key=lambda c: (count[c], -c))
+        count[mode] += int((code < 0).sum())
+        assert view.modes == [mode]
+        assert view.slots[0].tolist() == [-1] + [-1 if not count[c] else 4 if count[c] < 20 else c - 1 for c in range(1, 5)]
+        label = pdf["label"][own]
+        assert np.allclose(view.weights, [own.sum() / (2 * (label == k).sum()) for k in (0, 1)])
+
+
+def test_logistic_meets_the_optimality_conditions(spark):
+    rows, prep, n, pdf = _data(spark)
+    points = [(c, p) for c in (0.01, 1.0, 10.0) for p in ("l1", "l2")]
+    found = MD.LN.fit(rows, prep, points, [0, 1, 2, 3])
+    nums = np.array([[np.nan if v is None else v for v in r] for r in pdf["nums"]], float)
+    cats, label, fold = np.array(pdf["cats"].tolist()), pdf["label"].to_numpy(), pdf["fold"].to_numpy()
+    for v in range(4):
+        own = fold != v
+        m = np.c_[np.ones(own.sum()), prep.matrix(nums[own], cats[own], v, True)]
+        w = np.where(label[own] == 1, prep.views[v].weights[1], prep.views[v].weights[0])
+        for j, (c, penalty) in enumerate(points):
+            b = found[v, j]
+            g = m.T @ (w * (1 / (1 + np.exp(-m @ b)) - label[own]))
+            assert abs(g[0]) < 1e-5
+            if penalty == "l2":
+                assert np.abs(g[1:] + b[1:] / c).max() < 1e-5
+            else:
+                on = b[1:] != 0
+                assert np.abs(g[1:][on] + np.sign(b[1:][on]) / c).max(initial=0) < 1e-5 and (np.abs(g[1:][~on]) <= 1 / c + 1e-6).all()
+
+
+def _grown(spark, data, make, monkeypatch, distributed):
+    rows, prep, n, _ = data
+    cuts = MD.TR.edges(prep, rows, 3)
+    with monkeypatch.context() as m:
+        if distributed:
+            for name, value in (("BROADCAST_BYTES", 0), ("PASS_BYTES", 20_000), ("MARGIN_TREES", 2)):
+                m.setattr(MD.TR, name, value)
+        growers = MD.TR.grow(rows, prep, cuts, make(prep), n)
+    return [t for g in growers for t in (g.done if isinstance(g, MD.TR.Boosted) else [g.tree.arrays()])]
+
+
+def test_distributed_trees_equal_local_ones(spark, monkeypatch):
+    data = _data(spark)
+    for make in (lambda p: MD._forest(p, 0, 2, 3, 5) + MD._forest(p, 3, 5, 2, 4), lambda p: [MD._boosted(p, 1, 0.1, 2, 5), MD._boosted(p, 3, 0.3, 3, 4)]):
+        a, b = (_grown(spark, data, make, monkeypatch, far) for far in (False, True))
+        assert len(a) == len(b) > 4
+        for s, t in zip(a, b):
+            assert (s["left"] == t["left"]).all() and (s["slot"] == t["slot"]).all() and (s["bin"] == t["bin"]).all()
+            assert np.allclose(s["value"], t["value"]) and np.allclose(s["gain"], t["gain"])
+
+
+def test_smaller_models_are_prefixes(spark, monkeypatch):
+    data = _data(spark)
+    for make in (lambda n, d: lambda p: MD._forest(p, 3, 3, n, d), ):
+        large, few, flat = (_grown(spark, data, make(n, d), monkeypatch, False) for n, d in ((6, 6), (3, 6), (6, 2)))
+        assert all((s["left"] == t["left"]).all() for s, t in zip(large, few)) and len(few) == 3
+        rows, prep, n, pdf = data
+        cuts = MD.TR.edges(prep, rows, 3)
+        nums = np.array([[np.nan if v is None else v for v in r] for r in pdf["nums"]], float)
+        codes = MD.TR.binned(prep, cuts[3], nums, np.array(pdf["cats"].tolist()), 3)
+        got = MD.TR.forest_probabilities(large, codes, [3, 6], [2, 6])
+        assert np.allclose(got[6, 2], MD.TR.forest_probabilities(flat, codes, [6], [2])[6, 2])
+        assert np.allclose(got[3, 6], MD.TR.forest_probabilities(few, codes, [3], [6])[3, 6])
+    long, short = (_grown(spark, data, lambda p, n=n: [MD._boosted(p, 3, 0.1, 2, n)], monkeypatch, False) for n in (6, 3))
+    assert all((s["left"] == t["left"]).all() and np.allclose(s["value"], t["value"]) for s, t in zip(long, short))
+
+
+def test_first_split_of_a_boosted_tree_is_the_best(spark, monkeypatch):
+    data = _data(spark)
+    rows, prep, n, pdf = data
+    tree = _grown(spark, data, lambda p: [MD._boosted(p, 3, 0.1, 1, 1)], monkeypatch, False)[0]
+    nums = np.array([[np.nan if v is None else v for v in r] for r in pdf["nums"]], float)
+    codes = MD.TR.binned(prep, MD.TR.edges(prep, rows, 3)[3], nums, np.array(pdf["cats"].tolist()), 3)
+    y = pdf["label"].to_numpy()
+    r = y - y.mean()
+    best = max((r[left].sum() ** 2 / left.sum() + r[~left].sum() ** 2 / (~left).sum() - r.sum() ** 2 / len(r))
+               for s in range(codes.shape[1]) for b in range(31) for left in [codes[:, s] <= b] if 0 < left.sum() < len(r))
+    left = codes[:, tree["slot"][0]] <= tree["bin"][0]
+    assert np.isclose(tree["gain"][0], best)
+    h = y.mean() * (1 - y.mean())
+    assert np.allclose(tree["value"][1:3], [r[left].sum() / (h * left.sum()), r[~left].sum() / (h * (~left).sum())])
+
+
+def test_both_ways_validate_alike_and_models_survive_a_round_trip(spark, monkeypatch, tmpdir_path):
+    train = _frame(spark)
+    grids = {"forest": {"numTrees": [2, 4], "maxDepth": [2, 4], "minInstancesPerNode": [2, 5], "folds": 3},
+             "boosted": {"maxIter": [2, 5], "stepSize": [0.1, 0.3], "maxDepth": [1, 2], "folds": 3}}
+    for family, grid in grids.items():
+        model, table, best = MD.fit_family(train, ["x", "z"], ["cat"], family, grid, rare_min=20)
+        assert table.count() == 8 and best in {r.params for r in table.collect()}
+        with monkeypatch.context() as m:
+            m.setattr(MD.TR, "BROADCAST_BYTES", 0)
+            _, far, _ = MD.fit_family(train, ["x", "z"], ["cat"], family, grid, rare_min=20)
+        assert np.allclose([r.cv_auc for r in table.collect()], [r.cv_auc for r in far.collect()])
+        assert max(r.cv_auc for r in table.collect()) > 0.7
+        sinks.save_model(model, f"{tmpdir_path}/{family}")
+        again = sinks.load_model(f"{tmpdir_path}/{family}")
+        a, b = ({r.camis: r.prob for r in MD.score(x, train).collect()} for x in (model, again))
+        assert a == b and len(a) == 260
+
+
+def test_empty_and_strange_rows_are_scored(spark):
+    model, _, _ = MD.fit_family(_frame(spark), ["x", "z"], ["cat"], "logistic", SMALL)
+    odd = spark.createDataFrame([(None, None, None), (1.0, 2.0, "never seen"), (float("nan"), 1e9, "a")], "x double, z double, cat string")
+    assert all(0 < r.prob < 1 for r in MD.score(model, odd).collect())
+    assert MD.score(model, odd.limit(0)).count() == 0
+
+
+def test_grouped_auc(spark):
+    from inspectra.operators.evaluation import grouped_auc, roc_auc
+    rng = np.random.default_rng(2)
+    rows = [(int(g), int(rng.random() < 0.4), float(np.round(rng.random(), 1))) for g in rng.integers(0, 3, 300)] + [(7, 1, 0.5), (7, 1, 0.1)]
+    df = spark.createDataFrame(rows, "g int, label int, prob double")
+    got = {r.g: r.auc for r in grouped_auc(df, ["g"]).collect()}
+    for g in (0, 1, 2):
+        assert np.isclose(got[g], roc_auc(df.where(f"g = {g}")).first().auc)
+    assert got[7] == 0.0
