@@ -28,6 +28,34 @@ def dashboard_filter(df: DataFrame, regions, years, categories=()) -> DataFrame:
     return df.filter(pred)
 
 
+#: What a selection chooses among; the month serves the trend.
+CUBE_KEYS = ["boro", "inspection_year", "cuisine_grouped", "year_month"]
+
+
+def overview_cube(df: DataFrame) -> DataFrame:
+    """Additive counts per region, year, category and month, from which every selection's rates and trend follow.
+
+    One map-side combined aggregate; its size is the number of combinations that
+    occur, whatever the number of visits.
+    """
+    month = F.date_format("inspection_date", "yyyy-MM").alias("year_month")
+    return df.select(*CUBE_KEYS[:3], month, "failed", "score").groupBy(*CUBE_KEYS).agg(
+        F.count(F.lit(1)).alias("n"), F.count("failed").alias("n_outcomes"), F.coalesce(F.sum("failed"), F.lit(0)).cast("long").alias("n_failed"))
+
+
+def cube_rates(cube: DataFrame, keys, regions, years, categories=(), min_n: int | None = None) -> DataFrame:
+    """A6 (+A9 when ``min_n``) under a selection (P24), from the cube: n and failure rate per group."""
+    keys = [keys] if isinstance(keys, str) else list(keys)
+    out = dashboard_filter(cube, regions, years, categories).groupBy(*keys).agg(
+        F.sum("n").alias("n"), F.try_divide(F.sum("n_failed"), F.sum("n_outcomes")).alias("failure_rate"))
+    return out.filter(F.col("n") >= min_n) if min_n else out
+
+
+def cube_trend(cube: DataFrame, regions, years, categories=()) -> DataFrame:
+    """A15 under a selection, from the cube: outcomes per month and region."""
+    return dashboard_filter(cube, regions, years, categories).groupBy("year_month", "boro").agg(F.sum("n_outcomes").alias("n"))
+
+
 def map_points(df: DataFrame, colour_by: str = "failed") -> DataFrame:
     """X2 + W7 + F17: one point per entity with coordinates (its first visit),
     coloured by outcome / score bucket / region, grey when unmapped."""

@@ -13,6 +13,7 @@ from ..session import stage_table
 from ..operators import cleaning as C
 from ..operators import features as FE
 from ..operators import panel as P
+from ..operators import serving as SV
 from ..sources import landing as L
 from ..sources import standin as SI
 
@@ -71,3 +72,8 @@ def clean(spark: SparkSession, d: str) -> DataFrame:
 
 def features(spark: SparkSession, d: str) -> DataFrame:
     return FE.engineer(clean(spark, d))
+
+
+def overview_cube(spark: SparkSession, d: str) -> DataFrame:
+    """The dashboard's cube, written once per session: a selection reads it and not the visits."""
+    return stage_table(spark, "cube", d, lambda: SV.overview_cube(clean(spark, d)))

@@ -15,22 +15,47 @@ from .registry import finish, query
 KEY = "camis, inspection_date"
 
 
-# one real selection of the dashboard: regions, years and categories
-REGIONS, YEARS, CUISINES = ["ASIA", "EUROPE"], [1994, 1995, 1996], ["China", "France", "Germany", "India"]
-_SELECTED = ("(SELECT * FROM clean WHERE boro IN ('ASIA', 'EUROPE') AND inspection_year IN (1994, 1995, 1996) "
-             "AND cuisine_grouped IN ('China', 'France', 'Germany', 'India')) s")
+# selections of the dashboard: regions, years and categories (none: all of them)
+REGIONS, YEARS, CUISINES = ["ASIA", "EUROPE"], [1995, 1996, 1997], ["Nation_12", "Nation_13", "Nation_18", "Nation_2"]
+OTHER_REGIONS, LATE_YEARS = ["AFRICA", "AMERICA", "MIDDLE EAST"], [1999, 2000]
+
+
+def _where(regions, years, cuisines) -> str:
+    """Direct filter of the same rows, for the SQL twins."""
+    texts = lambda v: ", ".join(f"'{x}'" for x in v)
+    more = f" AND cuisine_grouped IN ({texts(cuisines)})" if cuisines else ""
+    return (f"(SELECT * FROM clean WHERE boro IN ({texts(regions)}) AND inspection_year IN ({', '.join(map(str, years))}){more}) s")
+
+
+_SELECTED = _where(REGIONS, YEARS, CUISINES)
+_LATE = _where(OTHER_REGIONS, LATE_YEARS, [])
+_ONE = _where(["MIDDLE EAST"], [2000], ["Other"])
 
 
 def _selected(spark, d):
     return SV.dashboard_filter(B.clean(spark, d), REGIONS, YEARS, CUISINES)
 
 
-@query("dashboard_filter", rounded(
-    "SELECT cuisine_grouped, CAST(count(*) AS BIGINT) AS n, avg(failed) AS failure_rate "
-    f"FROM {_SELECTED} GROUP BY 1 HAVING count(*) >= 50", ["failure_rate"]))
+def _rates_sql(key: str, source: str, having: str = "") -> str:
+    return rounded(f"SELECT {key}, CAST(count(*) AS BIGINT) AS n, avg(failed) AS failure_rate FROM {source} GROUP BY 1{having}", ["failure_rate"])
+
+
+@query("dashboard_filter", _rates_sql("cuisine_grouped", _SELECTED, " HAVING count(*) >= 50"))
 def dashboard_filter(spark, d):
-    """P24 + X1 + A9: the overview's category rates (n >= 50) under a selection."""
-    return finish(SM.rate_by(_selected(spark, d), "cuisine_grouped", min_n=50))
+    """P24 + X1 + A9: the overview's category rates (n >= 50) under a selection, from the cube."""
+    return finish(SV.cube_rates(B.overview_cube(spark, d), "cuisine_grouped", REGIONS, YEARS, CUISINES, min_n=50))
+
+
+@query("overview_categories_late", _rates_sql("cuisine_grouped", _LATE))
+def overview_categories_late(spark, d):
+    """P24 + X1: category rates of other regions and years, no category chosen (all of them)."""
+    return finish(SV.cube_rates(B.overview_cube(spark, d), "cuisine_grouped", OTHER_REGIONS, LATE_YEARS))
+
+
+@query("overview_years_one", _rates_sql("inspection_year", _ONE))
+def overview_years_one(spark, d):
+    """P24 + X1: one region, year and category."""
+    return finish(SV.cube_rates(B.overview_cube(spark, d), "inspection_year", ["MIDDLE EAST"], [2000], ["Other"]))
 
 
 @query("overview_tiles", rounded(
@@ -42,20 +67,18 @@ def overview_tiles(spark, d):
     return finish(SM.tiles(_selected(spark, d)))
 
 
-@query("overview_regions", rounded(
-    f"SELECT boro, CAST(count(*) AS BIGINT) AS n, avg(failed) AS failure_rate FROM {_SELECTED} GROUP BY 1",
-    ["failure_rate"]))
+@query("overview_regions", _rates_sql("boro", _SELECTED))
 def overview_regions(spark, d):
-    """X1 + A6: region rates under a selection."""
-    return finish(SM.rate_by(_selected(spark, d), "boro"))
+    """X1 + A6: region rates under a selection, from the cube."""
+    return finish(SV.cube_rates(B.overview_cube(spark, d), "boro", REGIONS, YEARS, CUISINES))
 
 
 @query("overview_trend", rounded(
     "SELECT strftime(inspection_date, '%Y-%m') AS year_month, boro, CAST(count(failed) AS BIGINT) AS n "
     f"FROM {_SELECTED} GROUP BY 1, 2", []))
 def overview_trend(spark, d):
-    """X1 + A15: the monthly trend under a selection."""
-    return SM.monthly_trend(_selected(spark, d))
+    """X1 + A15: the monthly trend under a selection, from the cube."""
+    return SV.cube_trend(B.overview_cube(spark, d), REGIONS, YEARS, CUISINES)
 
 
 _MAP_SQL = ("SELECT camis, inspection_date, latitude, longitude, dba, boro, cuisine, score, failed, score_bucket "
