@@ -5,9 +5,12 @@
    signature over its character shingles, cut into bands.  Copies of a line are
    one id from here on, so a line a third of the corpus repeats costs one row a
    task.
-2. Ids that share a band form a bucket.  Each member is compared with the
-   bucket's smallest id (the same one in most buckets of a group) by the exact
-   Jaccard similarity of the shingle sets; verified links are united.
+2. Ids that share a band form a bucket.  Bands travel packed, a blob per task
+   and part of the hash range.  Each member is compared with the bucket's
+   smallest id (the same one in most buckets of a group): first an upper bound
+   of their similarity from sketches of both shingle sets, then, unless that
+   rules the pair out, the exact Jaccard similarity of the sets.  Verified
+   links are united.
 3. Buckets that still hold several components are compared exactly: all their
    pairs across components, in blocks, inside tasks, skipping pairs that earlier
    ones have united.  Nothing that shares a band is left unverified, and no
@@ -17,7 +20,7 @@
 
 from __future__ import annotations
 
-import itertools
+import uuid
 from collections.abc import Iterator
 
 import numpy as np
@@ -39,6 +42,14 @@ MIN_CHARS = 1
 BLOCK = 1024
 #: Size of the bitmap (8 MB) that keeps lines which share no band out of the shuffle of texts.
 FILTER_BITS = 1 << 26
+#: Lines whose bands are packed together, and bands of one part of the hash range.
+PACKED_LINES, PART_BANDS = 1 << 16, 1 << 20
+#: Members of small mixed buckets that one task goes through, one bucket after the other.
+HOME_ROWS = 4096
+#: Bits of the sketch of a shingle set.
+SKETCH_BITS = 2048
+#: Shingles hashed at once: arrays of this size stay in the processor's cache.
+_CHUNK = 1 << 18
 #: Dissimilar pairs that a task remembers while it goes through the buckets of one smallest id.
 REMEMBERED = 200_000
 _BLANK = " \t\x0b\x0c\r"
@@ -57,11 +68,8 @@ def similar(a: frozenset, b: frozenset, threshold: float) -> bool:
     return both >= threshold * (len(a) + len(b) - both)
 
 
-def band_hashes(lines: list[str], k: int, bands: int, rows: int) -> np.ndarray:
-    """Band hashes, shape lines x bands, of the MinHash signatures of the lines' shingle sets."""
-    rng = np.random.default_rng(_SEED)
-    factors = rng.integers(0, 2**31, bands * rows, dtype=np.uint32) * np.uint32(2) + np.uint32(1)
-    offsets = rng.integers(0, 2**32, bands * rows, dtype=np.uint32)
+def _shingle_hashes(lines: list[str], k: int) -> tuple[np.ndarray, np.ndarray]:
+    """32-bit hashes of all shingles of the lines, one after the other, and where each line's begin."""
     padded = [t if len(t) >= k else t + "\x00" * (k - len(t)) for t in lines]
     code = np.frombuffer("".join(padded).encode("utf-32-le", "surrogatepass"), "<u4").astype(np.uint64)
     sizes = np.array([len(t) for t in padded])
@@ -71,15 +79,27 @@ def band_hashes(lines: list[str], k: int, bands: int, rows: int) -> np.ndarray:
             h = h * np.uint64(0x9E3779B97F4A7C15) + code[j:len(code) - k + 1 + j]
             h ^= h >> np.uint64(29)
         h = ((h * np.uint64(0xBF58476D1CE4E5B9)) >> np.uint64(32)).astype(np.uint32)
-        ends = np.cumsum(sizes)
-        inside = np.ones(len(h) + k - 1, bool)
-        for j in range(1, k):  # shingles that run over a line's end
-            inside[ends - j] = False
-        h = h[inside[:len(h)]]
-        starts = np.concatenate([[0], np.cumsum(sizes - k + 1)[:-1]])
-        low = np.empty((bands * rows, len(lines)), np.uint64)
-        for i in range(bands * rows):
-            low[i] = np.minimum.reduceat(h * factors[i] + offsets[i], starts)
+    ends = np.cumsum(sizes)
+    inside = np.ones(len(h) + k - 1, bool)
+    for j in range(1, k):  # shingles that run over a line's end
+        inside[ends - j] = False
+    return h[inside[:len(h)]], np.concatenate([[0], np.cumsum(sizes - k + 1)[:-1]])
+
+
+def band_hashes(lines: list[str], k: int, bands: int, rows: int) -> np.ndarray:
+    """Band hashes, shape lines x bands, of the MinHash signatures of the lines' shingle sets."""
+    rng = np.random.default_rng(_SEED)
+    factors = rng.integers(0, 2**31, bands * rows, dtype=np.uint32) * np.uint32(2) + np.uint32(1)
+    offsets = rng.integers(0, 2**32, bands * rows, dtype=np.uint32)
+    low = np.empty((bands * rows, len(lines)), np.uint32)
+    with np.errstate(over="ignore"):
+        for i, j in slices([len(t) for t in lines], _CHUNK):
+            h, starts = _shingle_hashes(lines[i:j], k)
+            mixed = np.empty_like(h)
+            for at in range(bands * rows):
+                np.multiply(h, factors[at], out=mixed)
+                np.add(mixed, offsets[at], out=mixed)
+                np.minimum.reduceat(mixed, starts, out=low[at, i:j])
         out = np.empty((len(lines), bands), np.uint64)
         for b in range(bands):
             x = np.full(len(lines), b + 1, np.uint64)
@@ -90,6 +110,30 @@ def band_hashes(lines: list[str], k: int, bands: int, rows: int) -> np.ndarray:
     return out
 
 
+def sketches(lines: list[str], k: int) -> tuple[np.ndarray, np.ndarray]:
+    """(shingles counted with repeats, sketch as words of 64 bits) of each line: a shingle sets the bit of its hash."""
+    many, words = np.empty(len(lines), np.int64), np.empty((len(lines), SKETCH_BITS // 64), np.uint64)
+    shift = np.uint32(33 - SKETCH_BITS.bit_length())
+    for i, j in slices([max(len(t), SKETCH_BITS // 8) for t in lines], _CHUNK):  # about as many bytes of bits as of hashes
+        h, starts = _shingle_hashes(lines[i:j], k)
+        many[i:j] = np.diff(np.append(starts, len(h)))
+        bits = np.zeros((j - i, SKETCH_BITS), bool)
+        bits[np.repeat(np.arange(j - i), many[i:j]), h >> shift] = True
+        words[i:j] = np.packbits(bits, axis=1).view(np.uint64)
+    return many, words
+
+
+def most_alike(many_a, words_a: np.ndarray, many_b, words_b: np.ndarray) -> np.ndarray:
+    """Upper bound of the Jaccard similarity of two sketched sets (the arrays broadcast; words on the last axis).
+
+    A bit that only one of them has is a shingle that only this one has, so of
+    its shingles at most the others are shared.
+    """
+    a, b = (np.bitwise_count(x).sum(axis=-1, dtype=np.int64) for x in (words_a & ~words_b, words_b & ~words_a))
+    shared = np.minimum(many_a - a, many_b - b)
+    return shared / (shared + a + b)
+
+
 def lines_of(text: str | None, min_chars: int) -> list[tuple[int, str]]:
     """(line number, line without outer white space) of the lines that are compared."""
     return [(n, t) for n, raw in enumerate((text or "").split("\n")) if len(t := raw.strip(_BLANK)) >= min_chars]
@@ -102,7 +146,7 @@ def _line_id(line: str) -> int:
 
 
 def signed_lines(docs: DataFrame, k: int, bands: int, rows: int, min_chars: int) -> DataFrame:
-    """(doc_id, line, id, bands): every place; ``bands`` once per task and id, else null."""
+    """(doc_id, line, id, bands): every place; ``bands`` once per task and id, else empty."""
     src = docs.select("doc_id", "text").where("doc_id IS NOT NULL AND text IS NOT NULL")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -173,33 +217,63 @@ def line_texts(docs: DataFrame, min_chars: int, wanted: np.ndarray) -> DataFrame
     return src.mapInArrow(run, "id long, text string")
 
 
-def buckets(signed: DataFrame) -> DataFrame:
-    """(band, id, rep, n): members of every bucket of several ids, its smallest id and its size."""
+def packed_bands(signed: DataFrame, parts: int) -> DataFrame:
+    """(part, bands binary, ids binary): the bands of up to PACKED_LINES lines that fall into one part of the hash range.
+
+    12 bytes a band: 4 of its hash beside the part, 8 of the line's id.
+    """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held = [np.empty(0, np.int64)] * 2
+        def packed(ids, bands):
+            key, own = np.concatenate(bands), np.concatenate(ids)
+            own = np.repeat(own, len(key) // len(own))
+            order = np.argsort(key)
+            key, own = key[order], own[order]
+            part = (key >> np.uint64(32)) * np.uint64(parts) >> np.uint64(32)
+            starts = np.flatnonzero(np.r_[True, part[1:] != part[:-1]])
+            low = key.astype(np.uint32)
+            cuts = list(zip(starts, np.append(starts[1:], len(key))))
+            return pa.RecordBatch.from_arrays([pa.array(part[starts].astype(np.int64)), pa.array([low[i:j].tobytes() for i, j in cuts], pa.binary()),
+                                               pa.array([own[i:j].tobytes() for i, j in cuts], pa.binary())], names=["part", "bands", "ids"])
+
+        ids, bands = [], []
+        for batch in batches:
+            for i in range(0, batch.num_rows, PACKED_LINES):
+                some = batch.slice(i, PACKED_LINES)
+                ids.append(some.column(0).to_numpy())
+                bands.append(some.column(1).flatten().to_numpy().view(np.uint64))
+                if sum(map(len, ids)) >= PACKED_LINES:
+                    yield packed(ids, bands)
+                    ids, bands = [], []
+        if ids:
+            yield packed(ids, bands)
 
-        def found(band, key):
-            new = np.r_[True, (band[1:] != band[:-1]) | (key[1:] != key[:-1])]
-            band, key = band[new], key[new]
-            starts = np.flatnonzero(np.r_[True, band[1:] != band[:-1]])
-            n = np.diff(np.r_[starts, len(band)])
-            rep, n = np.repeat(key[starts], n), np.repeat(n, n)
-            several = n > 1
-            return pa.RecordBatch.from_arrays([pa.array(x[several]) for x in (band, key, rep, n)], names=["band", "id", "rep", "n"])
+    return signed.where("size(bands) > 0").select("id", "bands").mapInArrow(run, "part long, bands binary, ids binary")
 
-        for batch in batches:
-            held = [np.concatenate([x, batch.column(c).to_numpy(zero_copy_only=False)]) for c, x in enumerate(held)]
-            edges = np.flatnonzero(held[0][1:] != held[0][:-1])
-            if len(edges):
-                cut = int(edges[-1]) + 1
-                yield found(held[0][:cut], held[1][:cut])
-                held = [x[cut:].copy() for x in held]
-        if len(held[0]):
-            yield found(*held)
 
-    rows = signed.select(F.explode("bands").alias("band"), "id")
-    return rows.repartition("band").sortWithinPartitions("band", "id").mapInArrow(run, "band long, id long, rep long, n long")
+def buckets(signed: DataFrame) -> DataFrame:
+    """(band, id, rep, n): members of every bucket of several ids, its smallest id and its size.
+
+    Bands are told apart by their part and 32 more bits; two that agree in
+    those by chance share a bucket, whose members are compared like any others.
+    """
+    n = signed.agg(F.sum(F.size("bands"))).first()[0] or 0
+    parts = max(1, -(-n // PART_BANDS))
+
+    def found(blobs: pa.Table) -> pa.Table:
+        band, key = (np.concatenate([np.frombuffer(x.as_py(), t) for x in blobs.column(c)]) for c, t in (("bands", "<u4"), ("ids", "<i8")))
+        order = np.lexsort((key, band))
+        band, key = band[order], key[order]
+        new = np.r_[True, (band[1:] != band[:-1]) | (key[1:] != key[:-1])]
+        band, key = band[new], key[new]
+        starts = np.flatnonzero(np.r_[True, band[1:] != band[:-1]])
+        n = np.diff(np.append(starts, len(band)))
+        rep, n = np.repeat(key[starts], n), np.repeat(n, n)
+        several = n > 1
+        whole = (blobs.column("part")[0].as_py() << 32) + band[several].astype(np.int64)
+        return pa.Table.from_arrays([pa.array(x) for x in (whole, key[several], rep[several], n[several])], names=["band", "id", "rep", "n"])
+
+    return packed_bands(signed, parts).groupBy("part").applyInArrow(found, "band long, id long, rep long, n long")
 
 
 def _verified(pairs: DataFrame, k: int, threshold: float) -> DataFrame:
@@ -208,12 +282,15 @@ def _verified(pairs: DataFrame, k: int, threshold: float) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         last, own = None, frozenset()
         for batch in batches:
-            good = []
-            for a, x, y in zip(*(batch.column(c).to_pylist() for c in (0, 2, 3))):
-                if a != last:
-                    last, own = a, shingles(x, k)
-                good.append(similar(own, shingles(y, k), threshold))
-            yield batch.select([0, 1]).filter(pa.array(good, pa.bool_()))
+            for i, j in slices([len(x) + len(y) for x, y in zip(batch.column(2).to_pylist(), batch.column(3).to_pylist())]):
+                part = batch.slice(i, j - i)
+                names, one, two = (part.column(c).to_pylist() for c in (0, 2, 3))
+                good = most_alike(*sketches(one, k), *sketches(two, k)) >= threshold - 1e-9
+                for n in np.flatnonzero(good):
+                    if names[n] != last:
+                        last, own = names[n], shingles(one[n], k)
+                    good[n] = similar(own, shingles(two[n], k), threshold)
+                yield part.select([0, 1]).filter(pa.array(good))
 
     return pairs.mapInArrow(run, "a long, b long")
 
@@ -227,7 +304,7 @@ def _across(cells: DataFrame, k: int, threshold: float) -> DataFrame:
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        home, parent, sets, unlike = None, {}, {}, set()
+        home, parent, sets, sketch, unlike = None, {}, {}, {}, set()
 
         def find(x):
             while parent[x] != x:
@@ -235,28 +312,39 @@ def _across(cells: DataFrame, k: int, threshold: float) -> DataFrame:
             return x
 
         def links(members):
-            nonlocal home, parent, sets, unlike
+            nonlocal home, parent, sets, sketch, unlike
             if members[0][0] != home:
-                home, parent, sets, unlike = members[0][0], {}, {}, set()
-            if len(sets) > 4 * BLOCK:
-                sets = {}
+                home, parent, sets, sketch, unlike = members[0][0], {}, {}, {}, set()
+            if len(sketch) > 4 * BLOCK:
+                sets, sketch = {}, {}
             if len(unlike) > REMEMBERED:
                 unlike = set()
             for m in members:
                 parent.setdefault(m[3], m[3])
+            new = {m[4]: m[5] for m in members if m[4] not in sketch}
+            sketch.update(zip(new, zip(*sketches(list(new.values()), k))))
+            two = len({m[2] for m in members}) > 1
+            block, root = np.array([m[2] for m in members]), np.array([find(m[3]) for m in members])
+            many, words = np.array([sketch[m[4]][0] for m in members]), np.array([sketch[m[4]][1] for m in members])
+
+            def shingled(m):
                 if m[4] not in sets:
                     sets[m[4]] = shingles(m[5], k)
-            two = len({m[2] for m in members}) > 1
-            for m, n in itertools.combinations(members, 2):
-                a, b = find(m[3]), find(n[3])
-                pair = (m[4], n[4]) if m[4] < n[4] else (n[4], m[4])
-                if a == b or (two and m[2] == n[2]) or pair in unlike:
-                    continue
-                if similar(sets[m[4]], sets[n[4]], threshold):
-                    parent[a] = b
-                    yield pair
-                else:
-                    unlike.add(pair)
+                return sets[m[4]]
+
+            for i, m in enumerate(members[:-1]):
+                rest = i + 1 + np.flatnonzero((root[i + 1:] != root[i]) & ((block[i + 1:] != block[i]) | (not two)))
+                for j in rest[most_alike(many[i], words[i], many[rest], words[rest]) >= threshold - 1e-9] if len(rest) else ():
+                    n = members[j]
+                    pair = (m[4], n[4]) if m[4] < n[4] else (n[4], m[4])
+                    if root[i] == root[j] or pair in unlike:
+                        continue
+                    if similar(shingled(m), shingled(n), threshold):
+                        parent[root[j]] = root[i]
+                        root[root == root[j]] = root[i]
+                        yield pair
+                    else:
+                        unlike.add(pair)
 
         def found(members):
             pairs = list(links(members))
@@ -289,7 +377,8 @@ def line_classes(docs: DataFrame, scratch: Scratch, k: int = SHINGLE_CHARS, thre
     hits = scratch.table(buckets(signed), "hits")
     star = scratch.table(hits.where("id <> rep").select("rep", "id").distinct(), "star")
     wanted = scratch.table(star.select("rep").union(star.select("id")).distinct().withColumnRenamed("rep", "want"), "wanted")
-    texts = scratch.table(line_texts(docs, min_chars, id_bitmap(wanted, "want")).join(wanted, F.col("id") == F.col("want"), "left_semi").dropDuplicates(["id"]), "texts")
+    texts = scratch.table(line_texts(docs, min_chars, id_bitmap(wanted, "want"))
+                          .join(wanted, F.col("id") == F.col("want"), "left_semi").dropDuplicates(["id"]), "texts")
     of = lambda key, name: texts.select(F.col("id").alias(key), F.col("text").alias(name))
     pairs = (star.select(F.col("rep").alias("a"), F.col("id").alias("b"))
              .join(of("bk", "b_text"), F.col("b") == F.col("bk")).join(of("ak", "a_text"), F.col("a") == F.col("ak")))
@@ -303,13 +392,16 @@ def line_classes(docs: DataFrame, scratch: Scratch, k: int = SHINGLE_CHARS, thre
     same = [F.bit_xor(F.xxhash64("id")).alias("x"), F.bit_xor(F.xxhash64("id", F.lit(1))).alias("y"), F.count("*").alias("members")]
     mixed = scratch.table(classes.groupBy("band").agg(F.min("class").alias("lo"), F.max("class").alias("hi"), *same)
                           .where("lo <> hi").groupBy("x", "y", "members").agg(F.min("band").alias("open")).select("open"), "mixed")
-    members = (classes.join(mixed, F.col("band") == F.col("open"))
+    members = scratch.table(classes.join(mixed, F.col("band") == F.col("open")).drop("open"), "members")
+    # buckets of one smallest id are compared one after the other, in as many places as they fill; blocks of a large one anywhere
+    loads = members.where(f"n <= {BLOCK}").groupBy(F.col("rep").alias("of")).agg(F.ceil(F.count("*") / HOME_ROWS).alias("homes"))
+    members = (members.join(loads, F.col("rep") == F.col("of"), "left")
                .withColumn("blocks", F.expr(f"CAST(ceil(n / {BLOCK}) AS LONG)"))
                .withColumn("block", F.expr("pmod(xxhash64(id), blocks)"))
                .withColumn("other", F.explode(F.expr("sequence(0L, blocks - 1)")))
                .withColumn("cell", F.xxhash64("band", F.least("block", "other"), F.greatest("block", "other")))
-               # buckets of one smallest id are compared in one place, one after the other; blocks of a large one anywhere
-               .select(F.when(F.col("blocks") == 1, F.col("rep")).otherwise(F.col("cell")).alias("home"), "cell", "block", "class", "id"))
+               .select(F.when(F.col("blocks") == 1, F.xxhash64("rep", F.expr("pmod(xxhash64(band), homes)"))).otherwise(F.col("cell")).alias("home"),
+                       "cell", "block", "class", "id"))
     cells = (members.join(of("key", "text"), F.col("id") == F.col("key")).select("home", "cell", "block", "class", "id", "text")
              .repartition("home").sortWithinPartitions("home", "cell", "class", "id"))
     more = scratch.table(_across(cells, k, threshold), "more")
@@ -326,16 +418,17 @@ def line_classes(docs: DataFrame, scratch: Scratch, k: int = SHINGLE_CHARS, thre
                       (F.col("first") == place).alias("kept"))
 
 
-def drop_repeated_lines(docs: DataFrame, scratch: Scratch, min_chars: int = 20, **options) -> DataFrame:
+def drop_repeated_lines(docs: DataFrame, scratch: Scratch, min_chars: int = MIN_CHARS, **options) -> DataFrame:
     """``docs`` with one line left of each component.
 
-    Lines below ``min_chars`` characters stay; the pipeline passes MIN_CHARS.
-    Texts keep their other lines in order; a text that loses nothing stays as it
-    is.  A document of which no line with a character other than white space is
-    left, and that had one before, is dropped.
+    Blank lines, and those below ``min_chars`` characters, stay.  Texts keep
+    their other lines in order; a text that loses nothing stays as it is.  A
+    document of which no line with a character other than white space is left,
+    and that had one before, is dropped.  Rows with a null doc_id stay as they are.
     """
-    gone = (line_classes(docs, scratch, min_chars=min_chars, **options).where("NOT kept").groupBy("doc_id")
-            .agg(F.collect_set("line").alias("_gone")).withColumnRenamed("doc_id", "_doc"))  # lines of one document
+    mine = f"_{uuid.uuid4().hex}"  # no column of docs is called like this
+    gone = (line_classes(docs, scratch, min_chars=min_chars, **options).where("NOT kept").groupBy(F.col("doc_id").alias(f"{mine}_doc"))
+            .agg(F.collect_set("line").alias(f"{mine}_gone")))  # lines of one document
     kind = docs.schema["text"].dataType.simpleString()
 
     @F.pandas_udf(kind)
@@ -349,5 +442,6 @@ def drop_repeated_lines(docs: DataFrame, scratch: Scratch, min_chars: int = 20,
             out.append(text)
         return pd.Series(out, dtype=object)
 
-    done = docs.join(scratch.table(gone, "gone"), F.col("doc_id") == F.col("_doc"), "left")
-    return (done.withColumn("text", without("text", "_gone")).where("_gone IS NULL OR text IS NOT NULL").select(*docs.columns))
+    done = docs.join(scratch.table(gone, "gone"), F.col("doc_id") == F.col(f"{mine}_doc"), "left")
+    return (done.withColumn("text", without("text", f"{mine}_gone")).where(F.col(f"{mine}_gone").isNull() | F.col("text").isNotNull())
+            .select(*docs.columns))

@@ -65,6 +65,8 @@ def test_mixed_buckets_are_compared_exactly(spark, scratch, monkeypatch, block):
     rng.shuffle(rows)
     rows += corpus(3, 15)[:15]
     rows = [(n, t) for n, (_, t) in enumerate(rows)]
+    monkeypatch.setattr(ld, "HOME_ROWS", 30)
+    monkeypatch.setattr(ld, "PART_BANDS", 100)
     assert run(spark, scratch, rows, bands=48, rows=1) == brute(rows)
 
 
@@ -77,22 +79,40 @@ def test_band_hashes_are_those_of_each_line_alone():
 
 
 def test_recall_of_the_banding():
+    """The shipped shingles and bands find pairs just above the threshold."""
     rng = np.random.default_rng(4)
     found = tried = 0
-    for _ in range(300):
+    for _ in range(400):
         a = "".join(rng.choice(list("abcdefghijklmnop"), 300))
         b = list(a)
-        for p in rng.choice(300, 4, replace=False):
+        for p in rng.choice(300, 7, replace=False):
             b[p] = "Z"
         b = "".join(b)
-        x, y = ld.shingles(a, 8), ld.shingles(b, 8)
-        if 0.8 <= len(x & y) / len(x | y) <= 0.86:
-            h = ld.band_hashes([a, b], 8, ld.BANDS, ld.ROWS)
+        x, y = ld.shingles(a, ld.SHINGLE_CHARS), ld.shingles(b, ld.SHINGLE_CHARS)
+        if 0.8 <= len(x & y) / len(x | y) <= 0.84:
+            h = ld.band_hashes([a, b], ld.SHINGLE_CHARS, ld.BANDS, ld.ROWS)
             tried += 1
             found += bool((h[0] == h[1]).any())
     assert tried > 100 and found / tried > 0.99
 
 
+def test_sketches_never_rule_out_similar_lines():
+    rng = random.Random(2)
+    lines = ["", "a", "aaaaaaaaaaaa", "abcab", "x" * 5000]
+    for _ in range(300):
+        base = "".join(rng.choice("abcd ") for _ in range(rng.randrange(1, 400)))
+        lines += [base, base[rng.randrange(3):], base + "q" * rng.randrange(4)]
+    many, words = ld.sketches(lines, 5)
+    ruled_out = 0
+    for i, t in enumerate(lines):
+        bound = ld.most_alike(many[i], words[i], many, words)
+        for j in range(i, min(len(lines), i + 40)):
+            x, y = ld.shingles(t, 5), ld.shingles(lines[j], 5)
+            assert bound[j] >= len(x & y) / len(x | y) - 1e-12
+            ruled_out += bound[j] < 0.8
+    assert ruled_out > 5000  # and they do rule out many
+
+
 def test_hot_line_nulls_repeats_clashes_empty(spark, scratch):
     hot = "this very common line stands in every third document"
     rows = [(i, f"{hot}\nown line number {i * 7919} of document {i * 104729}" if i % 3 else f"{i * 31} {'abcdefghijklmnop'[i % 16] * 40}{i}") for i in range(90)]
@@ -109,7 +129,12 @@ def test_lines_are_dropped_from_the_documents(spark, scratch):
     docs = spark.createDataFrame(rows, "doc_id long, text string, line string")
     out = ld.drop_repeated_lines(docs, scratch)
     assert out.columns == docs.columns
-    assert {r.doc_id: r.text for r in out.collect()} == {1: f"{a}\nshort\n{b}", 2: f"\n{c}\nshort", 4: None, 5: "", None: a}
+    assert {r.doc_id: r.text for r in out.collect()} == {1: f"{a}\nshort\n{b}", 2: f"\n{c}", 4: None, 5: "", None: a}
+    longer = ld.drop_repeated_lines(docs, scratch, min_chars=20)
+    assert {r.doc_id: r.text for r in longer.collect()} == {1: f"{a}\nshort\n{b}", 2: f"\n{c}\nshort", 4: None, 5: "", None: a}
+    clash = docs.withColumns({"_gone": docs.text, "_doc": docs.doc_id, "class": docs.text, "kept": docs.line})
+    got = ld.drop_repeated_lines(clash, scratch)
+    assert got.columns == clash.columns and got.count() == out.count()
 
 
 def test_bitmap_lets_every_wanted_id_pass(spark, monkeypatch):
