@@ -3,8 +3,9 @@
 Alternates large-star and small-star steps (Kiveris et al., "Connected
 Components in MapReduce and Beyond", 2014): every step points neighbours at the
 smallest node known to their group, so a component of any shape becomes a star
-around its smallest node in O(log^2) rounds.  Edges never leave the executors;
-the driver sees two numbers a round.
+around its smallest node in O(log^2) rounds.  Once at most ``LAST_EDGES`` are
+left, one task finishes them.  Edges never leave the executors; the driver sees
+two numbers a round.
 """
 
 from __future__ import annotations
@@ -18,6 +19,10 @@ from pyspark.sql import functions as F
 from .common import Scratch
 
 
+#: Edges that one task finishes (some 50 MB of memory); more of them go through further rounds.
+LAST_EDGES = 1 << 18
+
+
 def _shrink(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Union-find inside each batch: its edges become one star per local group (never more edges)."""
     for batch in batches:
@@ -41,6 +46,34 @@ def _shrink(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
                                          names=["u", "v"])
 
 
+def _finish(edges: DataFrame) -> DataFrame:
+    """(node, component) of at most LAST_EDGES edges, by union-find in one task."""
+    kind = edges.schema["u"].dataType.simpleString()
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        parent, field = {}, None
+
+        def find(x):
+            root = x
+            while (up := parent.setdefault(root, root)) != root:
+                root = up
+            while parent[x] != root:
+                parent[x], x = root, parent[x]
+            return root
+
+        for batch in batches:
+            field = batch.schema.field(0).type
+            for a, b in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
+                a, b = find(a), find(b)
+                if a != b:
+                    parent[max(a, b)] = min(a, b)
+        if field is not None:
+            nodes = list(parent)
+            yield pa.RecordBatch.from_arrays([pa.array(nodes, field), pa.array([find(x) for x in nodes], field)], names=["node", "component"])
+
+    return edges.repartition(1).mapInArrow(run, f"node {kind}, component {kind}")
+
+
 def components(edges: DataFrame, scratch: Scratch, max_rounds: int = 60) -> DataFrame:
     """(node, component) for every node of ``edges`` (its first two columns, one orderable type).
 
@@ -54,6 +87,8 @@ def components(edges: DataFrame, scratch: Scratch, max_rounds: int = 60) -> Data
              .where("u IS NOT NULL AND v IS NOT NULL AND u <> v")
              .select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")))
     e = scratch.table(start.mapInArrow(_shrink, start.schema), "edges")
+    if e.count() <= LAST_EDGES:
+        return _finish(e)
     last = None
     for _ in range(max_rounds):
         # large-star: neighbours above u move to the smallest node around u
@@ -70,6 +105,8 @@ def components(edges: DataFrame, scratch: Scratch, max_rounds: int = 60) -> Data
         for old in (e, low, e2, low2):
             scratch.drop(old)
         e = e3
+        if n <= LAST_EDGES:
+            return _finish(e)
         if (n, s) == last:
             break
         last = (n, s)

@@ -8,6 +8,7 @@ import pytest
 import xxhash
 
 from inspectra.llm import simhash
+from inspectra.llm import components as graph
 from inspectra.llm.components import components
 from .conftest import union_find
 
@@ -92,7 +93,9 @@ def test_links_connect_what_hamming_links_connect(spark, scratch, monkeypatch, b
     assert got == want
 
 
-def test_components_of_a_chain_a_star_and_loops(spark, scratch):
+@pytest.mark.parametrize("last", [0, 20, 1 << 18])  # rounds to the end, rounds and then one task, one task
+def test_components_of_a_chain_a_star_and_loops(spark, scratch, monkeypatch, last):
+    monkeypatch.setattr(graph, "LAST_EDGES", last)
     edges = [(i, i + 1) for i in range(300)] + [(1000, 1000 + i) for i in range(1, 400)] + [(7, 7), (None, 3), (2000, 2001), (2001, 2000)]
     df = spark.createDataFrame(edges, "a long, b long").repartition(5)
     real = [(a, b) for a, b in edges if a is not None]
