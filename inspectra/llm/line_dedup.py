@@ -395,7 +395,9 @@ def line_classes(docs: DataFrame, scratch: Scratch, k: int = SHINGLE_CHARS, thre
     members = scratch.table(classes.join(mixed, F.col("band") == F.col("open")).drop("open"), "members")
     # buckets of one smallest id are compared one after the other, in as many places as they fill; blocks of a large one anywhere
     loads = members.where(f"n <= {BLOCK}").groupBy(F.col("rep").alias("of")).agg(F.ceil(F.count("*") / HOME_ROWS).alias("homes"))
-    members = (members.join(loads, F.col("rep") == F.col("of"), "left")
+    # few, and written: the planner needn't shuffle by the smallest id, which may be that of a third of the rows
+    crowded = scratch.table(loads.where("homes > 1"), "crowded")
+    members = (members.join(crowded, F.col("rep") == F.col("of"), "left").na.fill(1, ["homes"])
                .withColumn("blocks", F.expr(f"CAST(ceil(n / {BLOCK}) AS LONG)"))
                .withColumn("block", F.expr("pmod(xxhash64(id), blocks)"))
                .withColumn("other", F.explode(F.expr("sequence(0L, blocks - 1)")))
