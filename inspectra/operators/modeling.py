@@ -11,13 +11,11 @@ from __future__ import annotations
 import json
 from collections.abc import Iterator
 from dataclasses import asdict, dataclass, replace
-from multiprocessing.pool import ThreadPool
 
 import numpy as np
 import pandas as pd
 import pyarrow as pa
 from pyspark.ml import Pipeline, PipelineModel
-from pyspark.ml.clustering import KMeans
 from pyspark.ml.feature import Imputer, OneHotEncoder, PCA, SQLTransformer, StandardScaler, StringIndexer, VectorAssembler
 from pyspark.ml.functions import vector_to_array
 from pyspark.sql import DataFrame, SparkSession
@@ -322,14 +320,32 @@ def feature_importance(spark: SparkSession, model: Model, k: int = 15) -> DataFr
     return top.orderBy("abs_importance", F.col("feature").desc()).withColumn("feature_clean", readable(F.col("feature")))
 
 
+def _standardized(df: DataFrame, cols, out: str) -> list:
+    """Stages: exact median impute (an all-null column becomes 0), then z-score into ``out``."""
+    row = ST.medians(df, cols).first()
+    fill = ", ".join(f"coalesce(`{c}`, {0.0 if row[c] is None else float(row[c])!r}D) AS `_i_{c}`" for c in cols)
+    return [SQLTransformer(statement=f"SELECT *, {fill} FROM __THIS__"),
+            VectorAssembler(inputCols=[f"_i_{c}" for c in cols], outputCol="_v"),
+            StandardScaler(inputCol="_v", outputCol=out, withMean=True, withStd=True)]
+
+
 def pca_fit(df: DataFrame, cols, k: int | None = None):
     """M6: median impute, z-score (withMean) and PCA with all components."""
-    k = k or len(cols)
-    stages = [Imputer(inputCols=list(cols), outputCols=[f"_i_{c}" for c in cols], strategy="median"),
-              VectorAssembler(inputCols=[f"_i_{c}" for c in cols], outputCol="_v"),
-              StandardScaler(inputCol="_v", outputCol="_z", withMean=True, withStd=True),
-              PCA(k=k, inputCol="_z", outputCol="pcs")]
-    return Pipeline(stages=stages).fit(df.select(*[F.col(c).cast("double").alias(c) for c in cols]))
+    src = df.select(*[F.col(c).cast("double").alias(c) for c in cols])
+    return Pipeline(stages=[*_standardized(src, cols, "_z"), PCA(k=k or len(cols), inputCol="_z", outputCol="pcs")]).fit(src)
+
+
+def pca_reconstruction(spark: SparkSession, model: PipelineModel, cols) -> DataFrame:
+    """M6 + M7 certified: the covariance of every pair of standardized columns as loadings and variances give it back.
+
+    With all components kept it equals the data's own covariance exactly if the
+    loadings are its eigenvectors and the variances its eigenvalues.
+    """
+    last, scaler = model.stages[-1], model.stages[-2]
+    v, share = last.pc.toArray(), last.explainedVariance.toArray()
+    whole = v @ np.diag(share * float((np.array(scaler.std) > 0).sum())) @ v.T
+    rows = [(cols[i], cols[j], float(whole[i, j])) for i in range(len(cols)) for j in range(i, len(cols))]
+    return spark.createDataFrame(rows, "feature_a string, feature_b string, covariance double")
 
 
 def pca_variance(spark: SparkSession, model: PipelineModel) -> DataFrame:
@@ -369,37 +385,99 @@ def pca_scores(model: PipelineModel, df: DataFrame, cols, keys=("camis", "inspec
 SWEEP_RESTARTS, FINAL_RESTARTS = 25, 50
 
 
+KMEANS_ITERATIONS = 50
+#: Rows that a restart's starting centres are chosen among, about.
+_STARTS = 64
+
+
 def cluster_matrix(df: DataFrame, cols):
-    """Median impute + z-score the clustering inputs once, for the caller to cache (M9)."""
-    stages = [Imputer(inputCols=list(cols), outputCols=[f"_i_{c}" for c in cols], strategy="median"),
-              VectorAssembler(inputCols=[f"_i_{c}" for c in cols], outputCol="_v"),
-              StandardScaler(inputCol="_v", outputCol="features", withMean=True, withStd=True)]
+    """Median impute + z-score the clustering inputs once (M9): camis, inspection_date, features (array), for the caller to write."""
     src = df.select("camis", "inspection_date", *[F.col(c).cast("double").alias(c) for c in cols])
-    m = Pipeline(stages=stages).fit(src)
-    return m.transform(src).select("camis", "inspection_date", "features").coalesce(max(1, -(-src.count() // ROWS_PER_TASK)))
+    filled = ST.median_impute(src, cols)
+    return ST.zscore(filled, cols).select("camis", "inspection_date", F.array(*cols).alias("features"))
+
 
+def _starts(X: DataFrame, restarts: int, most: int) -> list[np.ndarray]:
+    """Per restart, the ``most`` rows with the smallest hash (ties by key): any k of them are its first centres."""
+    n = max(1, X.count())
+    h = F.xxhash64("camis", "inspection_date", "restart")
+    near = (X.withColumn("restart", F.explode(F.sequence(F.lit(0), F.lit(restarts - 1)))).withColumn("h", h)
+            .where(F.pmod(F.xxhash64("h"), F.lit(n)) < _STARTS).select("restart", "h", "camis", "features").collect())  # about 64 a restart
+    out = []
+    for r in range(restarts):
+        own = sorted((x for x in near if x["restart"] == r), key=lambda x: (x["h"], x["camis"]))[:most]
+        out.append(np.array([x["features"] for x in own], float).reshape(len(own), -1))
+    return out
+
+
+def kmeans_many(X: DataFrame, ks, restarts: int = SWEEP_RESTARTS, iterations: int = KMEANS_ITERATIONS) -> dict:
+    """{k: (centres, inertia)}, the best of ``restarts`` Lloyd runs for every k; one scan an iteration for all of them.
+
+    Tasks add up per centre the rows it is nearest to (ties: the first centre);
+    a centre without rows stays.  A run ends when its centres no longer move.
+    """
+    ks, spark = list(ks), X.sparkSession
+    starts = _starts(X, restarts, max(ks))
+    models = [(k, s[:k].copy()) for k in ks for s in starts if len(s) >= k]
+    if not models:
+        return {}
+    dim = models[0][1].shape[1]
+    width, size = max(ks), max(ks) * (dim + 1) + 1
+    active, cost = np.ones(len(models), bool), np.zeros(len(models))
+    for step in range(iterations + 1):
+        held = spark.sparkContext.broadcast(([c for _, c in models], active.copy()))
+
+        def run(batches, held=held):
+            centres, todo = held.value
+            total = np.zeros((len(centres), size))
+            for batch in batches:
+                if not batch.num_rows:
+                    continue
+                x = batch.column(0).flatten().to_numpy(zero_copy_only=False).reshape(batch.num_rows, -1)
+                square = (x * x).sum(axis=1)
+                for i in np.flatnonzero(todo):
+                    c = centres[i]
+                    d = (c * c).sum(axis=1) - 2 * x @ c.T
+                    near = d.argmin(axis=1)
+                    hot = np.zeros((len(x), width))
+                    hot[np.arange(len(x)), near] = 1.0
+                    total[i, :-1] += np.concatenate([hot.T @ x, hot.sum(axis=0)[:, None]], axis=1).ravel()
+                    total[i, -1] += np.maximum(square + d[np.arange(len(x)), near], 0).sum()
+            yield pa.RecordBatch.from_arrays([pa.array([0], pa.int32()), pa.array([total.tobytes()], pa.binary())], names=["key", "data"])
+
+        sums = LN.sum_arrays(X.select("features").mapInArrow(run, "key int, data binary"), 1, (len(models), size))[0]
+        held.unpersist()
+        for i in np.flatnonzero(active):
+            k, c = models[i]
+            part = sums[i, :-1].reshape(width, dim + 1)[:k]
+            cost[i] = sums[i, -1]
+            new = np.where(part[:, dim:] > 0, part[:, :dim] / np.maximum(part[:, dim:], 1), c)
+            active[i] = np.abs(new - c).max(initial=0) > 1e-9 and step < iterations
+            if active[i]:
+                models[i] = (k, new)
+        if not active.any():
+            break
+    out = {}
+    for i, (k, c) in enumerate(models):
+        if k not in out or cost[i] < out[k][1]:
+            out[k] = (c, float(cost[i]))
+    return out
 
-def kmeans_best_of(X: DataFrame, k: int, seeds) -> "object":
-    """Several seeded restarts, keep the lowest training cost."""
-    def fit(seed):
-        m = KMeans(k=k, seed=seed, featuresCol="features", predictionCol="cluster", maxIter=50).fit(X)
-        return m.summary.trainingCost, seed, m
 
-    with ThreadPool(X.sparkSession.sparkContext.defaultParallelism) as pool:
-        return min(pool.imap(fit, seeds), key=lambda r: r[:2])[2]
+def assign_clusters(X: DataFrame, centres: np.ndarray) -> DataFrame:
+    """X with its nearest centre's number (ties: the first) as ``cluster``."""
+    d = F.array(*(F.aggregate(F.zip_with("features", F.array(*map(F.lit, c.tolist())), lambda a, b: (a - b) * (a - b)), F.lit(0.0), lambda s, v: s + v)
+                  for c in centres))
+    return X.withColumn("_d", d).withColumn("cluster", (F.array_position("_d", F.array_min("_d")) - 1).cast("int")).drop("_d")
 
 
-def kmeans_sweep(X: DataFrame, ks=range(2, 9), seeds=range(SWEEP_RESTARTS), silhouette_n: int = 10000):
+def kmeans_sweep(X: DataFrame, ks=range(2, 9), restarts: int = SWEEP_RESTARTS, silhouette_n: int = 10000):
     """M9 + M10: inertia and Euclidean silhouette (on a seeded sample) per k."""
     from .summary import seeded_sample
-    spark = X.sparkSession
     sample = written(seeded_sample(X, ["camis", "inspection_date"], silhouette_n), "sample")
     rows = []
-    for k in ks:
-        m = kmeans_best_of(X, k, seeds)
-        sp = m.transform(sample).select("cluster", vector_to_array("features").alias("f"))
-        dim = len(sample.first()["features"])
-        flat = sp.select("cluster", *[F.col("f")[i].alias(f"x{i}") for i in range(dim)])
-        sil = ST.silhouette_euclidean(flat, [f"x{i}" for i in range(dim)]).first()["silhouette"]
-        rows.append((int(k), float(m.summary.trainingCost), float(sil)))
-    return spark.createDataFrame(rows, "k int, inertia double, silhouette double")
+    for k, (centres, inertia) in sorted(kmeans_many(X, ks, restarts).items()):
+        flat = assign_clusters(sample, centres).select("cluster", *[F.col("features")[i].alias(f"x{i}") for i in range(centres.shape[1])])
+        sil = ST.silhouette_euclidean(flat, [f"x{i}" for i in range(centres.shape[1])]).first()["silhouette"]
+        rows.append((int(k), inertia, float(sil)))
+    return X.sparkSession.createDataFrame(rows, "k int, inertia double, silhouette double")

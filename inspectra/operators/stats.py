@@ -1,7 +1,7 @@
 """SQL statistics: M1-M5, M10, M12, M13, M15, M17, M21.
 
 All are aggregates or joins against small fitted tables; the one pairwise
-statistic (M10) runs per task against a broadcast sample of bounded size.
+statistic (M10) adds up distances in cogrouped pairs of blocks.
 """
 
 from __future__ import annotations
@@ -10,6 +10,7 @@ from itertools import combinations
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -17,14 +18,6 @@ from .. import schemas as S
 from ..session import written
 from .summary import global_rank
 
-def safe_corr(a: str, b: str) -> F.Column:
-    """Pairwise-complete Pearson correlation; a constant column gives NULL
-    (``corr`` raises DIVIDE_BY_ZERO under ANSI)."""
-    both = F.col(a).isNotNull() & F.col(b).isNotNull()
-    sa = F.stddev_pop(F.when(both, F.col(a)))
-    sb = F.stddev_pop(F.when(both, F.col(b)))
-    return F.try_divide(F.covar_pop(F.col(a), F.col(b)), sa * sb)
-
 
 def pairwise_moments(df: DataFrame, cols, pairs) -> DataFrame:
     """Sufficient statistics of pairwise-complete correlation for ``pairs``.
@@ -94,9 +87,8 @@ def correlation_matrix(df: DataFrame, cols) -> DataFrame:
 
 def target_correlation(df: DataFrame, cols, target: str = "failed", k: int = 20) -> DataFrame:
     """M2 + O4: correlation of each column with the target, top-k by |r|."""
-    # one aggregate of null-safe correlations in generated code, no row leaves the JVM
-    row = df.agg(*[safe_corr(c, target).alias(c) for c in cols])
-    long = row.unpivot([], list(cols), "feature", "corr_with_target")
+    pairs = correlation_pairs(df, [(c, target) for c in cols])
+    long = pairs.select(F.col("feature_a").alias("feature"), F.col("corr").alias("corr_with_target"))
     return (long.filter(F.col("corr_with_target").isNotNull())
                 .orderBy(F.abs("corr_with_target").desc(), F.col("feature")).limit(k))
 
@@ -208,51 +200,58 @@ def profile_zscores(profile: DataFrame, cols) -> DataFrame:
     return out
 
 
-def silhouette_euclidean(points: DataFrame, features, cluster: str = "cluster") -> DataFrame:
-    """Mean silhouette with Euclidean distance over a bounded sample.
+#: Points of one block of the silhouette's distance sums.
+SILHOUETTE_BLOCK = 2048
+
 
-    ``points`` is the sampled set (its size is bounded by the caller's sample
-    size, e.g. 10,000).  It is written once, broadcast as arrays, and dealt over
-    the tasks; each computes the distances of its own points to the sample with
-    NumPy, so no pair is ever a row and no cross join is planned.  A point whose
-    distances are all 0 counts 0.  Returns one row: n, silhouette.
+def silhouette_euclidean(points: DataFrame, features, cluster: str = "cluster") -> DataFrame:
+    """Mean silhouette with Euclidean distance over all ``points`` (the published use samples 10,000).
+
+    Points are dealt into blocks; every pair of blocks is a cogrouped task that
+    adds up, per point of the first block, its distances to each cluster of the
+    second.  The sums (a row per point, block and cluster) are added per point;
+    neither points nor distances reach the driver.  A point alone in its
+    cluster, or whose distances are all 0, counts 0; without a second cluster
+    all do.  Returns one row: n, silhouette.
     """
     feats = list(features)
-    spark = points.sparkSession
-    # a bounded sample usually arrives as one partition (it ends in a limit): computed once, dealt to all cores
-    points = written(points.select(cluster, *feats), "silhouette").repartition(max(2, spark.sparkContext.defaultParallelism))
-    ref = points.toPandas()
-    X = ref[feats].to_numpy(dtype=float)
-    lab = ref[cluster].to_numpy()
-    bx = spark.sparkContext.broadcast((X, lab))
-
-    def per_point(batches):
-        Xr, lr = bx.value
-        ks = np.unique(lr)
-        onehot = (lr[:, None] == ks[None, :]).astype(float)          # sample x clusters
-        cnts = onehot.sum(0)
-        sq = (Xr * Xr).sum(1)
-        for pdf in batches:
-            P_all = pdf[feats].to_numpy(dtype=float)
-            own_all = pdf[cluster].to_numpy()
-            out = []
-            for i in range(0, len(P_all), 256):                      # bounded memory: 256 x sample
-                P, own = P_all[i:i + 256], own_all[i:i + 256]
-                norms = (P * P).sum(1)[:, None] + sq[None, :]
-                d2 = norms - 2.0 * (P @ Xr.T)
-                d2[d2 <= 1e-12 * norms] = 0.0                         # self / duplicates: exactly 0
-                D = np.sqrt(d2)
-                sums = D @ onehot                                      # distance sums per cluster
-                idx = np.searchsorted(ks, own)
-                rows = np.arange(len(P))
-                same_n = cnts[idx] - 1
-                a = np.where(same_n > 0, sums[rows, idx] / np.maximum(same_n, 1), 0.0)
-                means = sums / cnts
-                means[rows, idx] = np.inf
-                b = means.min(1)
-                far = np.maximum(a, b)
-                out.append(np.where((same_n > 0) & (far > 0), (b - a) / np.where(far > 0, far, 1.0), 0.0))
-            yield pd.DataFrame({"s": np.concatenate(out) if out else np.array([], dtype=float)})
-
-    s = points.select(cluster, *feats).mapInPandas(per_point, "s double")
-    return s.agg(F.count(F.lit(1)).alias("n"), F.avg("s").alias("silhouette"))
+    rows = written(points.select(F.col(cluster).cast("long").alias("c"), F.array(*(F.col(f).cast("double") for f in feats)).alias("x"),
+                                 F.monotonically_increasing_id().alias("id")), "silhouette")
+    blocks = max(1, -(-rows.count() // SILHOUETTE_BLOCK))
+    dealt = rows.withColumn("block", F.pmod(F.xxhash64("id"), F.lit(blocks)))
+    every = F.explode(F.sequence(F.lit(0).cast("long"), F.lit(blocks - 1).cast("long")))
+    left = dealt.withColumn("other", every).select(F.col("block").alias("a"), F.col("other").alias("b"), "id", "c", "x")
+    right = dealt.withColumn("other", every).select(F.col("other").alias("a"), F.col("block").alias("b"), "c", "x")
+
+    def sums(own: pa.Table, other: pa.Table) -> pa.Table:
+        def matrix(t):
+            x = t.column("x").combine_chunks().flatten().to_numpy(zero_copy_only=False)
+            return x.reshape(t.num_rows, -1), t.column("c").to_numpy()
+
+        out = [[], [], [], [], []]
+        if own.num_rows and other.num_rows:
+            (x, cx), (y, cy) = matrix(own), matrix(other)
+            ids, ks = own.column("id").to_numpy(), np.unique(cy)
+            member = (cy[:, None] == ks[None, :]).astype(float)
+            for i in range(0, len(x), 256):                          # bounded memory: 256 x block
+                p = x[i:i + 256]
+                scale = (p * p).sum(1)[:, None] + (y * y).sum(1)[None, :]
+                d2 = scale - 2.0 * (p @ y.T)
+                d2[d2 <= 1e-12 * scale] = 0.0                         # self / duplicates: exactly 0
+                total = np.sqrt(d2) @ member
+                for j, k in enumerate(ks):
+                    for kept, v in zip(out, (ids[i:i + 256], cx[i:i + 256], np.full(len(p), k), np.full(len(p), int(member[:, j].sum())), total[:, j])):
+                        kept.append(v)
+        kinds = (np.int64, np.int64, np.int64, np.int64, float)
+        return pa.Table.from_arrays([pa.array(np.concatenate([np.empty(0, t), *v]).astype(t)) for v, t in zip(out, kinds)],
+                                    names=["id", "own", "c", "n", "total"])
+
+    part = left.groupBy("a", "b").cogroup(right.groupBy("a", "b")).applyInArrow(sums, "id long, own long, c long, n long, total double")
+    per = part.groupBy("id", "own", "c").agg(F.sum("n").alias("n"), F.sum("total").alias("total"))
+    inside = F.col("c") == F.col("own")
+    s = per.groupBy("id").agg(
+        F.sum(F.when(inside, F.try_divide("total", F.col("n") - 1))).alias("a"),
+        F.min(F.when(~inside, F.col("total") / F.col("n"))).alias("b"))
+    width = F.greatest("a", "b")
+    value = F.when(F.col("a").isNotNull() & F.col("b").isNotNull() & (width > 0), (F.col("b") - F.col("a")) / width).otherwise(0.0)
+    return s.agg(F.count(F.lit(1)).alias("n"), F.avg(value).alias("silhouette"))

@@ -1,5 +1,4 @@
-"""Registered queries: models, PCA and clustering (rows-only checks, except
-``feature_labels`` which is SQL-expressible)."""
+"""Registered queries: models, PCA and clustering (rows-only checks where no SQL twin is given)."""
 
 from __future__ import annotations
 
@@ -10,7 +9,7 @@ from ..operators import evaluation as EV
 from ..operators import modeling as MD
 from ..operators import stats as ST
 from ..operators import summary as SM
-from ..session import fresh_path
+from ..session import fresh_path, written
 from ..sources import sinks
 from . import build as B
 from .oracle_base import rounded
@@ -224,6 +223,21 @@ def pca_loadings(spark, d):
     return MD.pca_loadings(spark, _pca(spark, d), S.PCA_FEATURES)
 
 
+def _covariance_sql():
+    cols = S.PCA_FEATURES
+    filled = ", ".join(f"coalesce(CAST({c} AS DOUBLE), (SELECT quantile_cont({c}, 0.5) FROM clean), 0) AS {c}" for c in cols)
+    pairs = [(a, b) for i, a in enumerate(cols) for b in cols[i:]]
+    one = lambda a, b: f"CASE WHEN stddev_pop({a}) * stddev_pop({b}) > 0 THEN covar_pop({a}, {b}) / (stddev_pop({a}) * stddev_pop({b})) ELSE 0 END"
+    body = " UNION ALL ".join(f"SELECT '{a}' AS feature_a, '{b}' AS feature_b, {one(a, b)} AS covariance FROM filled" for a, b in pairs)
+    return rounded(f"SELECT * FROM ({body}) t", ["covariance"], f"filled AS (SELECT {filled} FROM clean)")
+
+
+@query("pca_reconstruction", _covariance_sql())
+def pca_reconstruction(spark, d):
+    """M6 + M7 certified: loadings and variances give the standardized columns' covariances back."""
+    return finish(MD.pca_reconstruction(spark, _pca(spark, d), S.PCA_FEATURES))
+
+
 @query("pca_scores")
 def pca_scores(spark, d):
     """M8: PC1 / PC2 for every row."""
@@ -233,7 +247,7 @@ def pca_scores(spark, d):
 def _cluster_X(spark, d):
     key = (spark.sparkContext.applicationId, d, "clusterX")
     if key not in _fits:
-        _fits[key] = MD.cluster_matrix(B.clean(spark, d), S.CLUSTER_FEATURES).cache()
+        _fits[key] = written(MD.cluster_matrix(B.clean(spark, d), S.CLUSTER_FEATURES), "cluster-matrix")
     return _fits[key]
 
 
@@ -257,19 +271,36 @@ def kmeans_sweep(spark, d):
     return MD.kmeans_sweep(_cluster_X(spark, d))
 
 
-@query("silhouette_euclidean")
+def _silhouette_sql():
+    """Mean silhouette over all pairs of the sample, from the definition."""
+    cols = S.CLUSTER_FEATURES
+    filled = ", ".join(f"coalesce(CAST({c} AS DOUBLE), (SELECT quantile_cont({c}, 0.5) FROM clean)) AS {c}" for c in cols)
+    scaled = ", ".join(f"CASE WHEN (SELECT stddev_pop({c}) FROM filled) = 0 THEN 0 ELSE "
+                       f"({c} - (SELECT avg({c}) FROM filled)) / (SELECT stddev_pop({c}) FROM filled) END AS {c}" for c in cols)
+    apart = " + ".join(f"(a.{c} - b.{c}) * (a.{c} - b.{c})" for c in cols)
+    ctes = (f"filled AS (SELECT camis, inspection_date, CASE WHEN has_yelp = 1 THEN 2 WHEN has_history = 1 THEN 0 ELSE 1 END AS cluster, {filled} FROM clean), "
+            f"sampled AS (SELECT * FROM (SELECT camis, inspection_date, cluster, {scaled} FROM filled) z "
+            "ORDER BY md5(camis || '|' || CAST(inspection_date AS VARCHAR) || '|42'), camis, inspection_date LIMIT 10000), "
+            f"sums AS (SELECT a.camis, a.inspection_date, a.cluster AS own, b.cluster AS c, count(*) AS n, sum(sqrt({apart})) AS total "
+            "FROM sampled a, sampled b GROUP BY ALL), "
+            "ab AS (SELECT camis, inspection_date, sum(CASE WHEN c = own AND n > 1 THEN total / (n - 1) END) AS a, "
+            "min(CASE WHEN c <> own THEN total / n END) AS b FROM sums GROUP BY ALL)")
+    return rounded("SELECT CAST(count(*) AS BIGINT) AS n, avg(CASE WHEN a IS NOT NULL AND b IS NOT NULL AND greatest(a, b) > 0 "
+                   "THEN (b - a) / greatest(a, b) ELSE 0 END) AS silhouette FROM ab", ["silhouette"], ctes)
+
+
+@query("silhouette_euclidean", _silhouette_sql())
 def silhouette_euclidean(spark, d):
     """Euclidean silhouette of the fixed profile assignment on a 10,000-row seeded sample."""
     X = _cluster_X(spark, d)
     c = B.clean(spark, d).select("camis", "inspection_date",
                                  (F.when(F.col("has_yelp") == 1, 2).when(F.col("has_history") == 1, 0)
                                   .otherwise(1)).alias("cluster"))
-    from pyspark.ml.functions import vector_to_array
     j = X.join(c, ["camis", "inspection_date"])
     s = SM.seeded_sample(j, ["camis", "inspection_date"], 10000)
     dim = len(S.CLUSTER_FEATURES)
-    flat = s.select("cluster", *[vector_to_array("features")[i].alias(f"x{i}") for i in range(dim)])
-    return ST.silhouette_euclidean(flat, [f"x{i}" for i in range(dim)])
+    flat = s.select("cluster", *[F.col("features")[i].alias(f"x{i}") for i in range(dim)])
+    return finish(ST.silhouette_euclidean(flat, [f"x{i}" for i in range(dim)]))
 
 
 @query("kmeans_final")
@@ -278,8 +309,8 @@ def kmeans_final(spark, d):
     X = _cluster_X(spark, d)
     sweep = MD.kmeans_sweep(X, ks=(3, 4))
     k = sweep.orderBy(F.col("silhouette").desc(), "k").first()["k"]
-    m = MD.kmeans_best_of(X, k, seeds=range(MD.FINAL_RESTARTS))
-    assigned = m.transform(X).select("camis", "inspection_date", F.col("cluster").cast("int"))
+    centres = MD.kmeans_many(X, [k], MD.FINAL_RESTARTS)[k][0]
+    assigned = MD.assign_clusters(X, centres).select("camis", "inspection_date", "cluster")
     c = B.clean(spark, d).join(assigned, ["camis", "inspection_date"])
     return finish(ST.cluster_names(cluster_profile_of(c)))
 

@@ -229,3 +229,52 @@ def test_grouped_auc(spark):
     for g in (0, 1, 2):
         assert np.isclose(got[g], roc_auc(df.where(f"g = {g}")).first().auc)
     assert got[7] == 0.0
+
+
+def test_many_restarts_equal_plain_lloyd_runs(spark):
+    rng = np.random.default_rng(1)
+    x = np.concatenate([rng.normal(c, 0.4, (60, 2)) for c in ((0, 0), (3, 0), (0, 4))])
+    df = spark.createDataFrame([(str(i), "2020-01-01", [float(v) for v in r]) for i, r in enumerate(x)], "camis string, inspection_date string, features array<double>").repartition(3)
+    starts = MD._starts(df, 4, 3)
+    assert [len(s) for s in starts] == [3] * 4
+    found = MD.kmeans_many(df, [2, 3], restarts=4)
+    for k in (2, 3):
+        best = None
+        for s in starts:
+            c = s[:k].copy()
+            for _ in range(MD.KMEANS_ITERATIONS):
+                near = ((x[:, None] - c[None]) ** 2).sum(axis=2).argmin(axis=1)
+                c = np.array([x[near == j].mean(axis=0) if (near == j).any() else c[j] for j in range(k)])
+            cost = ((x[:, None] - c[None]) ** 2).sum(axis=2).min(axis=1).sum()
+            best = cost if best is None else min(best, cost)
+        assert np.isclose(found[k][1], best)
+        got = MD.assign_clusters(df, found[k][0]).collect()
+        near = ((np.array([r.features for r in got])[:, None] - found[k][0][None]) ** 2).sum(axis=2).argmin(axis=1)
+        assert [r.cluster for r in got] == near.tolist()
+    assert MD.kmeans_many(df.limit(0), [2]) == {}
+
+
+def test_silhouette_in_blocks_equals_the_definition(spark, monkeypatch):
+    monkeypatch.setattr(MD.ST, "SILHOUETTE_BLOCK", 16)
+    rng = np.random.default_rng(3)
+    x, c = rng.normal(0, 1, (70, 3)), rng.integers(0, 3, 70)
+    x[5], c[5] = x[6], c[6]
+    c[9] = 7  # alone in its cluster
+    df = spark.createDataFrame([(int(k), *map(float, r)) for k, r in zip(c, x)], "cluster int, a double, b double, c2 double")
+    want = []
+    for i in range(70):
+        d = np.sqrt(((x - x[i]) ** 2).sum(axis=1))
+        own = (c == c[i]).sum() - 1
+        a, b = (d[c == c[i]].sum() / own if own else 0), min(d[c == k].mean() for k in set(c) - {c[i]})
+        want.append((b - a) / max(a, b) if own else 0)
+    got = MD.ST.silhouette_euclidean(df, ["a", "b", "c2"]).first()
+    assert got.n == 70 and np.isclose(got.silhouette, np.mean(want))
+
+
+def test_correlation_of_a_column_far_from_zero(spark):
+    rng = np.random.default_rng(2)
+    x = 1e9 + rng.normal(0, 1, 5000)
+    y = 0.5 * (x - 1e9) + rng.normal(0, 1, 5000) - 1e8
+    df = spark.createDataFrame([(float(a), float(b)) for a, b in zip(x, y)], "x double, y double").repartition(4)
+    assert abs(MD.ST.correlation_matrix(df, ["x", "y"]).first()["corr"] - np.corrcoef(x - 1e9, y + 1e8)[0, 1]) < 1e-9
+    assert abs(MD.ST.target_correlation(df, ["x"], "y").first()["corr_with_target"] - np.corrcoef(x - 1e9, y + 1e8)[0, 1]) < 1e-9
