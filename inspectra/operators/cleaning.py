@@ -42,20 +42,22 @@ def sentinel_nulls(df: DataFrame) -> DataFrame:
     return df.withColumn("yelp_price", F.nullif(F.col("yelp_price"), F.lit(0.0)))
 
 
-def group_median_fill(df: DataFrame, key: str, cols, small_groups: bool = True, approx: bool = False) -> DataFrame:
+def group_median_fill(df: DataFrame, key: str, cols, groups=None, approx: bool = False) -> DataFrame:
     """A4: fill NULLs with the exact median of the column within its group.
 
     One partial-aggregating pass computes every group's medians; the result
     has one row per group.  The exact median keeps a value -> count map per
     group; ``approx`` switches to the bounded-memory sketch for columns with
     very many distinct values (a different number, documented as such).
-    ``small_groups`` (the group key is a short fixed list, e.g. the valid
-    regions) broadcasts it back; otherwise a shuffle join.
+    With ``groups``, a stated list of keys (e.g. the valid regions; other keys
+    are not filled), the medians are one row a key and broadcast; otherwise the
+    planner chooses the join.
     """
     def median(c):
         return F.percentile_approx(c, 0.5, 10000) if approx else F.percentile(c, 0.5)
     med = df.groupBy(key).agg(*[median(c).alias(f"_med_{c}") for c in cols])
-    med = F.broadcast(med) if small_groups else med
+    if groups is not None:
+        med = F.broadcast(med.filter(F.col(key).isin(list(groups))))
     j = df.join(med, key, "left")
     return j.select(*[F.coalesce(F.col(c), F.col(f"_med_{c}")).alias(c) if c in cols else F.col(c)
                       for c in df.columns])
@@ -102,7 +104,7 @@ def clean_panel(panel: DataFrame, regions, top_k: int = S.TOP_CUISINES) -> DataF
     df = filter_no_result(df)                                             # P3
     df = presence_flags(df)                                               # P8
     df = sentinel_nulls(df)                                               # P10
-    df = group_median_fill(df, "boro", S.CENSUS_COLUMNS)                  # A4
+    df = group_median_fill(df, "boro", S.CENSUS_COLUMNS, groups=regions)  # A4
     df = history_flags(df)                                                # P9, P12
     df = df.withColumn("cuisine", E.title_case(F.trim("cuisine")))        # F9
     df = group_top_k_other(df, "cuisine", "cuisine_grouped", top_k)      # F16

@@ -406,7 +406,7 @@ def _starts(X: DataFrame, restarts: int, most: int) -> list[np.ndarray]:
     out = []
     for r in range(restarts):
         own = sorted((x for x in near if x["restart"] == r), key=lambda x: (x["h"], x["camis"]))[:most]
-        out.append(np.array([x["features"] for x in own], float).reshape(len(own), -1))
+        out.append(np.array([x["features"] for x in own], float).reshape(len(own), len(own[0]["features"]) if own else 0))
     return out
 
 

@@ -60,12 +60,12 @@ def panel_plan(spark: SparkSession, d: str, window=STUDY_WINDOW) -> DataFrame:
 
 
 def panel(spark: SparkSession, d: str) -> DataFrame:
-    """Stage 1 output, written once per session (partitioned by year)."""
+    """Stage 1 output, written once per input (partitioned by year)."""
     return stage_table(spark, "panel", d, lambda: panel_plan(spark, d), partition_by="inspection_year")
 
 
 def clean(spark: SparkSession, d: str) -> DataFrame:
-    """Stage 2 output, written once per session (partitioned by year)."""
+    """Stage 2 output, written once per input (partitioned by year)."""
     return stage_table(spark, "clean", d, lambda: C.clean_panel(panel(spark, d), S.STANDIN_REGIONS),
                        partition_by="inspection_year")
 
@@ -75,5 +75,5 @@ def features(spark: SparkSession, d: str) -> DataFrame:
 
 
 def overview_cube(spark: SparkSession, d: str) -> DataFrame:
-    """The dashboard's cube, written once per session: a selection reads it and not the visits."""
+    """The dashboard's cube, written once per input: a selection reads it and not the visits."""
     return stage_table(spark, "cube", d, lambda: SV.overview_cube(clean(spark, d)))

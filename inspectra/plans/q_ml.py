@@ -9,7 +9,7 @@ from ..operators import evaluation as EV
 from ..operators import modeling as MD
 from ..operators import stats as ST
 from ..operators import summary as SM
-from ..session import fresh_path, written
+from ..session import fingerprint, fresh_path, stored, written
 from ..sources import sinks
 from . import build as B
 from .oracle_base import rounded
@@ -21,7 +21,7 @@ _fits: dict = {}
 
 
 def _frame(spark, d):
-    key = (spark.sparkContext.applicationId, d, "frame")
+    key = (spark.sparkContext.applicationId, fingerprint(spark, d), "frame")
     if key not in _fits:
         train, test, nums, cats = MD.model_frame(B.features(spark, d), CUT)
         _fits[key] = (train.cache(), test.cache(), nums, cats)
@@ -29,12 +29,18 @@ def _frame(spark, d):
 
 
 def _fit(spark, d, family):
-    """A family's published search, done once per session and input."""
-    key = (spark.sparkContext.applicationId, d, family)
-    if key not in _fits:
+    """A family's published search, done once per input: (model, table of the grid, best parameters)."""
+    def make(path):
         train, _, nums, cats = _frame(spark, d)
-        _fits[key] = MD.fit_family(train, nums, cats, family, rare_min=MD.COMPARED.get(family))
-    return _fits[key]
+        model, table, _ = MD.fit_family(train, nums, cats, family, rare_min=MD.COMPARED.get(family))
+        sinks.save_model(model, path)
+        table.coalesce(1).write.parquet(f"{path}/grid")
+
+    def load(path):
+        model = sinks.load_model(path)
+        return model, spark.read.parquet(f"{path}/grid"), model.params
+
+    return stored(spark, f"model-{family}", d, make, load)
 
 
 def _scored(spark, d, family):
@@ -43,7 +49,7 @@ def _scored(spark, d, family):
 
 def _best(spark, d):
     """(family, test AUC) of the best compared model."""
-    key = (spark.sparkContext.applicationId, d, "best")
+    key = (spark.sparkContext.applicationId, fingerprint(spark, d), "best")
     if key not in _fits:
         _fits[key] = MD.best_family(model_comparison(spark, d))
     return _fits[key]
@@ -99,7 +105,7 @@ def one_hot_rows(spark, d):
     """The slot that each test row sets per category; a value unseen in training sets none
     (a missing value would take the training mode; the inputs have none)."""
     train, test, nums, cats = _frame(spark, d)
-    key = (spark.sparkContext.applicationId, d, "encoder")
+    key = (spark.sparkContext.applicationId, fingerprint(spark, d), "encoder")
     if key not in _fits:
         _fits[key] = MD.preprocessor(nums, cats, train)
     prep = _fits[key]
@@ -204,7 +210,7 @@ def scored_sample(spark, d):
 
 
 def _pca(spark, d):
-    key = (spark.sparkContext.applicationId, d, "pca")
+    key = (spark.sparkContext.applicationId, fingerprint(spark, d), "pca")
     if key not in _fits:
         c = B.clean(spark, d)
         _fits[key] = MD.pca_fit(c, S.PCA_FEATURES)
@@ -245,9 +251,11 @@ def pca_scores(spark, d):
 
 
 def _cluster_X(spark, d):
-    key = (spark.sparkContext.applicationId, d, "clusterX")
+    key = (spark.sparkContext.applicationId, fingerprint(spark, d), "clusterX")
     if key not in _fits:
-        _fits[key] = written(MD.cluster_matrix(B.clean(spark, d), S.CLUSTER_FEATURES), "cluster-matrix")
+        X, cores = written(MD.cluster_matrix(B.clean(spark, d), S.CLUSTER_FEATURES), "cluster-matrix"), spark.sparkContext.defaultParallelism
+        # many passes follow: small data is dealt over the cores once
+        _fits[key] = X if X.rdd.getNumPartitions() >= cores else written(X.repartition(cores), "cluster-matrix")
     return _fits[key]
 
 

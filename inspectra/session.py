@@ -2,7 +2,10 @@
 
 from __future__ import annotations
 
+import functools
+import hashlib
 import os
+import pathlib
 import tempfile
 import uuid
 
@@ -91,28 +94,64 @@ def written(df: DataFrame, name: str) -> DataFrame:
 _stage_tables: dict = {}
 
 
+@functools.lru_cache(maxsize=1)
+def _code() -> str:
+    """Digest of this package's sources: a table that other code wrote is not taken for ours."""
+    root = pathlib.Path(__file__).parent
+    return hashlib.sha1(b"".join(p.read_bytes() for p in sorted(root.rglob("*.py")) if "llm" not in p.parts)).hexdigest()
+
+
+def fingerprint(spark: SparkSession, folder: str) -> str:
+    """Digest of the files under ``folder``: names, sizes and times.  New data at the same place has another one."""
+    path = spark._jvm.org.apache.hadoop.fs.Path(folder)
+    fs = path.getFileSystem(spark._jsc.hadoopConfiguration())
+    files, found = fs.listFiles(path, True), []
+    while files.hasNext():
+        f = files.next()
+        found.append((f.getPath().toString(), f.getLen(), f.getModificationTime()))
+    return hashlib.sha1(repr(sorted(found)).encode()).hexdigest()
+
+
+def stored(spark: SparkSession, name: str, folder: str, make, load):
+    """What ``make(path)`` writes for the input folder, as ``load(path)`` reads it.
+
+    The path under the shared checkpoint folder is named after the input's
+    fingerprint and the code's, so it is found again by later queries and
+    sessions and never taken for other data.  A mark written last tells that it
+    is whole; what a lost driver left half-written is made anew beside it.
+    """
+    tag = hashlib.sha1(f"{name}|{fingerprint(spark, folder)}|{_code()}".encode()).hexdigest()[:20]
+    memo = (spark.sparkContext.applicationId, tag)
+    if memo not in _stage_tables:
+        root = f"{ensure_checkpoint_dir(spark).rstrip('/')}/inspectra-{name}-{tag}"
+        mark = spark._jvm.org.apache.hadoop.fs.Path(f"{root}-done")
+        fs = mark.getFileSystem(spark._jsc.hadoopConfiguration())
+        if not fs.exists(mark):
+            own = f"{root}-{uuid.uuid4().hex[:8]}"
+            make(own)
+            spark.createDataFrame([(own,)], "path string").coalesce(1).write.mode("overwrite").parquet(f"{root}-done")
+        _stage_tables[memo] = load(spark.read.schema("path string").parquet(f"{root}-done").first()["path"])
+    return _stage_tables[memo]
+
+
 def stage_table(spark: SparkSession, name: str, key: str, build, partition_by: str | None = None) -> DataFrame:
     """Write a stage output as Parquet under the shared checkpoint folder and read it back.
 
     The written table cuts the lineage (a lost executor re-reads files instead
     of recomputing the stage), keeps Parquet statistics so later filters and
-    projections are pushed to the scan, and is reused by every later query of
-    the same session.  ``partition_by`` lays the table out for partition pruning.
+    projections are pushed to the scan, and is reused by every later query on
+    the same files (``key`` is their folder), in this session or another.
+    ``partition_by`` lays the table out for partition pruning.
     ``build`` is a thunk so that a reused table costs no planning at all.
     """
-    import hashlib
-    app = spark.sparkContext.applicationId
-    memo = (app, name, key)
-    if memo in _stage_tables:
-        return _stage_tables[memo]
-    df = build()
-    root = ensure_checkpoint_dir(spark).rstrip("/")
-    tag = hashlib.sha1(f"{app}|{name}|{key}".encode()).hexdigest()[:16]
-    path = f"{root}/inspectra-stage-{name}-{tag}"
-    w = df.write.mode("overwrite")
-    if partition_by:
-        w = w.partitionBy(partition_by)
-    w.parquet(path)
-    out = spark.read.parquet(path).select(*df.columns)
-    _stage_tables[memo] = out
-    return out
+    def make(path: str) -> None:
+        df = build()
+        w = df.select(*df.columns).write
+        (w.partitionBy(partition_by) if partition_by else w).parquet(path)
+        # the column order is lost by the partitioning
+        spark.createDataFrame([(df.columns,)], "columns array<string>").coalesce(1).write.parquet(f"{path}-columns")
+
+    def load(path: str) -> DataFrame:
+        return spark.read.parquet(path).select(*spark.read.parquet(f"{path}-columns").first()["columns"])
+
+    return stored(spark, f"stage-{name}", key, make, load)

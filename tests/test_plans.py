@@ -37,3 +37,31 @@ def test_stage_tables_live_under_the_configured_checkpoint_dir(spark):
     panel = B.panel(spark, SF_SMALL)
     files = panel.inputFiles()
     assert files and all(configured.rstrip("/") in f for f in files)
+
+
+def test_stage_tables_follow_their_input_and_outlive_a_session(spark, tmpdir_path):
+    from inspectra import session
+    spark.range(10).write.parquet(f"{tmpdir_path}/t.parquet")
+    built = []
+
+    def stage():
+        def build():
+            built.append(1)
+            return spark.read.parquet(f"{tmpdir_path}/t.parquet").selectExpr("id % 2 AS part", "id")
+        return session.stage_table(spark, "try", tmpdir_path, build, partition_by="part")
+
+    assert stage().count() == 10 and stage().columns == ["part", "id"] and len(built) == 1
+    session._stage_tables.clear()  # another session: the table is found again
+    assert stage().agg({"id": "sum"}).first()[0] == 45 and stage().columns == ["part", "id"] and len(built) == 1
+    spark.range(3).write.mode("append").parquet(f"{tmpdir_path}/t.parquet")  # new data at the same place is seen
+    assert stage().count() == 13 and len(built) == 2
+
+
+def test_a_fitted_model_is_loaded_and_not_fitted_again(spark, tmpdir_path):
+    from inspectra import session
+    made = []
+    take = lambda: session.stored(spark, "try-model", tmpdir_path, lambda p: (made.append(p), spark.range(2).write.parquet(p)),
+                                  lambda p: spark.read.parquet(p).count())
+    assert take() == 2
+    session._stage_tables.clear()
+    assert take() == 2 and len(made) == 1

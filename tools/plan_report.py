@@ -37,9 +37,8 @@ def main():
                    f"{pushed} |")
     out += ["", "Single-partition exchanges appear only where their input is bounded: the final step of a",
             "global aggregate (one partial row per task), or a window over a small table (a row per",
-            "rank bucket, per threshold, per class or per cluster). A ranked input counted at no more",
-            "than 2 million rows is a single bucket; above that no window or sort over a data table runs in",
-            "one partition. `clean_table` and the later queries read the written stage-2",
+            "partition, per threshold, per class or per cluster). No window or sort over a data table runs in",
+            "one partition, at any size. `clean_table` and the later queries read the written stage-2",
             "Parquet table, so their plans start at that scan."]
     with open(os.path.join(os.path.dirname(os.path.dirname(os.path.abspath(__file__))), "PLANS.md"), "w") as f:
         f.write("\n".join(out) + "\n")
