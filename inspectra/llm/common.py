@@ -64,6 +64,13 @@ def slices(sizes: list[int], limit: int = SLICE_CHARS) -> Iterator[tuple[int, in
         yield i, len(sizes)
 
 
+def rows(batches: Iterator, at_once: int = 256) -> Iterator:
+    """The batches in pieces of few rows: what is made of a piece, not of a batch, is held at once."""
+    for batch in batches:
+        for i in range(0, batch.num_rows, at_once):
+            yield batch.slice(i, at_once)
+
+
 def vocabulary_path(name: str) -> str:
     """Place of a public vocabulary file (it is installed on every machine and never copied)."""
     import public_tokenizers

@@ -25,6 +25,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from .common import Scratch, slices
+from .common import rows as rows_of
 
 DIMS = 1 << 13
 CENTROIDS = 4
@@ -128,7 +129,7 @@ def fit(docs: DataFrame, n_centroids: int = CENTROIDS, sample_docs: int = SAMPLE
 
     def frequencies(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         seen, n = np.zeros(DIMS, np.int64), 0
-        for batch in batches:
+        for batch in rows_of(batches):
             for counts, letters in _blocks(batch.column(0).to_pylist()):
                 seen += (counts > 0).sum(axis=0)
                 n += int((letters > 0).sum())

@@ -30,6 +30,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .common import Scratch, slices
+from .common import rows as rows_of
 from .components import components
 
 SHINGLE_CHARS = 5
@@ -43,15 +44,15 @@ BLOCK = 1024
 #: Size of the bitmap (8 MB) that keeps lines which share no band out of the shuffle of texts.
 FILTER_BITS = 1 << 26
 #: Lines whose bands are packed together, and bands of one part of the hash range.
-PACKED_LINES, PART_BANDS = 1 << 16, 1 << 20
+PACKED_LINES, PART_BANDS = 1 << 15, 1 << 19
 #: Members of small mixed buckets that one task goes through, one bucket after the other.
 HOME_ROWS = 4096
 #: Bits of the sketch of a shingle set.
 SKETCH_BITS = 2048
 #: Shingles hashed at once: arrays of this size stay in the processor's cache.
 _CHUNK = 1 << 18
-#: Dissimilar pairs that a task remembers while it goes through the buckets of one smallest id.
-REMEMBERED = 200_000
+#: Dissimilar pairs, and shingles of lines, that a task remembers while it goes through the buckets of one smallest id.
+REMEMBERED, REMEMBERED_SHINGLES = 100_000, 1 << 18
 _BLANK = " \t\x0b\x0c\r"
 _SEED = 42
 
@@ -151,7 +152,7 @@ def signed_lines(docs: DataFrame, k: int, bands: int, rows: int, min_chars: int)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         seen: set[int] = set()
-        for batch in batches:
+        for batch in rows_of(batches):
             ids, texts = batch.column(0), batch.column(1).to_pylist()
             for i, j in slices([len(t) for t in texts]):
                 places, numbers, keys, fresh, at = [], [], [], [], []
@@ -200,7 +201,7 @@ def line_texts(docs: DataFrame, min_chars: int, wanted: np.ndarray) -> DataFrame
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         seen: set[int] = set()
         bits = memoryview(held.value)
-        for batch in batches:
+        for batch in rows_of(batches):
             texts = batch.column(0).to_pylist()
             for i, j in slices([len(t) for t in texts]):
                 keys, lines = [], []
@@ -304,7 +305,7 @@ def _across(cells: DataFrame, k: int, threshold: float) -> DataFrame:
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        home, parent, sets, sketch, unlike = None, {}, {}, {}, set()
+        home, parent, sets, sketch, unlike, held_shingles = None, {}, {}, {}, set(), 0
 
         def find(x):
             while parent[x] != x:
@@ -312,11 +313,11 @@ def _across(cells: DataFrame, k: int, threshold: float) -> DataFrame:
             return x
 
         def links(members):
-            nonlocal home, parent, sets, sketch, unlike
+            nonlocal home, parent, sets, sketch, unlike, held_shingles
             if members[0][0] != home:
-                home, parent, sets, sketch, unlike = members[0][0], {}, {}, {}, set()
+                home, parent, sets, sketch, unlike, held_shingles = members[0][0], {}, {}, {}, set(), 0
             if len(sketch) > 4 * BLOCK:
-                sets, sketch = {}, {}
+                sketch = {}
             if len(unlike) > REMEMBERED:
                 unlike = set()
             for m in members:
@@ -328,8 +329,12 @@ def _across(cells: DataFrame, k: int, threshold: float) -> DataFrame:
             many, words = np.array([sketch[m[4]][0] for m in members]), np.array([sketch[m[4]][1] for m in members])
 
             def shingled(m):
+                nonlocal sets, held_shingles
                 if m[4] not in sets:
+                    if held_shingles > REMEMBERED_SHINGLES:
+                        sets, held_shingles = {}, 0
                     sets[m[4]] = shingles(m[5], k)
+                    held_shingles += len(sets[m[4]])
                 return sets[m[4]]
 
             for i, m in enumerate(members[:-1]):
