@@ -278,3 +278,23 @@ def test_correlation_of_a_column_far_from_zero(spark):
     df = spark.createDataFrame([(float(a), float(b)) for a, b in zip(x, y)], "x double, y double").repartition(4)
     assert abs(MD.ST.correlation_matrix(df, ["x", "y"]).first()["corr"] - np.corrcoef(x - 1e9, y + 1e8)[0, 1]) < 1e-9
     assert abs(MD.ST.target_correlation(df, ["x"], "y").first()["corr_with_target"] - np.corrcoef(x - 1e9, y + 1e8)[0, 1]) < 1e-9
+
+
+def test_shared_design_gives_every_views_matrix():
+    rng = np.random.default_rng(4)
+    views = []
+    for v in range(3):
+        slots = [np.array([-1, 0, 1, -1 if v else 2]), np.array([-1, 2, 1])]
+        views.append(MD.View(rng.normal(0, 1, 2), rng.normal(0, 1, 2), rng.uniform(1, 2, 2), [2, 1], slots, (1.0, 1.0), 50))
+    prep = MD.Preparation(["x", "z"], ["a", "b"], [["p", "q", "r"], ["s", "t"]], None, views)
+    nums = rng.normal(0, 1, (50, 2))
+    nums[::7, 0] = np.nan
+    cats = np.c_[rng.integers(-1, 4, 50), rng.integers(-1, 3, 50)]
+    base = MD.LN._Base(prep, [0, 1, 2])
+    order, dense, places, starts, codes = base.rows(nums, cats)
+    whole = np.zeros((50, base.size))
+    whole[:, places] = dense
+    for own in np.repeat(codes, np.diff(np.append(starts, 50)), axis=0).T:
+        whole[np.arange(50), own] = 1.0
+    for v in range(3):
+        assert np.allclose((whole @ base.maps[v])[:, 1:], prep.matrix(nums[order], cats[order], v, True))
