@@ -298,3 +298,17 @@ def test_shared_design_gives_every_views_matrix():
         whole[np.arange(50), own] = 1.0
     for v in range(3):
         assert np.allclose((whole @ base.maps[v])[:, 1:], prep.matrix(nums[order], cats[order], v, True))
+
+
+def test_layout_adds_up_every_slot():
+    rng = np.random.default_rng(6)
+    codes = np.c_[rng.integers(0, 32, (80, 2)), rng.integers(0, 2, 80), np.eye(4)[rng.integers(0, 4, 80)], np.zeros(80)].astype(np.uint8)
+    local, stats = rng.integers(-1, 3, 80), (np.ones(80), rng.normal(0, 1, 80))
+    want = np.zeros((3, codes.shape[1], 32, 2))
+    for i, n in enumerate(local):
+        for s, c in enumerate(codes[i]):
+            if n >= 0:
+                want[n, s, c] += [x[i] for x in stats]
+    layout = MD.TR.Layout(codes)
+    assert len(layout.row) == (codes[:, 2:] > 0).sum()  # a category's slots cost the rows that set them
+    assert np.allclose(layout.histogram(local, stats, 3), want)
