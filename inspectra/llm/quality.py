@@ -78,7 +78,8 @@ def ngram_weights(docs: DataFrame, verdicts: DataFrame) -> DataFrame:
     Without trusted documents all weights are those of an empty trusted count
     (smoothing only); without any n-grams they are zero.
     """
-    words = (docs.select("doc_id", "text").join(verdicts.where("trusted").select("doc_id", "trusted"), "doc_id", "left")
+    # by key at every size: the texts' shuffle grows with them instead of setting in where a broadcast no longer fits
+    words = (docs.select("doc_id", "text").join(verdicts.where("trusted").select("doc_id", "trusted").hint("merge"), "doc_id", "left")
              .select(F.expr(f"CASE WHEN trusted THEN {_FOLD} END").alias("fold"), F.expr(_WORDS).alias("w")))
     pairs = words.select("fold", F.explode(F.expr("arrays_zip(w, slice(w, 2, size(w)))")).alias("z")).select(
         "fold", F.col("z.w").alias("a"), F.col("z.`1`").alias("b"))

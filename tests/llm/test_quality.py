@@ -91,3 +91,11 @@ def test_native(spark, scratch):
     docs = spark.createDataFrame([(1, "a b")], "doc_id long, text string")
     plan = quality.base_rules(docs)._jdf.queryExecution().executedPlan().toString()
     assert "Python" not in plan and "Arrow" not in plan
+
+
+def test_texts_meet_the_labels_by_key_at_every_size(spark):
+    docs = spark.createDataFrame([(1, "a b c"), (2, None)], "doc_id long, text string")
+    verdicts = quality.verdicts_of(spark.createDataFrame([(1, 1, 0)], "doc_id long, quality int, toxic int"))
+    weights = quality.ngram_weights(docs, verdicts)
+    assert "strategy=merge" in weights._jdf.queryExecution().optimizedPlan().toString()
+    assert len(weights.first()["weights"]) == quality.FOLDS * quality.BINS
