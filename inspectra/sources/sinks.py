@@ -4,13 +4,12 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
+from ..session import write_parquet
+
 
 def write_table(df: DataFrame, path: str, partition_by: str | None = None) -> None:
     """A stage table as Parquet (the panel / clean tables by year)."""
-    w = df.write.mode("overwrite")
-    if partition_by:
-        w = w.partitionBy(partition_by)
-    w.parquet(path)
+    write_parquet(df, path, partition_by, "overwrite")
 
 
 def write_metrics(df: DataFrame, path: str, fmt: str = "csv") -> None:

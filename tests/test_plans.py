@@ -65,3 +65,16 @@ def test_a_fitted_model_is_loaded_and_not_fitted_again(spark, tmpdir_path):
     assert take() == 2
     session._stage_tables.clear()
     assert take() == 2 and len(made) == 1
+
+
+def test_partitioned_writes_do_not_sort_their_rows(spark, tmpdir_path, monkeypatch):
+    from pyspark.sql.readwriter import DataFrameWriter
+    from inspectra import session
+    key, seen, real = "spark.sql.maxConcurrentOutputFileWriters", [], DataFrameWriter.parquet
+    monkeypatch.setattr(DataFrameWriter, "parquet", lambda self, path: (seen.append(spark.conf.get(key)), real(self, path))[1])
+    before = spark.conf.get(key)
+    df = spark.range(0, 400, 1, 2).selectExpr("id % 40 AS part", "id")  # more parts than writers
+    session.stage_table(spark, "unsorted", tmpdir_path, lambda: df, partition_by="part")
+    assert int(seen[0]) == session.PARTITION_WRITERS and spark.conf.get(key) == before
+    got = session.stage_table(spark, "unsorted", tmpdir_path, lambda: df, partition_by="part")
+    assert sorted(tuple(r) for r in got.collect()) == sorted((i % 40, i) for i in range(400))
