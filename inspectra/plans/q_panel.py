@@ -237,7 +237,8 @@ def scan_inspections_json(spark, d):
     """S3: the violation rows landed as JSON records and scanned with the declared schema."""
     path = fresh_path(spark, "json")
     rows = SI.raw_inspections(spark, d)
-    rows.select(*[c for c in S.INSPECTIONS_RAW.names if c in rows.columns]).write.json(path)
+    # the landing is compressed: its texts repeat from record to record
+    rows.select(*[c for c in S.INSPECTIONS_RAW.names if c in rows.columns]).write.option("compression", "gzip").json(path)
     return finish(L.read_inspections_json(spark, path, *B.STUDY_WINDOW).select(*_JSON_COLS))
 
 

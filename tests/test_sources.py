@@ -54,3 +54,12 @@ def test_write_and_read_back(spark, tmpdir_path):
     assert [r.x for r in back.collect()] == [2]
     sinks.write_metrics(df, f"{tmpdir_path}/m")
     assert spark.read.option("header", True).csv(f"{tmpdir_path}/m").count() == 2
+
+
+def test_the_json_landing_is_compressed(spark):
+    from inspectra.plans import catalog
+    out = catalog.QUERIES["scan_inspections_json"](spark, SF_SMALL)
+    files = out.inputFiles()
+    assert files and all(f.endswith(".json.gz") for f in files)
+    want = catalog.QUERIES["scan_inspections"](spark, SF_SMALL).select(*out.columns)
+    assert out.exceptAll(want).isEmpty() and want.exceptAll(out).isEmpty()
