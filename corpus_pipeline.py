@@ -19,6 +19,10 @@ from pyspark.sql import functions as F
 
 from inspectra.llm import langid, line_dedup, packing, quality, simhash
 from inspectra.llm.common import Scratch, read_table
+from inspectra.session import setting
+
+#: Texts that language ID hands to a Python worker at once; some MB, which worker and JVM both hold.
+ROWS_AT_ONCE = 1000
 
 
 def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -26,9 +30,10 @@ def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
     The centroids are learnt from the documents that have a lang and aren't held out.
     """
-    model = langid.fit(langid.learnable(docs))
-    whole = docs.select(F.struct(*(F.col(f"`{c}`") for c in docs.columns)).alias("row"), "text")
-    return langid.predict(whole, model).where("NOT rejected").select("row.*")
+    with setting(spark, "spark.sql.execution.arrow.maxRecordsPerBatch", str(ROWS_AT_ONCE)):
+        model = langid.fit(langid.learnable(docs))
+        # written here, while the setting holds
+        return Scratch(spark, "pipeline-langid").table(langid.identified(docs, model), "identified")
 
 
 def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -181,6 +181,19 @@ def predict(docs: DataFrame, model: Model) -> DataFrame:
     with score 0 and rejected.  Equal cosines go to the first language in
     alphabetical order.
     """
+    made = ("lang_pred", "score", "rejected")
+    found, near = _nearest(docs, model)
+    return found.select(*(F.col(f"`{c}`") for c in docs.columns if c not in made), *(F.col(f"{near}.{c}") for c in made))
+
+
+def identified(docs: DataFrame, model: Model) -> DataFrame:
+    """The rows of ``docs`` that ``predict`` does not reject, with their own columns only."""
+    found, near = _nearest(docs, model)
+    return found.where(~F.col(f"{near}.rejected")).select(*(F.col(f"`{c}`") for c in docs.columns))
+
+
+def _nearest(docs: DataFrame, model: Model) -> tuple[DataFrame, str]:
+    """``docs`` with a struct of lang_pred, score and rejected, and the struct's name, that of no other column."""
     held = docs.sparkSession.sparkContext.broadcast(model)  # languages x centroids x DIMS numbers
 
     @F.pandas_udf("lang_pred string, score double, rejected boolean")
@@ -200,6 +213,5 @@ def predict(docs: DataFrame, model: Model) -> DataFrame:
             yield pd.DataFrame({"lang_pred": langs[at], "score": got,
                                 "rejected": (at == len(m.langs)) | (got < np.append(m.floor, 2)[at])})
 
-    made, near = ("lang_pred", "score", "rejected"), f"_{uuid.uuid4().hex}"
-    return docs.withColumn(near, nearest("text")).select(
-        *(F.col(f"`{c}`") for c in docs.columns if c not in made), *(F.col(f"{near}.{c}") for c in made))
+    near = f"_{uuid.uuid4().hex}"
+    return docs.withColumn(near, nearest("text")), near

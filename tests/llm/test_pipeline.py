@@ -110,3 +110,14 @@ def test_columns_that_clash_and_long_white_space(spark):
         out = stage(spark, docs, SF_SMALL)
         assert out.columns == docs.columns and out.where("_gone = substring(text, 1, 3)").count() > 20, name
     assert cp.packing_stage(spark, docs, SF_SMALL).where("doc_id = 900001").first()["n_tokens"] > 0
+
+
+def test_language_id_reads_texts_in_small_batches_and_leaves_the_session_as_it_was(spark, monkeypatch):
+    key, seen, real = "spark.sql.execution.arrow.maxRecordsPerBatch", [], cp.langid.identified
+    monkeypatch.setattr(cp.langid, "identified", lambda docs, model: (seen.append(spark.conf.get(key)), real(docs, model))[1])
+    before = spark.conf.get(key)
+    rows = [(i, "the cat sat on the mat and looked at the dog" if i % 3 else None, "en", f"s{i}", i, 0.5, True) for i in range(30)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, score int, lang_pred double, rejected boolean")
+    got = cp.language_id(spark, docs, "")
+    assert int(seen[0]) == cp.ROWS_AT_ONCE < 10000 and spark.conf.get(key) == before
+    assert got.columns == docs.columns and sorted(tuple(r) for r in got.collect()) == [r for r in rows if r[1]]
