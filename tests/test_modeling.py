@@ -322,3 +322,19 @@ def test_equal_centres_and_ties_go_to_the_first(spark):
     sums, cost = MD._nearest_sums(one[:, :2], one, (one[:, :2] ** 2).sum(axis=1), *MD._distance_terms(centres), 3)
     assert sums.reshape(2, 3, 3)[:, :, 2].tolist() == [[9, 0, 6], [9, 6, 0]]
     assert np.allclose(cost, 3)
+
+
+def test_l1_step_ends_where_inputs_depend_on_each_other():
+    # slots of a category, of groups of its values and numbers that all but follow from it: single coordinates crawl
+    rng = np.random.default_rng(11)
+    a = rng.integers(0, 20, 4000)
+    x = np.c_[np.ones(4000), rng.normal(0, 1, 4000), rng.normal(0, 1, 20)[a] + 1e-3 * rng.normal(0, 1, 4000), rng.normal(0, 1, 20)[a], np.eye(5)[a % 5], np.eye(20)[a]]
+    y = (rng.random(4000) < 1 / (1 + np.exp(-rng.normal(0, 0.3, 20)[a]))).astype(float)
+    beta = np.zeros((2, x.shape[1]))
+    g, h, lam = np.stack([x.T @ (0.5 - y)] * 2), np.stack([x.T @ x / 4] * 2), [0.1, 10.0]
+    move = MD.LN._steps(beta, g, h, lam, np.array([True, True]))
+    for i in range(2):
+        end, b = g[i] + h[i] @ move[i], move[i]
+        on = b[1:] != 0
+        assert abs(end[0]) < 1e-7
+        assert np.abs(end[1:][on] + np.sign(b[1:][on]) * lam[i]).max(initial=0) < 1e-7 and (np.abs(end[1:][~on]) <= lam[i] + 1e-7).all()
