@@ -338,3 +338,60 @@ def test_l1_step_ends_where_inputs_depend_on_each_other():
         on = b[1:] != 0
         assert abs(end[0]) < 1e-7
         assert np.abs(end[1:][on] + np.sign(b[1:][on]) * lam[i]).max(initial=0) < 1e-7 and (np.abs(end[1:][~on]) <= lam[i] + 1e-7).all()
+
+
+def _packed(seed=12, n=500):
+    rng = np.random.default_rng(seed)
+    views = [MD.View(rng.normal(0, 1, 2), np.zeros(2), np.ones(2), [2, 1], [np.array([-1, 0, 1, 3]), np.array([-1, 0, -1])], (0.8, 1.3), n)]
+    prep = MD.Preparation(["x", "z"], ["a", "b"], [["p", "q", "r"], ["s", "t"]], None, views)
+    nums = np.c_[rng.normal(0, 1, n), rng.integers(0, 3, n)]
+    nums[::9, 0] = np.nan
+    cats = np.c_[rng.integers(-1, 4, n), rng.integers(-1, 3, n)]
+    cuts = [np.linspace(-2, 2, 31), np.array([0.5, 1.5])]
+    label = (rng.random(n) < 1 / (1 + np.exp(-np.nan_to_num(nums[:, 0]) - (cats[:, 0] == 2)))).astype(np.int8)
+    return prep, cuts, nums, cats, label, rng.integers(-2**62, 2**62, n)
+
+
+def test_packed_rows_are_the_binned_ones():
+    prep, cuts, nums, cats, _, _ = _packed()
+    columns = MD.TR.Columns(prep)
+    packed = columns.pack(prep, cuts, nums, cats, 0)
+    assert packed.shape == (500, 4) and packed.dtype == np.uint8  # a byte a number and a category, not one a slot
+    assert (columns.dense(packed) == MD.TR.binned(prep, cuts, nums, cats, 0)).all()
+
+
+def test_packed_growth_splits_on_whole_histograms(monkeypatch):
+    prep, cuts, nums, cats, label, uid = _packed()
+    columns = MD.TR.Columns(prep)
+    packed, dense = columns.pack(prep, cuts, nums, cats, 0), MD.TR.binned(prep, cuts, nums, cats, 0)
+    for name in ("TREE_CHUNK", "JOINT_CHUNK"):
+        monkeypatch.setattr(MD.TR, name, 64)
+    monkeypatch.setattr(MD.TR, "JOINT_CELLS", 40)  # several groups of columns
+
+    def plain(g):
+        margin, node = np.full(len(label), getattr(g, "prior", 0.0)), np.zeros(len(label), np.int64)
+        while g.open:
+            before, made = g.tree, len(getattr(g, "done", ()))
+            g.grow(g.histogram(dense, label.astype(float), uid, margin, node))
+            if len(getattr(g, "done", ())) > made:
+                margin, node = margin + g.rate * g.done[-1]["value"][MD.TR.down(g.done[-1], dense, 64)], np.zeros(len(label), np.int64)
+            else:
+                node = MD.TR.down(before.arrays(), dense, 1, node)
+        return g
+
+    make = lambda: [MD.TR.Forest(0, 3, k, 6, prep.width, prep.views[0].weights, 42) for k in range(4)]
+    pairs = [(a.tree.arrays(), MD.TR._complete_forest(b, columns, packed, label, uid).tree.arrays()) for a, b in zip(map(plain, make()), make())]
+    boosted = lambda: MD.TR.Boosted(0, 0.3, 4, 6, prep.width, -0.4)
+    done = MD.TR._complete_boosted(boosted(), columns, np.ascontiguousarray(packed.T), label).done
+    pairs += list(zip(plain(boosted()).done, done))
+    assert len(pairs) == 10 and max(len(a["left"]) for a, _ in pairs) > 20
+    for a, b in pairs:
+        assert (a["left"] == b["left"]).all() and (a["slot"] == b["slot"]).all() and (a["bin"] == b["bin"]).all()
+        assert np.allclose(a["value"], b["value"]) and np.allclose(a["gain"], b["gain"])
+
+
+def test_searches_with_the_same_folds_share_their_rows(spark):
+    grid = {"numTrees": [2], "maxDepth": [2], "minInstancesPerNode": [2], "folds": 3}
+    prepared = MD.training_rows(_frame(spark), ["camis", "inspection_date"], ["x", "z"], ["cat"], 3, 20)
+    own, shared = (MD.fit_family(_frame(spark), ["x", "z"], ["cat"], "forest", grid, rare_min=20, prepared=p)[1].first() for p in (None, prepared))
+    assert np.isclose(own["cv_auc"], shared["cv_auc"])
